@@ -16,70 +16,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import stash, text_or_empty
+from lodestar.llm.textnum import PLAIN, batches, mix, word_hashes
 
 BUCKETS = 1 << 16
 #: At most so many labelled rows fit the target model and the cut; those of smallest hashed id.
 LABELLED = 20_000
 #: Share of labelled good rows whose weight may lie below the cut.
 GOOD_LOST = 0.001
-_P = np.uint64(0x100000001B3)
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(1 << 12, _P, dtype=np.uint64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * _M1
-        h = (h ^ (h >> np.uint64(29))) * _M2
-        return h ^ (h >> np.uint64(32))
-
 
 def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, start of each text's n-grams, one more at the end); words split at ASCII blanks.
 
     A word's hash covers its case and marks, as these tell prose from shouting, tables and noise.
     """
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    joined = b"\x00".join(raw) + b"\x00"
-    b = np.frombuffer(joined, dtype=np.uint8)
-    inside = b > 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside))))
-    starts, ends = edge[::2], edge[1::2]
-    bounds = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))) if raw else np.zeros(1, dtype=np.int64)
-    if not len(starts):
+    h, of = word_hashes(texts, PLAIN)
+    if not len(h):
         return np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
     with np.errstate(over="ignore"):
-        offset = np.arange(len(b)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(b)]))))[: len(b)] if starts[0] == 0 else np.concatenate((np.zeros(starts[0], dtype=np.int64), np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(b)]))))))
-        terms = np.where(inside, (b.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 4095], np.uint64(0))
-        h = _mix(np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64))
-        pair = _mix(h[:-1] * np.uint64(3) + h[1:])
-    of = np.searchsorted(bounds, starts, side="right") - 1
-    same = of[:-1] == of[1:]
+        pair = mix(h[:-1] * np.uint64(3) + h[1:])
     both = np.empty(2 * len(h) - 1, dtype=np.int64)
     both[::2] = (h % np.uint64(buckets)).astype(np.int64)
     both[1::2] = (pair % np.uint64(buckets)).astype(np.int64)
     keep = np.ones(len(both), dtype=bool)
-    keep[1::2] = same
-    owner = np.repeat(of, 2)[:-1]
-    both, owner = both[keep], owner[keep]
-    return both, np.searchsorted(owner, np.arange(len(texts) + 1))
-
-
-def _batches(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Parts of bounded text."""
-    for pdf in batches:
-        size = pdf["text"].map(len).cumsum() // chars
-        for _, part in pdf.groupby(size, sort=False):
-            yield part
+    keep[1::2] = of[:-1] == of[1:]
+    owner = np.repeat(of, 2)[:-1][keep]
+    return both[keep], np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
 def counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """n-gram counts (bucket, raw, target) over all rows; rows: text, target. Each task sends one row a bucket at most."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
-        for pdf in _batches(batches):
+        for pdf in batches(frames):
             found, at = grams(pdf["text"].tolist(), buckets)
             raw += np.bincount(found, minlength=buckets)
             flags = np.repeat(pdf["target"].to_numpy(dtype=bool), np.diff(at))
@@ -138,9 +107,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     model = Model.fit(found, buckets)
     shared = spark.sparkContext.broadcast(model.ratio)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(shared.value)
-        for pdf in _batches(batches):
+        for pdf in batches(frames):
             w, n = m.scores(pdf["text"].tolist())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "good": pdf["_good"], "log_weight": w, "n_grams": n.astype(np.int64)})
 

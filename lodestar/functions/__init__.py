@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: identity hashes, ranks, rates, text and path scalars."""

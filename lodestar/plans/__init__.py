@@ -1 +1,6 @@
-"""See the package README."""
+"""Registered queries."""
+
+from lodestar.plans import reviews, runs, snapshots  # noqa: F401
+from lodestar.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -93,16 +93,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """For every row: doc_id, n_grams, log_weight, mean_ratio, gumbel_key, accepted.
 
     accepted: among the k largest gumbel_key; ties at the k-th key are all accepted. k is by default the number of
-    documents whose mean log ratio reaches the cut, which is fitted on the labelled sample so that it parts good from
-    bad rows best while at most GOOD_LOST of the good lie below it: good documents lie far above it, so that the noise
-    reorders only documents near the border. Null and empty texts have no n-grams, weight 0 and are not accepted when
+    documents whose mean log ratio reaches the cut. One half of the labelled sample (by a hash of the id) fits the target
+    model; on the other half, which the model has not seen, the cut is fitted so that it parts good from bad rows best
+    while at most GOOD_LOST of the good lie below it: good documents lie far above it, so that the noise reorders only
+    documents near the border. Null and empty texts have no n-grams, weight 0 and are not accepted when
     labels tell good from bad, as they hold nothing to train on. Without usable labels every row is accepted.
     Repeated rows have equal keys. Other columns are dropped.
     """
     spark = docs.sparkSession
     sample = stash(labelled(docs, labels, limit), "labelled")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    flagged = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"), "left").select("doc_id", "text", F.coalesce("_good", F.lit(False)).alias("target"), "_good")  # at most `limit` rows of 9 bytes
+    flagged = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"), "left")  # at most `limit` rows of 9 bytes
+    held = F.pmod(F.xxhash64("_label_id", F.lit(29)), F.lit(2)) == 1
+    flagged = flagged.select("doc_id", "text", F.coalesce(F.col("_good") & ~held, F.lit(False)).alias("target"), F.when(held, F.col("_good")).alias("_good"))
     found = counts(flagged, buckets).toPandas()  # one row a bucket
     model = Model.fit(found, buckets)
     shared = spark.sparkContext.broadcast(model.ratio)
@@ -116,7 +119,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     scored = stash(flagged.mapInPandas(score, "doc_id long, good boolean, log_weight double, n_grams long"), "weights")
     mean = F.when(F.col("n_grams") > 0, F.round(F.col("log_weight") / F.col("n_grams"), 9))
     scored = scored.withColumn("mean_ratio", mean)
-    known = scored.filter("good is not null and n_grams > 0").select("good", "mean_ratio").toPandas()  # at most `limit` labelled ids
+    known = scored.filter("good is not null and n_grams > 0").select("good", "mean_ratio").toPandas()  # at most `limit` labelled ids, unless rows repeat them
     cut = fit_cut(known)
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, F.round(F.col("mean_ratio") * F.lit(SHARP) - F.log(-F.log(uniform)), 9)))

@@ -3,7 +3,8 @@
 Rules (host, path) decide the urls they fit. For the others the graph decides: personalised PageRank flows from hosts
 with an allowed url along links, and distrust flows from hosts with a blocked url against the links (a page that links
 to a blocked host is suspect). Masses are whole numbers, so that sums don't depend on their order. A host is blocked if
-its distrust is over the threshold and over its trust.
+its distrust is over the threshold and over its trust. What a host holds as a seed itself doesn't count against it: a rule that
+blocks some of a host's paths says nothing of its others, links to blocked hosts do.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from lodestar.llm.common import stash
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: One unit of mass; damping in percent; rounds; least distrust of a blocked host, in parts of the mean mass of a host.
-UNIT, DAMPING, ROUNDS, DISTRUST = 1_000_000_000_000, 85, 12, 1.0
+UNIT, DAMPING, ROUNDS, DISTRUST = 1_000_000_000_000, 85, 12, 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 
@@ -46,10 +47,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
-    """node, kind, mass: personalised PageRank for each kind. edges: kind, src, dst, w; seeds: kind, node.
+    """kind, node, mass, received (mass without the node's own share as a seed): personalised PageRank for each kind. edges: kind, src, dst, w; seeds: kind, node.
 
     A hub's edges are dealt by salt, so its row of mass is copied to SALTS tasks, and contributions are summed before
-    they are shuffled. Mass at nodes without edges goes back to the seeds.
+    they are shuffled. Mass at nodes without edges is dropped.
     """
     sizes = seeds.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     base = stash(seeds.distinct().join(F.broadcast(sizes), "kind").select("kind", "node", F.expr(f"{UNIT} div n").alias("seed")), "seeds")  # sizes has one row a kind
@@ -58,9 +59,9 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: in
     mass = base.select("kind", F.col("node"), F.col("seed").alias("mass"))
     for k in range(rounds):
         copies = mass.filter("mass > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("node", "src")
-        moved = salted.join(copies, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("node"), F.expr(f"cast(cast(mass as decimal(20,0)) * {damping} * w div (total * 100) as bigint)").alias("mass"))
-        moved = moved.unionByName(base.select("kind", "node", F.expr(f"seed * {100 - damping} div 100").alias("mass")))
-        mass = moved.groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
+        moved = salted.join(copies, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("node"), F.expr(f"cast(cast(mass as decimal(20,0)) * {damping} * w div (total * 100) as bigint)").alias("mass")).withColumn("received", F.col("mass"))
+        moved = moved.unionByName(base.select("kind", "node", F.expr(f"seed * {100 - damping} div 100").alias("mass"), F.lit(0).cast("long").alias("received")))
+        mass = moved.groupBy("kind", "node").agg(F.sum("mass").alias("mass"), F.sum("received").alias("received"))
         if k % 4 == 3 or k == rounds - 1:
             mass = stash(mass, "mass")
     return mass
@@ -84,7 +85,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seeds = hosts.filter("good = 1 and coalesce(bad, 0) = 0").select(F.lit("trust").alias("kind"), F.col("host").alias("node")).unionByName(hosts.filter("bad = 1").select(F.lit("distrust").alias("kind"), F.col("host").alias("node")))
     mass = spread(edges, seeds)
     mean = UNIT / max(1, hosts.count())
-    of = mass.groupBy(F.col("node").alias("host")).agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("d"))
+    of = mass.groupBy(F.col("node").alias("host")).agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("received"))).alias("d"))
     of = of.select("host", F.round(F.coalesce("t", F.lit(0)) / mean, 9).alias("trust"), F.round(F.coalesce("d", F.lit(0)) / mean, 9).alias("distrust"))
     of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(of, ["host", "salt"], "left")

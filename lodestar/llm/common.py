@@ -54,3 +54,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: Bits of a membership bitmap, at most (16 MB), so that a broadcast of it has a bound whatever the input.
+BITS = 1 << 27
+_ROW = 1 << 15
+
+
+class Bitmap:
+    """Which of few keys a row may have: a one-hash filter, built and tested with built-in functions.
+
+    It only spares rows that surely have no such key from a join that follows; false hits cost, but change nothing.
+    """
+
+    def __init__(self, keys: DataFrame, *cols: str):
+        n = keys.count()
+        self.bits = max(1 << 20, min(BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+        at = self._at(*[F.col(c) for c in cols])
+        self.rows = keys.select(at.alias("at")).groupBy(F.expr(f"at div {_ROW}").alias("_bit_row")).agg(F.bitmap_construct_agg(F.col("at") % _ROW).alias("_bit_map"))
+
+    def _at(self, *cols: Column) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(self.bits))
+
+    def mark(self, df: DataFrame, *cols: Column) -> DataFrame:
+        """df with a boolean column _maybe."""
+        df = df.withColumn("_at", self._at(*cols))
+        df = df.join(F.broadcast(self.rows), F.expr(f"_at div {_ROW}") == F.col("_bit_row"), "left")  # at most BITS bits
+        byte = F.conv(F.hex(F.substring("_bit_map", F.expr(f"cast((_at % {_ROW}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+        bit = F.expr("cast(_at % 8 as int)")
+        hit = F.col("_bit_row").isNotNull() & (F.expr("1").bitwiseAND(F.call_function("shiftright", byte, bit)) == 1)
+        return df.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_bit_row", "_bit_map")
+
+
+def without_rows(df: DataFrame, gone: DataFrame, key: Column, gone_key: str) -> DataFrame:
+    """Rows of df whose key is not among gone's; only rows that may be are shuffled."""
+    marked = Bitmap(gone, gone_key).mark(df, key)
+    keep = marked.filter("not _maybe").drop("_maybe")
+    rest = marked.filter("_maybe").drop("_maybe").withColumn("_key_of_row", key).join(gone.select(F.col(gone_key).alias("_gone_key")).distinct(), F.col("_key_of_row") == F.col("_gone_key"), "left_anti").drop("_key_of_row")
+    return keep.unionByName(rest)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import new_table, stash, text_or_empty
+from lodestar.llm.common import Bitmap, new_table, stash, text_or_empty, without_rows
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,12 +57,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level = stash(compact(runs).filter("size > 1"), "level")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), digest(normalised(text)).alias("digest"), (-F.char_length(text)).alias("neg"))
 
-    # byte verification of the hits
-    keepers = texts.join(level.select("digest", "best"), "digest").filter((F.col("neg") == F.col("best.neg")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
+    # byte verification of the hits: only texts that may have one of the digests leave the scan
+    hits = Bitmap(level, "digest").mark(texts, F.col("digest")).filter("_maybe").drop("_maybe")
+    hits = stash(hits.join(level.select("digest", "best"), "digest"), "hits")
+    keepers = hits.filter((F.col("neg") == F.col("best.neg")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
     keepers = keepers.groupBy("digest").agg(F.min("norm").alias("keeper_norm"))
     keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
-    differs = stash(hits.join(keepers, ["digest", "salt"]).filter(F.col("norm") != F.col("keeper_norm")).select("doc_id", "digest", "norm", "neg"), "collisions")
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
+    differs = stash(salted.join(keepers, ["digest", "salt"]).filter(F.col("norm") != F.col("keeper_norm")).select("doc_id", "digest"), "collisions")
     verified = differs.isEmpty()
 
     # the rows' groups; a group's rows are spread by salt, as one digest may hold a third of all rows
@@ -71,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = salted.join(spread, ["digest", "salt"], "left")
     out = out.select("doc_id", "digest", "text_sha256", "neg", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("group_size").isNull(), F.col("neg")).otherwise(F.col("keep_neg")).alias("keep_neg"))
     if not verified:
-        groups = texts.join(differs.select("digest").distinct(), "digest", "left_semi")
+        groups = hits.join(differs.select("digest").distinct(), "digest", "left_semi")
         groups = groups.groupBy("digest", "norm").agg(F.min(F.struct("neg", "doc_id")).alias("best"), F.count(F.lit(1)).alias("size"))
         groups = groups.select("digest", sha256(F.col("norm")).alias("text_sha256"), F.col("best.doc_id").alias("k_id"), F.col("best.neg").alias("k_neg"), F.col("size").alias("k_size"))
         out = out.join(groups, ["digest", "text_sha256"], "left")
@@ -86,6 +88,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Of rows repeated with the same id and text one stays.
     """
-    found = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    kept = docs.withColumn("_sha_own", sha256(normalised(text_or_empty()))).withColumn("_gone_own", F.col("doc_id").cast("long"))
-    return kept.join(found, F.col("_gone").eqNullSafe(F.col("_gone_own")) & (F.col("_sha") == F.col("_sha_own")), "left_anti").drop("_sha_own", "_gone_own")
+    found = exact_dedup(docs).filter(~F.col("kept"))
+    gone = stash(found.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("gone")).distinct(), "gone")
+    return without_rows(docs, gone, _row_key(F.col("doc_id").cast("long"), sha256(normalised(text_or_empty()))), "gone")
+
+
+def _row_key(doc_id: Column, sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash, text_or_empty
+from lodestar.llm.common import Bitmap, stash, text_or_empty, without_rows
 from lodestar.llm.textnum import batches, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -162,7 +162,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
     left = stash(dealt.select("set_id", "band", "bucket", "lo", "hi", "side", "sig").mapInPandas(prune, shape), "survivors")
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
-    needed = classes.join(left.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "rep", "size")
+    needed = stash(classes.join(left.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "rep", "size"), "needed")
+    texts = Bitmap(needed, "rep").mark(texts, F.col("rep")).filter("_maybe").drop("_maybe")
     texts = texts.join(needed.withColumnRenamed("rep", "_rep"), F.col("rep").eqNullSafe(F.col("_rep"))).select("set_id", "size", "text")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,5 +275,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows of equal id and a group of their own all stay; of repeated rows see exact dedup, which comes before.
     """
-    gone = near_duplicates(docs).filter("class_id is not null and doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).filter("class_id is not null and doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
+    return without_rows(docs, stash(gone, "gone"), F.col("doc_id").cast("long"), "gone")

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash, text_or_empty
+from lodestar.llm.common import stash, text_or_empty, without_rows
 from lodestar.llm.textnum import PLAIN, batches, mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -177,5 +177,10 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of documents that quality() accepts, all columns as they were. Rows of one id share one decision if any is accepted."""
-    good = quality(docs, labels).filter("accepted").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, F.col("_good_id").eqNullSafe(docs["doc_id"].cast("long")), "left_semi")
+    bad = quality(docs, labels).groupBy("doc_id").agg(F.max("accepted").alias("any")).filter("not any")
+    bad = stash(bad.select(_id_key(F.col("doc_id")).alias("gone")), "rejected")
+    return without_rows(docs, bad, _id_key(F.col("doc_id").cast("long")), "gone")
+
+
+def _id_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))

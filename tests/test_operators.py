@@ -1,6 +1,7 @@
 """Small fixtures for what SQL does not reach: sources, parsers, sinks, streams, edge cases of the matching and the graph."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -148,8 +149,11 @@ def test_event_stream_folds_to_the_last_state(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     folded = queue_stream.fold_stream(queue_stream.event_stream(spark, str(tmp_path / "in"), df.schema))
-    q = folded.writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = folded.writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    end = time.time() + 90  # batches go on for the timers, so the query is stopped from here
+    while time.time() < end and not list((tmp_path / "out").glob("*.parquet")):
+        time.sleep(0.5)
+    q.stop()
     got = {r["work_id"]: (r["state"], r["attempts"], r["retries"]) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("succeeded", 2, 1), 2: ("pending", 0, 0)}
 
@@ -159,3 +163,44 @@ def test_outcomes_are_committed_once(spark, tmp_path):
     for epoch in range(2):
         queue_stream.commit_outcomes(b, epoch, str(tmp_path / "o"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+
+
+def test_json_repair_and_review(spark):
+    from lodestar.operators import validation as V
+
+    assert V.repair_json('```json\n{"a": [1, 2,], "b": "x}"\n```') == '{"a": [1, 2], "b": "x}"}' and V.repair_json("none") is None
+    frames = spark.createDataFrame([(1, "ok"), (2, "bad")], "id long, prompt string")
+
+    def reviewer(p):
+        if p == "bad":
+            raise ValueError("no")
+        return '{"x": 1'
+
+    got = {r["id"]: r for r in V.review(frames, reviewer).collect()}
+    assert got["1"]["answer"] == '{"x": 1}' and got["2"]["error"] == "ValueError: no" and got["2"]["tries"] == 2
+
+
+def test_scopes_are_trimmed_from_the_boundary(spark):
+    from lodestar.operators import validation as V
+
+    items = [("constituent", "c1", 5), ("boundary_target", "b1", 4), ("boundary_target", "b2", 4), ("internal", "i1", 3)]
+    df = spark.createDataFrame([("s", items)], "scope string, items array<struct<class:string,name:string,bytes:long>>")
+    r = V.trim_scope(df, 12).first()
+    assert r["kept"] == ["b1", "c1", "i1"] and r["dropped"] == 1
+
+
+def test_contract_sections(spark):
+    from lodestar.operators import validation as V
+
+    df = spark.createDataFrame([(1, "Adds.\n# Panics\nIf zero.\n\n# Errors\nNever.")], "id long, text string")
+    assert {(r["section"], r["text"]) for r in V.contract_sections(df).collect()} == {("panics", "If zero."), ("errors", "Never.")}
+
+
+def test_a_failing_adapter_costs_its_own_rows(spark):
+    from lodestar.operators import validation as V
+
+    def broken():
+        raise RuntimeError("boom")
+
+    found, failed = V.run_adapters({"a": lambda: spark.createDataFrame([("t",)], "id string"), "b": broken}, spark)
+    assert found.count() == 1 and failed.first()["diagnostic"] == "boom"

@@ -92,7 +92,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("work_id"), k.alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_millis"))
 
 
-SQL_EVENTS = """ev AS (SELECT event_id AS sequence, user_id AS work_id, CASE event_type WHEN 'signup' THEN 'admitted' WHEN 'view' THEN 'leased' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'succeeded' ELSE CASE WHEN event_id % 2 = 0 THEN 'retry_scheduled' ELSE 'failed' END END AS kind, epoch_ms(ts) AS at_millis FROM events)"""
+SQL_EVENTS = """ev AS (SELECT event_id AS sequence, user_id AS work_id, CASE event_type WHEN 'signup' THEN 'admitted' WHEN 'view' THEN 'leased' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'succeeded' ELSE CASE WHEN event_id % 2 = 0 THEN 'retry_scheduled' ELSE 'failed' END END AS kind, epoch_us(ts) // 1000 AS at_millis FROM events)"""
 
 #: The clock of the batch queries.
 NOW = 900_000_000_000

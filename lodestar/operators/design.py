@@ -148,3 +148,17 @@ def drift(deltas: DataFrame, rules: DataFrame, accepted: DataFrame, today: str)
     j = deltas.join(a, ["target", "artifact"], "left").join(r, ["artifact", "added_dependency"], "left")
     outcome = F.when(F.col("ok"), "accepted").when(F.col("no"), "prohibited").when(F.col("interface_changed") & ~F.col("tested"), "untested").otherwise("none")
     return j.select("target", "artifact", outcome.alias("outcome"))
+
+
+def lookup(artifacts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, id: by path, else by normalised identifier, else by the part behind its first dash; the least id. artifacts: id, path, identifier; keys: key."""
+    norm = normalize_identifier("identifier")
+    forms = artifacts.select("id", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("path").alias("form")), F.struct(F.lit(1).alias("o"), norm.alias("form")), F.struct(F.lit(2).alias("o"), F.regexp_replace(norm, "^[^-]*-", "").alias("form")))).alias("f")).select("id", "f.*").filter("form is not null")
+    asked = keys.select("key", F.explode(F.array_distinct(F.array(F.col("key"), normalize_identifier("key")))).alias("form"))
+    return asked.join(forms, "form").groupBy("key").agg(F.min(F.struct("o", "id")).alias("m")).select("key", F.col("m.id").alias("id"))
+
+
+def governed(links: DataFrame, by: str) -> DataFrame:
+    """The distinct other ends of `governs` links for each artifact or target. links: artifact, target, kind."""
+    other = "target" if by == "artifact" else "artifact"
+    return links.filter("kind = 'governs'").select(by, other).distinct()

@@ -101,3 +101,24 @@ def impact(relations: DataFrame, targets: DataFrame, changed: DataFrame, removed
     found = _cut(found.unionByName(siblings))
     above = ancestors(targets, found.select(F.col("id").alias("node"))).groupBy(F.col("ancestor").alias("id")).agg(F.min("depth").alias("depth")).join(found.select("id"), "id", "left_anti").join(present, "id", "left_semi")
     return found.unionByName(above.select("id", F.lit("containment").alias("kind"), "depth"))
+
+
+def invalidation(relations: DataFrame, targets: DataFrame, changed: DataFrame) -> DataFrame:
+    """id, reason, via: every reason for which a target's result no longer holds; via is the immediate dependency.
+
+    changed (via itself); calls, references or implements of an affected target; contains (parents of affected targets,
+    via the child); last conservative (siblings of affected failed or unsupported targets, via that target).
+    """
+    edges = dependency_edges(relations).filter("relation != 'contains'")
+    present = targets.select("id")
+    start = changed.join(present, "id", "left_semi")
+    reached = closure(edges.select(F.col("target").alias("src"), F.col("source").alias("dst")), start.select(F.col("id").alias("root"))).select(F.col("node").alias("id")).distinct()
+    reached = _cut(reached.join(present, "id", "left_semi"))
+    direct = start.select("id", F.lit("changed").alias("reason"), F.col("id").alias("via"))
+    along = edges.join(reached.select(F.col("id").alias("target")), "target", "left_semi").join(present.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.col("relation").alias("reason"), F.col("target").alias("via")).distinct()
+    above = ancestors(targets, reached.select(F.col("id").alias("node"))).select(F.col("ancestor").alias("id")).distinct().join(present, "id", "left_semi")
+    every = _cut(reached.unionByName(above).distinct())
+    held = targets.join(every, "id", "left_semi").filter("parent is not null").select(F.col("parent").alias("id"), F.lit("contains").alias("reason"), F.col("id").alias("via")).join(present, "id", "left_semi")
+    weak = targets.filter("inventory in ('failed', 'unsupported') and parent is not null").join(every, "id", "left_semi").select("parent", F.col("id").alias("via"))
+    siblings = targets.select("id", "parent").join(weak, "parent").filter("id != via").join(every, "id", "left_anti").select("id", F.lit("conservative").alias("reason"), "via")
+    return direct.unionByName(along).unionByName(held).unionByName(siblings)

@@ -170,3 +170,52 @@ def model_assignment(spark, sf):
 def provider_policy(spark, sf):
     denied = F.when(c("c_acctbal") < 0, "disabled").when((c("c_mktsegment") == "BUILDING") & (c("c_nationkey") % 2 == 0), "classification").when(c("c_nationkey") > 20, "concurrency")
     return B.t(spark, sf, "customer").select(c("c_custkey").alias("provider"), denied.alias("denied"))
+
+
+@query(f"""WITH RECURSIVE {B.SQL_RELATIONS}, ed AS (SELECT DISTINCT source, target, CASE WHEN kind LIKE '%calls' THEN 'calls' WHEN kind LIKE '%implements' THEN 'implements' ELSE 'references' END AS relation FROM rl WHERE kind NOT LIKE '%contains'), ch AS (SELECT id FROM tg WHERE id LIKE 'supplier:%17'),
+rc(id) AS (SELECT id FROM ch UNION SELECT ed.source FROM rc JOIN ed ON ed.target = rc.id), a AS (SELECT id FROM rc WHERE id IN (SELECT id FROM tg)),
+up(id) AS (SELECT parent FROM tg WHERE id IN (SELECT id FROM a) AND parent IS NOT NULL UNION SELECT tg.parent FROM up JOIN tg ON up.id = tg.id WHERE tg.parent IS NOT NULL), e AS (SELECT id FROM a UNION SELECT id FROM up WHERE id IN (SELECT id FROM tg))
+SELECT id, 'changed' AS reason, id AS via FROM ch UNION ALL SELECT source, relation, target FROM ed WHERE target IN (SELECT id FROM a) AND source IN (SELECT id FROM tg)
+UNION ALL SELECT parent, 'contains', id FROM tg WHERE id IN (SELECT id FROM e) AND parent IN (SELECT id FROM tg)
+UNION ALL SELECT s.id, 'conservative', w.id FROM tg s JOIN tg w ON s.parent = w.parent WHERE w.inventory IN ('failed', 'unsupported') AND w.id IN (SELECT id FROM e) AND s.id NOT IN (SELECT id FROM e)""")
+def invalidation(spark, sf):
+    tg = B.targets(spark, sf)
+    return G.invalidation(B.relations(spark, sf), tg, tg.filter("id like 'supplier:%17'").select("id"))
+
+
+@query(f"""WITH {B.SQL_TARGETS}, ad AS (SELECT id, 'rust' AS adapter FROM tg UNION ALL SELECT id, 'generic' FROM tg WHERE kind = 'record') SELECT tg.id, CASE kind WHEN 'callable' THEN 'function' WHEN 'record' THEN 'type' ELSE kind END AS label, name, inventory, string_agg(adapter, ',' ORDER BY adapter) AS owners FROM tg JOIN ad ON tg.id = ad.id GROUP BY ALL""")
+def target_listing(spark, sf):
+    tg = B.targets(spark, sf)
+    owners = tg.select("id", F.lit("rust").alias("adapter")).unionByName(tg.filter("kind = 'record'").select("id", F.lit("generic").alias("adapter"))).groupBy("id").agg(F.concat_ws(",", F.array_sort(F.collect_list("adapter"))).alias("owners"))
+    label = F.when(c("kind") == "callable", "function").when(c("kind") == "record", "type").otherwise(c("kind"))
+    return tg.join(owners, "id").select("id", label.alias("label"), "name", "inventory", "owners")
+
+
+@query("""SELECT c_custkey AS run_id, CASE WHEN c_custkey % 4 = 0 THEN 'create' WHEN c_custkey % 9 = 0 THEN 'conflict' ELSE 'same' END AS action FROM customer""")
+def create_run(spark, sf):
+    from lodestar.operators import queue as Q
+
+    k, cu = c("c_custkey"), B.t(spark, sf, "customer")
+    had = cu.filter(k % 4 != 0).select(k.alias("work_id"), F.when(k % 9 == 0, "other").otherwise(c("c_mktsegment")).alias("payload"))
+    got = Q.admit(had, cu.select(k.alias("work_id"), c("c_mktsegment").alias("payload")))
+    return got.select(c("work_id").alias("run_id"), F.when(c("action") == "insert", "create").otherwise(c("action")).alias("action"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS id, 'docs/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 2 = 0 THEN 'ADR ' ELSE 'RFC_' END || p_partkey AS identifier FROM part), k AS (SELECT o_orderkey AS q, CASE o_orderkey % 4 WHEN 0 THEN 'docs/' || o_orderkey || '.md' WHEN 1 THEN 'rfc-' || o_orderkey WHEN 2 THEN o_orderkey::VARCHAR ELSE 'none' END AS key FROM orders WHERE o_orderkey <= 1000)
+SELECT DISTINCT key, id FROM k JOIN a ON (q % 4 IN (0, 2) AND a.id = q) OR (q % 4 = 1 AND a.id = q)""")
+def design_lookup(spark, sf):
+    from lodestar.operators import design as D
+
+    p, o, pk, ok = B.t(spark, sf, "part"), B.t(spark, sf, "orders").filter("o_orderkey <= 1000"), c("p_partkey"), c("o_orderkey")
+    s = lambda x: x.cast("string")
+    a = p.select(pk.alias("id"), F.concat(F.lit("docs/"), s(pk), F.lit(".md")).alias("path"), F.concat(F.when(pk % 2 == 0, "ADR ").otherwise("RFC_"), s(pk)).alias("identifier"))
+    key = F.when(ok % 4 == 0, F.concat(F.lit("docs/"), s(ok), F.lit(".md"))).when(ok % 4 == 1, F.concat(F.lit("rfc-"), s(ok))).when(ok % 4 == 2, s(ok)).otherwise("none")
+    return D.lookup(a, o.select(key.alias("key")).distinct())
+
+
+@query("""WITH l AS (SELECT l_suppkey AS artifact, l_partkey AS target, CASE WHEN l_linenumber = 1 THEN 'governs' ELSE 'mentions' END AS kind FROM lineitem) SELECT DISTINCT artifact, target FROM l WHERE kind = 'governs'""")
+def governed_targets(spark, sf):
+    from lodestar.operators import design as D
+
+    l = B.t(spark, sf, "lineitem").select(c("l_suppkey").alias("artifact"), c("l_partkey").alias("target"), F.when(c("l_linenumber") == 1, "governs").otherwise("mentions").alias("kind"))
+    return D.governed(l, "artifact")

@@ -228,3 +228,34 @@ def relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     i = imports.filter(F.col("name").startswith(".")).select("path", "name", resolve("path", "name").alias("base"))
     c = i.select("path", "name", F.posexplode(F.array(*[F.concat("base", F.lit(x)) for x in tries])).alias("order", "target"))
     return c.join(files.select(F.col("path").alias("target")), "target", "left_semi").groupBy("path", "name").agg(F.min_by("target", "order").alias("target")).select("path", "target")
+
+
+def markdown_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, text of Markdown files outside dot folders, target, node_modules and vendor."""
+    base = root.rstrip("/")
+    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown}").text(base).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("text"))
+    path = F.regexp_replace("full", "^.*?" + re.escape(base.replace("file://", "")) + "/", "")
+    return raw.select(path.alias("path"), "text").filter(~F.col("path").rlike(r"(^|/)(\.[^/]+|target|node_modules|vendor)/"))
+
+
+def exported_relations(lines: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
+    """relation (source, target, kind) and rejected (value, problem) of JSON lines; unknown ends and kinds are rejected. targets: id."""
+    j = lines.select("value", *[F.get_json_object("value", f"$.{k}").alias(k) for k in ("source", "target", "kind")])
+    t = targets.select("id").distinct()
+    j = j.join(t.select(F.col("id").alias("source"), F.lit(True).alias("s")), "source", "left").join(t.select(F.col("id").alias("target"), F.lit(True).alias("d")), "target", "left")
+    fine = F.coalesce(F.col("kind").isin("reference", "call", "type", "implementation"), F.lit(False))
+    problem = F.when(F.col("kind").isNull(), "malformed").when(~fine, "unknown_kind").when(F.col("s").isNull(), "unknown_source").when(F.col("d").isNull(), "unknown_target")
+    return {"relation": j.filter(problem.isNull()).select("source", "target", "kind"), "rejected": j.filter(problem.isNotNull()).select("value", problem.alias("problem"))}
+
+
+def named_evidence(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """name, file, id: documentation or tool results matched to targets by name or qualified name; where several match, those in the record's file; an id only if exactly one is left.
+
+    records: name, file; targets: id, name, path.
+    """
+    t = targets.select("id", F.col("name").alias("tn"), F.col("path").alias("tp"))
+    j = records.join(t, (F.col("name") == F.col("tn")) | (F.substring_index("name", "::", -1) == F.col("tn")), "left")
+    here = F.max(F.coalesce(F.col("tp") == F.col("file"), F.lit(False)))
+    g = j.groupBy("name", "file").agg(here.alias("here"), F.collect_set("id").alias("every"), F.collect_set(F.when(F.col("tp") == F.col("file"), F.col("id"))).alias("local"))
+    ids = F.when(F.col("here"), F.col("local")).otherwise(F.col("every"))
+    return g.select("name", "file", F.when(F.size(ids) == 1, F.element_at(ids, 1)).alias("id"))

@@ -204,3 +204,19 @@ def test_a_failing_adapter_costs_its_own_rows(spark):
 
     found, failed = V.run_adapters({"a": lambda: spark.createDataFrame([("t",)], "id string"), "b": broken}, spark)
     assert found.count() == 1 and failed.first()["diagnostic"] == "boom"
+
+
+def test_exported_relations_and_named_evidence(spark):
+    t = spark.createDataFrame([("t1", "f", "a.rs"), ("t2", "f", "b.rs"), ("t3", "g", "b.rs")], "id string, name string, path string")
+    lines = spark.createDataFrame([('{"source":"t1","target":"t2","kind":"call"}',), ('{"source":"t1","target":"zz","kind":"call"}',), ("{",)], "value string")
+    got = repository.exported_relations(lines, t)
+    assert [tuple(r) for r in got["relation"].collect()] == [("t1", "t2", "call")] and {r["problem"] for r in got["rejected"].collect()} == {"unknown_target", "malformed"}
+    records = spark.createDataFrame([("f", "b.rs"), ("f", "c.rs"), ("m::g", "z.rs"), ("h", "a.rs")], "name string, file string")
+    assert {(r["name"], r["file"]): r["id"] for r in repository.named_evidence(records, t).collect()} == {("f", "b.rs"): "t2", ("f", "c.rs"): None, ("m::g", "z.rs"): "t3", ("h", "a.rs"): None}
+
+
+def test_markdown_files(spark, tmp_path):
+    for p in ("docs/a.md", "vendor/b.md", ".git/c.md", "d.txt"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text("# x\n")
+    assert [r["path"] for r in repository.markdown_files(spark, str(tmp_path)).collect()] == ["docs/a.md"]

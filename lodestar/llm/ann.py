@@ -31,6 +31,8 @@ PART = 4096
 #: Vectors of the sample from which the usual distance of the K-th neighbour is taken; nothing else depends on it.
 SAMPLE = 4000
 REACH = 2
+#: Columns that give a query's floor before all are screened.
+FIRST = 1024
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -155,36 +157,45 @@ def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float,
     visits = visits.join(queries.select("k1", "k2", "v"), ["k1", "k2"])
 
     def rank(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        """The best of the visited buckets for each query: screened in single precision with slack, scored in double."""
         out = []
         if len(q) and len(c):
-            c = c.sort_values("bucket")
-            xs, code = np.array(c["v"].tolist(), dtype=float), c["bucket"].to_numpy()
-            ids = c["ids"].tolist()
+            xs, code = np.stack(c["v"].to_list()), c["bucket"].to_numpy()
+            ids = c["ids"].to_list()
             own, column = np.unique(code, return_inverse=True)
+            low = np.ascontiguousarray(xs.T, dtype=np.float32)
+            longest = float(np.sqrt((xs * xs).sum(axis=1)).max())
             for at in range(0, len(q), 256):
                 block = q.iloc[at : at + 256]
-                qs = np.array(block["v"].tolist(), dtype=float)
+                qs = np.stack(block["v"].to_list())
                 visit = np.zeros((len(block), len(own)), dtype=bool)
                 for row, want in enumerate(block["buckets"]):
-                    visit[row, np.searchsorted(own, np.intersect1d(own, want))] = True
-                some = np.flatnonzero(visit.any(axis=0)[column])
-                if not len(some):
-                    continue
-                s = qs @ xs[some].T
-                s[~visit[:, column[some]]] = -np.inf
-                keep = min(k + 4, len(some))
-                near = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                for row, (k1, k2) in enumerate(zip(block["k1"], block["k2"])):
-                    found = []
-                    for j in near[row]:
-                        if s[row, j] > -np.inf:
-                            exact = math.fsum((qs[row] * xs[some[j]]).tolist())
-                            found += [(-exact, int(i)) for i in ids[some[j]]]
-                    found = sorted(found)[: k + 1]
-                    if found:
-                        out.append((k1, k2, [a for a, _ in found], [b for _, b in found]))
+                    visit[row, np.searchsorted(own, np.intersect1d(own, want, assume_unique=True))] = True
+                slack = (1e-5 * longest * np.sqrt((qs * qs).sum(axis=1))).astype(np.float32)[:, None]
+                s = qs.astype(np.float32) @ low
+                first = np.where(visit[:, column[:FIRST]], s[:, :FIRST], -np.inf)
+                if first.shape[1] > k:  # the k-th of the first columns is a floor for the k-th of all
+                    floor = -np.partition(-first, k, axis=1)[:, k : k + 1] - slack
+                else:
+                    floor = np.full_like(slack, -np.inf)
+                rows, cols = np.nonzero(s >= floor)
+                seen = visit[rows, column[cols]]
+                rows, cols = rows[seen], cols[seen]
+                cuts = np.searchsorted(rows, np.arange(len(block) + 1))
+                k1, k2 = block["k1"].to_list(), block["k2"].to_list()
+                for row in range(len(block)):
+                    mine = cols[cuts[row] : cuts[row + 1]]
+                    if len(mine) > k + 1:
+                        near = s[row, mine]
+                        mine = mine[near >= -np.partition(-near, k)[k] - slack[row]]
+                    if len(mine):
+                        score = (xs[mine] * qs[row]).sum(axis=1).tolist()
+                        found = sorted((-v, int(i)) for v, j in zip(score, mine.tolist()) for i in ids[j])[: k + 1]
+                        out.append((k1[row], k2[row], [v for v, _ in found], [i for _, i in found]))
         return pd.DataFrame(out, columns=["k1", "k2", "neg", "vec"])
 
     ranked = visits.groupBy("t", "part").cogroup(x.groupBy("t", "part")).applyInPandas(rank, "k1 long, k2 long, neg array<double>, vec array<long>")
     pairs = ranked.select("k1", "k2", F.zip_with("neg", "vec", lambda a, b: F.struct(a.alias("neg"), b.alias("vec_id"))).alias("pairs"))
-    return pairs.groupBy("k1", "k2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, k + 1).alias("best"))
+    merged = pairs.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("all"))  # at most k + 1 of each part visited
+    once = F.filter("all", lambda x, i: (i == 0) | (x != F.element_at("all", i)))  # a candidate of several tables stands side by side
+    return merged.select("k1", "k2", F.slice(once, 1, k + 1).alias("best"))

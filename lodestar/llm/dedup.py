@@ -18,7 +18,9 @@ from lodestar.llm.common import Bitmap, new_table, stash, text_or_empty, without
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Keeper texts are replicated so often for verification, so that one group's hits meet in as many tasks.
+#: Hits of one digest that are verified together, about; the keeper's text is copied to each such part of its group.
+PART = 256
+#: Tasks over which the rows of one digest are spread when they learn their group.
 SALTS = 16
 
 
@@ -59,11 +61,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # byte verification of the hits: only texts that may have one of the digests leave the scan
     hits = Bitmap(level, "digest").mark(texts, F.col("digest")).filter("_maybe").drop("_maybe")
-    hits = stash(hits.join(level.select("digest", "best"), "digest"), "hits")
+    parts = F.ceil(F.col("size") / PART).cast("int").alias("parts")
+    hits = stash(hits.join(level.select("digest", "best", parts), "digest"), "hits")
     keepers = hits.filter((F.col("neg") == F.col("best.neg")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    keepers = keepers.groupBy("digest").agg(F.min("norm").alias("keeper_norm"))
-    keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
+    keepers = keepers.groupBy("digest", "parts").agg(F.min("norm").alias("keeper_norm"))
+    keepers = keepers.select("digest", "keeper_norm", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).cast("int"))
     differs = stash(salted.join(keepers, ["digest", "salt"]).filter(F.col("norm") != F.col("keeper_norm")).select("doc_id", "digest"), "collisions")
     verified = differs.isEmpty()
 

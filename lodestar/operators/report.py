@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def stability(members: DataFrame) -> DataFrame:
 def backlog_class(text: Column) -> Column:
     """First keyword rule that fits; null if none does."""
     s = F.lower(text)
-    has = lambda *w: F.lit(False) if not w else __import__("functools").reduce(lambda a, b: a | b, [s.contains(x) for x in w])
+    has = lambda *words: reduce(lambda a, b: a | b, [s.contains(w) for w in words])
     return (
         F.when(has("todo", "fixme"), "todo").when(has("scope", "invariant"), "scope").when(has("stub", "mock"), "stub").when(has("incomplete", "not implemented"), "incomplete").when(has("gap", "failure path"), "gap")
     )

@@ -79,7 +79,7 @@ def shingles(texts: list[str], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def batches(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def batches(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 400_000) -> Iterator[pd.DataFrame]:
     """Parts of bounded text (or one row)."""
     for pdf in frames:
         if len(pdf):

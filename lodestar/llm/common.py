@@ -92,3 +92,15 @@ def without_rows(df: DataFrame, gone: DataFrame, key: Column, gone_key: str) ->
     keep = marked.filter("not _maybe").drop("_maybe")
     rest = marked.filter("_maybe").drop("_maybe").withColumn("_key_of_row", key).join(gone.select(F.col(gone_key).alias("_gone_key")).distinct(), F.col("_key_of_row") == F.col("_gone_key"), "left_anti").drop("_key_of_row")
     return keep.unionByName(rest)
+
+
+def without_copies(df: DataFrame, lost: DataFrame, key: Column) -> DataFrame:
+    """Rows of df whose key is not among lost's `gone`; of rows whose key is there with `again` one stays, the least as JSON."""
+    lost = stash(lost.distinct(), "gone")
+    kept = without_rows(df, lost, key, "gone")
+    again = lost.filter("again").select(F.col("gone").alias("_key_of_row"))
+    if again.isEmpty():
+        return kept
+    found = Bitmap(again, "_key_of_row").mark(df, key).filter("_maybe").drop("_maybe").withColumn("_key_of_row", key).join(again, "_key_of_row", "left_semi")
+    row = F.struct(*df.columns)
+    return kept.unionByName(found.groupBy("_key_of_row").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))

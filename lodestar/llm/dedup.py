@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Bitmap, new_table, stash, text_or_empty, without_rows
+from lodestar.llm.common import Bitmap, new_table, stash, text_or_empty, without_copies
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -40,22 +40,26 @@ def flush(rows: DataFrame, name: str = "runs") -> DataFrame:
 
 
 def compact(runs: DataFrame) -> DataFrame:
-    """One entry for each digest: rank (code points negated, id) of the best, and the number of rows."""
-    return runs.groupBy("digest").agg(F.min(F.struct("neg", "doc_id")).alias("best"), F.count(F.lit(1)).alias("size"))
+    """One entry for each digest: rank (code points negated, id, row) of the best, and the number of rows."""
+    return runs.groupBy("digest").agg(F.min(F.struct("neg", "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """For every row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are equal after blanks are deleted; null counts as empty, and empty texts are equal.
-    Ties in code points go to the smallest id; a null id counts as smaller than any. Rows repeated with the same id and
-    text all carry the keeper's id: exactly one of them would stay, so kept is true only for the first (`copy_no` 1).
+    Ties in code points go to the smallest id; a null id counts as smaller than any. Rows that share
+    the keeper's id and length all carry its id, but kept is true for exactly one row of each group.
     An empty table gives an empty result; other columns are dropped.
     """
-    spark = docs.sparkSession
+    return _ranked(docs, id_col, text_col, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _ranked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows of exact_dedup with neg, and whether a row is `like_kept`: of the keeper's id and code points."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(text)).alias("digest"), sha256(normalised(text)).alias("text_sha256"), (-F.char_length(text)).alias("neg"))
-    runs = flush(rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(normalised(text)).alias("digest"), sha256(normalised(text)).alias("text_sha256"), (-F.char_length(text)).alias("neg"), F.monotonically_increasing_id().alias("row"))
+    runs = flush(rows)  # row numbers hold from here on, as they are read from the runs
     level = stash(compact(runs).filter("size > 1"), "level")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), digest(normalised(text)).alias("digest"), (-F.char_length(text)).alias("neg"))
 
@@ -71,30 +75,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = differs.isEmpty()
 
     # the rows' groups; a group's rows are spread by salt, as one digest may hold a third of all rows
-    spread = level.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.neg").alias("keep_neg"), F.col("size").alias("group_size"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
+    spread = level.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.neg").alias("keep_neg"), F.col("best.row").alias("keep_row"), F.col("size").alias("group_size"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(SALTS)).cast("int"))
     out = salted.join(spread, ["digest", "salt"], "left")
-    out = out.select("doc_id", "digest", "text_sha256", "neg", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(F.col("group_size").isNull(), F.col("neg")).otherwise(F.col("keep_neg")).alias("keep_neg"))
+    alone = F.col("group_size").isNull()
+    keeper = [F.when(alone, F.col(own)).otherwise(F.col(kept)).alias(kept) for own, kept in (("doc_id", "keep_id"), ("neg", "keep_neg"), ("row", "keep_row"))]
+    out = out.select("doc_id", "digest", "text_sha256", "neg", "row", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), *keeper)
     if not verified:
         groups = hits.join(differs.select("digest").distinct(), "digest", "left_semi")
         groups = groups.groupBy("digest", "norm").agg(F.min(F.struct("neg", "doc_id")).alias("best"), F.count(F.lit(1)).alias("size"))
         groups = groups.select("digest", sha256(F.col("norm")).alias("text_sha256"), F.col("best.doc_id").alias("k_id"), F.col("best.neg").alias("k_neg"), F.col("size").alias("k_size"))
+        like = runs.join(groups, ["digest", "text_sha256"]).filter((F.col("neg") == F.col("k_neg")) & F.col("doc_id").eqNullSafe(F.col("k_id")))
+        groups = groups.join(like.groupBy("digest", "text_sha256").agg(F.min("row").alias("k_row")), ["digest", "text_sha256"])
         out = out.join(groups, ["digest", "text_sha256"], "left")
         hit = F.col("k_size").isNotNull()
-        out = out.select("doc_id", "digest", "text_sha256", "neg", F.when(hit, F.col("k_size")).otherwise(F.col("group_size")).alias("group_size"), F.when(hit, F.col("k_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(hit, F.col("k_neg")).otherwise(F.col("keep_neg")).alias("keep_neg"))
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("neg") == F.col("keep_neg"))
-    return out.select("doc_id", "keep_id", "group_size", first.alias("kept"), "text_sha256")
+        keeper = [F.when(hit, F.col(k)).otherwise(F.col(name)).alias(name) for k, name in (("k_size", "group_size"), ("k_id", "keep_id"), ("k_neg", "keep_neg"), ("k_row", "keep_row"))]
+        out = out.select("doc_id", "digest", "text_sha256", "neg", "row", *keeper)
+    like_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("neg") == F.col("keep_neg"))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "neg", like_kept.alias("like_kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of documents that exact_dedup keeps, one for each group, all columns as they were.
+    """Pipeline stage: the rows of documents that exact_dedup keeps, exactly one for each group, all columns as they were.
 
-    Of rows repeated with the same id and text one stays.
+    Rows of the keeper's id and length differ in blanks or other columns at most; the least as JSON stays.
     """
-    found = exact_dedup(docs).filter(~F.col("kept"))
-    gone = stash(found.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("gone")).distinct(), "gone")
-    return without_rows(docs, gone, _row_key(F.col("doc_id").cast("long"), sha256(normalised(text_or_empty()))), "gone")
+    found = _ranked(docs).filter(~F.col("kept"))
+    gone = found.select(_row_key(F.col("doc_id"), F.col("neg"), F.col("text_sha256")).alias("gone"), F.col("like_kept").alias("again"))
+    text = text_or_empty()
+    return without_copies(docs, gone, _row_key(F.col("doc_id").cast("long"), -F.char_length(text), sha256(normalised(text))))
 
 
-def _row_key(doc_id: Column, sha: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
+def _row_key(doc_id: Column, neg: Column, sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), neg.cast("string"), sha)

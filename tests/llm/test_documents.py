@@ -102,6 +102,18 @@ def test_exact_stage_keeps_one_of_each(odd):
     assert sorted(texts) == sorted({plain(r["text"]) for r in odd.collect()})
 
 
+def test_exact_stage_keeps_one_row_of_each_without_distinct(spark, odd):
+    rows = [(6, "a b", "a"), (6, "ab", "b"), (None, "c d", "a"), (None, "cd", "a"), (None, " cd", "b"), (7, "e", "a"), (7, "e", "a"), (8, "e", "a"), (9, "f", "a"), (9, "f", "b"), (9, "g", "b")]
+    for docs in (frame(spark, rows), odd):
+        want = sorted({plain(r["text"]) for r in docs.collect()})
+        assert sorted(plain(r["text"]) for r in dedup.keep_first(docs).collect()) == want
+        weak = lambda c: dedup.F.substring(dedup.sha256(c), 1, 1)
+        for digest in (dedup.sha256, weak):
+            assert dedup.exact_dedup(docs, digest=digest).filter("kept").count() == len(want)
+    kept = sorted((str(r["doc_id"]), r["text"], r["source"]) for r in dedup.keep_first(frame(spark, rows)).collect())
+    assert kept == [("6", "a b", "a"), ("7", "e", "a"), ("9", "f", "a"), ("9", "g", "b"), ("None", " cd", "b")]
+
+
 def brute_links(rows):
     sets = [set(textnum.shingles([r["text"] or ""])[0].tolist()) for r in rows]
     return sorted((str(r["doc_id"]), sum(1 for j, b in enumerate(sets) if j != i and a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9)) for i, (r, a) in enumerate(zip(rows, sets)))

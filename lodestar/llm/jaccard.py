@@ -18,10 +18,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Bitmap, stash, text_or_empty, without_rows
+from lodestar.llm.common import Bitmap, stash, text_or_empty, without_copies
 from lodestar.llm.textnum import batches, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -123,9 +123,9 @@ def _candidates(pdf: pd.DataFrame, threshold: float, tolerance: float) -> Iterat
                     yield np.array([a, b]), x[keep], y[keep]
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the shingle set (null if it is empty), n, MinHash values, for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+def profiles(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
+    """doc_id, key, number of the row (fixed once this is written), digest of the shingle set (null if it is empty), MinHash values, for every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(frames):
@@ -133,9 +133,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full)) if full else iter(())
             digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "row": pdf["row"], "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets]})
 
-    return rows.mapInPandas(profile, "doc_id long, set_id binary, sig binary")
+    return rows.mapInPandas(profile, "doc_id long, key string, row long, set_id binary, sig binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -253,27 +253,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to four words have one shingle, of all their words. Null, empty and wordless texts link to nothing: class_id and
     copy_id are their own id. Null ids take part like others. Other columns are dropped.
     """
-    rows = stash(profiles(docs, id_col, text_col), "profiles")
-    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"))
+    return _grouped(docs, id_col, text_col, threshold, tolerance, F.lit(None)).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, key: Column) -> DataFrame:
+    """The rows of near_duplicates with key, row and, unless a row links to nothing, `best`: its component's smallest id (nulls last), key, row."""
+    rows = stash(profiles(docs, id_col, text_col, key), "profiles")
+    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("best"))
     classes = stash(classes, "classes")
     found = stash(links(docs, classes, id_col, text_col, threshold, tolerance), "links")
     root = components(found)
     counted = found.groupBy("set_id").agg(F.sum("n").alias("n"))
-    member = classes.select("set_id", "rep", "size").join(counted, "set_id", "left").join(root.withColumnRenamed("node", "set_id"), "set_id", "left")
-    member = stash(member.filter("size > 1 or n is not null or root is not null").select("set_id", "rep", "size", "n", F.coalesce("root", "set_id").alias("root")), "members")
-    of = member.groupBy("root").agg(F.min("rep").alias("class_id"))
-    member = member.join(of, "root").select("set_id", F.col("rep").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    member = classes.select("set_id", "rep", "size", "best").join(counted, "set_id", "left").join(root.withColumnRenamed("node", "set_id"), "set_id", "left")
+    member = stash(member.filter("size > 1 or n is not null or root is not null").select("set_id", "rep", "size", "best", "n", F.coalesce("root", "set_id").alias("root")), "members")
+    of = member.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("best").alias("root_best"))
+    member = member.join(of, "root").select("set_id", F.col("root_best").alias("best"), F.col("rep").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     spread = member.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.select("doc_id", "set_id").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
+    salted = rows.select("doc_id", "key", "row", "set_id").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
     out = salted.join(spread, ["set_id", "salt"], "left")
     own = F.col("n_links").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "key", "row", "best", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each connected group of near copies the row with the smallest id stays, all columns as they were.
+    """Pipeline stage: of each connected group of near copies one row of the smallest id stays, all columns as they were.
 
-    Rows of equal id and a group of their own all stay; of repeated rows see exact dedup, which comes before.
+    Rows are told apart by id and text, so a row that links to nothing stays whatever shares its id. Null ids come after
+    all others. Of rows that share the smallest id the one of the least text digest stays, of repeated rows the least as
+    JSON. Null, empty and wordless texts link to nothing and all stay; exact dedup, which comes before, leaves few.
     """
-    gone = near_duplicates(docs).filter("class_id is not null and doc_id != class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return without_rows(docs, stash(gone, "gone"), F.col("doc_id").cast("long"), "gone")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.sha2(text_or_empty().cast("binary"), 256))
+    found = _grouped(docs, "doc_id", "text", THRESHOLD, TOLERANCE, key).filter(F.col("row") != F.col("best.row"))
+    return without_copies(docs, found.select(F.col("key").alias("gone"), (F.col("key") == F.col("best.key")).alias("again")), key)

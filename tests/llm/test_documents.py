@@ -152,6 +152,18 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_near_stage_decides_by_row_not_by_id(spark):
+    rng = random.Random(16)
+    a, b, c = words(rng, 120), words(rng, 120), words(rng, 120)
+    near = lambda t, k: t.replace(t.split()[k], "changed", 1)
+    rows = [(1, a, "a"), (2, near(a, 50), "a"), (2, "a text of its own that nothing else here is like", "a"), (None, near(a, 20), "a"), (None, "null has a text of its own as well", "a"), (None, b, "a"), (None, near(b, 30), "a"), (5, c, "a"), (5, near(c, 40), "a"), (5, c, "a"), (None, "", "a"), (None, "", "b")]
+    kept = jaccard.one_of_each(frame(spark, rows)).collect()
+    texts = [r["text"] for r in kept]
+    assert len(kept) == 7 and texts.count(a) == 1 and texts.count("") == 2
+    assert sum(t.startswith(("a text of its own", "null has")) for t in texts) == 2
+    assert sum(t in (b, near(b, 30)) for t in texts) == 1 and [r["doc_id"] for r in kept if r["text"] in (c, near(c, 40))] == [5]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{k:04d}".encode(), f"{k + 1:04d}".encode()) for k in range(200)], "set_id binary, to_id binary")
     assert {bytes(r["root"]) for r in jaccard.components(edges).collect()} == {b"0000"}

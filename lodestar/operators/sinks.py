@@ -15,22 +15,30 @@ def report_lines(summary: DataFrame, clusters: DataFrame) -> DataFrame:
     return tag(summary, "summary").unionByName(tag(clusters, "finding_cluster"))
 
 
-def markdown(title: str, frame: DataFrame, limit: int = 200) -> str:
-    """A table of the first rows by all columns (a report's page, so bounded), and how many more there are."""
+def _page(frame: DataFrame, limit: int | None) -> tuple[list, int]:
+    """The rows of a page in order (all of them, unless the caller sets a limit), and how many are left out."""
+    rows = frame.orderBy(*frame.columns)
+    if limit is None:
+        return rows.collect(), 0
+    return rows.limit(limit).collect(), max(0, frame.count() - limit)
+
+
+def markdown(title: str, frame: DataFrame, limit: int | None = None) -> str:
+    """A table of all rows by all columns; with a limit, of the first rows and how many more there are. One string on the driver."""
     cols = frame.columns
-    rows = frame.orderBy(*cols).limit(limit).collect()
-    more = max(0, frame.count() - limit)
+    rows, more = _page(frame, limit)
     cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(cols) + " |", "|" + " --- |" * len(cols), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]
     return "\n".join(lines + ([f"\n{more} more"] if more else [])) + "\n"
 
 
-def html_page(title: str, frame: DataFrame, limit: int = 200) -> str:
+def html_page(title: str, frame: DataFrame, limit: int | None = None) -> str:
+    """As markdown, in HTML."""
     cols = frame.columns
-    rows = frame.orderBy(*cols).limit(limit).collect()
+    rows, more = _page(frame, limit)
     e = lambda v: html.escape(str("" if v is None else v))
     body = "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!DOCTYPE html><title>{e(title)}</title><h1>{e(title)}</h1><table><tr>{''.join(f'<th>{e(c)}</th>' for c in cols)}</tr>{body}</table>"
+    return f"<!DOCTYPE html><title>{e(title)}</title><h1>{e(title)}</h1><table><tr>{''.join(f'<th>{e(c)}</th>' for c in cols)}</tr>{body}</table>" + (f"<p>{more} more</p>" if more else "")
 
 
 def write_sarif(results: DataFrame, path: str) -> None:

@@ -220,3 +220,11 @@ def test_markdown_files(spark, tmp_path):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text("# x\n")
     assert [r["path"] for r in repository.markdown_files(spark, str(tmp_path)).collect()] == ["docs/a.md"]
+
+
+def test_reports_hold_every_row_unless_limited(spark):
+    from lodestar.operators import sinks
+
+    frame = spark.range(250)
+    assert sinks.html_page("t", frame).count("<td>") == 250 and "| 249 |" in sinks.markdown("t", frame) and sinks.markdown("t", frame).count("\n| ") == 252
+    assert "240 more" in sinks.html_page("t", frame, 10) and "240 more" in sinks.markdown("t", frame, 10)

@@ -1,7 +1,7 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line, or two to four lines on end) matches a template if it holds at least 0.8 of the template's distinct
-five-word shingles. Shingles are the tokens of the join. They are ordered by their number in the whole corpus, rarest
+A block (any number of lines on end) matches a template if it holds at least 0.8 of the template's distinct five-word
+shingles. A longer block never holds fewer, so the block of all lines decides, however the text is wrapped. Shingles are the tokens of the join. They are ordered by their number in the whole corpus, rarest
 first. A block that reaches the threshold shares a shingle with the template's prefix (prefix filter), has enough
 words (length filter), and from any shared shingle on enough of both remain (positional filter); what passes is counted
 exactly. Templates are a fixed table; the order needs one count over all documents of the templates' shingles alone.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import text_or_empty
 from lodestar.llm.textnum import FOLD, batches
 
-WIDTH, THRESHOLD, LINES = 5, 0.8, 4
+WIDTH, THRESHOLD = 5, 0.8
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Sentences of the licenses' own texts and notices.
@@ -71,8 +71,8 @@ class Index:
         for name, order in self.ordered.items():
             for k, s in enumerate(order[: len(order) - self.need[name] + 1]):
                 self.prefix.setdefault(s, []).append((name, k))
-        #: words that every block with a prefix shingle holds: a cheap first test on whole texts
-        self.firsts = {s.split(b" ")[0] for s in self.prefix}
+        #: some template has too few words for a shingle of full width: its only shingle is that of a short block
+        self.short = any(len(words(t)) < WIDTH for t in templates.values())
 
     def match(self, found: set[bytes]) -> dict[str, float]:
         """Containment of each template that reaches the threshold in a block with these shingles."""
@@ -95,13 +95,15 @@ class Index:
 
 def blocks(text: str, index: Index) -> dict[str, float]:
     """Best containment of each template over all blocks of the text."""
-    out: dict[str, float] = {}
     lines = [ws for ws in (words(line) for line in text.split("\n")) if ws]
-    hit = [any(w in index.firsts for w in ws) for ws in lines]
-    for k in range(len(lines)):
-        for n in range(1, min(LINES, len(lines) - k) + 1):
-            if any(hit[k : k + n]):
-                run = [w for ws in lines[k : k + n] for w in ws]
+    out = index.match(shingle_set([w for ws in lines for w in ws]))
+    if index.short:
+        for k in range(len(lines)):
+            run: list[bytes] = []
+            for ws in lines[k : k + WIDTH - 1]:
+                run = run + ws
+                if len(run) >= WIDTH:
+                    break
                 for name, share in index.match(shingle_set(run)).items():
                     out[name] = max(share, out.get(name, 0.0))
     return out

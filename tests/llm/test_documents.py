@@ -251,6 +251,15 @@ def test_license_blocks_and_phrases(spark):
     assert got[3]["n_base"] == 0 and got[3]["first_word"] is None and got[4]["labels"] == ""
 
 
+def test_license_is_found_however_it_is_wrapped(spark):
+    docs = frame(spark, [(k, "before\n" + "\n\n * ".join(" ".join(w[i : i + n]) for i in range(0, len(w), n)) + "\nafter", "a") for k, (w, n) in enumerate((t.split(), n) for t in licenses.TEMPLATES.values() for n in (1, 3, 5))])
+    want = {k: name for k, name in enumerate(name for name in licenses.TEMPLATES for _ in range(3))}
+    for r in licenses.scan_licenses(docs).collect():
+        assert f"{want[r['doc_id']]}=1.0000" in r["templates"].split(",")
+    index = licenses.Index({"short": "two words"})
+    assert licenses.blocks("a line before\ntwo\nwords\nand many more words after it", index) == {"short": 1.0}
+
+
 def test_license_join_equals_brute_force():
     rng = random.Random(14)
     index = licenses.Index()

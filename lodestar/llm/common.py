@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             base = set_before.get()
+        elif spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = _OWN.setdefault("local", "file://" + tempfile.mkdtemp(prefix="lodestar-"))
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -52,6 +55,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; Spark's own bound is 64 MB.
+ARROW_BYTES = 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_bounded(df: DataFrame) -> DataFrame:
+    """df; from now on its session's batches to Python hold ARROW_BYTES at most (or one row), unless the session has a bound of its own."""
+    if df.sparkSession.conf.get(_ARROW_BYTES) in (None, "67108864b"):
+        df.sparkSession.conf.set(_ARROW_BYTES, f"{ARROW_BYTES}b")
+    return df
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on, and share an executor's memory."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
+def whole_id(name: str) -> Column:
+    """An id as text, for pandas: there a null makes the other ids of a batch floats, which hold 53 bits."""
+    return F.col(name).cast("long").cast("string")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -59,6 +90,8 @@ def text_or_empty(name: str = "text") -> Column:
 #: Bits of a membership bitmap, at most (16 MB), so that a broadcast of it has a bound whatever the input.
 BITS = 1 << 27
 _ROW = 1 << 15
+#: Helper columns beside columns of any name.
+MAYBE, _AT, _BIT_ROW, _BIT_MAP, _KEY, _GONE, _LEAST = (f"__lodestar_{x}_column" for x in ("maybe", "at", "bit_row", "bit_map", "key", "gone", "least"))
 
 
 class Bitmap:
@@ -71,26 +104,31 @@ class Bitmap:
         n = keys.count()
         self.bits = max(1 << 20, min(BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
         at = self._at(*[F.col(c) for c in cols])
-        self.rows = keys.select(at.alias("at")).groupBy(F.expr(f"at div {_ROW}").alias("_bit_row")).agg(F.bitmap_construct_agg(F.col("at") % _ROW).alias("_bit_map"))
+        self.rows = keys.select(at.alias("at")).groupBy(F.expr(f"at div {_ROW}").alias(_BIT_ROW)).agg(F.bitmap_construct_agg(F.col("at") % _ROW).alias(_BIT_MAP))
 
     def _at(self, *cols: Column) -> Column:
         return F.pmod(F.xxhash64(*cols), F.lit(self.bits))
 
     def mark(self, df: DataFrame, *cols: Column) -> DataFrame:
-        """df with a boolean column _maybe."""
-        df = df.withColumn("_at", self._at(*cols))
-        df = df.join(F.broadcast(self.rows), F.expr(f"_at div {_ROW}") == F.col("_bit_row"), "left")  # at most BITS bits
-        byte = F.conv(F.hex(F.substring("_bit_map", F.expr(f"cast((_at % {_ROW}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-        bit = F.expr("cast(_at % 8 as int)")
-        hit = F.col("_bit_row").isNotNull() & (F.expr("1").bitwiseAND(F.call_function("shiftright", byte, bit)) == 1)
-        return df.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_bit_row", "_bit_map")
+        """df with a boolean column MAYBE; its other columns may have any name."""
+        df = df.withColumn(_AT, self._at(*cols))
+        df = df.join(F.broadcast(self.rows), F.expr(f"{_AT} div {_ROW}") == F.col(_BIT_ROW), "left")  # at most BITS bits
+        byte = F.conv(F.hex(F.substring(_BIT_MAP, F.expr(f"cast(({_AT} % {_ROW}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+        bit = F.expr(f"cast({_AT} % 8 as int)")
+        hit = F.col(_BIT_ROW).isNotNull() & (F.expr("1").bitwiseAND(F.call_function("shiftright", byte, bit)) == 1)
+        return df.withColumn(MAYBE, F.coalesce(hit, F.lit(False))).drop(_AT, _BIT_ROW, _BIT_MAP)
+
+    def maybe(self, df: DataFrame, *cols: Column) -> DataFrame:
+        """The rows of df that may have one of the keys."""
+        return self.mark(df, *cols).filter(F.col(MAYBE)).drop(MAYBE)
 
 
 def without_rows(df: DataFrame, gone: DataFrame, key: Column, gone_key: str) -> DataFrame:
     """Rows of df whose key is not among gone's; only rows that may be are shuffled."""
     marked = Bitmap(gone, gone_key).mark(df, key)
-    keep = marked.filter("not _maybe").drop("_maybe")
-    rest = marked.filter("_maybe").drop("_maybe").withColumn("_key_of_row", key).join(gone.select(F.col(gone_key).alias("_gone_key")).distinct(), F.col("_key_of_row") == F.col("_gone_key"), "left_anti").drop("_key_of_row")
+    keep = marked.filter(~F.col(MAYBE)).drop(MAYBE)
+    rest = marked.filter(F.col(MAYBE)).drop(MAYBE).withColumn(_KEY, key)
+    rest = rest.join(gone.select(F.col(gone_key).alias(_GONE)).distinct(), F.col(_KEY) == F.col(_GONE), "left_anti").drop(_KEY)
     return keep.unionByName(rest)
 
 
@@ -98,9 +136,9 @@ def without_copies(df: DataFrame, lost: DataFrame, key: Column) -> DataFrame:
     """Rows of df whose key is not among lost's `gone`; of rows whose key is there with `again` one stays, the least as JSON."""
     lost = stash(lost.distinct(), "gone")
     kept = without_rows(df, lost, key, "gone")
-    again = lost.filter("again").select(F.col("gone").alias("_key_of_row"))
+    again = lost.filter("again").select(F.col("gone").alias(_KEY))
     if again.isEmpty():
         return kept
-    found = Bitmap(again, "_key_of_row").mark(df, key).filter("_maybe").drop("_maybe").withColumn("_key_of_row", key).join(again, "_key_of_row", "left_semi")
+    found = Bitmap(again, _KEY).maybe(df, key).withColumn(_KEY, key).join(again, _KEY, "left_semi")
     row = F.struct(*df.columns)
-    return kept.unionByName(found.groupBy("_key_of_row").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
+    return kept.unionByName(found.groupBy(_KEY).agg(F.min_by(row, F.to_json(row)).alias(_LEAST)).select(f"{_LEAST}.*"))

@@ -64,7 +64,7 @@ def _ranked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text).alias("norm"), digest(normalised(text)).alias("digest"), (-F.char_length(text)).alias("neg"))
 
     # byte verification of the hits: only texts that may have one of the digests leave the scan
-    hits = Bitmap(level, "digest").mark(texts, F.col("digest")).filter("_maybe").drop("_maybe")
+    hits = Bitmap(level, "digest").maybe(texts, F.col("digest"))
     parts = F.ceil(F.col("size") / PART).cast("int").alias("parts")
     hits = stash(hits.join(level.select("digest", "best", parts), "digest"), "hits")
     keepers = hits.filter((F.col("neg") == F.col("best.neg")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))

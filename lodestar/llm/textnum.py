@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
+from lodestar.llm.common import release
+
 _P = np.uint64(0x100000001B3)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 with np.errstate(over="ignore"):
@@ -80,10 +82,11 @@ def shingles(texts: list[str], width: int = 5) -> list[np.ndarray]:
 
 
 def batches(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 400_000) -> Iterator[pd.DataFrame]:
-    """Parts of bounded text (or one row)."""
+    """Parts of bounded text (or one row); at the end freed memory goes back to the system."""
     for pdf in frames:
         if len(pdf):
             part = (pdf[column].map(len).cumsum() // chars).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pdf)]
             for a, b in zip(cuts, cuts[1:]):
                 yield pdf.iloc[a:b]
+    release()

@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions, trained in numpy.
 
-The patterns' spans always count. The tagger adds spans of the same kinds that the patterns miss (telephone numbers
-without a plus sign, say). It reads overlapping windows of a fixed grid; only windows that hold a digit or an @ are
-read, as a span without either is none by definition. Each window is decoded alone by Viterbi; a span that touches an
-inner edge of its window is left to the neighbouring window, and of all spans of a document those that overlap least
-and weigh most together are chosen (weighted interval scheduling over the whole text).
+The patterns' spans always count. The tagger adds spans of the same kinds that the patterns miss: telephone numbers
+without a plus sign, card numbers and addresses that are grouped or split unusually, spelt-out mail addresses. It is
+trained on labelled spans of all these forms. It reads overlapping windows of a fixed grid; a window is read if a digit,
+an @ or a spelt-out one lies in it, as every kind of span holds one of them. Each window is decoded alone by Viterbi, and
+a decoded span counts if its posterior under the CRF reaches a bound. A span that touches an inner edge of its window is
+left to the neighbouring window, and of all spans of a document those are chosen that do not overlap and weigh most
+together (weighted interval scheduling over the whole text).
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_or_empty
+from lodestar.llm.common import arrow_bounded, release, text_or_empty, whole_id
 from lodestar.llm.textnum import batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,8 +36,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WINDOW, STRIDE = 96, 48
 HIDDEN, EMBED = 16, 10
 TAGS = 1 + 2 * len(KINDS)
-#: Least mean emission margin, in log odds, of a tagged span over none (transitions carry the rest of the evidence).
-MARGIN = 0.2
+#: Least posterior probability of a tagged span.
+SURE = 0.5
+#: Windows that are decoded together.
+TOGETHER = 256
 
 
 def luhn(digits: str) -> bool:
@@ -135,8 +140,8 @@ class Tagger:
         for d in "fb":
             self.p |= {f"W{d}": new(EMBED, 4 * HIDDEN), f"U{d}": new(HIDDEN, 4 * HIDDEN), f"c{d}": np.concatenate((np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)))}
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """x: time, batch, embedding. Gates in the order input, forget, output, candidate."""
+    def _lstm(self, x: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """x: time, batch, embedding. Gates in the order input, forget, output, candidate. keep: what the backward pass needs."""
         p, n = self.p, x.shape[1]
         h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
         xw = x @ p[f"W{d}"] + p[f"c{d}"]
@@ -147,7 +152,8 @@ class Tagger:
             i, f, o, a = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
             before, c = c, f * c + i * a
             tc = np.tanh(c)
-            tape.append((i, f, o, a, before, tc, h))
+            if keep:
+                tape.append((i, f, o, a, before, tc, h))
             h = o * tc
             hs[t] = h
         return hs, tape
@@ -167,33 +173,38 @@ class Tagger:
             nh, nc = dz @ p[f"U{d}"].T, dc * f
         return dx
 
-    def emissions(self, batch: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def emissions(self, batch: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
         """batch: (n, length) of character classes. Scores (length, n, tags) and what the backward pass needs."""
         x = self.p["E"][batch.T]
-        hf, tf = self._lstm(x, "f")
-        hb, tb = self._lstm(x[::-1], "b")
+        hf, tf = self._lstm(x, "f", keep)
+        hb, tb = self._lstm(x[::-1], "b", keep)
         h = np.concatenate((hf, hb[::-1]), axis=2)
         return h @ self.p["O"] + self.p["o"], (x, tf, tb, h)
 
     def _transitions(self) -> tuple[np.ndarray, np.ndarray]:
         return np.where(ALLOWED, self.p["T"], -1e4), np.where(STARTS, self.p["S"], -1e4)
 
-    def loss(self, batch: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log likelihood of the CRF, and gradients."""
-        e, (x, tf, tb, h) = self.emissions(batch)
+    def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log sums over all paths up to and from each position and tag, and over all paths."""
         T, S = self._transitions()
-        length, n, _ = e.shape
         alpha, beta = np.empty_like(e), np.zeros_like(e)
         alpha[0] = S + e[0]
-        for t in range(1, length):
+        for t in range(1, len(e)):
             m = alpha[t - 1].max(axis=1, keepdims=True)
             alpha[t] = e[t] + m + np.log(np.exp(alpha[t - 1] - m) @ np.exp(T) + 1e-300)
-        for t in range(length - 2, -1, -1):
+        for t in range(len(e) - 2, -1, -1):
             v = e[t + 1] + beta[t + 1]
             m = v.max(axis=1, keepdims=True)
             beta[t] = m + np.log(np.exp(v - m) @ np.exp(T).T + 1e-300)
         top = alpha[-1].max(axis=1)
-        z = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(axis=1))
+        return alpha, beta, top + np.log(np.exp(alpha[-1] - top[:, None]).sum(axis=1))
+
+    def loss(self, batch: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
+        """Mean negative log likelihood of the CRF, and gradients."""
+        e, (x, tf, tb, h) = self.emissions(batch)
+        T, S = self._transitions()
+        length, n, _ = e.shape
+        alpha, beta, z = self._sums(e)
         y = tags.T
         rows = np.arange(n)
         gold = S[y[0]] + sum(e[t, rows, y[t]] for t in range(length)) + sum(T[y[t - 1], y[t]] for t in range(1, length))
@@ -216,7 +227,7 @@ class Tagger:
         np.add.at(grads["E"], batch.T, dx)
         return float((z - gold).mean()), {k: v / n for k, v in grads.items()}
 
-    def fit(self, steps: int = 220, size: int = 48, length: int = 80, rate: float = 0.02, seed: int = 5) -> "Tagger":
+    def fit(self, steps: int = 450, size: int = 48, length: int = 64, rate: float = 0.03, seed: int = 5) -> "Tagger":
         rng = random.Random(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -232,8 +243,8 @@ class Tagger:
         return self
 
     def decode(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags by Viterbi, and each position's margin of its tag over none."""
-        e, _ = self.emissions(batch)
+        """Best tags of each window by Viterbi, and the emissions."""
+        e, _ = self.emissions(batch, keep=False)
         T, S = self._transitions()
         length, n, _ = e.shape
         score, back = S + e[0], np.zeros((length, n, TAGS), dtype=np.int8)
@@ -246,8 +257,31 @@ class Tagger:
         rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             tags[t - 1] = back[t, rows, tags[t]]
-        gain = np.take_along_axis(e, tags[:, :, None].astype(np.int64), axis=2)[:, :, 0] - e[:, :, 0]
-        return tags.T, gain.T
+        return tags.T, e
+
+    def spans(self, batch: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """(window, kind, start, end, posterior) of each span on the windows' best paths."""
+        tags, e = self.decode(batch)
+        T, length = self._transitions()[0], batch.shape[1]
+        hit = np.flatnonzero(tags.any(axis=1))
+        if not len(hit):
+            return []
+        alpha, beta, z = self._sums(e[:, hit])
+        out = []
+        for r, w in enumerate(hit.tolist()):
+            path = tags[w]
+            for a in np.flatnonzero(path % 2 == 1).tolist():
+                kind, b = int(path[a]) // 2, a + 1
+                while b < length and path[b] == path[a] + 1:
+                    b += 1
+                inside = path[a:b].astype(np.int64)
+                weight = alpha[a, r, inside[0]] + e[np.arange(a + 1, b), w, inside[1:]].sum() + T[inside[:-1], inside[1:]].sum()
+                if b < length:  # any path goes on that does not continue the span
+                    after = T[inside[-1]] + e[b, w] + beta[b, r]
+                    after[2 + 2 * kind] = -np.inf
+                    weight += after.max() + np.log(np.exp(after - after.max()).sum())
+                out.append((w, kind, a, b, float(np.exp(min(0.0, weight - z[r])))))
+        return out
 
 
 def _word(rng: random.Random) -> str:
@@ -260,19 +294,24 @@ def _digits(rng: random.Random, n: int) -> str:
 
 
 def _positive(rng: random.Random) -> tuple[int, str]:
+    """A labelled span: kind and text, in usual and in unusual forms."""
     kind = rng.randrange(4)
     if kind == 0:
         local = re.sub("[^a-z]", "x", _word(rng).lower()) + rng.choice(["", "." + _digits(rng, 2), "_" + _digits(rng, 1), "." + "kim", "+tag"])
-        return 0, f"{local}@{re.sub('[^a-z]', 'y', _word(rng).lower())}{rng.choice(['', _digits(rng, 1)])}{rng.choice(['.example', ''])}.{rng.choice(['com', 'org', 'net', 'de'])}"
+        host = re.sub("[^a-z]", "y", _word(rng).lower()) + rng.choice(["", _digits(rng, 1)])
+        at, dot = rng.choice([("@", ".")] * 5 + [(" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), (" @ ", "."), ("[at]", "[dot]")])
+        return 0, f"{local}{at}{host}{rng.choice(['', dot + 'example'])}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
     if kind == 1:
-        return 1, ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        dot = rng.choice(["."] * 5 + [" . ", "[.]", ". "])
+        return 1, dot.join(str(rng.randint(1, 255)) for _ in range(4))
     if kind == 2:
         d = _digits(rng, 15)
         d = "4" + d[1:]
         d += next(c for c in "0123456789" if luhn(d + c))
-        return 2, rng.choice([d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4))])
+        gap = rng.choice([" ", "-", " - ", "  ", ".", "\n"])
+        return 2, rng.choice([d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)), gap.join(d[k : k + 4] for k in range(0, 16, 4))])
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return 3, rng.choice([f"+1 ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{a}{b}{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}"])
+    return 3, rng.choice([f"+1 ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{a}{b}{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}"])
 
 
 def _negative(rng: random.Random) -> str:
@@ -281,6 +320,7 @@ def _negative(rng: random.Random) -> str:
         lambda: _digits(rng, rng.randint(1, 9)), lambda: "@" + re.sub("[^a-z]", "z", _word(rng).lower()), lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)),
         lambda: "password=" + "".join(rng.choice("0123456789abcdef") for _ in range(18)), lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 16, 32]))),
         lambda: f"{rng.randint(0, 23)}:{_digits(rng, 2)}", lambda: f"${rng.randint(1, 999)},{_digits(rng, 3)}", lambda: f"{_digits(rng, 4)}/{_digits(rng, 4)}", lambda: f"#{_digits(rng, 5)}", lambda: f"{_digits(rng, 2)}-{_digits(rng, 2)}", lambda: f"({_digits(rng, 4)})",
+        lambda: f"{_word(rng)} at {_word(rng)}", lambda: f"{_word(rng)} dot {_word(rng)}", lambda: f"{_word(rng)} @ {_word(rng)}", lambda: ", ".join(str(rng.randint(0, 9999)) for _ in range(rng.randint(2, 5))), lambda: " ".join(str(rng.randint(0, 999)) for _ in range(rng.randint(2, 4))),
     ])()
 
 
@@ -322,16 +362,14 @@ def trained(seed: int = 3) -> Tagger:
     return _TRAINED[seed]
 
 
-def plausible(kind: int, s: str) -> bool:
-    """What a tagged span must hold whatever the tagger says."""
+def possible(kind: int, s: str) -> bool:
+    """What every span of a kind holds: a mark of the kind, its number of digits, a card's checksum."""
     digits = sum(c in "0123456789" for c in s)
     if kind == 0:
-        return s.count("@") == 1 and s[0].isalnum() and s[-1].isalnum() and "." in s.partition("@")[2]
-    if kind == 1:
-        return s.count(".") == 3 and 4 <= digits <= 12 and all(p.isdigit() and int(p) <= 255 for p in s.split("."))
-    if kind == 2:
-        return 16 <= digits <= 19 and set(s) <= set("0123456789 -") and s[0].isdigit() and s[-1].isdigit() and luhn(s.replace(" ", "").replace("-", ""))
-    return 10 <= digits <= 15 and s[-1].isdigit() and not set(s) - set("0123456789 +().-") and s[0] in "+(0123456789" and any(c in s for c in "+(- ") and s.count("(") == s.count(")")
+        return bool(_AT.search(s))
+    if kind == 2 and not luhn("".join(c for c in s if c in "0123456789")):
+        return False
+    return (4 <= digits <= 12, 16 <= digits <= 19, 7 <= digits <= 15)[kind - 1]
 
 
 def schedule(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
@@ -356,7 +394,8 @@ def schedule(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, i
     return out[::-1]
 
 
-_TRIGGER = re.compile("[0-9@]")
+_AT = re.compile(r"@|[\[(] ?at ?[\])]| at .{1,40} dot ", re.S)
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]| dot ")
 
 
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -369,32 +408,25 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
             for w in range(max(last + 1, cell - 1), cell + 1):
                 jobs.append((k, w * STRIDE))
             last = cell
-    found: dict[int, list] = {}
-    for at in range(0, len(jobs), 1024):
-        part = jobs[at : at + 1024]
+    found: dict[int, dict] = {}
+    for at in range(0, len(jobs), TOGETHER):
+        part = jobs[at : at + TOGETHER]
         batch = np.zeros((len(part), WINDOW), dtype=np.int64)
         for r, (k, a) in enumerate(part):
             c = codes(texts[k][a : a + WINDOW])
             batch[r, : len(c)] = c
             batch[r, len(c) :] = 2
-        tags, gain = model.decode(batch)
-        rows, cols = np.nonzero(tags % 2 == 1)
-        for r, c in zip(rows.tolist(), cols.tolist()):
+        for r, kind, c, end, sure in model.spans(batch):
             k, a = part[r]
-            kind, end = int(tags[r, c]) // 2, c + 1
-            while end < WINDOW and tags[r, end] == tags[r, c] + 1:
-                end += 1
             text = texts[k]
             if (c == 0 and a > 0) or (end == WINDOW and a + WINDOW < len(text)) or a + end > len(text):
                 continue
-            weight = float(gain[r, c:end].mean())
-            if weight >= MARGIN and plausible(kind, text[a + c : a + end]):
-                found.setdefault(k, []).append((kind, a + c, a + end, round(weight * (end - c), 6)))
+            if sure >= SURE and possible(kind, text[a + c : a + end]):
+                most = found.setdefault(k, {})
+                key = (kind, a + c, a + end)  # the same span from two windows
+                most[key] = max(round(sure * (end - c), 6), most.get(key, 0.0))
     best: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, spans in found.items():
-        most: dict[tuple, float] = {}
-        for *key, w in spans:  # the same span from two windows
-            most[tuple(key)] = max(w, most.get(tuple(key), 0.0))
+    for k, most in found.items():
         best[k] = schedule([(*key, w) for key, w in most.items()])
     return best
 
@@ -414,12 +446,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
-    """For every row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added.
+    """For every row: doc_id (long), n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added.
 
-    Null text counts as empty; no spans give an empty string, whose digest stands in base_sha256. Repeated rows each
-    get their row. Rows are independent: no shuffle. Other columns are dropped.
+    Null text counts as empty; no spans give an empty string, whose digest stands in base_sha256. Null ids stay null,
+    repeated rows each get their row, an empty table gives an empty result. Rows are independent: no shuffle. Other
+    columns are dropped.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = arrow_bounded(docs.select(whole_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
     tagger = model or trained()
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -433,7 +466,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             out["n_added"] = [len(every) - len(base) for base, every in found]
             yield out
 
-    return rows.mapInPandas(find, f"doc_id {dict(rows.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    found = rows.mapInPandas(find, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -454,16 +488,22 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redacted(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """Pipeline stage: documents with every span replaced in text, and n_chars set to the new length; null texts and other columns as they were."""
     tagger = model or trained()
-
-    def clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            text = pdf["text"].where(pdf["text"].notna(), None)
-            for part in batches(iter([pd.DataFrame({"text": text.fillna("").to_numpy()}, index=pdf.index)])):
-                found = all_spans(part["text"].tolist(), tagger)
-                hit = {i: redact(t, every) for i, t, (_, every) in zip(part.index, part["text"], found) if every}
-                if hit:
-                    pdf.loc[list(hit), "text"] = list(hit.values())
-                    pdf.loc[list(hit), "n_chars"] = [len(t) for t in hit.values()]
-            yield pdf
-
-    return docs.mapInPandas(clean, docs.schema)
+    schema = docs.schema
+
+    def clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            columns = {name: batch.column(name) for name in schema.names}
+            texts, lengths = columns["text"].to_pylist(), columns["n_chars"].to_pylist()
+            at = 0
+            for part in batches(iter([pd.DataFrame({"text": [t or "" for t in texts]}, dtype=object)])):
+                for k, (text, (_, every)) in enumerate(zip(part["text"], all_spans(part["text"].tolist(), tagger)), at):
+                    if every:
+                        texts[k] = redact(text, every)
+                        lengths[k] = len(texts[k])
+                at += len(part)
+            columns["text"] = pa.array(texts, columns["text"].type)
+            columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()
+
+    return arrow_bounded(docs).mapInArrow(clean, schema)

@@ -1,9 +1,11 @@
 """Quality by importance resampling: two hashed n-gram models, their log ratio as weight, Gumbel top-k as sample.
 
 Target model: counts of hashed word unigrams and bigrams over a bounded sample of rows labelled good. Raw model: the
-same counts over every document. A document's log weight is the sum over its n-grams of log p(bucket) - log q(bucket).
-Adding independent Gumbel noise to the log weights and taking the k largest draws k documents without replacement in
-proportion to their weights. The noise is a hash of the id, so a lost task's rerun draws the same.
+same counts over every document. A document's log weight is the sum over its n-grams of log p(bucket) - log q(bucket),
+less a charge for each n-gram, which is fitted on labelled rows that the models have not seen: without a charge the
+longest texts would weigh most whatever they hold. Adding independent Gumbel noise to the log weights (over a
+temperature) and taking the k largest draws k documents without replacement in proportion to their weights. The noise is
+a hash of the id, so a lost task's rerun draws the same.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash, text_or_empty, without_rows
+from lodestar.llm.common import arrow_bounded, stash, text_or_empty, whole_id, without_rows
 from lodestar.llm.textnum import PLAIN, batches, mix, word_hashes
 
 BUCKETS = 1 << 16
-#: At most so many labelled rows fit the target model and the cut; those of smallest hashed id.
+#: At most so many labelled ids fit the target model and the charge; those of smallest hashed id.
 LABELLED = 20_000
-#: Share of labelled good rows whose weight may lie below the cut.
+#: Share of labelled good rows whose weight may be below zero once the charge is fitted.
 GOOD_LOST = 0.001
+#: Log weights are divided by it before noise is added; 1 draws in proportion to the weights.
+TEMPERATURE = 1.0
+
 
 def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, start of each text's n-grams, one more at the end); words split at ASCII blanks.
@@ -56,14 +61,14 @@ def counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         seen = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": seen.astype(np.int32), "raw": raw[seen], "target": target[seen]})
 
-    return rows.mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return arrow_bounded(rows).mapInPandas(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 class Model:
-    """Log ratio for each bucket, the share of the target's n-grams, and the cut on the mean log ratio."""
+    """Log ratio for each bucket."""
 
-    def __init__(self, ratio: np.ndarray, cut: float = 0.0):
-        self.ratio, self.cut = ratio, cut
+    def __init__(self, ratio: np.ndarray):
+        self.ratio = ratio
 
     @classmethod
     def fit(cls, found: pd.DataFrame, buckets: int = BUCKETS, smooth: float = 1.0) -> "Model":
@@ -89,49 +94,54 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataF
     return clean.orderBy(F.xxhash64("_label_id", F.lit(5)), "_label_id").limit(limit)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = LABELLED, seed: int = 11, k: int | None = None) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = LABELLED, seed: int = 11, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """For every row: doc_id, n_grams, log_weight, mean_ratio, gumbel_key, accepted.
 
-    accepted: among the k largest gumbel_key; ties at the k-th key are all accepted. k is by default the number of
-    documents whose mean log ratio reaches the cut. One half of the labelled sample (by a hash of the id) fits the target
-    model; on the other half, which the model has not seen, the cut is fitted so that it parts good from bad rows best
-    while at most GOOD_LOST of the good lie below it: good documents lie far above it, so that the noise reorders only
-    documents near the border. Null and empty texts have no n-grams, weight 0 and are not accepted when
-    labels tell good from bad, as they hold nothing to train on. Without usable labels every row is accepted.
-    Repeated rows have equal keys. Other columns are dropped.
+    log_weight: sum of the n-grams' log ratios, each less the charge; gumbel_key: log_weight / temperature plus Gumbel
+    noise; accepted: among the k largest keys, ties at the k-th key included. k is by default the number of rows of
+    weight zero or more, those that the target model explains better than the raw one. One half of the labelled sample
+    (by a hash of the id) fits the target model; on the other half the charge is fitted so that it parts good from bad
+    rows best while at most GOOD_LOST of the good weigh less than zero. Null and empty texts have no n-grams, no key and
+    are not accepted when labels tell good from bad, as they hold nothing to train on. Without usable labels every row is
+    accepted. Repeated rows have equal keys; null ids share one draw of noise. An empty table gives an empty result.
+    Other columns are dropped.
     """
+    return _judged(docs, labels, F.lit(None), id_col, text_col, buckets, limit, seed, k, temperature).drop("key")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = LABELLED, seed: int = 11, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """The rows of quality with a key of their own."""
     spark = docs.sparkSession
     sample = stash(labelled(docs, labels, limit), "labelled")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_id(id_col).alias("id"), key.cast("string").alias("key"), text_or_empty(text_col).alias("text"))
     flagged = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id"), "left")  # at most `limit` rows of 9 bytes
     held = F.pmod(F.xxhash64("_label_id", F.lit(29)), F.lit(2)) == 1
-    flagged = flagged.select("doc_id", "text", F.coalesce(F.col("_good") & ~held, F.lit(False)).alias("target"), F.when(held, F.col("_good")).alias("_good"))
-    found = counts(flagged, buckets).toPandas()  # one row a bucket
-    model = Model.fit(found, buckets)
-    shared = spark.sparkContext.broadcast(model.ratio)
+    target, good = F.coalesce(F.col("_good") & ~held, F.lit(False)), F.when(held, F.col("_good").cast("string"))
+    found = counts(flagged.select("text", target.alias("target")), buckets).toPandas()  # one row a bucket
+    shared = spark.sparkContext.broadcast(Model.fit(found, buckets).ratio)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(shared.value)
         for pdf in batches(frames):
             w, n = m.scores(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "good": pdf["_good"], "log_weight": w, "n_grams": n.astype(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "good": pdf["good"], "ratio": w, "n_grams": n.astype(np.int64)})
 
-    scored = stash(flagged.mapInPandas(score, "doc_id long, good boolean, log_weight double, n_grams long"), "weights")
-    mean = F.when(F.col("n_grams") > 0, F.round(F.col("log_weight") / F.col("n_grams"), 9))
+    scored = arrow_bounded(flagged.select("id", "key", "text", good.alias("good"))).mapInPandas(score, "id string, key string, good string, ratio double, n_grams long")
+    scored = stash(scored.select(F.col("id").cast("long").alias("doc_id"), "key", F.col("good").cast("boolean").alias("good"), "ratio", "n_grams"), "weights")
+    mean = F.when(F.col("n_grams") > 0, F.round(F.col("ratio") / F.col("n_grams"), 9))
     scored = scored.withColumn("mean_ratio", mean)
-    known = scored.filter("good is not null and n_grams > 0").select("good", "mean_ratio").toPandas()  # at most `limit` labelled ids, unless rows repeat them
-    cut = fit_cut(known)
+    known = scored.filter("good is not null and n_grams > 0").groupBy("doc_id", "good").agg(F.avg("mean_ratio").alias("mean_ratio"))
+    charge = fit_cut(known.select("good", "mean_ratio").toPandas())  # at most `limit` labelled ids
+    weight = F.round(F.col("ratio") - F.col("n_grams") * F.lit(charge or 0.0), 6)
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, F.round(F.col("mean_ratio") * F.lit(SHARP) - F.log(-F.log(uniform)), 9)))
-    if cut is None:
-        return keyed.select("doc_id", "n_grams", "log_weight", "mean_ratio", "gumbel_key", F.lit(True).alias("accepted"))
-    wanted = keyed.filter(F.col("mean_ratio") >= cut).count() if k is None else k
+    noisy = F.round(F.col("log_weight") / F.lit(temperature) - F.log(-F.log(uniform)), 9)
+    keyed = scored.withColumn("log_weight", weight).withColumn("gumbel_key", F.when(F.col("n_grams") > 0, noisy))
+    shape = ["doc_id", "key", "n_grams", "log_weight", "mean_ratio", "gumbel_key"]
+    if charge is None:
+        return keyed.select(*shape, F.lit(True).alias("accepted"))
+    wanted = keyed.filter("n_grams > 0 and log_weight >= 0").count() if k is None else k
     least = kth_largest(keyed, "gumbel_key", wanted)
-    return keyed.select("doc_id", "n_grams", "log_weight", "mean_ratio", "gumbel_key", F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)).alias("accepted"))
-
-
-#: Effective number of n-grams: the mean log ratio times it is the weight that is sampled, so that length has no part in it.
-SHARP = 1000.0
+    return keyed.select(*shape, F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False)).alias("accepted"))
 
 
 def fit_cut(known: pd.DataFrame) -> float | None:
@@ -155,9 +165,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     lo, hi, n = df.agg(F.min(col), F.max(col), F.count(col)).first()
     if not n or k >= n:
         return float("-inf") if not n else lo
-    for _ in range(12):
-        if lo == hi:
-            return lo
+    while lo < hi:  # ends: the least and the largest value never share a bin
         width = (hi - lo) / bins
         within = df.filter((F.col(col) >= lo) & (F.col(col) <= hi))
         above = df.filter(F.col(col) > hi).count()
@@ -166,9 +174,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
         run = above + got["n"].cumsum()
         row = got[run >= k].iloc[0]
         lo, hi = float(row["lo"]), float(row["hi"])
-        if row["n"] == 1:
-            return lo
-        if row["n"] <= 100_000:
+        if row["n"] <= 100_000 or width == 0:
             over = df.filter(F.col(col) > hi).count()
             values = df.filter((F.col(col) >= lo) & (F.col(col) <= hi)).select(col).toPandas()[col].sort_values(ascending=False)
             return float(values.iloc[k - over - 1])
@@ -176,11 +182,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of documents that quality() accepts, all columns as they were. Rows of one id share one decision if any is accepted."""
-    bad = quality(docs, labels).groupBy("doc_id").agg(F.max("accepted").alias("any")).filter("not any")
-    bad = stash(bad.select(_id_key(F.col("doc_id")).alias("gone")), "rejected")
-    return without_rows(docs, bad, _id_key(F.col("doc_id").cast("long")), "gone")
-
-
-def _id_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+    """Pipeline stage: the rows of documents that quality() accepts, all columns as they were. Rows equal in id and text share one decision."""
+    key = F.concat_ws(":", F.coalesce(whole_id("doc_id"), F.lit("null")), F.sha2(text_or_empty().cast("binary"), 256))
+    bad = stash(_judged(docs, labels, key).filter(~F.col("accepted")).select(F.col("key").alias("gone")), "rejected")
+    return without_rows(docs, bad, key, "gone")

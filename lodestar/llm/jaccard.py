@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Bitmap, stash, text_or_empty, without_copies
+from lodestar.llm.common import MAYBE, Bitmap, arrow_bounded, stash, text_or_empty, whole_id, without_copies
 from lodestar.llm.textnum import batches, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -125,7 +125,7 @@ def _candidates(pdf: pd.DataFrame, threshold: float, tolerance: float) -> Iterat
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
     """doc_id, key, number of the row (fixed once this is written), digest of the shingle set (null if it is empty), MinHash values, for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(whole_id(id_col).alias("doc_id"), key.cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(frames):
@@ -133,9 +133,10 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFr
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full)) if full else iter(())
             digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "row": pdf["row"], "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "row": pdf["row"], "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets]})
 
-    return rows.mapInPandas(profile, "doc_id long, key string, row long, set_id binary, sig binary")
+    found = arrow_bounded(rows).mapInPandas(profile, "doc_id string, key string, row long, set_id binary, sig binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -159,11 +160,11 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
             yield pdf[wanted]
 
     shape = "set_id binary, band int, bucket long, lo int, hi int, side int, sig binary"
-    left = stash(dealt.select("set_id", "band", "bucket", "lo", "hi", "side", "sig").mapInPandas(prune, shape), "survivors")
+    left = stash(arrow_bounded(dealt).select("set_id", "band", "bucket", "lo", "hi", "side", "sig").mapInPandas(prune, shape), "survivors")
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
     needed = stash(classes.join(left.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "rep", "size"), "needed")
-    texts = Bitmap(needed, "rep").mark(texts, F.col("rep")).filter("_maybe").drop("_maybe")
+    texts = Bitmap(needed, "rep").maybe(texts, F.col("rep"))
     texts = texts.join(needed.withColumnRenamed("rep", "_rep"), F.col("rep").eqNullSafe(F.col("_rep"))).select("set_id", "size", "text")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,16 +228,35 @@ def _linked(pdf: pd.DataFrame, own: list[np.ndarray], threshold: float, toleranc
                 yield x[p:q][near], y[p:q][near]
 
 
-def components(edges: DataFrame, u: str = "set_id", v: str = "to_id", rounds: int = 40) -> DataFrame:
+#: Neighbours of a node that are joined with it in one task, about; a node with more is spread over several.
+DEGREE = 4096
+
+
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges (a, b) with a's least neighbour m; the edges of a node of many neighbours meet it in several tasks."""
+    if most <= DEGREE:
+        return edges.join(least.drop("n"), "a")
+    big = Bitmap(least.filter(F.col("n") > DEGREE).select("a"), "a")
+    parts = -(-most // DEGREE)
+    marked, of = big.mark(edges, F.col("a")), big.mark(least.drop("n"), F.col("a"))
+    few = marked.filter(~F.col(MAYBE)).drop(MAYBE).join(of.filter(~F.col(MAYBE)).drop(MAYBE), "a")
+    spread = of.filter(F.col(MAYBE)).drop(MAYBE).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    many = marked.filter(F.col(MAYBE)).drop(MAYBE).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).join(spread, ["a", "part"]).drop("part")
+    return few.unionByName(many)
+
+
+def components(edges: DataFrame, u: str = "set_id", v: str = "to_id") -> DataFrame:
     """node, root for every node of the edges: alternating large and small stars until nothing changes. Roots are least nodes."""
     e = stash(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a != b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select("a", "b", "m")
+        least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        most = least.agg(F.max("n")).first()[0] or 0
+        large = _with_least(both.filter("b > a"), least, most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = stash(large, "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, most).select("a", "b", "m")
         e = stash(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("p")).select("p.a", "p.b").filter("a != b").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -251,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copy_id: smallest id of the rows with the same shingle set; class_id: smallest id of the connected component that
     links of similarity at least `threshold` make; n_links: rows that this row links to, copies included. Texts of one
     to four words have one shingle, of all their words. Null, empty and wordless texts link to nothing: class_id and
-    copy_id are their own id. Null ids take part like others. Other columns are dropped.
+    copy_id are their own id. Null ids take part like others. An empty table gives an empty result. Other columns are dropped.
     """
     return _grouped(docs, id_col, text_col, threshold, tolerance, F.lit(None)).select("doc_id", "class_id", "copy_id", "n_links")
 

@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_or_empty
+from lodestar.llm.common import stash, text_or_empty, whole_id
 
 CAPACITY = 2048
-#: Rows of a shard, about; more shards for more rows, never larger ones.
+#: Rows of a shard, about; more shards for more rows, never much larger ones.
 SHARD = 4096
+#: Rows equal in id, words and text that one shard takes, about; more of them are spread by their place in the input.
+REPEATS = 256
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY) -> list[int]:
@@ -79,32 +81,46 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Size is the number of words (runs of characters other than ASCII blanks). Duplicate clusters are texts equal after
     blanks are deleted. Null, empty and wordless texts have one piece of size 0, in a bin as any other. A null source
     conflicts with nothing. Equal sizes go in by id; repeated rows are pieces like others (their cluster keeps them in
-    bins of their own). bin is `shard-number`. The number of shards follows the number of rows. Other columns are dropped.
+    bins of their own). bin is `shard-number`, fill the share of the bin that is used. The number of shards follows the
+    number of rows. Null ids stay null. An empty table gives an empty result. Other columns are dropped.
     """
     text = text_or_empty(text_col)
     words = F.regexp_count(text, F.lit("[^\\x09-\\x0D\\x20]+")).cast("int")
     cluster = F.when(text != "", F.xxhash64(F.translate(text, " \t\n\x0b\x0c\r", "")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("words"), cluster.alias("cluster"))
-    shards = max(1, -(-docs.count() // shard))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "words", "cluster", F.lit(13)), F.lit(shards)).cast("int"))
+    same = F.xxhash64(F.col(id_col).cast("long"), words, cluster, F.lit(13)).alias("same")
+    rows = docs.select(whole_id(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("words"), cluster.alias("cluster"), same, F.monotonically_increasing_id().alias("row"))
+    rows = stash(rows, "sizes")  # small rows; places in the input hold from here on
+    total = rows.count()
+    shards = max(1, -(-total // shard))
+    often = stash(rows.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATS).select("same", F.lit(True).alias("often")), "repeats")  # at most total / REPEATS rows
+    if shards > 1 and not often.isEmpty():
+        rows = rows.join(often, "same", "left")
+        turn = F.when(F.col("often"), F.xxhash64(F.expr(f"row div {REPEATS}"))).otherwise(F.lit(0))
+    else:
+        turn = F.lit(0)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("same", turn), F.lit(shards)).cast("int")).select("doc_id", "source", "words", "cluster", "shard")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster"], kind="stable", na_position="first")
+        if not len(pdf):
+            return pd.DataFrame(columns=["doc_id", "piece", "n_pieces", "start", "size", "source", "bin", "position", "fill"])
+        number = np.array([-1 if x is None else int(x) for x in pdf["doc_id"]], dtype=np.int64)
+        pdf = pdf.assign(number=number).sort_values(["number", "cluster"], kind="stable", na_position="first")
         full, rest = pdf["words"] // capacity, pdf["words"] % capacity
         whole = (full > 0) & (rest == 0)  # ends with a full piece
         full = full - whole
         tail = rest.where(~whole, capacity).astype(int)
         parts = []
         for r, n, t in zip(pdf.itertuples(index=False), full, tail):
-            parts += [(r.doc_id, k, n + 1, k * capacity, capacity, r.source, r.cluster) for k in range(n)]
-            parts.append((r.doc_id, n, n + 1, n * capacity, t, r.source, r.cluster))
-        out = pd.DataFrame(parts, columns=["doc_id", "piece", "n_pieces", "start", "size", "source", "cluster"])
-        out = out.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+            parts += [(r.doc_id, r.number, k, n + 1, k * capacity, capacity, r.source, r.cluster) for k in range(n)]
+            parts.append((r.doc_id, r.number, n, n + 1, n * capacity, t, r.source, r.cluster))
+        out = pd.DataFrame(parts, columns=["doc_id", "number", "piece", "n_pieces", "start", "size", "source", "cluster"])
+        out = out.sort_values(["size", "number", "piece"], ascending=[False, True, True], kind="stable")
         none = lambda v: [None if x is None or x != x else x for x in v]
         bins = best_fit(out["size"].tolist(), none(out["source"]), none(out["cluster"]), capacity)
         out["bin"] = [f"{pdf['shard'].iloc[0]}-{b}" for b in bins]
         out["position"] = out.groupby("bin").cumcount()
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out.drop(columns="cluster")
+        out["fill"] = out.groupby("bin")["size"].transform("sum") / capacity
+        return out.drop(columns=["cluster", "number"])
 
-    return rows.groupBy("shard").applyInPandas(place, "doc_id long, piece int, n_pieces int, start long, size int, source string, bin string, position int")
+    shape = "doc_id string, piece int, n_pieces int, start long, size int, source string, bin string, position int, fill double"
+    return rows.groupBy("shard").applyInPandas(place, shape).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_or_empty
+from lodestar.llm.common import arrow_bounded, text_or_empty, whole_id
 from lodestar.llm.textnum import FOLD, batches
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -113,9 +113,11 @@ def phrase_places(line: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand consecutively; line: words joined by spaces."""
     padded, out = b" " + line + b" ", []
     for p, (label, _) in _PHRASES.items():
-        at = padded.find(p)
+        at, seen, number = padded.find(p), 0, 0
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            number += padded.count(b" ", seen, at)  # from the last place on, so that many places cost no more than one
+            seen = at
+            out.append((number, label))
             at = padded.find(p, at + 1)
     return sorted(out)
 
@@ -143,14 +145,15 @@ def template_counts(rows: DataFrame, templates: dict[str, str] = TEMPLATES) -> d
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """For every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
+    """For every row: doc_id (long), n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
 
     score: 1 with a phrase, else the best containment of a matching template, else 0. Labels of templates join those of
     phrases; `templates` lists name=containment. Null text counts as empty: no words, no labels (empty strings), null
-    first and last word. A text without line ends is one line, however long. Repeated rows each get their row; rows are
-    independent, without a shuffle of texts. Other columns are dropped.
+    first and last word. A text without line ends is one line, however long. Repeated rows each get their row, null ids
+    stay null, an empty table gives an empty result; rows are independent, without a shuffle of texts. Other columns are
+    dropped.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = arrow_bounded(docs.select(whole_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
     index = Index(templates, template_counts(rows, templates), threshold)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,4 +177,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return rows.mapInPandas(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string")
+    return rows.mapInPandas(scan, "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -12,8 +12,8 @@ those larger than a part are split by a hash of the vector, and queries visit al
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +26,10 @@ from lodestar.llm.common import stash
 K = 20
 #: Tables; slot width in units of the projections' deviation; estimated recall at which a query stops.
 TABLES, SLOT, TARGET = 4, 1.0, 0.965
-#: Rows of a part, about.
+#: Rows of a part, about; tables of no more distinct vectors of a dimension are searched whole.
 PART = 4096
 #: Vectors of the sample from which the usual distance of the K-th neighbour is taken; nothing else depends on it.
 SAMPLE = 4000
-REACH = 2
 #: Columns that give a query's floor before all are screened.
 FIRST = 1024
 
@@ -52,7 +51,7 @@ class Hashes:
         draws = [rng.normal(size=(dim + 1, m)) for _ in range(tables)]
         self.a = [np.linalg.qr(x)[0] * math.sqrt(dim + 1) if dim + 1 >= m else x for x in draws]
         self.b = [rng.uniform(0, SLOT, m) for _ in range(tables)]
-        self.moves = np.array(list(itertools.product(range(-REACH, REACH + 1), repeat=m)))
+        self.reach = math.ceil(6 * r / SLOT) + 1  # moves beyond it hold a neighbour with probability 1e-9
 
     def slots(self, x: np.ndarray, table: int, query: bool = False) -> np.ndarray:
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) if query else self.top)
@@ -65,15 +64,29 @@ class Hashes:
         return s @ (1001 ** np.arange(self.m, dtype=np.int64))
 
     def probes(self, place: np.ndarray, need: float) -> np.ndarray:
-        """Buckets of a query at `place` (slots with fractions) by falling probability, until they sum to need."""
+        """Buckets of a query at `place` (slots with fractions) by falling probability, until they sum to need.
+
+        Moves of all slots whose probabilities' product reaches a floor are listed slot by slot; products that cannot
+        reach it any more are left out. The floor falls until the listed buckets sum to need.
+        """
         low = np.floor(place)
-        f = place - low
-        edges = [[0.5 * (1 + math.erf((d - x) * SLOT / (self.r * math.sqrt(2)))) for d in range(-REACH, REACH + 2)] for x in f]
-        p = np.diff(np.array(edges), axis=1)
-        chance = np.prod(p[np.arange(self.m), self.moves + REACH], axis=1)
+        moves = np.arange(-self.reach, self.reach + 2)
+        below = np.array([[0.5 * (1 + math.erf((d - x) * SLOT / (self.r * math.sqrt(2)))) for d in moves] for x in place - low])
+        p = np.diff(below, axis=1)
+        most = np.append(np.cumprod(p.max(axis=1)[::-1])[::-1][1:], 1.0)  # of the slots after each
+        floor = 0.25 * float(np.prod(p.max(axis=1)))
+        while True:
+            chance, at = np.ones(1), np.zeros((1, 0), dtype=np.int64)
+            for slot in range(self.m):
+                both = chance[:, None] * p[slot]
+                row, move = np.nonzero(both * most[slot] >= floor)
+                chance, at = both[row, move], np.concatenate((at[row], move[:, None]), axis=1)
+            if chance.sum() >= need:
+                break
+            floor /= 4
         order = np.argsort(-chance, kind="stable")
         n = int(np.searchsorted(np.cumsum(chance[order]), need)) + 1
-        return np.unique(self.code(low + self.moves[order[:n]]))
+        return np.unique(self.code(low + moves[at[order[:n]]]))
 
 
 def _distance(rows: DataFrame, n: int, top: float, k: int) -> float:
@@ -90,13 +103,28 @@ def _distance(rows: DataFrame, n: int, top: float, k: int) -> float:
     return float(np.clip(np.quantile(np.sqrt(np.maximum(0, 2 - 2 * near)), 0.6), 0.05, 2))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = K, target: float = TARGET) -> DataFrame:
+def enough(found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+    """The head of a sorted list of (score, id) that holds the k first of every id's view, from which its own entries are absent."""
+    out, often, most = [], Counter(), 0
+    for pair in found:
+        if often[pair[1]] < k:
+            out.append(pair)
+            often[pair[1]] += 1
+            most = max(most, often[pair[1]])
+            if len(out) - most >= k:
+                break
+    return out
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = K, target: float = TARGET, whole: int = PART) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every query row: rows whose id is divisible by `every`.
 
     Candidates are all rows but the query's own id; nearness is the largest inner product, ties go to the smaller id.
     Invalid vectors and null ids take no part; vectors of different dimensions don't meet. A query with no candidate
-    has no row. Rows repeated with one id and vector count once. Fewer than k candidates found give fewer rows; with at
-    most PART distinct vectors of a dimension everything is visited. Other columns are dropped.
+    has no row. Rows repeated with one id and vector count once; rows of one id with different vectors are candidates of
+    their own, but none for a query of that id. Fewer than k candidates found give fewer rows. An empty table gives an
+    empty result. Other columns are dropped. At most `whole` distinct vectors of a dimension are searched whole, without
+    hashing: 0 always hashes, a larger bound is the exact way.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col).distinct()
@@ -111,7 +139,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     out = spark.createDataFrame([], "k1 long, k2 long, best array<struct<neg:double,vec_id:long>>")
     sizes = index.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy("dim").collect()  # one row a dimension
     for dim, n, top in sizes:
-        out = out.unionByName(_search(index.filter(F.col("dim") == dim), wanted.filter(F.col("dim") == dim), dim, n, top, k, target))
+        out = out.unionByName(_search(index.filter(F.col("dim") == dim), wanted.filter(F.col("dim") == dim), dim, n, top, k, target, n <= whole))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64(F.lit(1), "v").alias("k1"), F.xxhash64(F.lit(2), "v").alias("k2"))
     told = asked.join(stash(out, "found"), ["k1", "k2"])
     best = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
@@ -119,20 +147,20 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return told.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.neg")).alias("score")).select(*[c.split()[0] for c in shape.split(", ")])
 
 
-def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float, k: int, target: float) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float, k: int, target: float, whole: bool) -> DataFrame:
     parts = max(1, -(-n // PART))
     m = 4 + max(0, int(math.log(max(1, n / 65_536), 4)))
-    tables = TABLES if parts > 1 else 1
-    m = min(m, 8, dim + 1) if parts > 1 else 1
+    tables = 1 if whole else TABLES
+    m = 1 if whole else min(m, 8, dim + 1)
     r = _distance(index.select("ids", "v").select(F.col("ids")[0].alias("vec_id"), "v"), n, top, k)
-    need = 1 - (1 - target) ** (1 / tables) if parts > 1 else 2.0
+    need = 1 - (1 - target) ** (1 / tables)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hashes(dim, m, tables, top, r)
         for pdf in frames:
             x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), dim)
             for t in range(tables):
-                yield pdf[["k1", "k2", "v", "ids"]].assign(t=t, bucket=h.code(np.floor(h.slots(x, t))) if parts > 1 else 0)
+                yield pdf[["k1", "k2", "v", "ids"]].assign(t=t, bucket=0 if whole else h.code(np.floor(h.slots(x, t))))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = Hashes(dim, m, tables, top, r)
@@ -140,7 +168,7 @@ def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float,
             x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), dim)
             for t in range(tables):
                 places = h.slots(x, t, query=True)
-                yield pdf[["k1", "k2"]].assign(t=t, buckets=[h.probes(p, need) if parts > 1 else np.zeros(1, dtype=np.int64) for p in places])
+                yield pdf[["k1", "k2"]].assign(t=t, buckets=[np.zeros(1, dtype=np.int64) if whole else h.probes(p, need) for p in places])
 
     placed = stash(index.mapInPandas(place, "k1 long, k2 long, v array<double>, ids array<long>, t int, bucket long"), "index")
     large = placed.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > PART).select("t", "bucket", F.ceil(F.col("size") / PART).cast("int").alias("splits"))
@@ -163,19 +191,23 @@ def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float,
             xs, code = np.stack(c["v"].to_list()), c["bucket"].to_numpy()
             ids = c["ids"].to_list()
             own, column = np.unique(code, return_inverse=True)
-            low = np.ascontiguousarray(xs.T, dtype=np.float32)
-            longest = float(np.sqrt((xs * xs).sum(axis=1)).max())
+            scale = float(np.abs(xs).max())  # so that single precision holds any finite component
+            low = np.ascontiguousarray((xs / scale).T, dtype=np.float32)
+            longest = float(np.sqrt(((xs / scale) ** 2).sum(axis=1)).max())
+            often = int(np.unique([i for row in ids for i in row], return_counts=True)[1].max())  # vectors that one id has
+            floor_at = k - 1 + often  # so many may be a query's own
             for at in range(0, len(q), 256):
                 block = q.iloc[at : at + 256]
                 qs = np.stack(block["v"].to_list())
                 visit = np.zeros((len(block), len(own)), dtype=bool)
                 for row, want in enumerate(block["buckets"]):
                     visit[row, np.searchsorted(own, np.intersect1d(own, want, assume_unique=True))] = True
-                slack = (1e-5 * longest * np.sqrt((qs * qs).sum(axis=1))).astype(np.float32)[:, None]
-                s = qs.astype(np.float32) @ low
+                small = qs / np.abs(qs).max(axis=1, keepdims=True)
+                slack = (2 * (dim + 4) * 2.0**-23 * longest * np.sqrt((small * small).sum(axis=1))).astype(np.float32)[:, None]
+                s = small.astype(np.float32) @ low
                 first = np.where(visit[:, column[:FIRST]], s[:, :FIRST], -np.inf)
-                if first.shape[1] > k:  # the k-th of the first columns is a floor for the k-th of all
-                    floor = -np.partition(-first, k, axis=1)[:, k : k + 1] - slack
+                if first.shape[1] > floor_at:  # a rank among the first columns is a floor for that among all
+                    floor = -np.partition(-first, floor_at, axis=1)[:, floor_at : floor_at + 1] - slack
                 else:
                     floor = np.full_like(slack, -np.inf)
                 rows, cols = np.nonzero(s >= floor)
@@ -185,17 +217,17 @@ def _search(index: DataFrame, queries: DataFrame, dim: int, n: int, top: float,
                 k1, k2 = block["k1"].to_list(), block["k2"].to_list()
                 for row in range(len(block)):
                     mine = cols[cuts[row] : cuts[row + 1]]
-                    if len(mine) > k + 1:
+                    if len(mine) > floor_at + 1:
                         near = s[row, mine]
-                        mine = mine[near >= -np.partition(-near, k)[k] - slack[row]]
+                        mine = mine[near >= -np.partition(-near, floor_at)[floor_at] - slack[row]]
                     if len(mine):
                         score = (xs[mine] * qs[row]).sum(axis=1).tolist()
-                        found = sorted((-v, int(i)) for v, j in zip(score, mine.tolist()) for i in ids[j])[: k + 1]
+                        found = enough(sorted((-v, int(i)) for v, j in zip(score, mine.tolist()) for i in ids[j]), k)
                         out.append((k1[row], k2[row], [v for v, _ in found], [i for _, i in found]))
         return pd.DataFrame(out, columns=["k1", "k2", "neg", "vec"])
 
     ranked = visits.groupBy("t", "part").cogroup(x.groupBy("t", "part")).applyInPandas(rank, "k1 long, k2 long, neg array<double>, vec array<long>")
     pairs = ranked.select("k1", "k2", F.zip_with("neg", "vec", lambda a, b: F.struct(a.alias("neg"), b.alias("vec_id"))).alias("pairs"))
-    merged = pairs.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("all"))  # at most k + 1 of each part visited
+    merged = pairs.groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("pairs"))).alias("all"))  # at most 2 k of each part visited
     once = F.filter("all", lambda x, i: (i == 0) | (x != F.element_at("all", i)))  # a candidate of several tables stands side by side
-    return merged.select("k1", "k2", F.slice(once, 1, k + 1).alias("best"))
+    return merged.select("k1", "k2", once.alias("best"))

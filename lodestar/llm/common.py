@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -40,7 +40,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def new_table(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver exits."""
     path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
@@ -91,7 +91,7 @@ def text_or_empty(name: str = "text") -> Column:
 BITS = 1 << 27
 _ROW = 1 << 15
 #: Helper columns beside columns of any name.
-MAYBE, _AT, _BIT_ROW, _BIT_MAP, _KEY, _GONE, _LEAST = (f"__lodestar_{x}_column" for x in ("maybe", "at", "bit_row", "bit_map", "key", "gone", "least"))
+MAYBE, _AT, _BIT_ROW, _BIT_MAP, _KEY, _GONE, _LEAST, _PART = (f"__lodestar_{x}_column" for x in ("maybe", "at", "bit_row", "bit_map", "key", "gone", "least", "part"))
 
 
 class Bitmap:
@@ -123,6 +123,28 @@ class Bitmap:
         return self.mark(df, *cols).filter(F.col(MAYBE)).drop(MAYBE)
 
 
+#: Rows of one key that one task joins, about; a key with more is spread, over WIDEST tasks at most (adaptive execution splits those on).
+PER_TASK, WIDEST = 4096, 1024
+
+
+def join_uneven(left: DataFrame, right: DataFrame, key: str, n: str, by: Column, how: str = "inner") -> DataFrame:
+    """left joined with right on key. right has one row a key, small, whose n says how many rows of left have it, about.
+
+    Keys of many rows meet their row of right in several tasks, dealt by a hash of `by`, columns of left. Only these
+    keys' rows of right are copied, at most WIDEST ** 2 times as many as the largest key goes into all rows.
+    """
+    most = right.agg(F.max(n)).first()[0] or 0
+    if most <= PER_TASK:
+        return left.join(right, key, how)
+    parts = min(WIDEST, -(-most // PER_TASK))
+    big = Bitmap(right.filter(F.col(n) > -(-most // parts)).select(key), key)
+    marked, of = big.mark(left, F.col(key)), big.mark(right, F.col(key))
+    few = marked.filter(~F.col(MAYBE)).drop(MAYBE).join(of.filter(~F.col(MAYBE)).drop(MAYBE), key, how)
+    spread = of.filter(F.col(MAYBE)).drop(MAYBE).withColumn(_PART, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    many = marked.filter(F.col(MAYBE)).drop(MAYBE).withColumn(_PART, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(spread, [key, _PART], how).drop(_PART)
+    return few.unionByName(many)
+
+
 def without_rows(df: DataFrame, gone: DataFrame, key: Column, gone_key: str) -> DataFrame:
     """Rows of df whose key is not among gone's; only rows that may be are shuffled."""
     marked = Bitmap(gone, gone_key).mark(df, key)

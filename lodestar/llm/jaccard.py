@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import MAYBE, Bitmap, arrow_bounded, stash, text_or_empty, whole_id, without_copies
+from lodestar.llm.common import Bitmap, arrow_bounded, join_uneven, stash, text_or_empty, whole_id, without_copies
 from lodestar.llm.textnum import batches, mix, shingles
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -31,7 +31,6 @@ TOLERANCE = 1e-6
 STEP = 16
 #: Members of a block.
 BLOCK = 1024
-SALTS = 16
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -228,23 +227,6 @@ def _linked(pdf: pd.DataFrame, own: list[np.ndarray], threshold: float, toleranc
                 yield x[p:q][near], y[p:q][near]
 
 
-#: Neighbours of a node that are joined with it in one task, about; a node with more is spread over several.
-DEGREE = 4096
-
-
-def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """edges (a, b) with a's least neighbour m; the edges of a node of many neighbours meet it in several tasks."""
-    if most <= DEGREE:
-        return edges.join(least.drop("n"), "a")
-    big = Bitmap(least.filter(F.col("n") > DEGREE).select("a"), "a")
-    parts = -(-most // DEGREE)
-    marked, of = big.mark(edges, F.col("a")), big.mark(least.drop("n"), F.col("a"))
-    few = marked.filter(~F.col(MAYBE)).drop(MAYBE).join(of.filter(~F.col(MAYBE)).drop(MAYBE), "a")
-    spread = of.filter(F.col(MAYBE)).drop(MAYBE).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    many = marked.filter(F.col(MAYBE)).drop(MAYBE).withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).join(spread, ["a", "part"]).drop("part")
-    return few.unionByName(many)
-
-
 def components(edges: DataFrame, u: str = "set_id", v: str = "to_id") -> DataFrame:
     """node, root for every node of the edges: alternating large and small stars until nothing changes. Roots are least nodes."""
     e = stash(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).filter("a != b").distinct(), "edges")
@@ -252,11 +234,10 @@ def components(edges: DataFrame, u: str = "set_id", v: str = "to_id") -> DataFra
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
-        most = least.agg(F.max("n")).first()[0] or 0
-        large = _with_least(both.filter("b > a"), least, most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = join_uneven(both.filter("b > a"), least, "a", "n", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = stash(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, least, most).select("a", "b", "m")
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = join_uneven(large, least, "a", "n", F.col("b")).select("a", "b", "m")
         e = stash(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("p")).select("p.a", "p.b").filter("a != b").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -286,11 +267,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     counted = found.groupBy("set_id").agg(F.sum("n").alias("n"))
     member = classes.select("set_id", "rep", "size", "best").join(counted, "set_id", "left").join(root.withColumnRenamed("node", "set_id"), "set_id", "left")
     member = stash(member.filter("size > 1 or n is not null or root is not null").select("set_id", "rep", "size", "best", "n", F.coalesce("root", "set_id").alias("root")), "members")
-    of = member.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("best").alias("root_best"))
-    member = member.join(of, "root").select("set_id", F.col("root_best").alias("best"), F.col("rep").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    spread = member.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.select("doc_id", "key", "row", "set_id").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)).cast("int"))
-    out = salted.join(spread, ["set_id", "salt"], "left")
+    of = member.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("best").alias("root_best"), F.count(F.lit(1)).alias("root_classes"))
+    of = stash(of, "roots")
+    member = join_uneven(member, of, "root", "root_classes", F.col("set_id"))
+    member = member.select("set_id", F.col("root_best").alias("best"), F.col("rep").alias("copy_id"), "class_id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "size")
+    out = join_uneven(rows.select("doc_id", "key", "row", "set_id"), stash(member, "members"), "set_id", "size", F.col("row"), "left")
     own = F.col("n_links").isNull()
     return out.select("doc_id", "key", "row", "best", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

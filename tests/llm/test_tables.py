@@ -115,3 +115,81 @@ def test_recall_of_the_hashed_search(spark):
         d[q] = -np.inf
         want |= {(q, int(i)) for i in np.argsort(-d, kind="stable")[:20]}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_odd_vectors_take_the_hashed_path_too(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(400)]
+    rows += [(20, rng.normal(size=6).tolist()) for _ in range(30)]  # one id, many vectors
+    rows += [(500 + i, rows[0][1]) for i in range(60)] + [(700, None), (701, [0] * 6), (702, [1, None, 1, 1, 1, 1]), (None, [1.0] * 6), (40, rows[40][1])]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(vectors(spark, rows), whole=0).collect()]
+    want = brute(rows)
+    assert all(q != v for q, _, v in got)
+    assert len({(q, v) for q, _, v in got} & {(q, v) for q, _, v in want}) / len({(q, v) for q, _, v in want}) >= 0.9
+    ranked = ann.nearest(vectors(spark, rows)).filter("query_id = 20").collect()
+    assert len(ranked) >= 20 and all(r["vec_id"] != 20 for r in ranked)
+
+
+def test_own_vectors_leave_room_for_others(spark):
+    rows = [(20, [1.0 + k / 100, 0.0]) for k in range(30)] + [(100 + k, [0.5, k / 100]) for k in range(1, 30) if (100 + k) % 20]
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(vectors(spark, rows)).filter("query_id = 20").collect()}
+    assert got and all(v != 20 for _, v in got)
+    wide = [(20, [1e300, 1.0]), (21, [2e300, 1.0]), (22, [1e-3, 1.0])]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(df).orderBy("rank").collect()] == [21, 22]
+
+
+def test_probes_reach_their_target_in_falling_order():
+    h = ann.Hashes(16, 5, 1, 1.0, 1.4)
+    rng = np.random.default_rng(5)
+    for need in (0.3, 0.6, 0.9):
+        found = h.probes(rng.normal(size=5) * 3, need)
+        assert len(np.unique(found)) == len(found) > 1
+    assert len(h.probes(np.full(5, 0.5), 0.3)) < len(h.probes(np.full(5, 0.5), 0.9))
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(21)
+    hosts = [f"h{k}.org" for k in range(12)] + ["www.example.com", "a.net"]
+    rows = []
+    for k in range(60):
+        host = rng.choice(hosts)
+        path = rng.choice(["/en/x", "/es/x", "/fr/", "/"])
+        links = "".join(f'<a href="http://{rng.choice(hosts)}/p">l</a>' for _ in range(rng.randint(0, 3)))
+        rows.append((k, f"http://{host}{path}", links))
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    ruled = {}
+    for k, url, _ in rows:
+        host, path = url[7:].split("/", 1)
+        fits = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        ruled[k] = max(fits)[1] if fits else None
+    names = sorted({u[7:].split("/", 1)[0] for _, u, _ in rows} | set(hosts))
+    at = {h: i for i, h in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for k, url, html in rows:
+        src = url[7:].split("/", 1)[0]
+        for dst in [x.split("/")[0] for x in html.split('href="http://')[1:]]:
+            if dst != src:
+                w[at[dst], at[src]] += 1
+    seen = {u[7:].split("/", 1)[0] for _, u, _ in rows}
+    bad = {u[7:].split("/", 1)[0] for k, u, _ in rows if ruled[k] == "block"}
+    good = {u[7:].split("/", 1)[0] for k, u, _ in rows if ruled[k] == "allow"} - bad
+
+    def mass(m, seeds):
+        m = m / np.maximum(m.sum(axis=0), 1)
+        s = np.array([1 / len(seeds) if h in seeds else 0 for h in names]) if seeds else np.zeros(len(names))
+        x, r = s, np.zeros(len(names))
+        for _ in range(urls.ROUNDS):
+            r = 0.85 * (m @ x)
+            x = r + 0.15 * s
+        return x, r
+
+    trust, _ = mass(w, good)
+    _, distrust = mass(w.T, bad)
+    for k, url, _ in rows:
+        h = at[url[7:].split("/", 1)[0]]
+        t, d = trust[h] * len(seen), distrust[h] * len(seen)
+        if ruled[k] is not None:
+            assert got[k]["verdict"] == ruled[k]
+        elif abs(d - t) > 1e-6 and abs(d - urls.DISTRUST) > 1e-6:
+            assert got[k]["verdict"] == ("block" if d > urls.DISTRUST and d > t else "allow"), (url, t, d)

@@ -117,7 +117,7 @@ def findings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """id, policy, target, title, severity, confidence, description of one run: line items of even or odd orders."""
     q = F.col("l_quantity")
     sev = F.when(q >= 45, "critical").when(q >= 35, "high").when(q >= 20, "medium").when(q >= 8, "low").otherwise("note")
-    l = t(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    l = t(spark, sf_dir, "lineitem")
     l = l.filter("l_orderkey % 3 != 0") if side == "baseline" else l.filter("l_orderkey % 5 != 0")
     shift = F.when(F.col("l_orderkey") % 7 == 0, F.lit("-b" if side == "baseline" else "-c")).otherwise(F.lit(""))
     return l.select(
@@ -129,7 +129,7 @@ def findings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def _sql_findings(name: str, mod: int, mark: str) -> str:
     return f"""{name} AS (SELECT l_orderkey || '.' || l_linenumber || CASE WHEN l_orderkey % 7 = 0 THEN '{mark}' ELSE '' END AS id, 'policy-' || l_returnflag AS policy, 'part:' || l_partkey AS target, ' Issue ' || l_linestatus || ' ' || (l_suppkey % 10) || ' ' AS title,
- CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 35 THEN 'high' WHEN l_quantity >= 20 THEN 'medium' WHEN l_quantity >= 8 THEN 'low' ELSE 'note' END AS severity, round(l_discount * 10000)::INTEGER AS confidence, 'tax ' || l_linenumber AS description FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % {mod} <> 0)"""
+ CASE WHEN l_quantity >= 45 THEN 'critical' WHEN l_quantity >= 35 THEN 'high' WHEN l_quantity >= 20 THEN 'medium' WHEN l_quantity >= 8 THEN 'low' ELSE 'note' END AS severity, round(l_discount * 10000)::INTEGER AS confidence, 'tax ' || l_linenumber AS description FROM lineitem WHERE l_orderkey % {mod} <> 0)"""
 
 
 SQL_FINDINGS = _sql_findings("bf", 3, "-b") + ", " + _sql_findings("cf", 5, "-c")

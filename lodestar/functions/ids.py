@@ -31,6 +31,26 @@ def list_hash(c: Column | str) -> Column:
     return F.sha2(F.concat(F.unhex(F.concat_ws("", F.transform(framed, F.hex))), F.unhex(F.lit("FF"))), 256)
 
 
+def plain_hash(*parts: Column | str) -> Column:
+    """Hash of the parts' bytes in their order, no frames; the parts hold their own marks. Null parts add nothing."""
+    return F.sha2(F.concat(*[F.coalesce(col(p).cast("binary"), F.unhex(F.lit(""))) for p in parts]), 256)
+
+
+def each(items: Column | str, before: str = "", after: str = "\x00") -> Column:
+    """The elements of a list in their order, each between the two marks; empty if it is null."""
+    return F.coalesce(F.array_join(F.transform(col(items), lambda x: F.concat(F.lit(before), x, F.lit(after))), ""), F.lit(""))
+
+
+def set_hash(item: Column | str) -> Column:
+    """Aggregate: one hash of a group's items whatever their order, as sums of the items' hashes, word by word; no list is gathered.
+
+    Repeats count. It tells sets apart that differ by chance or change; it is no defence against items made to collide.
+    """
+    h = F.sha2(col(item).cast("binary"), 256)
+    words = [F.sum(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
+    return F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *words), 256)
+
+
 SEVERITIES = ("note", "low", "medium", "high", "critical")
 
 

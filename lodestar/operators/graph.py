@@ -5,20 +5,67 @@ Rounds end when a frontier is empty, so cycles are no matter. Lineage is cut by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _OWN.setdefault("local", "file://" + tempfile.mkdtemp(prefix="lodestar-"))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before the interpreter: the cluster's own retention clears the folder
+        return
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
 
-            base = tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and lost executors don't lose it. Removed when the driver exits."""
+    path = f"{_folder(df.sparkSession)}/lodestar-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, roots: int = 1) -> DataFrame:
+    """node, root, depth (fewest steps), via (the least neighbour on that way; null for seeds): the nearest seeds that reach each node, `roots` at most.
+
+    edges: src, dst; seeds: node. One frontier for all seeds: a node is in it once for each root that it keeps, so the
+    work is that of the edges whatever the number of seeds. Ties go to the least root. Following via gives a shortest path.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    none = F.lit(None).cast(edges.schema["dst"].dataType)
+    seen = cut(seeds.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("via")).distinct())
+    last, depth = seen, 0
+    while (max_depth is None or depth < max_depth) and not last.isEmpty():
+        depth += 1
+        step = last.select(F.col("node").alias("src"), "root").join(edges, "src").groupBy(F.col("dst").alias("node"), "root").agg(F.min("src").alias("via"))
+        if roots == 1:
+            step = step.groupBy("node").agg(F.min(F.struct("root", "via")).alias("m")).select("node", "m.root", "m.via").join(seen.select("node"), "node", "left_anti")
+        else:
+            held = seen.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+            step = step.join(seen.select("node", "root"), ["node", "root"], "left_anti").join(held, "node", "left").filter(F.coalesce("held", F.lit(0)) < roots)
+            step = step.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("root"))).filter(F.col("rn") <= roots)
+            step = step.filter(F.col("rn") + F.coalesce("held", F.lit(0)) <= roots)
+        last = cut(step.select("node", "root", F.lit(depth).alias("depth"), "via"))
+        seen = seen.unionByName(last)
+        if depth % 8 == 0:
+            seen = cut(seen)
+    return seen
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -29,37 +76,55 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     while max_depth is None or depth < max_depth:
         depth += 1
         step = last.join(edges, last["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        last = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        last = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
         if depth % 8 == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The edges that remain when nodes without a way in or out are taken away until none is left."""
+    before = None
+    while True:
+        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        n = e.count()
+        if n == before or not n:
+            return e
+        before = n
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """node, label (least node of its component), size: strongly connected components of more than one node, and self loops.
 
-    Nodes that cannot lie on a cycle (no way in or out) are trimmed first; of the rest two are in one component if each
-    reaches the other.
+    Colouring: every node takes the least node that reaches it; the nodes of a colour from which its own node can be
+    reached back are a component. They are taken away, the rest is trimmed, and the next round begins. Each round holds
+    a row a node and an edge, never pairs of nodes.
     """
     e = edges.select("src", "dst").distinct()
-    loops = e.filter("src = dst").select(F.col("src").alias("node"))
-    e = e.filter("src != dst")
-    before = None
-    for _ in range(50):
-        kept = _cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        n = kept.count()
-        e = kept
-        if n == before:
-            break
-        before = n
-    reach = closure(e, e.select(F.col("src").alias("root")).distinct()).filter("depth > 0 or root = node").select("root", "node")
-    mutual = reach.join(reach.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"])
-    parts = mutual.groupBy("root").agg(F.min("node").alias("label"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("root").alias("node"), "label", "size")
-    alone = loops.distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size"))
-    return parts.unionByName(alone)
+    loops = e.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    e, parts = _trimmed(e.filter("src != dst")), None
+    while not e.isEmpty():
+        colour = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("label")))
+        news = colour
+        while not news.isEmpty():  # colours spread along edges from the nodes whose colour changed last
+            came = news.select(F.col("node").alias("src"), "label").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
+            both = cut(colour.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("new")))
+            colour, news = both.select("node", "label"), both.filter("new").select("node", "label")
+        inner = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").filter("a = b")
+        back = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = label").select("node")).select("node")
+        found = cut(colour.join(back, "node", "left_semi"))
+        parts = found if parts is None else parts.unionByName(found)
+        gone = found.select(F.col("node").alias("src"))
+        e = _trimmed(e.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    one = F.lit(1).cast("long")
+    if parts is None:
+        return loops.select("node", F.col("node").alias("label"), one.alias("size"))
+    size = parts.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    parts = parts.join(size, "label").select("node", "label", "size")
+    return parts.unionByName(loops.join(parts, "node", "left_anti").select("node", F.col("node").alias("label"), one.alias("size")))
 
 
 def ancestors(parents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,32 +140,83 @@ def dependency_edges(relations: DataFrame) -> DataFrame:
     return relations.select("source", "target", kind.alias("relation"))
 
 
-def impact(relations: DataFrame, targets: DataFrame, changed: DataFrame, removed: DataFrame, linked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """id, kind, depth: why each target is affected; the first reason in this order stays, least depth within it.
+#: Kinds of impact in the order of analysis.
+IMPACTS = ("direct", "forward", "backward", "design", "conservative", "containment")
 
-    direct; forward (callers, referrers and implementers of what changed, also of what was removed, from depth 1);
-    backward (callees of what changed directly, one hop); design (targets linked to a changed document); conservative
-    (siblings of affected targets whose inventory is failed or unsupported); containment (parents of all affected).
-    changed, removed, linked: id.
+
+def impact_reasons(
+    relations: DataFrame, targets: DataFrame, changed: DataFrame, removed: DataFrame, linked: DataFrame | None = None, max_depth: int | None = None,
+    baseline: DataFrame | None = None, contracts: DataFrame | None = None,
+) -> DataFrame:
+    """id, kind, depth, via, root: every kind of reason for which a target is affected; via is the neighbour that it comes from, root the nearest target that set it off.
+
+    direct; forward (callers, referrers and implementers of what changed; of what was removed too, whose callers in the
+    current and the baseline's relations stand at depth 1); backward (callees of what changed, one hop, as
+    backward_contract where the caller's contract changed); design (targets linked to a changed document); conservative
+    (siblings of affected targets whose inventory is failed or unsupported); containment (ancestors of all affected).
+    changed, removed, linked, contracts: id.
     """
     edges = dependency_edges(relations).filter("relation != 'contains'")
     present = targets.select("id")
-    direct = changed.join(present, "id", "left_semi").select("id", F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
-    seeds = changed.unionByName(removed).select(F.col("id").alias("root")).distinct()
-    forward = closure(edges.select(F.col("target").alias("src"), F.col("source").alias("dst")), seeds, max_depth).filter("depth > 0").groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
-    forward = forward.join(present, "id", "left_semi").select("id", F.lit("forward").alias("kind"), "depth")
-    backward = edges.filter("relation = 'calls'").join(changed, F.col("source") == F.col("id")).select(F.col("target").alias("id")).distinct().join(present, "id", "left_semi").select("id", F.lit("backward").alias("kind"), F.lit(1).alias("depth"))
-    found = direct.unionByName(forward).unionByName(backward)
+    none = F.lit(None).cast("string")
+    direct = changed.select("id").distinct().join(present, "id", "left_semi").select("id", F.lit("direct").alias("kind"), F.lit(0).alias("depth"), none.alias("via"), F.col("id").alias("root"))
+    ways = edges.select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    if baseline is not None:  # only the removed targets' callers come from the baseline
+        old = dependency_edges(baseline).filter("relation != 'contains'").join(removed.select(F.col("id").alias("target")), "target", "left_semi")
+        ways = ways.unionByName(old.select(F.col("target").alias("src"), F.col("source").alias("dst")))
+    seeds = changed.unionByName(removed).select(F.col("id").alias("node")).distinct()
+    # two roots a node: what changed itself may be reached from another change
+    forward = reach(ways, seeds, max_depth, roots=2).filter("root != node").groupBy("node").agg(F.min(F.struct("depth", "root", "via")).alias("m"))
+    forward = forward.select(F.col("node").alias("id"), F.lit("forward").alias("kind"), "m.depth", "m.via", "m.root").join(present, "id", "left_semi")
+    back = edges.filter("relation = 'calls'").join(changed.select("id").distinct(), F.col("source") == F.col("id")).groupBy(F.col("target").alias("id")).agg(F.min("source").alias("via")).join(present, "id", "left_semi")
+    kind = F.lit("backward")
+    if contracts is not None:
+        back = back.join(contracts.select(F.col("id").alias("via"), F.lit(True).alias("c")).distinct(), "via", "left")
+        kind = F.when(F.col("c"), "backward_contract").otherwise("backward")
+    found = direct.unionByName(forward).unionByName(back.select("id", kind.alias("kind"), F.lit(1).alias("depth"), "via", F.col("via").alias("root")))
     if linked is not None:
-        found = found.unionByName(linked.join(present, "id", "left_semi").select("id", F.lit("design").alias("kind"), F.lit(1).alias("depth")))
-    order = F.when(F.col("kind") == "direct", 0).when(F.col("kind") == "forward", 1).when(F.col("kind") == "backward", 2).when(F.col("kind") == "design", 3).when(F.col("kind") == "conservative", 4).otherwise(5)
-    first = lambda df: df.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("depth"), F.col("kind"))).alias("m")).select("id", F.col("m.kind").alias("kind"), F.col("m.depth").alias("depth"))
-    found = _cut(first(found))
-    weak = targets.filter("inventory in ('failed', 'unsupported') and parent is not null").join(found.select("id"), "id", "left_semi").select("parent").distinct()
-    siblings = targets.join(weak, "parent", "left_semi").select("id").join(found.select("id"), "id", "left_anti").select("id", F.lit("conservative").alias("kind"), F.lit(1).alias("depth"))
-    found = _cut(found.unionByName(siblings))
-    above = ancestors(targets, found.select(F.col("id").alias("node"))).groupBy(F.col("ancestor").alias("id")).agg(F.min("depth").alias("depth")).join(found.select("id"), "id", "left_anti").join(present, "id", "left_semi")
-    return found.unionByName(above.select("id", F.lit("containment").alias("kind"), "depth"))
+        found = found.unionByName(linked.select("id").distinct().join(present, "id", "left_semi").select("id", F.lit("design").alias("kind"), F.lit(1).alias("depth"), none.alias("via"), none.alias("root")))
+    found = cut(found)
+    weak = targets.filter("inventory in ('failed', 'unsupported') and parent is not null").join(found, "id", "left_semi").groupBy("parent").agg(F.min("id").alias("via"))
+    siblings = targets.select("id", "parent").join(weak, "parent").join(found, "id", "left_anti").select("id", F.lit("conservative").alias("kind"), F.lit(1).alias("depth"), "via", F.col("via").alias("root"))
+    found = cut(found.unionByName(siblings))
+    up = targets.filter("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    above = reach(up, found.select(F.col("id").alias("node")).distinct()).filter("depth > 0").select(F.col("node").alias("id"), F.lit("containment").alias("kind"), "depth", "via", "root")
+    return found.unionByName(above.join(present, "id", "left_semi").join(found, "id", "left_anti"))
+
+
+def first_reason(reasons: DataFrame) -> DataFrame:
+    """id, kind, depth: each target's first reason in the order of IMPACTS, least depth within it."""
+    order = F.lit(len(IMPACTS))
+    for k, name in enumerate(IMPACTS):
+        order = F.when(F.col("kind").startswith(name), k).otherwise(order)
+    return reasons.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("depth"), F.col("kind"))).alias("m")).select("id", F.col("m.kind").alias("kind"), F.col("m.depth").alias("depth"))
+
+
+def impact(relations: DataFrame, targets: DataFrame, changed: DataFrame, removed: DataFrame, linked: DataFrame | None = None, max_depth: int | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """first_reason of impact_reasons."""
+    return first_reason(impact_reasons(relations, targets, changed, removed, linked, max_depth, baseline))
+
+
+def blast_radius(affected: DataFrame) -> DataFrame:
+    """One row: targets affected, and how many by each kind of impact alone or with others."""
+    return affected.agg(F.count_distinct("id").alias("targets"), *[F.count_distinct(F.when(F.col("kind").startswith(k), F.col("id"))).alias(k) for k in IMPACTS])
+
+
+def caller_changes(before: DataFrame, now: DataFrame, contracts: DataFrame) -> DataFrame:
+    """target, source, change of calls (source, target): added, removed, or contract, where both have the call and its caller's contract changed. contracts: id."""
+    b, n = before.select("source", "target").distinct(), now.select("source", "target").distinct()
+    same = b.join(n, ["source", "target"]).join(contracts.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    added, removed = n.join(b, ["source", "target"], "left_anti"), b.join(n, ["source", "target"], "left_anti")
+    shape = lambda df, change: df.select("target", "source", F.lit(change).alias("change"))
+    return shape(added, "added").unionByName(shape(removed, "removed")).unionByName(shape(same, "contract"))
+
+
+def backward_invalidation(calls: DataFrame, targets: DataFrame, changed: DataFrame, contracts: DataFrame) -> DataFrame:
+    """id, reason, via: callees of changed callers; call_tree_behavior_changed where the caller's contract changed, else upstream_call_structure_modified."""
+    c = calls.join(changed.select(F.col("id").alias("source")).distinct(), "source", "left_semi").join(targets.select(F.col("id").alias("target")), "target", "left_semi").distinct()
+    c = c.join(contracts.select(F.col("id").alias("source"), F.lit(True).alias("c")).distinct(), "source", "left")
+    return c.select(F.col("target").alias("id"), F.when(F.col("c"), "call_tree_behavior_changed").otherwise("upstream_call_structure_modified").alias("reason"), F.col("source").alias("via"))
 
 
 def invalidation(relations: DataFrame, targets: DataFrame, changed: DataFrame) -> DataFrame:
@@ -112,12 +228,13 @@ def invalidation(relations: DataFrame, targets: DataFrame, changed: DataFrame) -
     edges = dependency_edges(relations).filter("relation != 'contains'")
     present = targets.select("id")
     start = changed.join(present, "id", "left_semi")
-    reached = closure(edges.select(F.col("target").alias("src"), F.col("source").alias("dst")), start.select(F.col("id").alias("root"))).select(F.col("node").alias("id")).distinct()
-    reached = _cut(reached.join(present, "id", "left_semi"))
+    reached = reach(edges.select(F.col("target").alias("src"), F.col("source").alias("dst")), start.select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
+    reached = cut(reached.join(present, "id", "left_semi"))
     direct = start.select("id", F.lit("changed").alias("reason"), F.col("id").alias("via"))
     along = edges.join(reached.select(F.col("id").alias("target")), "target", "left_semi").join(present.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.col("relation").alias("reason"), F.col("target").alias("via")).distinct()
-    above = ancestors(targets, reached.select(F.col("id").alias("node"))).select(F.col("ancestor").alias("id")).distinct().join(present, "id", "left_semi")
-    every = _cut(reached.unionByName(above).distinct())
+    up = targets.filter("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    above = reach(up, reached.select(F.col("id").alias("node"))).filter("depth > 0").select(F.col("node").alias("id")).join(present, "id", "left_semi")
+    every = cut(reached.unionByName(above).distinct())
     held = targets.join(every, "id", "left_semi").filter("parent is not null").select(F.col("parent").alias("id"), F.lit("contains").alias("reason"), F.col("id").alias("via")).join(present, "id", "left_semi")
     weak = targets.filter("inventory in ('failed', 'unsupported') and parent is not null").join(every, "id", "left_semi").select("parent", F.col("id").alias("via"))
     siblings = targets.select("id", "parent").join(weak, "parent").filter("id != via").join(every, "id", "left_anti").select("id", F.lit("conservative").alias("reason"), "via")

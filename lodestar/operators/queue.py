@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATES = ("pending", "leased", "succeeded", "failed", "cancelled")
@@ -61,6 +61,145 @@ def fail_attempt(work: DataFrame, max_attempts: int) -> DataFrame:
     return work.filter("state = 'leased'").select("work_id", F.when(again, "pending").otherwise("failed").alias("state"), F.when(again, "retry_scheduled").otherwise("failed").alias("event"))
 
 
+def release(work: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """work_id, state, attempts, event of leased items (of `chosen` work_ids, else all) that are given back: pending, attempts kept, logged as a retry."""
+    held = work.filter("state = 'leased'")
+    held = held if chosen is None else held.join(chosen.select("work_id").distinct(), "work_id", "left_semi")
+    return held.select("work_id", F.lit("pending").alias("state"), "attempts", F.lit("retry_scheduled").alias("event"))
+
+
+def heartbeat_millis(lease: Column | str) -> Column:
+    """A third of the lease, 25 ms at least and 10 s at most."""
+    return F.least(F.greatest(F.floor((F.col(lease) if isinstance(lease, str) else lease) / 3), F.lit(25)), F.lit(10_000)).cast("long")
+
+
+def worker_step(leased: DataFrame, admissions: DataFrame, checkpoints: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """work_id, action, generation of each leased item: succeeded (an outcome is there), orphaned (no admission), foreign (another owner's), resume (a checkpoint of this generation is there), run.
+
+    leased: work_id, owner, retries; admissions: work_id, owner; checkpoints: work_id, generation; outcomes: work_id.
+    """
+    a = admissions.select("work_id", F.col("owner").alias("admitted"))
+    k = checkpoints.select("work_id", F.col("generation").alias("retries"), F.lit(True).alias("kept")).distinct()
+    o = outcomes.select("work_id", F.lit(True).alias("done")).distinct()
+    j = leased.join(o, "work_id", "left").join(a, "work_id", "left").join(k, ["work_id", "retries"], "left")
+    action = F.when(F.col("done"), "succeeded").when(F.col("admitted").isNull(), "orphaned").when(F.col("admitted") != F.col("owner"), "foreign").when(F.col("kept"), "resume").otherwise("run")
+    return j.select("work_id", action.alias("action"), F.col("retries").alias("generation"))
+
+
+def append_events(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """new with its sequence: numbers that follow the log's last one without a gap, in the given order.
+
+    Rows are dealt by ranges of the order; a range begins where the counts of those before it end.
+    """
+    from lodestar.operators.graph import cut
+
+    last = log.agg(F.max("sequence")).first()[0] or 0
+    rows = cut(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())  # one row a partition
+    begins, total = [], last
+    for p, n in counts:
+        begins.append((p, total))
+        total += n
+    of = log.sparkSession.createDataFrame(begins, "_p long, _begin long")
+    placed = rows.withColumn("_p", part).join(F.broadcast(of), "_p")
+    return placed.withColumn("sequence", F.col("_begin") + F.col("_at") - F.shiftleft("_p", 33) + 1).drop("_at", "_p", "_begin")
+
+
+def compare_and_swap(records: DataFrame, updates: DataFrame) -> DataFrame:
+    """key, result, revision, data of each key with updates (key, expected, data, at): null expected creates.
+
+    Of several updates of one key the earliest counts, the others conflict with it. result: inserted, existing (equal
+    data), updated, conflict; revision and data are those that hold afterwards.
+    """
+    first = updates.groupBy("key").agg(F.min_by(F.struct("expected", "data"), "at").alias("u"), F.count(F.lit(1)).alias("n"))
+    j = first.join(records.select("key", F.col("revision").alias("had"), F.col("data").alias("old")), "key", "left")
+    want, data = F.col("u.expected"), F.col("u.data")
+    result = (
+        F.when(F.col("had").isNull() & want.isNull(), "inserted").when(F.col("had").isNotNull() & want.isNull() & (F.col("old") == data), "existing").when(F.col("had") == want, "updated").otherwise("conflict")
+    )
+    took = result.isin("inserted", "updated")
+    revision = F.when(result == "inserted", 0).when(result == "updated", F.col("had") + 1).otherwise(F.col("had"))
+    return j.select("key", result.alias("result"), revision.cast("long").alias("revision"), F.when(took, data).otherwise(F.col("old")).alias("data"), (F.col("n") - 1).alias("later_conflicts"))
+
+
+def store_artifacts(existing: DataFrame, new: DataFrame, kinds: list[str]) -> DataFrame:
+    """reference (content hash), kind, action of each new payload: insert, same, collision (another kind under the hash), invalid_kind. new: kind, payload."""
+    from lodestar.functions.ids import content_hash
+
+    n = new.select(content_hash("payload").alias("reference"), "kind").distinct()
+    j = n.join(existing.select("reference", F.col("kind").alias("had")).distinct(), "reference", "left")
+    action = F.when(~F.col("kind").isin(*kinds), "invalid_kind").when(F.col("had").isNull(), "insert").when(F.col("had") == F.col("kind"), "same").otherwise("collision")
+    return j.select("reference", "kind", action.alias("action"))
+
+
+def terminal_runs(runs: DataFrame, adjudications: DataFrame, cutoff: int) -> DataFrame:
+    """run, keep_row of runs to prune: finalized or cancelled and not updated after the cutoff; the row itself stays where the run is adjudicated."""
+    old = runs.filter(F.col("state").isin("finalized", "cancelled") & (F.col("updated") <= cutoff))
+    judged = adjudications.select("run", F.lit(True).alias("judged")).distinct()
+    return old.join(judged, "run", "left").select("run", F.coalesce("judged", F.lit(False)).alias("keep_row"))
+
+
+def cache_prune(cache: DataFrame, how: str, now: int = 0, targets: DataFrame | None = None, predicate: Column | None = None) -> DataFrame:
+    """Entries that a prune takes away. how: expired, targets (target), target_policy (target, policy), predicate (any column), clear."""
+    if how == "expired":
+        return cache.filter(F.col("expires_at") <= now)
+    if how in ("targets", "target_policy"):
+        keys = ["target"] if how == "targets" else ["target", "policy"]
+        return cache.join(targets.select(*keys).distinct(), keys, "left_semi")
+    return cache.filter(predicate) if how == "predicate" else cache
+
+
+def clean(work: DataFrame, runs: DataFrame, artifacts: DataFrame, outcomes: DataFrame, cache: DataFrame, adjudications: DataFrame, now: int, cutoff: int) -> dict[str, DataFrame]:
+    """What a clean-up takes away, by table: runs, work, outcomes, cache, artifacts. Nothing is deleted here, so it is the dry run too.
+
+    Artifacts go that neither the outcomes nor the cache entries that stay refer to.
+    """
+    gone_runs = terminal_runs(runs, adjudications, cutoff)
+    gone_work = work.join(gone_runs.select("run"), "run", "left_semi")
+    gone_outcomes = outcomes.join(gone_work.select("work_id").distinct(), "work_id", "left_semi")
+    gone_cache = cache_prune(cache, "expired", now)
+    kept_outcomes = outcomes.join(gone_work.select("work_id").distinct(), "work_id", "left_anti")
+    kept_cache = cache.join(gone_cache.select("entry").distinct(), "entry", "left_anti")
+    return {
+        "runs": gone_runs.filter(~F.col("keep_row")).select("run"), "work": gone_work, "outcomes": gone_outcomes, "cache": gone_cache,
+        "artifacts": unreferenced(artifacts, kept_outcomes, kept_cache),
+    }
+
+
+def progress(work: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: succeeded, pending, per_1000_s and eta_seconds (null without two successes at different times)."""
+    t = telemetry(events).select("first_success", "last_success")
+    w = work.agg(F.count_if(F.col("state") == "succeeded").alias("succeeded"), F.count_if(F.col("state") == "pending").alias("pending"))
+    j = w.crossJoin(t)  # one row by one row
+    rate = (F.col("succeeded") - 1) / ((F.col("last_success") - F.col("first_success")) / 1000.0)
+    known = (F.col("last_success") > F.col("first_success")) & (F.col("succeeded") > 1)
+    return j.select("succeeded", "pending", F.when(known, F.floor(rate * 1000)).alias("per_1000_s"), F.when(known & (F.col("pending") > 0), F.round(F.col("pending") / rate)).cast("long").alias("eta_seconds"))
+
+
+def stalled(work: DataFrame, now: int) -> DataFrame:
+    """work_id, lease_until of leased items whose lease is over, in order of id."""
+    return work.filter((F.col("state") == "leased") & (F.col("lease_until") <= now)).select("work_id", "lease_until").orderBy("work_id")
+
+
+#: The legal edges of the four lifecycles.
+LIFECYCLES = {
+    "execution": [
+        ("pending", "admitted"), ("failed", "admitted"), ("admitted", "leased"), ("admitted", "cancelled"), ("leased", "admitted"), ("leased", "succeeded"), ("leased", "failed"),
+        ("leased", "cancelled"),
+    ],
+    "assessment": [("pending", "passed"), ("pending", "candidate_finding"), ("pending", "unable_to_verify")],
+    "verification": [("not_requested", "pending"), ("pending", "corroborated"), ("pending", "disputed"), ("pending", "unable_to_verify")],
+    "adjudication": [("unreviewed", "accepted"), ("unreviewed", "rejected"), ("unreviewed", "deferred")],
+}
+
+
+def legal_moves(moves: DataFrame) -> DataFrame:
+    """id, legal of moves (id, lifecycle, before, after) by LIFECYCLES."""
+    edges = moves.sparkSession.createDataFrame([(n, a, b) for n, found in LIFECYCLES.items() for a, b in found], "lifecycle string, before string, after string")
+    return moves.join(F.broadcast(edges.withColumn("ok", F.lit(True))), ["lifecycle", "before", "after"], "left").select("id", F.coalesce("ok", F.lit(False)).alias("legal"))  # a fixed table
+
+
 def resume(work: DataFrame, now: int) -> DataFrame:
     return work.filter((F.col("state") == "leased") & (F.col("lease_until") <= now)).select("work_id", F.lit("pending").alias("state"), "attempts")
 

@@ -22,6 +22,32 @@ def clusters(findings: DataFrame, keys: list[str], extra: list[str] | None = Non
     return f.groupBy("cluster", *keys).agg(F.count(F.lit(1)).alias("occurrences"), F.min("id").alias("representative"))
 
 
+#: What a policy's canonical claim holds besides title, description, dimensions and citations.
+CLAIM_EXTRA = {
+    "documentation": (), "correctness": ("defect_kind", "failure_path"), "testing": ("subject", "recommended_level"), "optimization": ("finding_kind", "proposed_optimization"),
+    "maintainability": ("finding_kind", "refactoring_pattern"), "conformance": ("declared_intent", "observed_implementation", "discrepancy"), "architecture": ("defect", "target", "scope"),
+}
+
+
+def policy_clusters(findings: DataFrame, policy: str) -> DataFrame:
+    """cluster, occurrences, representative (least id): findings of one policy with the same canonical claim.
+
+    findings: id, title, description, dimensions and citations (lists), and the policy's CLAIM_EXTRA; for architecture
+    also verification, and the result's verification is disputed where occurrences differ in it. Documentation claims
+    ignore case and blanks, the others take texts as they are. Lists count as sets in order.
+    """
+    claim = normalize_claim if policy == "documentation" else F.col
+    listed = lambda name: F.array_join(F.array_sort(F.array_distinct(name)), "\x1f")
+    parts = {"title": claim("title"), "description": claim("description"), "dimensions": listed("dimensions"), "citations": listed("citations")}
+    if policy == "architecture":  # the claim's own id takes part, its title and citations do not
+        parts = {"finding": F.col("finding"), "description": F.col("description"), "dimensions": listed("dimensions")}
+    keyed = findings.withColumn("cluster", derived_id("cluster", *parts.values(), *CLAIM_EXTRA[policy]))
+    agg = [F.count(F.lit(1)).alias("occurrences"), F.min("id").alias("representative")]
+    if policy == "architecture":
+        agg.append(F.when(F.count_distinct("verification") > 1, "disputed").otherwise(F.min("verification")).alias("verification"))
+    return keyed.groupBy("cluster").agg(*agg)
+
+
 def match(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """baseline_id, current_id, category (persistent, new, resolved), matched_by (id, claim).
 
@@ -42,11 +68,12 @@ def match(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return exact.select(*shape, F.lit("persistent").alias("category"), F.lit("id").alias("matched_by"), F.coalesce("cs", "bs").alias("severity")).unionByName(rest.select(*shape, category.alias("category"), by.alias("matched_by"), F.coalesce("cs", "bs").alias("severity")))
 
 
-def gate(matched: DataFrame, max_critical: int = 0, max_high: int = 0, max_medium: int | None = None, max_total: int | None = None) -> DataFrame:
-    """rule, limit, found of each violated threshold on new findings."""
+def gate(matched: DataFrame, max_critical: int = 0, max_high: int = 0, max_medium: int | None = None, max_total: int | None = None, unadjudicated: bool = False) -> DataFrame:
+    """rule, limit, found of each violated threshold on new findings; unadjudicated: new findings that nobody reviewed (adjudication) violate too."""
     new = matched.filter("category = 'new'")
-    n = new.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")], F.count(F.lit(1)).alias("total"))
-    rules = [("critical", max_critical), ("high", max_high), ("medium", max_medium), ("total", max_total)]
+    open_ones = F.count_if(F.col("adjudication") == "unreviewed") if unadjudicated else F.lit(0).cast("long")
+    n = new.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")], F.count(F.lit(1)).alias("total"), open_ones.alias("unadjudicated"))
+    rules = [("critical", max_critical), ("high", max_high), ("medium", max_medium), ("total", max_total), ("unadjudicated", 0 if unadjudicated else None)]
     found = F.array(*[F.struct(F.lit(f"max_new_{r}").alias("rule"), F.lit(limit).cast("long").alias("limit"), F.col(r).alias("found")) for r, limit in rules if limit is not None])
     return n.select(F.explode(found).alias("v")).select("v.*").filter("found > limit")
 
@@ -78,23 +105,89 @@ def stability(members: DataFrame) -> DataFrame:
     return both.select(F.expr("runs * (runs - 1) div 2").alias("pairs"), F.col("common"), union.alias("union_size"), bp.alias("stability_bp"))
 
 
-def backlog_class(text: Column) -> Column:
-    """First keyword rule that fits; null if none does."""
-    s = F.lower(text)
+#: Categories of a backlog in their order, and priorities by severity.
+BACKLOG = ("stub_or_unimplemented", "scope_gap", "missing_todo", "general_gap", "missing_tests")
+PRIORITIES = ("critical", "high", "medium", "low", "note")
+
+
+def backlog_class(title: Column, description: Column | None = None, dimensions: Column | None = None) -> Column:
+    """First keyword rule that fits title and description; null if none does. dimensions: list of names."""
+    s = F.lower(title) if description is None else F.concat(F.lower(title), F.lit(" "), F.lower(description))
     has = lambda *words: reduce(lambda a, b: a | b, [s.contains(w) for w in words])
+    general = has("gap")
+    if dimensions is not None:
+        general = general | (F.array_contains(dimensions, "failure_paths") & has("unhandled", "panic"))
     return (
-        F.when(has("todo", "fixme"), "todo").when(has("scope", "invariant"), "scope").when(has("stub", "mock"), "stub").when(has("incomplete", "not implemented"), "incomplete").when(has("gap", "failure path"), "gap")
+        F.when(has("todo") & has("missing", "without", "no todo", "comment"), "missing_todo").when(has("scope gap", "invariant"), "scope_gap")
+        .when(has("stub", "todo!(", "unimplemented!(", "placeholder", "mock"), "stub_or_unimplemented").when(has("incomplete", "unimplemented", "not yet implemented", "future work"), "scope_gap")
+        .when(general, "general_gap")
     )
 
 
+def backlog_priority(severity: Column | str) -> Column:
+    """0 for critical to 4 for note."""
+    out = F.lit(None).cast("int")
+    for k, s in enumerate(PRIORITIES):
+        out = F.when((F.col(severity) if isinstance(severity, str) else severity) == s, k).otherwise(out)
+    return out
+
+
+def backlog_groups(items: DataFrame) -> DataFrame:
+    """position (the category's place in BACKLOG), category, items, urgent (priority 0 or 1). items: category, severity."""
+    place = F.array_position(F.array(*map(F.lit, BACKLOG)), F.col("category")).cast("int") - 1
+    g = items.filter("category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("items"), F.count_if(backlog_priority("severity") < 2).alias("urgent"))
+    return g.select(place.alias("position"), "category", "items", "urgent")
+
+
 def error_class(message: Column) -> Column:
-    s = F.lower(message)
+    """What a work item failed of; the words' case counts."""
+    has = lambda *words: reduce(lambda a, b: a | b, [message.contains(w) for w in words])
     return (
-        F.when(s.contains("timeout") | s.contains("timed out"), "timeout").when(s.contains("rate limit") | s.contains("429"), "rate_limit").when(s.contains("json") | s.contains("parse"), "invalid_output")
-        .when(s.contains("connect") | s.contains("network"), "network").when(s.contains("auth") | s.contains("401"), "authentication").otherwise("other")
+        F.when(has("invalid candidates", "policy candidate contract violation"), "Candidate Schema Mismatch").when(has("invalid provider output"), "Invalid Provider Output")
+        .when(has("provider unavailable"), "Provider Unavailable").when(has("budget exceeded", "token budget"), "Budget Exceeded").when(has("stalled", "lease expired"), "Work Stalled")
+        .when(has("invalid policy assessment"), "Policy Assessment Invalid").otherwise("Other Work Failure")
     )
 
 
+def error_log(failed: DataFrame, events: DataFrame) -> DataFrame:
+    """category, failures, events: failed work items by what they failed of, with their retries and failures in the log. failed: work_id, last_error; events: work_id, kind."""
+    log = events.filter("kind in ('retry_scheduled', 'failed')").groupBy("work_id").agg(F.count(F.lit(1)).alias("n"))
+    j = failed.select("work_id", error_class(F.coalesce("last_error", F.lit(""))).alias("category")).join(log, "work_id", "left")
+    return j.groupBy("category").agg(F.count(F.lit(1)).alias("failures"), F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
+
+
+def summary(work: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: total, a count for every state of work and result of succeeded work, occurrences, duplicates. work: state, result; clusters: occurrences."""
+    states, results = ("pending", "leased", "succeeded", "failed", "cancelled"), ("passed", "candidate_findings", "unable_to_verify")
+    w = work.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in states], *[F.count_if(F.col("result") == r).alias(r) for r in results])
+    k = clusters.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count(F.lit(1)).alias("clusters"))
+    return w.crossJoin(k).withColumn("duplicates", F.col("occurrences") - F.col("clusters")).drop("clusters")  # one row by one row
+
+
+def retain(findings: DataFrame, policy: str | None = None, dimension: str | None = None, severity: str | None = None) -> DataFrame:
+    """findings of one policy, dimension and severity, as far as they are given; a dimension needs a policy."""
+    if dimension is not None and policy is None:
+        raise ValueError("a dimension belongs to one policy")
+    keep = F.lit(True)
+    keep = keep if policy is None else keep & (F.col("policy") == policy)
+    keep = keep if dimension is None else keep & F.array_contains("dimensions", dimension)
+    return findings.filter(keep if severity is None else keep & (F.col("severity") == severity))
+
+
+#: Pipelines in their order, and the two whose policy must match exactly.
+PIPELINES = ("documentation", "internal-documentation", "correctness", "architecture", "optimization", "maintainability", "conformance", "testing")
+EXACT = {"documentation": "documentation-public-api@1", "internal-documentation": "documentation-internal@1"}
+
+
+def pipelines_present(work: DataFrame) -> DataFrame:
+    """run, pipeline: the pipelines that own a policy of a run's work. work: run, policy."""
+    owner = F.lit(None).cast("string")
+    for name in reversed(PIPELINES):
+        owns = F.col("policy") == EXACT[name] if name in EXACT else F.col("policy").startswith(name)
+        owner = F.when(owns, name).otherwise(owner)
+    return work.select("run", owner.alias("pipeline")).filter("pipeline is not null").distinct()
+
+
 def publish(items: DataFrame, receipts: DataFrame, force: bool = False) -> DataFrame:
     """id, hash, action: skip what was published to the same place with the same content before, unless forced."""
     seen = receipts.select(F.col("place").alias("rp"), F.col("hash").alias("rh")).distinct().withColumn("seen", F.lit(True))

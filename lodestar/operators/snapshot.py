@@ -49,3 +49,36 @@ def violations(targets: DataFrame, relations: DataFrame) -> DataFrame:
         .unionByName(row(relations.join(t, F.col("target") == F.col("id"), "left_anti"), "unknown_target", "target").distinct())
         .unionByName(row(targets.filter("parent is not null").join(t.withColumnRenamed("id", "p"), F.col("parent") == F.col("p"), "left_anti"), "missing_parent", "id"))
     )
+
+
+def line_starts(files: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, line (from 1), start: the byte at which each line begins; one fold over a file's lines, no shuffle."""
+    at = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + F.octet_length(x) + 1).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    starts = F.aggregate(F.split(F.col(text), "\n"), at, step)["out"]
+    return files.select(key, F.posexplode(starts).alias("pos", "start")).select(key, (F.col("pos") + 1).cast("long").alias("line"), "start")
+
+
+def read_range(files: DataFrame, key: str, start: str, end: str, text: str = "text") -> DataFrame:
+    """key, bytes of [start, end) of each file, problem: out_of_range if the range ends behind the file or before it begins."""
+    raw = F.col(text).cast("binary")
+    bad = (F.col(start) < 0) | (F.col(end) < F.col(start)) | (F.col(end) > F.octet_length(raw)) | raw.isNull()
+    part = F.substring(raw, (F.col(start) + 1).cast("int"), (F.col(end) - F.col(start)).cast("int"))
+    return files.select(key, F.when(~bad, part).alias("bytes"), F.when(F.coalesce(bad, F.lit(True)), "out_of_range").alias("problem"))
+
+
+def target_changes(targets: DataFrame, changes: DataFrame) -> DataFrame:
+    """id, change of the file that each target lies in; unchanged where it lies in none that changed. targets: id, path."""
+    return targets.join(changes.select("path", "change"), "path", "left").select("id", F.coalesce("change", F.lit("unchanged")).alias("change"))
+
+
+def snapshot_ids(files: DataFrame, snapshot: str, configuration: str, revision: str) -> DataFrame:
+    """snapshot, tree_id, snapshot_id: the tree's identity is that of its files alone; the snapshot's covers configuration and revision too.
+
+    files: the columns named by `snapshot`, `configuration` and `revision`, path, content, size, class.
+    """
+    from lodestar.functions.ids import derived_id, frame, set_hash
+
+    item = F.concat(*[frame(c) for c in ("path", "content", "size", "class")])
+    tree = files.groupBy(snapshot, configuration, revision).agg(set_hash(item).alias("tree_id"))
+    return tree.select(snapshot, "tree_id", derived_id("snapshot", "tree_id", configuration, revision).alias("snapshot_id"))

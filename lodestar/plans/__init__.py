@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from lodestar.plans import evidence, reviews, runs, snapshots, work  # noqa: F401
+from lodestar.plans import added, evidence, reviews, rules, runs, snapshots, work  # noqa: F401
 from lodestar.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

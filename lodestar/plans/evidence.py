@@ -17,74 +17,12 @@ from lodestar.registry import query
 c = F.col
 
 
-@query(f"""WITH s AS (SELECT target, string_agg(source, ';' ORDER BY source) AS callers FROM rl WHERE kind IN ('rust:calls', 'rust:implements') GROUP BY target) SELECT target, sha256(callers) AS digest FROM s""".replace("WITH s", f"WITH {B.SQL_RELATIONS}, s"))
-def upstream_digest(spark, sf):
-    calls = B.relations(spark, sf).filter("kind in ('rust:calls', 'rust:implements')")
-    return calls.groupBy("target").agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_list("source"))), 256).alias("digest"))
-
-
-@query(f"""WITH {B.SQL_RELATIONS}, e AS (SELECT DISTINCT source, target FROM rl WHERE kind IN ('rust:calls', 'rust:implements')), n AS (SELECT source AS id, 'callee:' || target AS x FROM e UNION ALL SELECT target, 'caller:' || source FROM e) SELECT id, sha256(id || '|' || string_agg(x, ';' ORDER BY x)) AS digest FROM n GROUP BY id""")
-def call_tree_digest(spark, sf):
-    e = B.relations(spark, sf).filter("kind in ('rust:calls', 'rust:implements')").select("source", "target").distinct()
-    n = e.select(c("source").alias("id"), F.concat(F.lit("callee:"), "target").alias("x")).unionByName(e.select(c("target").alias("id"), F.concat(F.lit("caller:"), "source").alias("x")))
-    return n.groupBy("id").agg(F.concat_ws(";", F.array_sort(F.collect_list("x"))).alias("xs")).select("id", F.sha2(F.concat("id", F.lit("|"), "xs"), 256).alias("digest"))
-
-
-@query("SELECT p_partkey, sha256(sha256(p_name || chr(0) || p_brand || chr(0) || p_type || chr(0) || p_size)) AS fingerprint FROM part")
-def composite_fingerprint(spark, sf):
-    once = F.sha2(F.concat("p_name", F.lit("\x00"), "p_brand", F.lit("\x00"), "p_type", F.lit("\x00"), c("p_size").cast("string")), 256)
-    return B.t(spark, sf, "part").select("p_partkey", F.sha2(once, 256).alias("fingerprint"))
-
-
-@query("""WITH f AS (SELECT p_partkey, p_brand AS b1, CASE WHEN p_partkey % 6 = 0 THEN p_brand || 'x' ELSE p_brand END AS b2, p_type AS t1, CASE WHEN p_partkey % 4 = 0 THEN upper(p_type) ELSE p_type END AS t2, p_size AS s1, CASE WHEN p_partkey % 9 = 0 THEN p_size + 1 ELSE p_size END AS s2 FROM part)
-SELECT p_partkey, 'identity' AS grp, 'brand' AS field FROM f WHERE b1 IS DISTINCT FROM b2 UNION ALL SELECT p_partkey, 'content', 'type' FROM f WHERE t1 IS DISTINCT FROM t2 UNION ALL SELECT p_partkey, 'environment', 'size' FROM f WHERE s1 IS DISTINCT FROM s2""")
-def fingerprint_diff(spark, sf):
-    p, k = B.t(spark, sf, "part"), c("p_partkey")
-    pairs = [("identity", "brand", c("p_brand"), F.when(k % 6 == 0, F.concat("p_brand", F.lit("x"))).otherwise(c("p_brand"))), ("content", "type", c("p_type"), F.when(k % 4 == 0, F.upper("p_type")).otherwise(c("p_type"))), ("environment", "size", c("p_size"), F.when(k % 9 == 0, c("p_size") + 1).otherwise(c("p_size")))]
-    rows = F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.struct(F.lit(g).alias("grp"), F.lit(f).alias("field"))) for g, f, a, b in pairs]))
-    return p.select("p_partkey", F.explode(rows).alias("d")).select("p_partkey", "d.*")
-
-
-@query(f"WITH {B.SQL_FILES} SELECT class, sha256(string_agg(path || '=' || coalesce(content, '-'), ';' ORDER BY path)) AS tree_id FROM fc GROUP BY class")
-def tree_ids(spark, sf):
-    one = F.concat("path", F.lit("="), F.coalesce("content", F.lit("-")))
-    return B.files(spark, sf, "current").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("path", one.alias("x")))).alias("xs")).select("class", F.sha2(F.concat_ws(";", F.transform("xs", lambda x: x["x"])), 256).alias("tree_id"))
-
-
-def _policy_clusters(extra):
-    return lambda spark, sf: R.clusters(B.findings(spark, sf, "current"), ["policy", "title"], extra)
-
-
-def _policy_sql(extra):
-    cols = ["policy", "title", *extra]
-    inner = ", ".join(f"lower(trim({x})) AS {x}" for x in cols)
-    return f"WITH {B.SQL_FINDINGS}, n AS (SELECT id, {inner} FROM cf) SELECT {sql_id('cluster', *cols)} AS cluster, {', '.join(cols)}, count(*) AS occurrences, min(id) AS representative FROM n GROUP BY ALL"
-
-
-#: Each policy's canonical claim adds these columns.
-for _policy, _extra in {"architecture": ["target", "severity"], "correctness": ["severity", "description"], "testing": ["target", "description"], "optimization": ["severity", "target"], "maintainability": ["description", "severity"], "conformance": ["target", "description", "severity"]}.items():
-    _f = _policy_clusters(_extra)
-    _f.__name__ = f"clusters_{_policy}"
-    query(_policy_sql(_extra))(_f)
-
-
 @query(f"""WITH {B.SQL_FINDINGS}, g AS (SELECT policy, target, count(DISTINCT severity) AS n, count(*) AS findings FROM cf GROUP BY ALL) SELECT policy, target, CASE WHEN n > 1 THEN 'disputed' ELSE 'agreed' END AS verification, findings FROM g""")
 def cluster_verification(spark, sf):
     g = B.findings(spark, sf, "current").groupBy("policy", "target").agg(F.count_distinct("severity").alias("n"), F.count(F.lit(1)).alias("findings"))
     return g.select("policy", "target", F.when(c("n") > 1, "disputed").otherwise("agreed").alias("verification"), "findings")
 
 
-@query(f"""WITH {B.SQL_FINDINGS}, k AS (SELECT count(*) AS n FROM (SELECT DISTINCT policy, lower(trim(title)), severity FROM cf)) SELECT count(*) AS occurrences, (SELECT n FROM k) AS clusters, count(*) - (SELECT n FROM k) AS duplicates FROM cf""")
-def report_summary(spark, sf):
-    f = R.clusters(B.findings(spark, sf, "current"), ["policy", "title", "severity"])
-    return f.agg(F.sum("occurrences").alias("occurrences"), F.count(F.lit(1)).alias("clusters")).withColumn("duplicates", c("occurrences") - c("clusters"))
-
-
-@query(f"""WITH {B.SQL_FINDINGS} SELECT target, array_to_string(list_sort(list(DISTINCT id)), ',') AS evidence FROM cf GROUP BY target""")
-def evidence_by_target(spark, sf):
-    return B.findings(spark, sf, "current").groupBy("target").agg(F.concat_ws(",", F.array_sort(F.collect_set("id"))).alias("evidence"))
-
-
 @query(f"""WITH {B.SQL_FINDINGS}, m AS (SELECT policy, list_sort(list(DISTINCT target)) AS ts FROM cf GROUP BY policy) SELECT policy, array_to_string(ts[1:10], ',') AS shown, greatest(len(ts) - 10, 0)::BIGINT AS omitted FROM m""")
 def bounded_lists(spark, sf):
     # the first ten by rank and a count, so that no list grows with the data
@@ -130,13 +68,6 @@ def boundary_relations(spark, sf):
     return r.filter("coalesce(a, false) != coalesce(b, false)").select("source", "target", "kind", F.coalesce("a", F.lit(False)).alias("outgoing"))
 
 
-@query(f"""WITH {B.SQL_FILES} SELECT DISTINCT CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.py' THEN 'python' END AS adapter FROM fc WHERE path LIKE '%.py'""")
-def missing_adapters(spark, sf):
-    ext = F.substring_index("path", ".", -1)
-    implied = B.files(spark, sf, "current").select(F.when(ext == "rs", "rust").when(ext == "py", "python").alias("adapter")).filter("adapter is not null").distinct()
-    return implied.join(spark.createDataFrame([("rust",), ("java",)], "adapter string"), "adapter", "left_anti")
-
-
 CALLERS = f"""WITH {B.SQL_RELATIONS}, b AS (SELECT source, target FROM rl WHERE kind = 'rust:calls'), cu AS (SELECT source, CASE WHEN source LIKE '%5' THEN 'supplier:1' ELSE target END AS target FROM b)"""
 
 
@@ -156,16 +87,6 @@ def unsatisfied_requirements(spark, sf):
     return B.t(spark, sf, "part").select(c("p_partkey").alias("id"), F.concat_ws(",", miss).alias("missing"), (F.size(miss) == 0).alias("complete"))
 
 
-@query("""WITH r AS (SELECT o_custkey AS base, o_orderkey AS seq, floor(o_totalprice)::BIGINT AS bytes FROM orders), u AS (SELECT *, sum(bytes) OVER (PARTITION BY base ORDER BY seq)::BIGINT AS used, row_number() OVER (PARTITION BY base ORDER BY seq) AS n FROM r)
-SELECT base, seq, used, CASE WHEN seq % 17 = 0 THEN 'outside_scope' WHEN n > 8 THEN 'too_many_requests' WHEN used > 900000 THEN 'over_budget' END AS denial FROM u""")
-def expansion_authorization(spark, sf):
-    w = Window.partitionBy("base").orderBy("seq")
-    r = B.t(spark, sf, "orders").select(c("o_custkey").alias("base"), c("o_orderkey").alias("seq"), F.floor("o_totalprice").cast("long").alias("bytes"))
-    u = r.withColumn("used", F.sum("bytes").over(w)).withColumn("n", F.row_number().over(w))
-    denial = F.when(c("seq") % 17 == 0, "outside_scope").when(c("n") > 8, "too_many_requests").when(c("used") > 900_000, "over_budget")
-    return u.select("base", "seq", "used", denial.alias("denial"))
-
-
 def _artifacts(spark, sf):
     p = B.t(spark, sf, "part")
     ident = F.concat(F.when(c("p_partkey") % 2 == 0, "ADR ").otherwise("rfc_"), (c("p_partkey") % 900).cast("string"))
@@ -191,18 +112,6 @@ def supersession_health(spark, sf):
     return D.supersession_health(_artifacts(spark, sf))
 
 
-@query("""WITH a AS (SELECT p_partkey AS artifact, CASE WHEN p_partkey % 2 = 0 THEN 'adr' ELSE 'prd' END AS kind, string_split(lower(p_name || ' ' || p_type), ' ') AS kw, p_name AS sym FROM part WHERE p_partkey % 40 = 0), t AS (SELECT p_partkey AS target, p_name AS name, string_split(lower(p_type), ' ') AS kw FROM part WHERE p_partkey % 25 = 1),
-s AS (SELECT artifact, target, 8500 AS score FROM a JOIN t ON a.sym = t.name), w AS (SELECT artifact, kind, target, count(*) AS n FROM (SELECT DISTINCT artifact, kind, unnest(kw) AS w FROM a) JOIN (SELECT DISTINCT target, unnest(kw) AS w FROM t) USING (w) GROUP BY ALL),
-x AS (SELECT * FROM s UNION ALL SELECT artifact, target, CASE WHEN n >= 2 THEN 7000 WHEN kind = 'adr' THEN 5500 ELSE 0 END FROM w) SELECT artifact, target, max(score) AS score FROM x WHERE NOT (artifact % 3 = 0 AND target % 2 = 0) GROUP BY ALL HAVING max(score) >= 5000""")
-def design_links(spark, sf):
-    p, k = B.t(spark, sf, "part"), c("p_partkey")
-    words = lambda x: F.split(F.lower(x), " ")
-    a = p.filter(k % 40 == 0).select(k.alias("artifact"), F.when(k % 2 == 0, "adr").otherwise("prd").alias("kind"), words(F.concat("p_name", F.lit(" "), "p_type")).alias("keywords"), F.array("p_name").alias("symbols"))
-    t = p.filter(k % 25 == 1).select(k.alias("target"), c("p_name").alias("name"), words(c("p_type")).alias("keywords"))
-    explicit = D.lexical_links(a, t, spark.createDataFrame([], "artifact long, target long"), 0).filter("artifact % 3 = 0 and target % 2 = 0").select("artifact", "target")
-    return D.lexical_links(a, t, explicit)
-
-
 @query("""WITH d AS (SELECT o_orderkey AS target, o_custkey % 20 AS artifact, 'dep' || (o_orderkey % 6) AS dep, o_orderkey % 3 = 0 AS iface, o_orderkey % 4 = 0 AS tested FROM orders)
 SELECT target, artifact, CASE WHEN target % 10 = 0 AND (target % 20 = 0 OR '2024-01-01' >= '2025-01-01') THEN 'accepted' WHEN dep = 'dep' || (artifact % 6) THEN 'prohibited' WHEN iface AND NOT tested THEN 'untested' ELSE 'none' END AS outcome FROM d""")
 def design_drift(spark, sf):
@@ -220,29 +129,12 @@ def payload_fields(spark, sf):
     return B.t(spark, sf, "events").withColumn("k", F.element_at(keys, 1)).filter("k is not null").select("event_id", F.element_at(m, c("k")).alias("first_value"), c("k").alias("first_key"))
 
 
-@query(f"""WITH {B.SQL_WORK} SELECT work_id, {sql_id("work", "run::VARCHAR", "target::VARCHAR", "policy", "'1'")} AS work_key, {sql_id("outcome", "run::VARCHAR", "work_id::VARCHAR", "policy")} AS outcome_key FROM wk""")
-def work_keys(spark, sf):
-    return B.work(spark, sf).select("work_id", derived_id("work", "run", "target", "policy", F.lit("1")).alias("work_key"), derived_id("outcome", "run", "work_id", "policy").alias("outcome_key"))
-
-
 @query(f"""WITH {B.SQL_WORK}, r AS (SELECT DISTINCT run FROM wk), x AS (SELECT run, count(*) FILTER (policy <> 'p6' AND state IN ('pending', 'leased')) AS waiting FROM wk GROUP BY run) SELECT run, waiting = 0 AS may_admit, waiting FROM x""")
 def deferred_admission(spark, sf):
     w = B.work(spark, sf).groupBy("run").agg(F.count_if((c("policy") != "p6") & c("state").isin("pending", "leased")).alias("waiting"))
     return w.select("run", (c("waiting") == 0).alias("may_admit"), "waiting")
 
 
-@query(f"""WITH {B.SQL_WORK} SELECT DISTINCT CASE policy WHEN 'p0' THEN 'documentation' WHEN 'p1' THEN 'correctness' WHEN 'p2' THEN 'architecture' WHEN 'p3' THEN 'optimization' WHEN 'p4' THEN 'maintainability' WHEN 'p5' THEN 'conformance' ELSE 'testing' END AS pipeline FROM wk""")
-def pipelines_present(spark, sf):
-    names = ["documentation", "correctness", "architecture", "optimization", "maintainability", "conformance", "testing"]
-    return B.work(spark, sf).select(F.element_at(F.array(*map(F.lit, names)), F.substring("policy", 2, 1).cast("int") + 1).alias("pipeline")).distinct()
-
-
-@query("""SELECT doc_id, octet_length(encode(text)) > 1000 AS trimmed, CASE WHEN octet_length(encode(text)) > 1000 THEN substr(text, 1, 250) || '[trimmed]' ELSE text END AS shown FROM documents""")
-def text_trim(spark, sf):
-    large = F.octet_length("text") > 1000  # 250 characters are at most 1000 bytes, and never cut one
-    return B.t(spark, sf, "documents").select("doc_id", large.alias("trimmed"), F.when(large, F.concat(F.substring("text", 1, 250), F.lit("[trimmed]"))).otherwise(c("text")).alias("shown"))
-
-
 @query(f"""WITH {B.SQL_TARGETS} SELECT CASE WHEN (SELECT count(*) FROM tg WHERE kind = 'workspace') > 1 THEN 'too_many' ELSE 'ok' END AS workspaces, (SELECT count(*) FROM tg WHERE parent IS NULL) AS roots""")
 def workspace_check(spark, sf):
     tg = B.targets(spark, sf)

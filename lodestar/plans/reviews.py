@@ -32,43 +32,6 @@ def integrity_violations(spark, sf):
 
 
 CALLS = "ce AS (SELECT DISTINCT target AS src, source AS dst FROM rl WHERE kind NOT LIKE '%contains')"
-CLOSURE = """cl AS (SELECT DISTINCT 'supplier:' || s_suppkey AS root, 'supplier:' || s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey % 20 = 1
- UNION SELECT cl.root, ce.dst, cl.depth + 1 FROM cl JOIN ce ON cl.node = ce.src WHERE cl.depth < 6)"""
-
-
-@query(f"WITH RECURSIVE {B.SQL_RELATIONS}, {CALLS}, {CLOSURE} SELECT root, node, min(depth) AS depth FROM cl GROUP BY root, node")
-def impact_closure(spark, sf):
-    e = B.relations(spark, sf).filter("kind not like '%contains'").select(F.col("target").alias("src"), F.col("source").alias("dst"))
-    roots = B.t(spark, sf, "supplier").filter("s_suppkey % 20 = 1").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("root"))
-    return G.closure(e, roots, 6)
-
-
-IMPACT = f"""WITH RECURSIVE {B.SQL_RELATIONS}, {CALLS}, ch AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier WHERE s_suppkey % 40 = 3), rm AS (SELECT 'supplier:' || (s_suppkey + 100000) AS id FROM supplier WHERE s_suppkey % 50 = 0),
-w(node, depth) AS (SELECT id, 0 FROM (SELECT * FROM ch UNION SELECT * FROM rm) UNION SELECT ce.dst, w.depth + 1 FROM w JOIN ce ON w.node = ce.src WHERE w.depth < 3),
-f0 AS (SELECT id, 'direct' AS kind, 0 AS depth, 0 AS o FROM ch WHERE id IN (SELECT id FROM tg)
- UNION ALL SELECT node, 'forward', min(depth), 1 FROM w WHERE node IN (SELECT id FROM tg) AND depth > 0 GROUP BY node
- UNION ALL SELECT DISTINCT target, 'backward', 1, 2 FROM rl WHERE kind LIKE '%calls' AND source IN (SELECT id FROM ch) AND target IN (SELECT id FROM tg)),
-f1 AS (SELECT id, arg_min(kind, (o, depth)) AS kind, arg_min(depth, (o, depth)) AS depth FROM f0 GROUP BY id),
-f2 AS (SELECT * FROM f1 UNION ALL SELECT id, 'conservative', 1 FROM tg WHERE parent IN (SELECT parent FROM tg WHERE inventory IN ('failed', 'unsupported') AND id IN (SELECT id FROM f1)) AND id NOT IN (SELECT id FROM f1)),
-up(node, anc, depth) AS (SELECT f2.id, tg.parent, 1 FROM f2 JOIN tg ON f2.id = tg.id WHERE tg.parent IS NOT NULL UNION SELECT up.node, tg.parent, up.depth + 1 FROM up JOIN tg ON up.anc = tg.id WHERE tg.parent IS NOT NULL)
-"""
-
-
-def _impact(spark, sf):
-    s = B.t(spark, sf, "supplier")
-    sup = lambda c: F.concat(F.lit("supplier:"), c.cast("string")).alias("id")
-    changed, removed = s.filter("s_suppkey % 40 = 3").select(sup(F.col("s_suppkey"))), s.filter("s_suppkey % 50 = 0").select(sup(F.col("s_suppkey") + 100_000))
-    return G.impact(B.relations(spark, sf), B.targets(spark, sf), changed, removed, max_depth=3)
-
-
-@query(IMPACT + "SELECT * FROM f2 UNION ALL SELECT anc, 'containment', min(depth) FROM up WHERE anc NOT IN (SELECT id FROM f2) AND anc IN (SELECT id FROM tg) GROUP BY anc")
-def impact_analysis(spark, sf):
-    return _impact(spark, sf)
-
-
-@query(IMPACT + ", al AS (SELECT id FROM f2 UNION SELECT anc FROM up WHERE anc IN (SELECT id FROM tg)) SELECT id FROM tg WHERE id NOT IN (SELECT id FROM al)")
-def reusable_targets(spark, sf):
-    return B.targets(spark, sf).join(_impact(spark, sf), "id", "left_anti").select("id")
 
 
 @query(f"""WITH RECURSIVE {B.SQL_TARGETS}, up(node, ancestor, depth) AS (SELECT id, parent, 1 FROM tg WHERE parent IS NOT NULL AND kind IN ('module', 'package') UNION ALL SELECT up.node, tg.parent, depth + 1 FROM up JOIN tg ON up.ancestor = tg.id WHERE tg.parent IS NOT NULL) SELECT * FROM up""")
@@ -83,7 +46,7 @@ def dependency_cycles(spark, sf):
     return G.cycles(B.relations(spark, sf).filter("kind like '%depends_on'").select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
-VIS = """vi(id, effective, up, n) AS (SELECT id, visibility, parent, 0 FROM tg UNION ALL SELECT vi.id, CASE WHEN tg.id IS NULL THEN 'unknown' ELSE tg.visibility END, tg.parent, n + 1 FROM vi LEFT JOIN tg ON vi.up = tg.id WHERE vi.effective = 'inherited' AND n < 8),
+VIS = """vi(id, effective, up, n) AS (SELECT id, visibility, parent, 0 FROM tg UNION ALL SELECT vi.id, CASE WHEN tg.id IS NULL THEN 'unknown' ELSE tg.visibility END, tg.parent, n + 1 FROM vi LEFT JOIN tg ON vi.up = tg.id WHERE vi.effective = 'inherited' AND n < 1000),
 ve AS (SELECT id, CASE WHEN arg_max(effective, n) = 'inherited' THEN 'unknown' ELSE arg_max(effective, n) END AS effective FROM vi GROUP BY id)"""
 
 
@@ -101,25 +64,6 @@ def applicability(spark, sf):
     return P.applicability(B.targets(spark, sf), spark.createDataFrame(RULES, "kind string, visibility string, decision string"))
 
 
-ADMIT = f"""WITH {B.SQL_TARGETS}, a AS (SELECT id, kind, CASE WHEN id LIKE '%7' THEN 'direct' WHEN id LIKE '%3' THEN 'transitive' ELSE 'none' END AS reason FROM tg), b AS (SELECT id, reason, reason = 'direct' OR (reason = 'transitive' AND kind IN ('module', 'package')) AS admitted FROM a) """
-
-
-def _admission(spark, sf):
-    tg = B.targets(spark, sf)
-    return P.admission(tg, tg.filter("id like '%7'").select("id"), tg.filter("id like '%3'").select("id"), "ci_lite")
-
-
-@query(ADMIT + "SELECT * FROM b")
-def admission(spark, sf):
-    return _admission(spark, sf)
-
-
-@query(ADMIT + "SELECT count(*) AS evaluated, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS filtered, count(*) FILTER (reason = 'direct') AS direct, count(*) FILTER (reason = 'transitive') AS transitive FROM b")
-def admission_stats(spark, sf):
-    r = F.col("reason")
-    return _admission(spark, sf).agg(F.count(F.lit(1)).alias("evaluated"), F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("filtered"), F.count_if(r == "direct").alias("direct"), F.count_if(r == "transitive").alias("transitive"))
-
-
 @query(f"""WITH {B.SQL_RELATIONS}, ch AS (SELECT id FROM tg WHERE id LIKE 'supplier:%5') SELECT id FROM tg WHERE id IN (SELECT id FROM ch) OR id IN (SELECT target FROM rl WHERE source IN (SELECT id FROM ch)) OR id IN (SELECT source FROM rl WHERE target IN (SELECT id FROM ch)) OR kind = 'workspace'""")
 def one_hop_filter(spark, sf):
     tg = B.targets(spark, sf)
@@ -176,12 +120,6 @@ def sarif(spark, sf):
     return R.sarif_results(B.findings(spark, sf, "current"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, ['TODO later', 'breaks an invariant', 'a mock', 'not implemented', 'coverage gap', 'fine'][o_orderkey % 6 + 1] AS txt FROM orders) SELECT category, count(*) AS items FROM (SELECT CASE WHEN txt LIKE 'TODO%' THEN 'todo' WHEN txt LIKE '%invariant' THEN 'scope' WHEN txt LIKE '%mock' THEN 'stub' WHEN txt LIKE 'not impl%' THEN 'incomplete' WHEN txt LIKE '%gap' THEN 'gap' END AS category FROM s) WHERE category IS NOT NULL GROUP BY category""")
-def backlog(spark, sf):
-    txt = F.element_at(F.array(*[F.lit(x) for x in ("TODO later", "breaks an invariant", "a mock", "not implemented", "coverage gap", "fine")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return B.t(spark, sf, "orders").select(R.backlog_class(txt).alias("category")).filter("category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("items"))
-
-
 @query(f"""WITH {B.SQL_FINDINGS}, i AS (SELECT id, policy AS place, sha256(title || severity) AS hash FROM cf), r AS (SELECT DISTINCT policy AS place, sha256(title || severity) AS hash FROM bf WHERE severity <> 'note')
 SELECT i.id, i.place, i.hash, CASE WHEN r.hash IS NOT NULL THEN 'skip' ELSE 'publish' END AS action FROM i LEFT JOIN r ON i.place = r.place AND i.hash = r.hash""")
 def publication(spark, sf):
@@ -191,34 +129,15 @@ def publication(spark, sf):
     return R.publish(items, done)
 
 
-@query("""WITH RECURSIVE c AS (SELECT source, doc_id AS id, lang = 'en' AS required, CASE lang WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS priority, n_chars AS bytes FROM documents),
-o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT required, -priority, id) AS rn FROM c),
-f AS (SELECT source, 0::BIGINT AS rn, 0::BIGINT AS used, 0::BIGINT AS items, NULL::BIGINT AS id, false AS took FROM (SELECT DISTINCT source FROM o)
- UNION ALL SELECT o.source, o.rn, f.used + CASE WHEN f.used + o.bytes <= 60000 AND f.items < 32 THEN o.bytes ELSE 0 END, f.items + CASE WHEN f.used + o.bytes <= 60000 AND f.items < 32 THEN 1 ELSE 0 END, o.id, f.used + o.bytes <= 60000 AND f.items < 32 FROM f JOIN o ON f.source = o.source AND o.rn = f.rn + 1)
-SELECT source, (items - 1)::INTEGER AS position, id FROM f WHERE took""")
-def packing(spark, sf):
-    d = B.t(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("required"), F.when(F.col("lang") == "de", 3).when(F.col("lang") == "fr", 2).otherwise(1).alias("priority"), F.col("n_chars").alias("bytes"))
-    return P.greedy_pack(d, "source", 60_000, 32)
-
-
-@query("""WITH s AS (SELECT l_orderkey AS path, l_linenumber AS id, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_linenumber = 1 AS is_file FROM lineitem WHERE l_orderkey % 20 = 0),
-p AS (SELECT o_orderkey AS point, o_orderkey AS path, o_orderkey % 60 AS st FROM orders WHERE o_orderkey % 20 = 0) SELECT point, arg_min(id, (is_file, e - s, id)) FILTER (id IS NOT NULL) AS id FROM p LEFT JOIN s ON p.path = s.path AND s.s <= p.st AND s.e >= p.st + 1 GROUP BY point""")
+@query("""WITH s AS (SELECT l_orderkey AS path, l_linenumber AS id, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_linenumber = 1 AS is_file FROM lineitem),
+p AS (SELECT o_orderkey AS point, o_orderkey AS path, o_orderkey % 60 AS st FROM orders) SELECT point, arg_min(id, (is_file, e - s, id)) FILTER (id IS NOT NULL) AS id FROM p LEFT JOIN s ON p.path = s.path AND s.s <= p.st AND s.e >= p.st + 1 GROUP BY point""")
 def smallest_span(spark, sf):
-    l = B.t(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    l = B.t(spark, sf, "lineitem")
     spans = l.select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("path"), (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + F.round("l_quantity").cast("long")).alias("e"), (F.col("l_linenumber") == 1).alias("is_file"))
-    o = B.t(spark, sf, "orders").filter("o_orderkey % 20 = 0")
+    o = B.t(spark, sf, "orders")
     return P.smallest_span(o.select(F.col("o_orderkey").alias("point"), F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % 60).alias("start"), (F.col("o_orderkey") % 60 + 1).alias("end")), spans)
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_name || (p_partkey % 700) AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(DISTINCT id) = 1), us AS (SELECT s_suppkey AS usr, p_name || (p_partkey % 700) AS name FROM supplier JOIN part ON s_suppkey % 10 = p_partkey % 10)
-SELECT DISTINCT usr AS "user", u.id FROM us JOIN u ON us.name = u.name WHERE usr <> u.id""")
-def unique_name_resolution(spark, sf):
-    p = B.t(spark, sf, "part")
-    name = F.concat("p_name", (F.col("p_partkey") % 700).cast("string")).alias("name")
-    uses = B.t(spark, sf, "supplier").join(p, F.col("s_suppkey") % 10 == F.col("p_partkey") % 10).select(F.col("s_suppkey").alias("user"), name)
-    return P.unique_names(p.select(F.col("p_partkey").alias("id"), name), uses)
-
-
 @query(f"""WITH {B.SQL_RELATIONS}, ca AS (SELECT DISTINCT source AS src, target AS dst FROM rl WHERE kind LIKE 'rust:%' AND kind NOT LIKE '%has_type'), ts AS (SELECT id FROM tg WHERE id LIKE 'supplier:%1'), me AS (SELECT id FROM tg WHERE id LIKE 'supplier:%4' OR id LIKE 'supplier:%6'),
 d AS (SELECT src AS test, dst AS member FROM ca WHERE src IN (SELECT id FROM ts) AND dst IN (SELECT id FROM me))
 SELECT test, member, 'direct' AS link FROM d UNION ALL (SELECT DISTINCT a.src, b.dst, 'via_helper' FROM ca a JOIN ca b ON a.dst = b.src WHERE a.src IN (SELECT id FROM ts) AND b.dst IN (SELECT id FROM me) AND a.dst NOT IN (SELECT id FROM ts) AND a.dst NOT IN (SELECT id FROM me) AND (a.src, b.dst) NOT IN (SELECT (test, member) FROM d))""")

@@ -124,13 +124,6 @@ def cache_short_circuit(spark, sf):
     return found.groupBy(F.when(F.col("entry").isNull(), "released").otherwise("completed").alias("result")).agg(F.count(F.lit(1)).alias("items"))
 
 
-@query(f"WITH {B.SQL_CACHE} SELECT target, policy, fingerprint, entry FROM ca WHERE NOT coalesce(expires_at <= {N}, false) AND target % 9 <> 0")
-def cache_prune(spark, sf):
-    c = B.cache(spark, sf).filter(~F.coalesce(F.col("expires_at") <= N, F.lit(False)))
-    gone = B.t(spark, sf, "customer").filter("c_custkey % 9 = 0").select(F.col("c_custkey").alias("target"))
-    return c.join(gone, "target", "left_anti").select("target", "policy", "fingerprint", "entry").filter("target % 9 != 0")
-
-
 @query("SELECT count(*) AS artifacts, sum(p_size)::BIGINT AS bytes FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def unreferenced_artifacts(spark, sf):
     parts = B.t(spark, sf, "part").select(F.col("p_partkey").alias("reference"), F.col("p_size").cast("long").alias("bytes"))

@@ -64,39 +64,9 @@ def content_store(spark, sf):
     return d.groupBy(ids.content_hash("text").alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
-@query("""SELECT doc_id, n AS line, (sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(l) - 1)::BIGINT AS start
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)""")
-def line_index(spark, sf):
-    lines = F.split("text", "\n")
-    # start offsets by one fold over a document's lines: no shuffle, and linear in the text
-    starts = F.aggregate(lines, F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")), lambda a, x: F.struct((a["at"] + F.char_length(x) + 1).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
-    return B.t(spark, sf, "documents").select("doc_id", F.posexplode(starts).alias("pos", "start")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "start")
-
-
-@query("SELECT doc_id, encode(substr(text, 11, 40))::BLOB IS NOT NULL AS ok, sha256(substr(text, 11, 40)) AS slice_hash FROM documents")
-def range_read(spark, sf):
-    return B.t(spark, sf, "documents").select("doc_id", F.col("text").isNotNull().alias("ok"), ids.content_hash(F.substring("text", 11, 40)).alias("slice_hash"))
-
-
-@query(f"""WITH {B.SQL_FILES} SELECT path, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.py' THEN 'python' END AS adapter FROM fc WHERE path LIKE '%.rs' OR path LIKE '%.py'""")
-def adapters_of_files(spark, sf):
-    ext = text.extension("path")
-    return B.files(spark, sf, "current").select("path", F.when(ext == "rs", "rust").when(ext == "py", "python").alias("adapter")).filter("adapter is not null")
-
-
-@query(f"""WITH {B.SQL_FILES} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM fc WHERE path LIKE '%1.toml'""")
-def ecosystem_roots(spark, sf):
-    return B.files(spark, sf, "current").filter(F.col("path").like("%1.toml")).select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()
-
-
-@query(f"""WITH {B.SQL_FILES} SELECT path, regexp_matches(path, '(^|/)(tests?|__tests__|spec)/') AS is_test, false AS is_bench FROM fc""")
-def test_paths(spark, sf):
-    return B.files(spark, sf, "current").select("path", text.is_test_path("path").alias("is_test"), text.is_bench_path("path").alias("is_bench"))
-
-
-@query("""SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'))) AS claim FROM documents""")
+@query("""SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS claim FROM documents""")
 def normalized_claims(spark, sf):
-    return B.t(spark, sf, "documents").select("doc_id", text.normalize_claim(F.substring("text", 1, 80)).alias("claim"))
+    return B.t(spark, sf, "documents").select("doc_id", text.normalize_claim("text").alias("claim"))
 
 
 @query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, translate(lower(trim(p_type)), ' _', '--') AS identifier FROM part""")
@@ -113,12 +83,8 @@ def durations(spark, sf):
     return B.t(spark, sf, "orders").select("o_orderkey", spec.alias("spec"), text.parse_duration_seconds(spec).alias("seconds"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
 def html_escape(spark, sf):
-    return B.t(spark, sf, "pages").select("page_id", text.escape_html(F.substring("html", 1, 200)).alias("escaped"))
+    return B.t(spark, sf, "pages").select("page_id", text.escape_html("html").alias("escaped"))
 
 
-@query("""SELECT c_custkey, concat(c_name, ':', c_custkey, ':', c_nationkey) AS location, 'x' || c_custkey || chr(0) || c_mktsegment || chr(0) || c_nationkey AS cache_key FROM customer""")
-def location_and_cache_key(spark, sf):
-    c = lambda n: F.col(n).cast("string")
-    return B.t(spark, sf, "customer").select("c_custkey", F.concat_ws(":", "c_name", c("c_custkey"), c("c_nationkey")).alias("location"), F.concat_ws("\x00", F.concat(F.lit("x"), c("c_custkey")), "c_mktsegment", c("c_nationkey")).alias("cache_key"))

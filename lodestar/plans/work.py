@@ -17,39 +17,6 @@ from lodestar.plans.snapshots import sql_id
 from lodestar.registry import query
 
 c = F.col
-CLASS = "CASE kind WHEN 'workspace' THEN 'container' WHEN 'package' THEN 'container' WHEN 'module' THEN 'module' WHEN 'callable' THEN 'executable' ELSE 'data' END"
-
-
-@query(f"WITH {B.SQL_TARGETS} SELECT id, {CLASS} AS class, visibility, inventory FROM tg")
-def target_profile(spark, sf):
-    k = c("kind")
-    cls = F.when(k.isin("workspace", "package"), "container").when(k == "module", "module").when(k == "callable", "executable").otherwise("data")
-    return B.targets(spark, sf).select("id", cls.alias("class"), "visibility", "inventory")
-
-
-#: The kinds that each policy looks at, with the visibilities (none: any).
-POLICIES = {
-    "documentation": [("callable", "public"), ("record", "public"), ("module", "public")], "architecture": [("workspace", None), ("package", None), ("module", None)], "optimization": [("callable", None)],
-    "maintainability": [("callable", None), ("record", None), ("module", None)], "conformance": [("workspace", None)], "testing": [("module", None), ("package", None), ("workspace", None)],
-}
-
-
-def _policy_rule(policy):
-    def run(spark, sf):
-        tg = B.targets(spark, sf)
-        tg = tg.drop("visibility").join(P.inherited_visibility(tg).withColumnRenamed("effective", "visibility"), "id")
-        hit = F.lit(False)
-        for kind, vis in POLICIES[policy]:
-            hit = hit | ((c("kind") == kind) & (F.lit(True) if vis is None else c("visibility") == vis))
-        return tg.select("id", F.when(c("inventory") != "represented", "pending").when(hit, "applicable").otherwise("not_applicable").alias("decision"))
-
-    run.__name__ = f"applicability_{policy}"
-    cond = " OR ".join(f"(kind = '{k}'" + (f" AND effective = '{v}')" if v else ")") for k, v in POLICIES[policy])
-    query(f"WITH RECURSIVE {B.SQL_TARGETS}, {VIS} SELECT tg.id, CASE WHEN inventory <> 'represented' THEN 'pending' WHEN {cond} THEN 'applicable' ELSE 'not_applicable' END AS decision FROM tg JOIN ve ON tg.id = ve.id")(run)
-
-
-for _p in POLICIES:
-    _policy_rule(_p)
 
 
 @query(f"""WITH RECURSIVE {B.SQL_TARGETS}, {VIS}, cf AS (SELECT 'part:' || l_partkey AS target, count(*) AS evidence FROM lineitem GROUP BY 1)
@@ -61,9 +28,9 @@ def review_plan(spark, sf):
     return units.join(ev, "id", "left").select(derived_id("unit", "id", F.lit("documentation"), F.lit("1")).alias("unit"), "id", "visibility", F.coalesce("evidence", F.lit(0)).alias("evidence"))
 
 
-@query(f"""WITH {B.SQL_WORK}, oc AS (SELECT DISTINCT l_orderkey AS work_id, l_partkey AS artifact FROM lineitem WHERE l_linenumber = 1) SELECT wk.run, count(*) AS outcomes, count(DISTINCT artifact) AS artifacts, count(*) FILTER (p_partkey IS NULL) AS missing FROM wk JOIN oc ON wk.work_id = oc.work_id LEFT JOIN part ON artifact = p_partkey GROUP BY wk.run""")
+@query(f"""WITH {B.SQL_WORK}, oc AS (SELECT DISTINCT l_orderkey AS work_id, l_partkey AS artifact FROM lineitem) SELECT wk.run, count(*) AS outcomes, count(DISTINCT artifact) AS artifacts, count(*) FILTER (p_partkey IS NULL) AS missing FROM wk JOIN oc ON wk.work_id = oc.work_id LEFT JOIN part ON artifact = p_partkey GROUP BY wk.run""")
 def run_records(spark, sf):
-    oc = B.t(spark, sf, "lineitem").filter("l_linenumber = 1").select(c("l_orderkey").alias("work_id"), c("l_partkey").alias("artifact")).distinct()
+    oc = B.t(spark, sf, "lineitem").select(c("l_orderkey").alias("work_id"), c("l_partkey").alias("artifact")).distinct()
     j = B.work(spark, sf).select("work_id", "run").join(oc, "work_id").join(B.t(spark, sf, "part").select("p_partkey"), c("artifact") == c("p_partkey"), "left")
     return j.groupBy("run").agg(F.count(F.lit(1)).alias("outcomes"), F.count_distinct("artifact").alias("artifacts"), F.count_if(c("p_partkey").isNull()).alias("missing"))
 
@@ -100,18 +67,6 @@ def adapter_merge(spark, sf):
     return V.merge_adapters(both, ["name", "size"])
 
 
-@query(f"""WITH {B.SQL_FILES}, t AS (SELECT p_partkey AS id, src.path FROM part LEFT JOIN (SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELECT path FROM fb UNION SELECT path FROM fc)) src ON src.n = p_partkey) SELECT id, coalesce(change, 'unchanged') AS change FROM t LEFT JOIN sd ON t.path = sd.path""")
-def file_delta_targets(spark, sf):
-    from pyspark.sql import Window
-
-    b, now = B.files(spark, sf, "baseline"), B.files(spark, sf, "current")
-    every = b.select("path").union(now.select("path")).distinct()
-    # the fixture's numbering of paths; a real target carries its path
-    located = every.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
-    t = B.t(spark, sf, "part").select(c("p_partkey").alias("id")).join(located, "id", "left")
-    return t.join(S.diff(b, now, "path", ["content", "size", "class"]), "path", "left").select("id", F.coalesce("change", F.lit("unchanged")).alias("change"))
-
-
 @query(f"""WITH RECURSIVE {B.SQL_TARGETS}, ts(id) AS (SELECT id FROM tg WHERE kind = 'module' AND id LIKE '%3' UNION SELECT tg.id FROM tg JOIN ts ON tg.parent = ts.id) SELECT id FROM ts""")
 def test_code(spark, sf):
     tg = B.targets(spark, sf)
@@ -136,24 +91,6 @@ def prerequisites(spark, sf):
     return j.groupBy("scope").agg(F.count("m").alias("prerequisites"), F.count_if((c("i") == "represented") & c("m").isNotNull()).alias("ready")).withColumn("may_start", c("prerequisites") == c("ready"))
 
 
-@query(f"""WITH {B.SQL_FINDINGS}, s AS (SELECT DISTINCT policy, lower(trim(title)) AS claim, target FROM cf WHERE severity <> 'note') SELECT target, count(*) AS signals FROM s GROUP BY target""")
-def upstream_signals(spark, sf):
-    s = B.findings(spark, sf, "current").filter("severity != 'note'").select("policy", F.lower(F.trim("title")).alias("claim"), "target").distinct()
-    return s.groupBy("target").agg(F.count(F.lit(1)).alias("signals"))
-
-
-@query(f"""WITH {B.SQL_FINDINGS} SELECT policy, lower(trim(title)) AS claim, count(*) AS n FROM cf WHERE severity = 'critical' AND policy = 'policy-A' GROUP BY ALL""")
-def report_retain(spark, sf):
-    f = B.findings(spark, sf, "current").filter("severity = 'critical' and policy = 'policy-A'")
-    return f.groupBy("policy", F.lower(F.trim("title")).alias("claim")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {B.SQL_EVENTS} SELECT work_id, count(*) FILTER (kind = 'retry_scheduled') AS retries, count(*) FILTER (kind = 'failed') AS failures, max(at_millis) AS last_at FROM ev WHERE kind IN ('retry_scheduled', 'failed') GROUP BY work_id""")
-def error_log(spark, sf):
-    e = B.events(spark, sf).filter("kind in ('retry_scheduled', 'failed')")
-    return e.groupBy("work_id").agg(F.count_if(c("kind") == "retry_scheduled").alias("retries"), F.count_if(c("kind") == "failed").alias("failures"), F.max("at_millis").alias("last_at"))
-
-
 @query("""SELECT p_partkey AS id, regexp_matches(n, '_') OR regexp_matches(n, '[a-z][A-Z]|[A-Z][a-z]+[A-Z]') AS is_identifier FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'snake_case' WHEN 1 THEN 'camelCase' WHEN 2 THEN 'plain' ELSE 'Word' END AS n FROM part)""")
 def code_identifiers(spark, sf):
     k = c("p_partkey")
@@ -161,17 +98,6 @@ def code_identifiers(spark, sf):
     return B.t(spark, sf, "part").select(k.alias("id"), V.code_identifier(name).alias("is_identifier"))
 
 
-@query(f"""WITH {B.SQL_WORK} SELECT run, count(DISTINCT adapter) = 1 AS pinned, count(DISTINCT adapter) AS identities FROM wk GROUP BY run""")
-def model_assignment(spark, sf):
-    return B.work(spark, sf).groupBy("run").agg(F.count_distinct("adapter").alias("identities")).select("run", (c("identities") == 1).alias("pinned"), "identities")
-
-
-@query("""SELECT c_custkey AS provider, CASE WHEN c_acctbal < 0 THEN 'disabled' WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0 THEN 'classification' WHEN c_nationkey > 20 THEN 'concurrency' END AS denied FROM customer""")
-def provider_policy(spark, sf):
-    denied = F.when(c("c_acctbal") < 0, "disabled").when((c("c_mktsegment") == "BUILDING") & (c("c_nationkey") % 2 == 0), "classification").when(c("c_nationkey") > 20, "concurrency")
-    return B.t(spark, sf, "customer").select(c("c_custkey").alias("provider"), denied.alias("denied"))
-
-
 @query(f"""WITH RECURSIVE {B.SQL_RELATIONS}, ed AS (SELECT DISTINCT source, target, CASE WHEN kind LIKE '%calls' THEN 'calls' WHEN kind LIKE '%implements' THEN 'implements' ELSE 'references' END AS relation FROM rl WHERE kind NOT LIKE '%contains'), ch AS (SELECT id FROM tg WHERE id LIKE 'supplier:%17'),
 rc(id) AS (SELECT id FROM ch UNION SELECT ed.source FROM rc JOIN ed ON ed.target = rc.id), a AS (SELECT id FROM rc WHERE id IN (SELECT id FROM tg)),
 up(id) AS (SELECT parent FROM tg WHERE id IN (SELECT id FROM a) AND parent IS NOT NULL UNION SELECT tg.parent FROM up JOIN tg ON up.id = tg.id WHERE tg.parent IS NOT NULL), e AS (SELECT id FROM a UNION SELECT id FROM up WHERE id IN (SELECT id FROM tg))
@@ -201,12 +127,12 @@ def create_run(spark, sf):
     return got.select(c("work_id").alias("run_id"), F.when(c("action") == "insert", "create").otherwise(c("action")).alias("action"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, 'docs/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 2 = 0 THEN 'ADR ' ELSE 'RFC_' END || p_partkey AS identifier FROM part), k AS (SELECT o_orderkey AS q, CASE o_orderkey % 4 WHEN 0 THEN 'docs/' || o_orderkey || '.md' WHEN 1 THEN 'rfc-' || o_orderkey WHEN 2 THEN o_orderkey::VARCHAR ELSE 'none' END AS key FROM orders WHERE o_orderkey <= 1000)
+@query("""WITH a AS (SELECT p_partkey AS id, 'docs/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 2 = 0 THEN 'ADR ' ELSE 'RFC_' END || p_partkey AS identifier FROM part), k AS (SELECT o_orderkey AS q, CASE o_orderkey % 4 WHEN 0 THEN 'docs/' || o_orderkey || '.md' WHEN 1 THEN 'rfc-' || o_orderkey WHEN 2 THEN o_orderkey::VARCHAR ELSE 'none' END AS key FROM orders)
 SELECT DISTINCT key, id FROM k JOIN a ON (q % 4 IN (0, 2) AND a.id = q) OR (q % 4 = 1 AND a.id = q)""")
 def design_lookup(spark, sf):
     from lodestar.operators import design as D
 
-    p, o, pk, ok = B.t(spark, sf, "part"), B.t(spark, sf, "orders").filter("o_orderkey <= 1000"), c("p_partkey"), c("o_orderkey")
+    p, o, pk, ok = B.t(spark, sf, "part"), B.t(spark, sf, "orders"), c("p_partkey"), c("o_orderkey")
     s = lambda x: x.cast("string")
     a = p.select(pk.alias("id"), F.concat(F.lit("docs/"), s(pk), F.lit(".md")).alias("path"), F.concat(F.when(pk % 2 == 0, "ADR ").otherwise("RFC_"), s(pk)).alias("identifier"))
     key = F.when(ok % 4 == 0, F.concat(F.lit("docs/"), s(ok), F.lit(".md"))).when(ok % 4 == 1, F.concat(F.lit("rfc-"), s(ok))).when(ok % 4 == 2, s(ok)).otherwise("none")

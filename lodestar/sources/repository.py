@@ -17,8 +17,15 @@ from lodestar.functions.text import file_class, looks_binary
 
 #: Bytes; larger files become issues.
 LIMIT = 16 << 20
-#: Folders that each ecosystem's marker file excludes.
-ECOSYSTEMS = {"Cargo.toml": ["target/"], "package.json": ["node_modules/", "dist/"], "pyproject.toml": ["__pycache__/", ".venv/"], "pom.xml": ["target/"], "build.gradle": ["build/"]}
+#: Ecosystems with their marker files and the folders that they exclude below a root; folders without roots.
+ECOSYSTEMS = {
+    "rust": (["Cargo.toml"], ["target/"]), "typescript": (["package.json", "tsconfig.json"], ["node_modules/", "dist/", ".next/", "build/", "coverage/"]),
+    "python": (["pyproject.toml", "setup.py", "setup.cfg", "requirements.txt"], ["__pycache__/", ".venv/", "venv/", ".pytest_cache/"]),
+    "java": (["pom.xml", "build.gradle", "build.gradle.kts"], ["target/", "build/", ".gradle/"]), "c": (["CMakeLists.txt", "meson.build"], ["build/", "cmake-build-*/"]), "go": (["go.mod"], []),
+}
+NO_ROOTS = ("node_modules", "target", "build")
+#: Adapters by extension.
+ADAPTERS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "py": "python", "java": "java"}
 
 
 def capture(spark: SparkSession, root: str, limit: int = LIMIT) -> DataFrame:
@@ -62,13 +69,34 @@ def ignore_filter(files: DataFrame, patterns: list[str]) -> DataFrame:
     return files.filter(~hit("path"))
 
 
+def ecosystem_roots(files: DataFrame) -> DataFrame:
+    """root, ecosystem of every folder with a marker file, eight levels deep at most, outside hidden, build and module folders."""
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    closed = F.exists(folders, lambda x: x.isin(*NO_ROOTS) | x.startswith("."))
+    table = files.sparkSession.createDataFrame([(m, e) for e, (markers, _) in ECOSYSTEMS.items() for m in markers], "marker string, ecosystem string")
+    near = files.filter((F.size(parts) <= 9) & ~closed).select(F.array_join(folders, "/").alias("root"), F.substring_index("path", "/", -1).alias("marker"))
+    return near.join(F.broadcast(table), "marker").select("root", "ecosystem").distinct()  # a fixed table
+
+
 def ecosystem_patterns(files: DataFrame) -> DataFrame:
-    """pattern: the default exclusions of each root (a folder with a marker file, eight levels deep at most)."""
-    name, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "[^/]*$", "")
-    rows = [(k, p) for k, v in ECOSYSTEMS.items() for p in v]
-    table = files.sparkSession.createDataFrame(rows, "marker string, exclude string")
-    roots = files.filter(F.size(F.split("path", "/")) <= 9).select(folder.alias("root"), name.alias("marker"))
-    return roots.join(F.broadcast(table), "marker").select(F.concat(F.lit("/"), "root", "exclude").alias("pattern")).distinct()  # a fixed table
+    """pattern: the default exclusions of each root."""
+    table = files.sparkSession.createDataFrame([(e, x) for e, (_, patterns) in ECOSYSTEMS.items() for x in patterns], "ecosystem string, exclude string")
+    below = F.when(F.col("root") == "", "/").otherwise(F.concat(F.lit("/"), "root", F.lit("/")))
+    return ecosystem_roots(files).join(F.broadcast(table), "ecosystem").select(F.concat(below, "exclude").alias("pattern")).distinct()  # a fixed table
+
+
+def implied_adapters(files: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and adapter of each file whose extension, case kept, implies one."""
+    from lodestar.functions.text import extension
+
+    of = F.create_map(*[x for pair in ADAPTERS.items() for x in map(F.lit, pair)])
+    return files.select(*keep, of[extension("path")].alias("adapter")).filter("adapter is not null")
+
+
+def missing_adapters(files: DataFrame, present: DataFrame, group: str) -> DataFrame:
+    """group, adapter: adapters that a group's files imply and that are not present there."""
+    return implied_adapters(files, group).distinct().join(present.select(group, "adapter").distinct(), [group, "adapter"], "left_anti")
 
 
 def git_delta(lines: DataFrame) -> DataFrame:

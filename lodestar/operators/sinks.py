@@ -64,3 +64,80 @@ def finalize_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
 def read_bundle(spark, path: str, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/{table}")
+
+
+def write_manifest(files: DataFrame, path: str, configuration: str, revision: str) -> dict[str, str]:
+    """A snapshot's files (path, content, size, class) as JSON lines beside their identity, written once; the identity."""
+    from lodestar.operators.snapshot import snapshot_ids
+
+    tagged = files.select(F.lit("s").alias("_s"), F.lit(configuration).alias("_c"), F.lit(revision).alias("_r"), "*")
+    ids = snapshot_ids(tagged, "_s", "_c", "_r").first()
+    made = {"tree_id": ids["tree_id"], "snapshot_id": ids["snapshot_id"], "configuration": configuration, "revision": revision} if ids else {}
+    files.write.mode("errorifexists").json(f"{path}/files")
+    files.sparkSession.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/identity")
+    return made
+
+
+def load_manifest(spark, path: str) -> DataFrame:
+    """The files of a manifest; an error if they are not those that its identity names."""
+    from lodestar.operators.snapshot import snapshot_ids
+
+    want = json.loads(spark.read.text(f"{path}/identity").first()["value"])
+    files = spark.read.schema("path string, content string, size long, class string").json(f"{path}/files")
+    tagged = files.select(F.lit("s").alias("_s"), F.lit(want.get("configuration")).alias("_c"), F.lit(want.get("revision")).alias("_r"), "*")
+    ids = snapshot_ids(tagged, "_s", "_c", "_r").first()
+    if (ids["snapshot_id"] if ids else None) != want.get("snapshot_id"):
+        raise ValueError(f"the manifest at {path} does not hold the files of its identity")
+    return files
+
+
+def publish_inventory(tables: dict[str, DataFrame], path: str, name: str) -> str:
+    """An adapter's tables as a new version below path, and then the one file that names it: readers see the old version or the new one, never part of one.
+
+    A version is named by the hash of its tables, so that publishing the same again, or after a crash midway, changes nothing.
+    """
+    digests = []
+    for table, df in sorted(tables.items()):
+        row = F.xxhash64(*df.columns) if df.columns else F.lit(0)
+        n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()
+        digests.append(f"{table}:{n}:{total}")
+    spark = next(iter(tables.values())).sparkSession
+    version = spark.range(1).select(F.sha2(F.lit("|".join(digests)), 256).alias("v")).first()["v"][:16]
+    for table, df in sorted(tables.items()):
+        df.write.mode("overwrite").json(f"{path}/{name}/{version}/{table}")
+    spark.createDataFrame([(version, digest) for digest in digests], "version string, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}/_current-{version}")
+    _switch(spark, f"{path}/{name}", version)
+    return version
+
+
+def _switch(spark, folder: str, version: str) -> None:
+    """The pointer file: written beside, then renamed over the old one."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged = jvm.org.apache.hadoop.fs.Path(f"{folder}/_current.{version}.staged")
+    out = fs.create(staged, True)
+    out.writeBytes(version)
+    out.close()
+    fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise OSError(f"cannot switch {folder} to {version}")
+
+
+def read_inventory(spark, path: str, name: str, table: str, schema: str) -> DataFrame:
+    """A table of the version that is published."""
+    version = spark.read.text(f"{path}/{name}/_current").first()["value"]
+    return spark.read.schema(schema).json(f"{path}/{name}/{version}/{table}")
+
+
+def compact(spark, path: str, bytes_a_file: int = 128 << 20) -> int:
+    """Rewrite a Parquet table's files as few large ones, beside it and then in its place; how many files there are now."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = max(1, -(-fs.getContentSummary(at).getLength() // bytes_a_file))
+    spark.read.parquet(path).coalesce(n).write.mode("overwrite").parquet(f"{path}.compacted")
+    fs.delete(at, True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}.compacted"), at):
+        raise OSError(f"cannot put the compacted table in the place of {path}")
+    return n

@@ -141,4 +141,4 @@ def trim_scope(scopes: DataFrame, budget: int) -> DataFrame:
                 out.append((scope, sorted(x["name"] for x in left), n - len(left)))
             yield pd.DataFrame(out, columns=["scope", "kept", "dropped"])
 
-    return scopes.select("scope", "items").mapInPandas(run, "scope string, kept array<string>, dropped int")
+    return scopes.select("scope", "items").mapInPandas(run, f"scope {dict(scopes.dtypes)['scope']}, kept array<string>, dropped int")

@@ -151,14 +151,6 @@ def provider_telemetry_merge(spark, sf):
     return s.groupBy("provider").agg(F.sum("requests").alias("requests"), F.max("peak").alias("peak"), F.max_by("user_id", "latest").alias("health"))
 
 
-@query("""WITH m AS (SELECT *, CASE WHEN event_type = 'error' THEN ['request timed out', 'HTTP 429 rate limit', 'invalid JSON', 'connect refused', '401 auth', 'odd'][event_id % 6 + 1] END AS msg FROM events WHERE event_type = 'error')
-SELECT CASE WHEN msg LIKE '%timed out%' THEN 'timeout' WHEN msg LIKE '%429%' THEN 'rate_limit' WHEN msg LIKE '%JSON%' THEN 'invalid_output' WHEN msg LIKE '%connect%' THEN 'network' WHEN msg LIKE '%auth%' THEN 'authentication' ELSE 'other' END AS category, count(*) AS errors, count(DISTINCT user_id) AS items FROM m GROUP BY 1""")
-def error_categories(spark, sf):
-    e = B.t(spark, sf, "events").filter("event_type = 'error'")
-    msg = F.element_at(F.array(*[F.lit(x) for x in ("request timed out", "HTTP 429 rate limit", "invalid JSON", "connect refused", "401 auth", "odd")]), (F.col("event_id") % 6 + 1).cast("int"))
-    return e.groupBy(R.error_class(msg).alias("category")).agg(F.count(F.lit(1)).alias("errors"), F.count_distinct("user_id").alias("items"))
-
-
 LATEST = """la AS (SELECT run, finding, max(revision) AS revision, arg_max(state, revision) AS state, max_by(coalesce(expected_issue, -1), revision) AS ei FROM ad GROUP BY run, finding), lr AS (SELECT run, finding, revision, state, nullif(ei, -1) AS expected_issue FROM la)"""
 
 

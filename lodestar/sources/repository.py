@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.ids import content_hash
@@ -59,14 +59,41 @@ def ignored(path: str, patterns: list[str]) -> bool:
     return out
 
 
-def ignore_filter(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """files without those that the patterns ignore."""
+def ignore_regex(pattern: str, root: str = "") -> tuple[str, bool] | None:
+    """(regular expression over paths, takes back) of one ignore line below `root`; null for blanks and comments. ** spans folders, * and ? stay within one."""
+    p = pattern.strip()
+    if not p or p.startswith("#"):
+        return None
+    back = p.startswith("!")
+    p = p[1:] if back else p
+    folder, p = p.endswith("/"), p.rstrip("/")
+    anchored, p = "/" in p, p.lstrip("/")
+    out, k = "", 0
+    while k < len(p):
+        if p.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif p.startswith("**", k):
+            out, k = out + ".*", k + 2
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(p[k], re.escape(p[k])), k + 1
+    below = re.escape(root.strip("/")) + "/" if root.strip("/") else ""
+    return f"^{below}{'' if anchored else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", back
+
+
+def is_ignored(path: Column | str, patterns: list[tuple[str, str]]) -> Column:
+    """Whether the last of (root, line) patterns that fits a path ignores it."""
+    path = F.col(path) if isinstance(path, str) else path
+    out = F.lit(False)
+    for root, line in patterns:
+        if rule := ignore_regex(line, root):
+            out = F.when(path.rlike(rule[0]), not rule[1]).otherwise(out)
+    return out
 
-    @F.pandas_udf("boolean")
-    def hit(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: p is not None and ignored(p, patterns))
 
-    return files.filter(~hit("path"))
+def ignore_filter(files: DataFrame, patterns: list[str], roots: list[tuple[str, str]] | None = None, override: list[str] | None = None) -> DataFrame:
+    """files without those that are ignored: (root, line) defaults of discovered roots come first, then the patterns, then the override file's; later lines win."""
+    every = [*(roots or []), *[("", p) for p in patterns], *[("", p) for p in override or []]]
+    return files.filter(~is_ignored("path", every))
 
 
 def ecosystem_roots(files: DataFrame) -> DataFrame:
@@ -246,14 +273,10 @@ def diagnostics(lines: DataFrame) -> DataFrame:
 def relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """path, target: the first existing candidate of each relative import. imports: path, name; files: path."""
     tries = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-
-    @F.pandas_udf("string")
-    def resolve(path: pd.Series, name: pd.Series) -> pd.Series:
-        import posixpath
-
-        return pd.Series([posixpath.normpath(posixpath.join(posixpath.dirname(p), n)) for p, n in zip(path, name)])
-
-    i = imports.filter(F.col("name").startswith(".")).select("path", "name", resolve("path", "name").alias("base"))
+    parts = F.split(F.concat(F.regexp_replace("path", "[^/]*$", ""), "name"), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    base = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", up(acc)).otherwise(F.array_append(acc, x)))
+    i = imports.filter(F.col("name").startswith(".")).select("path", "name", F.array_join(base, "/").alias("base")).distinct()
     c = i.select("path", "name", F.posexplode(F.array(*[F.concat("base", F.lit(x)) for x in tries])).alias("order", "target"))
     return c.join(files.select(F.col("path").alias("target")), "target", "left_semi").groupBy("path", "name").agg(F.min_by("target", "order").alias("target")).select("path", "target")
 
@@ -282,8 +305,10 @@ def named_evidence(records: DataFrame, targets: DataFrame) -> DataFrame:
     records: name, file; targets: id, name, path.
     """
     t = targets.select("id", F.col("name").alias("tn"), F.col("path").alias("tp"))
-    j = records.join(t, (F.col("name") == F.col("tn")) | (F.substring_index("name", "::", -1) == F.col("tn")), "left")
-    here = F.max(F.coalesce(F.col("tp") == F.col("file"), F.lit(False)))
-    g = j.groupBy("name", "file").agg(here.alias("here"), F.collect_set("id").alias("every"), F.collect_set(F.when(F.col("tp") == F.col("file"), F.col("id"))).alias("local"))
-    ids = F.when(F.col("here"), F.col("local")).otherwise(F.col("every"))
-    return g.select("name", "file", F.when(F.size(ids) == 1, F.element_at(ids, 1)).alias("id"))
+    r = records.select("name", "file").distinct()
+    forms = r.select("name", "file", F.explode(F.array_distinct(F.array("name", F.substring_index("name", "::", -1)))).alias("tn"))
+    j = forms.join(t, "tn", "left").withColumn("here", F.coalesce(F.col("tp") == F.col("file"), F.lit(False)))
+    local, every = F.when(F.col("here"), F.col("id")), F.col("id")
+    g = j.groupBy("name", "file").agg(*[f(x).alias(n + k) for k, x in (("_local", local), ("_every", every)) for n, f in (("n", F.count_distinct), ("id", F.min))])
+    found = F.when(F.col("n_local") == 1, F.col("id_local")).when((F.col("n_local") == 0) & (F.col("n_every") == 1), F.col("id_every"))
+    return g.select("name", "file", found.alias("id"))

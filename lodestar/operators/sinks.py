@@ -105,7 +105,7 @@ def publish_inventory(tables: dict[str, DataFrame], path: str, name: str) -> str
     version = spark.range(1).select(F.sha2(F.lit("|".join(digests)), 256).alias("v")).first()["v"][:16]
     for table, df in sorted(tables.items()):
         df.write.mode("overwrite").json(f"{path}/{name}/{version}/{table}")
-    spark.createDataFrame([(version, digest) for digest in digests], "version string, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}/_current-{version}")
+    spark.createDataFrame([(version, digest) for digest in digests], "version string, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/{name}/manifest-{version}")
     _switch(spark, f"{path}/{name}", version)
     return version
 
@@ -113,9 +113,9 @@ def publish_inventory(tables: dict[str, DataFrame], path: str, name: str) -> str
 def _switch(spark, folder: str, version: str) -> None:
     """The pointer file: written beside, then renamed over the old one."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    staged = jvm.org.apache.hadoop.fs.Path(f"{folder}/_current.{version}.staged")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{folder}/current.{version}.staged")
     out = fs.create(staged, True)
     out.writeBytes(version)
     out.close()
@@ -126,7 +126,7 @@ def _switch(spark, folder: str, version: str) -> None:
 
 def read_inventory(spark, path: str, name: str, table: str, schema: str) -> DataFrame:
     """A table of the version that is published."""
-    version = spark.read.text(f"{path}/{name}/_current").first()["value"]
+    version = spark.read.text(f"{path}/{name}/current").first()["value"]
     return spark.read.schema(schema).json(f"{path}/{name}/{version}/{table}")
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_or_empty
+from lodestar.llm.common import arrow_bounded, stash, text_or_empty, whole_id
 
 SPACE = "▁"
 NEG = -np.inf
@@ -496,17 +496,28 @@ def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, :, None] + y[None, :, :]).max(axis=1)
 
 
-def scan(mats: list[np.ndarray]) -> list[int]:
-    """State index at every edge: products from the left, then from the right by the best that remains."""
-    left = [mats[0]]
-    for m in mats[1:]:
-        left.append(product(left[-1], m))
-    at = int(left[-1][0].argmax())
+def total(mats: list[np.ndarray]) -> np.ndarray:
+    """The product of matrices, combined in pairs; products are associative, so any bracketing gives it."""
+    while len(mats) > 1:
+        mats = [product(*mats[k : k + 2]) if k + 1 < len(mats) else mats[k] for k in range(0, len(mats), 2)]
+    return mats[0]
+
+
+def scan(mats: list[np.ndarray], enter: int = 0, leave: int | None = None) -> list[int]:
+    """State index at every edge, from `enter` before the first matrix to `leave` (by default the best) behind the last."""
+    left = [np.where(np.arange(mats[0].shape[0]) == enter, 0.0, NEG)]
+    for m in mats:
+        left.append((left[-1][:, None] + m).max(axis=0))
+    at = int(left[-1].argmax()) if leave is None else leave
     route = [at]
     for k in range(len(mats) - 1, 0, -1):
-        at = int((left[k - 1][0] + mats[k][:, at]).argmax())
+        at = int((left[k] + mats[k][:, at]).argmax())
         route.append(at)
-    return [0, *route[::-1]]
+    return [enter, *route[::-1]]
+
+
+#: Chunks whose matrices one task combines; a document's blocks of them are combined in turn.
+BLOCK = 64
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -514,11 +525,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text counts as empty: no pieces. Repeated rows each get their row. A literal space mark (U+2581) in a text
     encodes as a space, as in the library, and so does not come back on decoding; round_trip says so. Documents of
-    one chunk are encoded where they are read. Longer ones are split into chunk rows dealt over the cluster: matrix
-    per chunk, scan per document (matrices only, some kB a chunk), backtrace per chunk, join of the ids.
-    Other columns are dropped.
+    one chunk are encoded where they are read. Longer ones are split into chunk rows dealt over the cluster: a matrix
+    for each chunk; the product of each block of chunks, in any block's own task; the states at the blocks' edges from
+    these products alone; then in every block those at its chunks' edges; backtrace of each chunk on its own, and the ids
+    in order. Null ids stay null. An empty table gives an empty result. Other columns are dropped.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = arrow_bounded(docs.select(whole_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
     fits = F.char_length("text") < chunk
     longest = load(model).longest
 
@@ -533,12 +545,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = load(model)
         for pdf in batches:
-            for doc, text, key, copies in pdf[["doc_id", "text", "key", "copies"]].itertuples(index=False):
+            for doc, text, key, sha in pdf[["doc_id", "text", "key", "sha"]].itertuples(index=False):
                 t = vocabulary.marked(text)
                 parts = vocabulary.chunks(t, chunk)
                 for k, (a, b) in enumerate(parts):
                     lo, hi = max(0, a - 2 * longest), min(len(t), b + 2 * longest)
-                    yield pd.DataFrame([(doc, key, copies, k, len(parts), len(text), a - lo, b - lo, lo, len(t), t[lo:hi])], columns=["doc_id", "key", "copies", "seq", "n", "n_chars", "a", "b", "lo", "total", "body"])
+                    yield pd.DataFrame([(doc, key, sha, k, k // BLOCK, len(parts), len(text), a - lo, b - lo, t[lo:hi])], columns=["doc_id", "key", "sha", "seq", "block", "n", "n_chars", "a", "b", "body"])
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = load(model)
@@ -546,13 +558,24 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = []
             for r in pdf.itertuples(index=False):
                 m = vocabulary.matrix(r.body, r.a, r.b)
-                out.append((r.doc_id, r.key, r.seq, m.shape[0], m.shape[1], (m == 0).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "seq", "rows", "cols", "m"])
+                out.append((r.key, r.seq, r.block, m.shape[0], m.shape[1], (m == 0).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "seq", "block", "rows", "cols", "m"])
+
+    def unpacked(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.where(np.frombuffer(m, dtype=bool).reshape(r, c), 0.0, NEG) for m, r, c in zip(pdf["m"], pdf["rows"], pdf["cols"])]
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = total(unpacked(pdf.sort_values("seq")))
+        return pd.DataFrame([(pdf["key"].iloc[0], pdf["block"].iloc[0], m.shape[0], m.shape[1], (m == 0).tobytes())], columns=["key", "block", "rows", "cols", "m"])
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        route = scan(unpacked(pdf))
+        return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "first": route[:-1], "last": route[1:]})
 
     def routes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        mats = [np.where(np.frombuffer(m, dtype=bool).reshape(r, c), 0.0, NEG) for m, r, c in zip(pdf["m"], pdf["rows"], pdf["cols"])]
-        route = scan(mats)
+        route = scan(unpacked(pdf), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
         return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "enter": route[:-1], "leave": route[1:]})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -562,27 +585,28 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for r in pdf.itertuples(index=False):
                 ins, outs = vocabulary.states(r.body, r.a), vocabulary.states(r.body, r.b)
                 ids = vocabulary.backtrace(r.body, r.a, r.b, ins[r.enter], outs[r.leave])
-                out.append((r.doc_id, r.key, r.copies, r.seq, r.n, r.n_chars, np.array(ids, dtype=np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "copies", "seq", "n", "n_chars", "ids"])
+                out.append((r.doc_id, r.key, r.sha, r.seq, r.n, r.n_chars, np.array(ids, dtype=np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "key", "sha", "seq", "n", "n_chars", "ids"])
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
         vocabulary = load(model)
         return ids.map(lambda x: vocabulary.decode(x.tolist()))
 
-    kinds = "doc_id long, n_chars long, n_chunks int, n_tokens long, ids array<int>, round_trip boolean"
+    kinds = "doc_id string, n_chars long, n_chunks int, n_tokens long, ids array<int>, round_trip boolean"
     near = rows.filter(fits).mapInPandas(short, kinds)
-    giant = rows.filter(~fits).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    giant = giant.withColumn("key", F.sha2(F.concat_ws("\u0000", F.col("doc_id").cast("string"), "text"), 256))
-    pieces = giant.mapInPandas(cut, "doc_id long, key string, copies long, seq int, n int, n_chars long, a int, b int, lo long, total long, body string").repartition("key", "seq")
-    found = pieces.mapInPandas(matrices, "doc_id long, key string, seq int, rows int, cols int, m binary")
-    route = found.groupBy("key").applyInPandas(routes, "key string, seq int, enter int, leave int")
-    traced = pieces.join(route, ["key", "seq"]).mapInPandas(trace, "doc_id long, key string, copies long, seq int, n int, n_chars long, ids array<int>")
-    whole = traced.groupBy("key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.first("n_chars").alias("n_chars"), F.first("n").alias("n_chunks"),
+    giant = rows.filter(~fits).select("doc_id", "text", F.monotonically_increasing_id().alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    pieces = giant.mapInPandas(cut, "doc_id string, key long, sha string, seq int, block int, n int, n_chars long, a int, b int, body string")
+    pieces = stash(pieces.repartition("key", "seq"), "pieces")  # rows' keys hold from here on
+    found = stash(pieces.mapInPandas(matrices, "key long, seq int, block int, rows int, cols int, m binary"), "matrices")
+    blocks = found.groupBy("key", "block").applyInPandas(combine, "key long, block int, rows int, cols int, m binary")
+    edge = blocks.groupBy("key").applyInPandas(edges, "key long, block int, first int, last int")
+    route = found.join(edge, ["key", "block"]).groupBy("key", "block").applyInPandas(routes, "key long, seq int, enter int, leave int")
+    traced = pieces.join(route, ["key", "seq"]).mapInPandas(trace, "doc_id string, key long, sha string, seq int, n int, n_chars long, ids array<int>")
+    far = traced.groupBy("key").agg(
+        F.first("doc_id").alias("doc_id"), F.first("sha").alias("sha"), F.first("n_chars").alias("n_chars"), F.first("n").alias("n_chunks"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ids"))), lambda x: x["ids"])).alias("ids"),
     )
-    texts = giant.select("key", "text")
-    whole = whole.join(texts, "key").withColumn("round_trip", decoded("ids") == F.col("text"))
-    far = whole.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_chars", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
-    return near.unionByName(far)
+    same = F.sha2(decoded("ids").cast("binary"), 256) == F.col("sha")
+    far = far.select("doc_id", "n_chars", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return near.unionByName(far).withColumn("doc_id", F.col("doc_id").cast("long"))

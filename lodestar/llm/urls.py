@@ -72,7 +72,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Null urls and urls without :// have empty host and path and are allowed, as nothing speaks against them; null html
     has no links. Hosts that nothing reaches have no mass and are allowed. Repeated rows each get their row. trust and
-    distrust are masses in parts of the mean mass of a host. Other columns are dropped.
+    distrust are masses in parts of the mean mass of a host. trust holds a trusted seed's own share, distrust does not
+    hold a blocked seed's: a host is blocked for what links to blocked ones, not for one page that a rule blocks on it.
+    An empty table gives an empty result. Other columns are dropped.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")

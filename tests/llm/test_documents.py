@@ -328,3 +328,110 @@ def test_pipeline_runs_and_writes_pieces_of_kept_documents(spark, tmp_path, odd)
     ids = {r["doc_id"] for r in out}
     assert 4 not in ids or 7 not in ids
     assert 8 in ids and 5 in ids | {4}
+
+
+BIG = [9007199254740993, 9007199254740995, -9007199254740993]
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    rng = random.Random(30)
+    rows = [(i, words(rng, 30) + " mail a.b@c.example.org", "s") for i in BIG] + [(None, words(rng, 30) + " +1 (222) 555-0100", "s")]
+    docs = frame(spark, rows).coalesce(1)
+    labels = spark.createDataFrame([(BIG[0], 1, 0), (BIG[1], 0, 0)], "doc_id long, quality int, toxic int")
+    model = pii.Tagger(1)
+    for found in (pii.find_pii(docs, model=model), pii.redacted(docs, model), quality.quality(docs, labels), licenses.scan_licenses(docs), jaccard.near_duplicates(docs), packing.pack(docs), spm.encode_documents(docs, chunk=40), dedup.exact_dedup(docs)):
+        assert {r["doc_id"] for r in found.collect()} == {*BIG, None}
+        assert dict(found.dtypes)["doc_id"] == "bigint"
+    assert "@" not in "".join(r["text"] for r in pii.redacted(docs, model).collect())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "same text here", "en", "s", 14, "x", "y", "z", "w"), (2, "same text here", "en", "s", 14, "x", "y", "z", "w"), (3, "other words there", "en", "s", 17, "x", "y", "z", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _at string, _maybe string, _bit_row string, gone string")
+    for stage in (dedup.keep_first, jaccard.one_of_each, lambda d: pii.redacted(d, pii.Tagger(1)), lambda d: quality.accepted_documents(d, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r["_at"] == "x" and r["gone"] == "w" for r in out.collect())
+    assert sorted(r["doc_id"] for r in dedup.keep_first(docs).collect()) == [1, 3]
+
+
+def test_base_cards_and_phones_equal_plain_patterns():
+    rng = random.Random(31)
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    seen = 0
+    for _ in range(4000):
+        t = "".join(rng.choice("00123456789" + rng.choice(["", " -", "+( )."]) + "x") for _ in range(rng.randint(0, 70)))
+        if rng.random() < 0.5:
+            d = "".join(rng.choice("0123456789") for _ in range(rng.randint(15, 18)))
+            d += next(c for c in "0123456789" if pii.luhn(d + c))
+            t += " x" + rng.choice(["", " ", "-"]).join(d) + "x"
+        digits = lambda s: [c for c in s if c.isdigit()]
+        cards = [m.span() for m in card.finditer(t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn("".join(digits(m[0])))]
+        phones = [m.span() for m in phone.finditer(t) if 8 <= len(digits(m[0])) <= 15]
+        spans = pii.base_spans(t)
+        assert [s[1:] for s in spans if s[0] == 2] == cards and [s[1:] for s in spans if s[0] == 3] == phones
+        seen += bool(cards)
+    assert seen > 500
+
+
+def test_posteriors_sum_over_all_paths():
+    import itertools
+
+    import numpy as np
+
+    model = pii.Tagger(4)
+    batch = np.array([pii.codes("a1@b")], dtype=np.int64)
+    e, _ = model.emissions(batch)
+    T, S = model._transitions()
+    weight = lambda p: S[p[0]] + e[0, 0, p[0]] + sum(T[a, b] + e[t + 1, 0, b] for t, (a, b) in enumerate(itertools.pairwise(p)))
+    every = {p: np.exp(weight(p)) for p in itertools.product(range(pii.TAGS), repeat=4)}
+    for _, kind, a, b, sure in model.spans(batch):
+        own = [1 + 2 * kind] + [2 + 2 * kind] * (b - a - 1)
+        fits = sum(w for p, w in every.items() if list(p[a:b]) == own and (b == 4 or p[b] != 2 + 2 * kind))
+        assert abs(sure - fits / sum(every.values())) < 1e-9
+
+
+def test_windows_are_reconciled_over_the_whole_text():
+    model = pii.trained()
+    item = "(212) 555-0187"
+    for gap in range(0, 97, 7):  # a number at every place within the windows' grid
+        text = "word " * 30 + "x" * gap + " " + item + " and more words follow here"
+        spans = [text[a:b] for k, a, b in pii.all_spans([text], model)[0][1] if k == 3]
+        assert len(spans) <= 1
+    assert sum(bool(pii.all_spans(["word " * n + item + " word"], model)[0][1]) for n in range(12)) >= 11
+
+
+def test_importance_weights_and_sample_equal_brute_force(spark):
+    import math
+
+    import numpy as np
+
+    rng = random.Random(32)
+    docs = [(k, words(rng, rng.randint(3, 40)) if k % 3 else words(rng, 20).upper(), "a") for k in range(90)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.quality(frame(spark, docs), labels, buckets=512, k=25).collect()}
+    keys = sorted((r["gumbel_key"] for r in got.values()), reverse=True)
+    assert {k for k, r in got.items() if r["accepted"]} == {k for k, r in got.items() if r["gumbel_key"] >= keys[24]} and sum(r["accepted"] for r in got.values()) == 25
+    # every weight is that of one pair of models and one charge for an n-gram
+    raw = {k: np.bincount(quality.grams([t], 512)[0], minlength=512) for k, t, _ in docs}
+    a = np.array([[*raw[k], -raw[k].sum()] for k in got], dtype=float)
+    w = np.array([got[k]["log_weight"] for k in got])
+    solved = np.linalg.lstsq(a, w, rcond=None)[0]
+    assert np.abs(a @ solved - w).max() < 1e-3
+    noise = [got[k]["gumbel_key"] - got[k]["log_weight"] for k in got]
+    assert abs(np.mean(noise) - 0.5772) < 0.5 and all(math.isfinite(x) for x in noise)
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    a, b = words(rng, 120), words(rng, 120)
+    rows = [(1, a, "s"), (2, a + " ", "s"), (3, a.replace(a.split()[50], "changed", 1), "t"), (4, b + " call +1 (222) 555-0100", "s"), (5, b + " call +1 (222) 555-0100", "u"), (6, words(rng, 90), "t"), (7, "", "t"), (8, None, "t")]
+    docs = frame(spark, rows)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # nothing is rejected
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of equal texts the longest stays, of near copies the least id, of empty ones one
+    plainly = {1, 2, 3} & {r["doc_id"] for r in out}
+    assert len(plainly) == 1 and {r["doc_id"] for r in out} - plainly in ({4, 6, 7}, {4, 6, 8})
+    assert {r["doc_id"]: r["size"] for r in out}[6] == 90 and {r["doc_id"]: r["size"] for r in out}[4] == 122

@@ -16,7 +16,7 @@ from lodestar.operators import records as E
 from lodestar.operators import resolution as N
 from lodestar.operators import snapshot as S
 from lodestar.plans.reviews import CALLS
-from lodestar.plans.rules import ADJ, ORDER_KEY, PROFILE, STATES, _profiles, pick, sql_pick
+from lodestar.plans.rules import ADJ, order_key, PROFILE, STATES, _profiles, pick, sql_pick
 from lodestar.plans.snapshots import FRAME, sql_id
 from lodestar.registry import query
 
@@ -223,7 +223,7 @@ PLACED = f"pl AS (SELECT 'part:' || o_orderkey AS id, CASE WHEN o_orderkey % 9 <
 
 def _placed(spark, sf):
     d = B.t(spark, sf, "documents").select("doc_id", B._path().alias("path"))
-    o = B.t(spark, sf, "orders").select(ORDER_KEY.alias("k"), (ORDER_KEY % 1200).alias("doc_id"))
+    o = B.t(spark, sf, "orders").select(order_key().alias("k"), (order_key() % 1200).alias("doc_id"))
     return o.join(d, "doc_id", "left").select(tag("part:", c("k")).alias("id"), F.when(c("k") % 9 != 0, c("path")).alias("path"))
 
 
@@ -238,7 +238,7 @@ OLD, NEW = {"v": 5, "p": 7, "a": 11, "d": 13, "skip": 17}, {"v": 10, "p": 7, "a"
 
 
 def _model(spark, sf, m):
-    k = ORDER_KEY
+    k = order_key()
     return B.t(spark, sf, "orders").filter(k % m["skip"] != 0).select(
         k.alias("id"), tag("n", c("o_custkey")).alias("name"), F.lit("callable").alias("kind"), F.when(k % m["v"] == 0, "private").otherwise("public").alias("visibility"), F.when(k % m["p"] == 0, "p2").otherwise("p1").alias("parent"),
         F.array(F.lit("a"), F.when(k % m["a"] == 0, "b").otherwise("c")).alias("capabilities"), F.when(k % m["d"] == 0, "bad").alias("diagnostic"), tag("f", k % 100).alias("path"),
@@ -357,7 +357,7 @@ v AS (SELECT *, NOT defect AND historical AND (paradigm OR (tested AND (deps OR
 def evolution(spark, sf):
     k = c("o_custkey")
     some = lambda on: F.when(on, F.array(F.lit("x"))).otherwise(F.expr("cast(array() as array<string>)"))
-    r = B.t(spark, sf, "orders").select(ORDER_KEY.alias("id"), pick([d[0] for d in DISCREPANCIES], ORDER_KEY).alias("text"), (k % 2 == 0).alias("tested"), some(k % 3 == 0).alias("added_dependencies"), some(k % 5 == 0).alias("interface_mutations"), (k % 7 == 0).alias("breaking"), (k % 11 < 6).alias("historical"))
+    r = B.t(spark, sf, "orders").select(order_key().alias("id"), pick([d[0] for d in DISCREPANCIES], order_key()).alias("text"), (k % 2 == 0).alias("tested"), some(k % 3 == 0).alias("added_dependencies"), some(k % 5 == 0).alias("interface_mutations"), (k % 7 == 0).alias("breaking"), (k % 11 < 6).alias("historical"))
     return N.evolution(r)
 
 
@@ -390,7 +390,7 @@ def upstream_signals(spark, sf):
 @query("""WITH d AS (SELECT o_orderkey AS id, o_custkey AS work_id, list_distinct(['e' || (o_orderkey % 5), 'e' || (o_orderkey % 7), 'e2']) AS ev FROM orders), x AS (SELECT id, work_id, unnest(ev) AS e FROM d), f AS (SELECT c_custkey AS work_id, 'e' || (c_custkey % 3) AS e FROM customer UNION SELECT c_custkey, 'e' || (c_custkey % 5) FROM customer)
 SELECT id, coalesce(string_agg(x.e, ',' ORDER BY x.e) FILTER (f.e IS NOT NULL), '') AS citations, count(*) FILTER (f.e IS NULL) AS unknown FROM x LEFT JOIN f ON f.work_id = x.work_id AND f.e = x.e GROUP BY id""")
 def assessment_binding(spark, sf):
-    k = ORDER_KEY
+    k = order_key()
     d = B.t(spark, sf, "orders").select(k.alias("id"), c("o_custkey").alias("work_id"), F.array(tag("e", k % 5), tag("e", k % 7), F.lit("e2")).alias("evidence"))
     cu = B.t(spark, sf, "customer").select(c("c_custkey").alias("work_id"), F.explode(F.array(tag("e", c("c_custkey") % 3), tag("e", c("c_custkey") % 5))).alias("evidence"))
     return E.bind(d, cu)
@@ -450,7 +450,7 @@ def release_leases(spark, sf):
 
 @query("SELECT o_orderkey, greatest(least((o_orderkey * 7) // 3, 10000), 25)::BIGINT AS every FROM orders")
 def heartbeat_cadence(spark, sf):
-    return B.t(spark, sf, "orders").select("o_orderkey", Q.heartbeat_millis(ORDER_KEY * 7).alias("every"))
+    return B.t(spark, sf, "orders").select("o_orderkey", Q.heartbeat_millis(order_key() * 7).alias("every"))
 
 
 @query(f"""WITH {B.SQL_WORK}, l AS (SELECT work_id, 'w' || (work_id % 3) AS owner, attempts AS retries FROM wk WHERE state = 'leased') SELECT work_id, CASE WHEN work_id % 11 = 0 THEN 'succeeded' WHEN work_id % 7 = 0 THEN 'orphaned' WHEN work_id % 5 = 0 AND owner <> 'w0' THEN 'foreign' WHEN retries = 2 THEN 'resume' ELSE 'run' END AS action, retries AS generation FROM l""")
@@ -471,7 +471,7 @@ f AS (SELECT key, arg_min(coalesce(expected, -1), moment) AS e, arg_min(data, mo
 x AS (SELECT *, CASE WHEN revision IS NULL AND e = -1 THEN 'inserted' WHEN revision IS NOT NULL AND e = -1 AND data = d THEN 'existing' WHEN revision = e THEN 'updated' ELSE 'conflict' END AS result FROM j)
 SELECT key, result, (CASE result WHEN 'inserted' THEN 0 WHEN 'updated' THEN revision + 1 ELSE revision END)::BIGINT AS revision, CASE WHEN result IN ('inserted', 'updated') THEN d ELSE data END AS data, n - 1 AS later_conflicts FROM x""")
 def workflow_swap(spark, sf):
-    k, cu = ORDER_KEY, c("c_custkey")
+    k, cu = order_key(), c("c_custkey")
     r = B.t(spark, sf, "customer").filter(cu % 5 != 0).select(cu.alias("key"), (cu % 4).alias("revision"), tag("d", cu % 6).alias("data"))
     u = B.t(spark, sf, "orders").select(c("o_custkey").alias("key"), F.when(k % 3 != 0, k % 4).alias("expected"), tag("d", k % 6).alias("data"), k.alias("at"))
     return Q.compare_and_swap(r, u)
@@ -533,5 +533,5 @@ BROKEN = [0, 1, 0, 0, 1, 0, 0, 1, 0, 0, 1, 0, 1, 1]
 
 @query(f"SELECT o_orderkey AS id, {sql_pick(BROKEN, 'o_orderkey')} = 0 AS legal FROM orders")
 def lifecycle_edges(spark, sf):
-    moves = B.t(spark, sf, "orders").select(ORDER_KEY.alias("id"), *[pick([w[i] for w in WALKS], ORDER_KEY).alias(n) for i, n in enumerate(("lifecycle", "before", "after"))])
+    moves = B.t(spark, sf, "orders").select(order_key().alias("id"), *[pick([w[i] for w in WALKS], order_key()).alias(n) for i, n in enumerate(("lifecycle", "before", "after"))])
     return Q.legal_moves(moves)

@@ -49,7 +49,10 @@ def sql_values(rows, *names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({', '.join(names)})"
 
 
-ORDER_KEY = c("o_orderkey")
+def order_key():
+    """Made when asked for: a column needs a session."""
+    return c("o_orderkey")
+
 
 #: path: class.
 FILES = {
@@ -62,7 +65,7 @@ FILES = {
 
 @query(f"SELECT o_orderkey, class FROM orders JOIN {sql_values(FILES.items(), 'path', 'class')} ON path = {sql_pick(FILES, 'o_orderkey')}")
 def file_classes(spark, sf):
-    return B.t(spark, sf, "orders").select("o_orderkey", T.file_class(pick(FILES, ORDER_KEY)).alias("class"))
+    return B.t(spark, sf, "orders").select("o_orderkey", T.file_class(pick(FILES, order_key())).alias("class"))
 
 
 #: path, is a test's, is a benchmark's.
@@ -77,7 +80,7 @@ TESTS = [
 
 @query(f"SELECT o_orderkey, is_test, is_bench FROM orders JOIN {sql_values(TESTS, 'path', 'is_test', 'is_bench')} ON path = {sql_pick([t[0] for t in TESTS], 'o_orderkey')}")
 def test_paths(spark, sf):
-    path = pick([t[0] for t in TESTS], ORDER_KEY)
+    path = pick([t[0] for t in TESTS], order_key())
     return B.t(spark, sf, "orders").select("o_orderkey", T.is_test_path(path).alias("is_test"), T.is_bench_path(path).alias("is_bench"))
 
 
@@ -89,7 +92,7 @@ FOLDERS = ["", "a/", "a/b/", "node_modules/x/", "target/x/", ".git/x/", "x/build
 @query(f"""SELECT DISTINCT rtrim(f, '/') || '/' || (o_custkey % 50) AS root, eco AS ecosystem FROM (SELECT o_custkey, {sql_pick(FOLDERS[:6], 'o_orderkey')} AS f, {sql_pick([m[0] for m in MARKERS], 'o_custkey')} AS m FROM orders)
 JOIN {sql_values(MARKERS, 'm', 'eco')} USING (m) WHERE eco IS NOT NULL AND f IN ('', 'a/', 'a/b/')""")
 def ecosystem_roots(spark, sf):
-    path = F.concat(F.regexp_replace(pick(FOLDERS[:6], ORDER_KEY), "/$", ""), F.lit("/"), (c("o_custkey") % 50).cast("string"), F.lit("/"), pick([m[0] for m in MARKERS], c("o_custkey")))
+    path = F.concat(F.regexp_replace(pick(FOLDERS[:6], order_key()), "/$", ""), F.lit("/"), (c("o_custkey") % 50).cast("string"), F.lit("/"), pick([m[0] for m in MARKERS], c("o_custkey")))
     return S.ecosystem_roots(B.t(spark, sf, "orders").select(path.alias("path"))).select("root", "ecosystem")
 
 
@@ -99,13 +102,13 @@ ADAPTERS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typesc
 
 @query(f"SELECT o_orderkey, adapter FROM orders JOIN {sql_values(ADAPTERS.items(), 'e', 'adapter')} ON e = {sql_pick(ADAPTERS, 'o_orderkey')} WHERE adapter IS NOT NULL")
 def adapters_of_files(spark, sf):
-    files = B.t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("src/f."), pick(ADAPTERS, ORDER_KEY)).alias("path"))
+    files = B.t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("src/f."), pick(ADAPTERS, order_key())).alias("path"))
     return S.implied_adapters(files, "o_orderkey")
 
 
 @query(f"SELECT DISTINCT o_custkey % 5 AS inventory, adapter FROM orders JOIN {sql_values(ADAPTERS.items(), 'e', 'adapter')} ON e = {sql_pick(ADAPTERS, 'o_orderkey')} WHERE adapter IS NOT NULL AND NOT (adapter = 'rust' OR (adapter = 'java' AND o_custkey % 5 < 2))")
 def missing_adapters(spark, sf):
-    files = B.t(spark, sf, "orders").select((c("o_custkey") % 5).alias("inventory"), F.concat(F.lit("src/f."), pick(ADAPTERS, ORDER_KEY)).alias("path"))
+    files = B.t(spark, sf, "orders").select((c("o_custkey") % 5).alias("inventory"), F.concat(F.lit("src/f."), pick(ADAPTERS, order_key())).alias("path"))
     present = spark.range(5).select(c("id").alias("inventory"), F.lit("rust").alias("adapter")).unionByName(spark.range(2).select(c("id").alias("inventory"), F.lit("java").alias("adapter")))
     return S.missing_adapters(files, present, "inventory")
 
@@ -119,9 +122,9 @@ PROFILE = f"""t AS (SELECT o_orderkey AS id, {sql_pick(['workspace', 'package',
 
 
 def _profiles(spark, sf):
-    lang = F.when(ORDER_KEY % 10 == 9, "rust")
-    inv = F.when(ORDER_KEY % 13 == 0, "failed").otherwise("represented")
-    return B.t(spark, sf, "orders").select(ORDER_KEY.alias("id"), A.target_class(pick(KINDS, ORDER_KEY), lang).alias("class"), pick(A.VISIBILITIES, c("o_custkey")).alias("visibility"), inv.alias("inventory"))
+    lang = F.when(order_key() % 10 == 9, "rust")
+    inv = F.when(order_key() % 13 == 0, "failed").otherwise("represented")
+    return B.t(spark, sf, "orders").select(order_key().alias("id"), A.target_class(pick(KINDS, order_key()), lang).alias("class"), pick(A.VISIBILITIES, c("o_custkey")).alias("visibility"), inv.alias("inventory"))
 
 
 @query(f"WITH {PROFILE} SELECT * FROM t")
@@ -165,7 +168,7 @@ REASON = """CASE m WHEN 'callable' THEN 'callable function or method eligible fo
 
 
 def _own_kinds(spark, sf):
-    return B.t(spark, sf, "orders").select(ORDER_KEY.alias("id"), pick([k[0] for k in OWN_KINDS], ORDER_KEY).alias("kind"), pick([k[1] for k in OWN_KINDS], ORDER_KEY).alias("language"), c("o_custkey"))
+    return B.t(spark, sf, "orders").select(order_key().alias("id"), pick([k[0] for k in OWN_KINDS], order_key()).alias("kind"), pick([k[1] for k in OWN_KINDS], order_key()).alias("language"), c("o_custkey"))
 
 
 @query(f"SELECT o_orderkey AS id, CASE WHEN m = 'unknown' THEN 'not_applicable' ELSE 'applicable' END AS state, {REASON} AS reason FROM orders JOIN {sql_values(OWN_KINDS, 'kind', 'language', 'm', 't')} ON kind = {KIND_OF}")
@@ -285,7 +288,7 @@ SEVERITY = ["critical", "high", "medium", "low", "note"]
 
 
 def _notes(spark, sf):
-    title, words, dim = (pick([n[i] for n in NOTES], ORDER_KEY) for i in range(3))
+    title, words, dim = (pick([n[i] for n in NOTES], order_key()) for i in range(3))
     return B.t(spark, sf, "orders").select("o_orderkey", R.backlog_class(title, words, F.array(dim)).alias("category"), pick(SEVERITY, c("o_custkey")).alias("severity"))
 
 
@@ -374,8 +377,8 @@ ADJ = ["unreviewed", "accepted", "rejected", "deferred"]
 @query(f"""WITH m AS ({MATCHED.format(sev=sql_pick(SEVERITY, 'o_custkey'), adj=sql_pick(ADJ, 'o_orderkey'))}), n AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) AS total, count(*) FILTER (adjudication = 'unreviewed') AS un FROM m WHERE category = 'new')
 SELECT * FROM (SELECT 'max_new_critical' AS rule, 1::BIGINT AS "limit", critical AS found FROM n UNION ALL SELECT 'max_new_high', 1000000, high FROM n UNION ALL SELECT 'max_new_medium', 2, medium FROM n UNION ALL SELECT 'max_new_total', 3, total FROM n UNION ALL SELECT 'max_new_unadjudicated', 0, un FROM n) WHERE found > "limit" """)
 def strict_gate_check(spark, sf):
-    cat = F.when(ORDER_KEY % 3 == 0, "new").when(ORDER_KEY % 3 == 1, "resolved").otherwise("persistent")
-    m = B.t(spark, sf, "orders").select(cat.alias("category"), pick(SEVERITY, c("o_custkey")).alias("severity"), pick(ADJ, ORDER_KEY).alias("adjudication"))
+    cat = F.when(order_key() % 3 == 0, "new").when(order_key() % 3 == 1, "resolved").otherwise("persistent")
+    m = B.t(spark, sf, "orders").select(cat.alias("category"), pick(SEVERITY, c("o_custkey")).alias("severity"), pick(ADJ, order_key()).alias("adjudication"))
     return R.gate(m, 1, 1_000_000, 2, 3, unadjudicated=True)
 
 
@@ -487,7 +490,7 @@ REQ = """r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN ' ' E
  WHEN approved >= max_requests THEN 'request_limit_exhausted' WHEN list_contains(targets, 't4') THEN 'target_outside_scope' WHEN list_contains(kinds, 'k3') THEN 'evidence_kind_outside_scope' WHEN bytes > 150 THEN 'byte_budget_exhausted' WHEN tokens > 15 THEN 'token_budget_exhausted'
  WHEN items > 5 THEN 'item_budget_exhausted' WHEN depth > 2 THEN 'relation_depth_exhausted' END AS denial FROM r) SELECT id, denial, CASE WHEN denial IS NULL THEN approved + 1 END AS next_approved, CASE WHEN denial IS NULL THEN 100 + bytes END AS next_bytes FROM d""")
 def expansion_authorization(spark, sf):
-    k, cu = ORDER_KEY, c("o_custkey")
+    k, cu = order_key(), c("o_custkey")
     s = lambda t, x: F.concat(F.lit(t), x.cast("string"))
     listed = lambda *v: F.array(*map(F.lit, v))
     r = B.t(spark, sf, "orders").select(
@@ -576,7 +579,7 @@ def text_trim(spark, sf):
 @query("""WITH n AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 1024 WHEN 1 THEN 1024 + o_orderkey WHEN 2 THEN 1048576 + o_orderkey * 1000 WHEN 3 THEN 1073741824 + o_orderkey * 1000000 ELSE 1023 END AS b FROM orders)
 SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB (%d bytes)', b / 1024.0, b) WHEN b < 1073741824 THEN printf('%.1f MB (%d bytes)', b / 1048576.0, b) ELSE printf('%.2f GB (%d bytes)', b / 1073741824.0, b) END AS size FROM n""")
 def human_bytes(spark, sf):
-    k = ORDER_KEY
+    k = order_key()
     b = F.when(k % 5 == 0, k % 1024).when(k % 5 == 1, k + 1024).when(k % 5 == 2, k * 1000 + 1048576).when(k % 5 == 3, k * 1_000_000 + 1073741824).otherwise(1023)
     return B.t(spark, sf, "orders").select("o_orderkey", T.human_bytes(b).alias("size"))
 
@@ -590,7 +593,7 @@ MODELS = [
 
 @query(f"SELECT o_orderkey, alias FROM orders JOIN {sql_values(MODELS, 'm', 'alias')} ON m = {sql_pick([m[0] for m in MODELS], 'o_orderkey')}")
 def model_aliases(spark, sf):
-    return B.t(spark, sf, "orders").select("o_orderkey", T.model_alias(pick([m[0] for m in MODELS], ORDER_KEY)).alias("alias"))
+    return B.t(spark, sf, "orders").select("o_orderkey", T.model_alias(pick([m[0] for m in MODELS], order_key())).alias("alias"))
 
 
 #: text, text with A=1 and HOME_DIR=/h$x in place (null: an error).
@@ -601,7 +604,7 @@ ENVS = [
 
 @query(f"SELECT o_orderkey, y AS out FROM orders JOIN {sql_values(ENVS, 'x', 'y')} ON x = {sql_pick([e[0] for e in ENVS], 'o_orderkey')}")
 def env_substitution(spark, sf):
-    return B.t(spark, sf, "orders").select("o_orderkey", T.substitute_env(pick([e[0] for e in ENVS], ORDER_KEY), {"A": "1", "HOME_DIR": "/h$x"}).alias("out"))
+    return B.t(spark, sf, "orders").select("o_orderkey", T.substitute_env(pick([e[0] for e in ENVS], order_key()), {"A": "1", "HOME_DIR": "/h$x"}).alias("out"))
 
 
 #: location, path, line, column, offset, length.
@@ -613,7 +616,7 @@ PLACES = [
 
 @query(f"SELECT o_orderkey, path, line::INTEGER AS line, col::INTEGER AS col, off::BIGINT AS off, len::BIGINT AS len FROM orders JOIN {sql_values(PLACES, 'loc', 'path', 'line', 'col', 'off', 'len')} ON loc = {sql_pick([p[0] for p in PLACES], 'o_orderkey')}")
 def location_parse(spark, sf):
-    l = B.t(spark, sf, "orders").select("o_orderkey", T.parse_location(pick([p[0] for p in PLACES], ORDER_KEY)).alias("l"))
+    l = B.t(spark, sf, "orders").select("o_orderkey", T.parse_location(pick([p[0] for p in PLACES], order_key())).alias("l"))
     return l.select("o_orderkey", "l.path", "l.line", c("l.column").alias("col"), c("l.offset").alias("off"), c("l.length").alias("len"))
 
 
@@ -658,7 +661,7 @@ sr AS (SELECT policy, count(DISTINCT run) AS runs, sum(total)::BIGINT AS total,
 
 @query(f"WITH {EVAL} SELECT policy, accepted, rejected, deferred, unadjudicated, matched, accepted * 10000 // nullif(accepted + rejected, 0) AS precision_bp, matched * 10000 // (30 * runs) AS recall_bp, (occ - n) * 10000 // occ AS duplicate_bp, unable * 10000 // total AS unable_bp FROM ag JOIN sr USING (policy)")
 def evaluation_by_policy(spark, sf):
-    o, k, cu = B.t(spark, sf, "orders"), ORDER_KEY, c("o_custkey")
+    o, k, cu = B.t(spark, sf, "orders"), order_key(), c("o_custkey")
     clusters = o.select(pick(POL, cu).alias("policy"), (cu % 3).alias("run"), k.alias("finding"), (k % 3 + 1).alias("occurrences"))
     latest = o.filter(k % 7 != 0).select((cu % 3).alias("run"), k.alias("finding"), pick(["accepted", "rejected", "deferred", "accepted"], k).alias("state"), F.when(k % 2 == 1, F.concat(F.lit("i"), (k % 40).cast("string"))).alias("expected_issue"))
     issues = spark.createDataFrame([(p, f"i{n}") for p in POL for n in range(30)], "policy string, issue string")

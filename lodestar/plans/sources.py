@@ -10,25 +10,22 @@ from lodestar.operators import design as D
 from lodestar.operators import seams
 from lodestar.operators import sinks
 from lodestar.operators import validation as V
-from lodestar.plans.rules import ORDER_KEY, pick, sql_pick, sql_values
+from lodestar.plans.rules import order_key, pick, sql_pick, sql_values
 from lodestar.registry import query
 from lodestar.sources import repository as S
 
 c = F.col
-KEY = ORDER_KEY.cast("string")
-
-
 def orders(spark, sf):
     return B.t(spark, sf, "orders")
 
 
 def filled(template):
     """An example with the order's key in the place of @."""
-    return F.replace(template, F.lit("@"), KEY)
+    return F.replace(template, F.lit("@"), order_key().cast("string"))
 
 
 def example(spark, sf, lines, name="value"):
-    return orders(spark, sf).select(filled(pick(lines, ORDER_KEY)).alias(name))
+    return orders(spark, sf).select(filled(pick(lines, order_key())).alias(name))
 
 
 DELTAS = ["M\tm@.rs", "R090\told@.rs\tnew@.rs", "D\td@.rs", "?? u@.rs", "A\ta@.rs", "T\tt@.rs"]
@@ -89,7 +86,7 @@ RESOLVED = [(0, "a/b/x@.ts", "a/b/util.tsx"), (1, "a/b/x@.ts", "a/lib/z.d.ts"),
 
 @query(sql_rows(RESOLVED, len(IMPORTS), ["path", "target"]))
 def relative_imports(spark, sf):
-    i = orders(spark, sf).select(filled(pick([p for p, _ in IMPORTS], ORDER_KEY)).alias("path"), pick([n for _, n in IMPORTS], ORDER_KEY).alias("name"))
+    i = orders(spark, sf).select(filled(pick([p for p, _ in IMPORTS], order_key())).alias("path"), pick([n for _, n in IMPORTS], order_key()).alias("name"))
     return S.relative_imports(i, spark.createDataFrame([(p,) for p in PRESENT], "path string"))
 
 
@@ -99,9 +96,9 @@ EVIDENCE = [("x::f@", "q.rs", "f@"), ("f@", "a.rs", "f@"), ("g@", "b.rs", "g@-b"
 
 @query(sql_rows([(k, *e) for k, e in enumerate(EVIDENCE)], len(EVIDENCE), ["name", "file", "id"]))
 def named_evidence(spark, sf):
-    records = orders(spark, sf).select(filled(pick([e[0] for e in EVIDENCE], ORDER_KEY)).alias("name"), pick([e[1] for e in EVIDENCE], ORDER_KEY).alias("file"))
+    records = orders(spark, sf).select(filled(pick([e[0] for e in EVIDENCE], order_key())).alias("name"), pick([e[1] for e in EVIDENCE], order_key()).alias("file"))
     own = [("f", "", "a.rs"), ("g", "-a", "a.rs"), ("g", "-b", "b.rs"), ("h", "-c", "c.rs"), ("h", "-d", "d.rs")]
-    rows = F.array(*[F.struct(F.concat(F.lit(n), KEY, F.lit(end)).alias("id"), F.concat(F.lit(n), KEY).alias("name"), F.lit(path).alias("path")) for n, end, path in own])
+    rows = F.array(*[F.struct(F.concat(F.lit(n), order_key().cast("string"), F.lit(end)).alias("id"), F.concat(F.lit(n), order_key().cast("string")).alias("name"), F.lit(path).alias("path")) for n, end, path in own])
     return S.named_evidence(records, orders(spark, sf).select(F.explode(rows).alias("t")).select("t.*"))
 
 
@@ -112,7 +109,7 @@ LINES = ["*.log", "!keep.log", "build/", "/top.txt", "a/*.tmp", "docs/**/*.bak",
 @query(f"SELECT o_orderkey, {sql_pick([i for _, i in IGNORED], 'o_orderkey')} AS ignored FROM orders")
 def ignored_paths(spark, sf):
     every = [("web", "dist/"), *[("", x) for x in LINES], ("", "!keep/")]
-    return orders(spark, sf).select("o_orderkey", S.is_ignored(pick([p for p, _ in IGNORED], ORDER_KEY), every).alias("ignored"))
+    return orders(spark, sf).select("o_orderkey", S.is_ignored(pick([p for p, _ in IGNORED], order_key()), every).alias("ignored"))
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AND text IS NOT NULL AS is_binary FROM documents")
@@ -132,7 +129,7 @@ FACTS = [
 
 @query(f"SELECT path, fact, name, detail FROM ({sql_rows(FACTS, len(SYNTAX), ['path', 'fact', 'name', 'detail'])}) UNION ALL SELECT 'b' || o_orderkey || '.py', 'failed', 'b' || o_orderkey || '.py', NULL FROM orders WHERE o_orderkey % {len(SYNTAX)} = 1")
 def syntax_facts(spark, sf):
-    files = orders(spark, sf).select(filled(pick([p for p, _ in SYNTAX], ORDER_KEY)).alias("path"), pick([t for _, t in SYNTAX], ORDER_KEY).alias("text"))
+    files = orders(spark, sf).select(filled(pick([p for p, _ in SYNTAX], order_key())).alias("path"), pick([t for _, t in SYNTAX], order_key()).alias("text"))
     f = S.syntax(files).filter("not (path like 'c%' and fact = 'call')")
     return f.select("path", "fact", "name", F.when(c("fact") != "failed", c("detail")).alias("detail"))
 
@@ -146,7 +143,7 @@ DEPENDENCIES = [(0, "@/package.json", "web", "react", "^18"), (0, "@/package.jso
 
 @query(sql_rows(DEPENDENCIES, len(MANIFESTS), ["path", "package", "dependency", "version"]))
 def manifest_dependencies(spark, sf):
-    return S.manifests(orders(spark, sf).select(filled(pick([p for p, _ in MANIFESTS], ORDER_KEY)).alias("path"), pick([t for _, t in MANIFESTS], ORDER_KEY).alias("text")))
+    return S.manifests(orders(spark, sf).select(filled(pick([p for p, _ in MANIFESTS], order_key())).alias("path"), pick([t for _, t in MANIFESTS], order_key()).alias("text")))
 
 
 DESIGNS = [
@@ -159,20 +156,20 @@ PARSED_COLS = ["path", "identifier", "title", "kind", "status", "superseded_by",
 
 @query(sql_rows(PARSED, len(DESIGNS), PARSED_COLS))
 def design_documents(spark, sf):
-    files = orders(spark, sf).select(filled(pick([p for p, _ in DESIGNS], ORDER_KEY)).alias("path"), filled(pick([t for _, t in DESIGNS], ORDER_KEY)).alias("text"))
+    files = orders(spark, sf).select(filled(pick([p for p, _ in DESIGNS], order_key())).alias("path"), filled(pick([t for _, t in DESIGNS], order_key())).alias("text"))
     a = D.parse_artifacts(files)
     return a.select("path", "identifier", "title", "kind", "status", "superseded_by", F.array_join("supersedes", "|").alias("supersedes"), F.array_join("governs", "|").alias("governs"), F.size("requirements").cast("string").alias("n_requirements"))
 
 
 @query(sql_rows([(0, "docs/adr/@.md", "Rules/REQ-1", "must"), (0, "docs/adr/@.md", "Rules/REQ-2", "should"), (1, "docs/x@.md", "Goals/REQ-1", "shall")], len(DESIGNS), ["path", "id", "level"]))
 def design_requirements(spark, sf):
-    files = orders(spark, sf).select(filled(pick([p for p, _ in DESIGNS], ORDER_KEY)).alias("path"), filled(pick([t for _, t in DESIGNS], ORDER_KEY)).alias("text"))
+    files = orders(spark, sf).select(filled(pick([p for p, _ in DESIGNS], order_key())).alias("path"), filled(pick([t for _, t in DESIGNS], order_key())).alias("text"))
     return D.parse_artifacts(files).select("path", F.explode("requirements").alias("r")).select("path", "r.id", "r.level")
 
 
 @query("""SELECT o_orderkey AS id, section, part || o_orderkey AS text FROM orders JOIN (VALUES (0, 'safety', 'hold '), (0, 'panics', 'never '), (1, 'errors', 'io ')) AS v(k, section, part) ON k = o_orderkey % 3""")
 def doc_contracts(spark, sf):
-    doc = pick(["Adds.\n# Safety\nhold @\n\n# Panics\nnever @", "# Errors\nio @\n", "no sections @"], ORDER_KEY)
+    doc = pick(["Adds.\n# Safety\nhold @\n\n# Panics\nnever @", "# Errors\nio @\n", "no sections @"], order_key())
     return V.contract_sections(orders(spark, sf).select(c("o_orderkey").alias("id"), filled(doc).alias("text")))
 
 
@@ -182,14 +179,14 @@ REPAIRED = ['{"a": 1}', '{"b": [1, 2]}', None, '{"c": "x"}']
 
 @query(f"SELECT o_orderkey::VARCHAR AS id, {sql_pick(REPAIRED, 'o_orderkey')} AS answer, CASE WHEN o_orderkey % 4 = 2 THEN 2 ELSE 1 END::INTEGER AS tries FROM orders")
 def model_answers(spark, sf):
-    prompts = orders(spark, sf).select(c("o_orderkey").alias("id"), pick(ANSWERS, ORDER_KEY).alias("prompt"))
+    prompts = orders(spark, sf).select(c("o_orderkey").alias("id"), pick(ANSWERS, order_key()).alias("prompt"))
     return V.review(prompts, lambda prompt: prompt, attempts=2).select("id", "answer", "tries")
 
 
 #: Of 65 bytes one item leaves a budget of 60, of 150 three, of 500 all five.
 @query("""SELECT o_orderkey AS scope, CASE o_orderkey % 3 WHEN 0 THEN 'c,i,k,r' WHEN 1 THEN 'c,k' ELSE '' END AS kept, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 5 END::INTEGER AS dropped FROM orders""")
 def scope_trim(spark, sf):
-    size = F.when(ORDER_KEY % 3 == 0, 13).when(ORDER_KEY % 3 == 1, 30).otherwise(100).cast("long")
+    size = F.when(order_key() % 3 == 0, 13).when(order_key() % 3 == 1, 30).otherwise(100).cast("long")
     item = lambda cls, name: F.struct(F.lit(cls).alias("class"), F.lit(name).alias("name"), size.alias("bytes"))
     items = F.array(item("boundary_target", "b"), item("boundary_relation", "r"), item("internal", "i"), item("constituent", "k"), item("cycle", "c"))
     t = V.trim_scope(orders(spark, sf).select(c("o_orderkey").alias("scope"), items.alias("items")), 60)
@@ -208,13 +205,13 @@ def snapshot_reads(spark, sf):
     text = F.concat(F.lit("text "), n.cast("string"))
     files = spark.range(70).select(F.concat(F.lit("f"), n.cast("string")).alias("path"), F.sha2(text.cast("binary"), 256).alias("content"))
     blobs = spark.range(60).select(F.sha2(text.cast("binary"), 256).alias("content"), F.when(n % 7 == 0, "torn").otherwise(text).alias("text"))
-    return seams.source_access(files, blobs, orders(spark, sf).select(F.concat(F.lit("f"), (ORDER_KEY % 90).cast("string")).alias("path")))
+    return seams.source_access(files, blobs, orders(spark, sf).select(F.concat(F.lit("f"), (order_key() % 90).cast("string")).alias("path")))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN 'unknown_tool' WHEN o_orderkey % 5 = 0 THEN 'forbidden_argument' WHEN o_orderkey % 7 = 0 THEN 'forbidden_environment' WHEN o_orderkey % 11 = 0 THEN 'too_long' WHEN o_orderkey % 13 = 0 THEN 'network' END AS denial FROM orders""")
 def tool_runs(spark, sf):
     policy = seams.ToolPolicy({"cargo": ("check", "metadata"), "tsc": ("--noEmit",)})
-    k = ORDER_KEY
+    k = order_key()
     tool = pick(["cargo", "tsc", "rm"], k)
     verb = F.when(k % 5 == 0, "run").when(k % 3 == 0, "check").otherwise("--noEmit")
     env = F.when(k % 7 == 0, F.array(F.lit("PATH"), F.lit("TOKEN"))).otherwise(F.array(F.lit("PATH")))
@@ -223,13 +220,13 @@ def tool_runs(spark, sf):
 
 @query("SELECT o_orderkey AS work_id, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey * 7 + o_orderkey % 3 END AS fingerprint FROM orders")
 def resolved_fingerprints(spark, sf):
-    work = orders(spark, sf).select(c("o_orderkey").alias("work_id"), c("o_custkey").alias("target"), (ORDER_KEY % 3).alias("policy"))
+    work = orders(spark, sf).select(c("o_orderkey").alias("work_id"), c("o_custkey").alias("target"), (order_key() % 3).alias("policy"))
     return seams.resolve_fingerprints(work, lambda asked: asked.filter("target % 4 != 0").withColumn("fingerprint", c("target") * 7 + c("policy"))).select("work_id", "fingerprint")
 
 
 @query("SELECT o_orderkey AS request, 'e' || n AS evidence FROM orders, (SELECT unnest(range(0, 3)) AS n) WHERE o_orderkey % 4 <> 0 AND n < o_orderkey % 4")
 def expanded_evidence(spark, sf):
-    r = orders(spark, sf).select(ORDER_KEY.alias("request"), F.when(ORDER_KEY % 4 == 0, "out_of_sequence").alias("denial"))
+    r = orders(spark, sf).select(order_key().alias("request"), F.when(order_key() % 4 == 0, "out_of_sequence").alias("denial"))
     add = lambda df: df.select("request", F.explode(F.sequence(F.lit(0), (c("request") % 4 - 1).cast("int"))).alias("n")).select("request", F.concat(F.lit("e"), c("n").cast("string")).alias("evidence"))
     return seams.expand_evidence(r, add)
 

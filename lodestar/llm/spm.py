@@ -558,8 +558,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out = []
             for r in pdf.itertuples(index=False):
                 m = vocabulary.matrix(r.body, r.a, r.b)
-                out.append((r.key, r.seq, r.block, m.shape[0], m.shape[1], (m == 0).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "seq", "block", "rows", "cols", "m"])
+                out.append((r.key, r.seq, r.block, r.n, m.shape[0], m.shape[1], (m == 0).tobytes()))
+            yield pd.DataFrame(out, columns=["key", "seq", "block", "n", "rows", "cols", "m"])
 
     def unpacked(pdf: pd.DataFrame) -> list[np.ndarray]:
         return [np.where(np.frombuffer(m, dtype=bool).reshape(r, c), 0.0, NEG) for m, r, c in zip(pdf["m"], pdf["rows"], pdf["cols"])]
@@ -575,7 +575,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def routes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        route = scan(unpacked(pdf), int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
+        last = int(pdf["last"].iloc[0])
+        route = scan(unpacked(pdf), int(pdf["first"].iloc[0]), last if last >= 0 else None)
         return pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "enter": route[:-1], "leave": route[1:]})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -598,10 +599,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     giant = rows.filter(~fits).select("doc_id", "text", F.monotonically_increasing_id().alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     pieces = giant.mapInPandas(cut, "doc_id string, key long, sha string, seq int, block int, n int, n_chars long, a int, b int, body string")
     pieces = stash(pieces.repartition("key", "seq"), "pieces")  # rows' keys hold from here on
-    found = stash(pieces.mapInPandas(matrices, "key long, seq int, block int, rows int, cols int, m binary"), "matrices")
-    blocks = found.groupBy("key", "block").applyInPandas(combine, "key long, block int, rows int, cols int, m binary")
+    found = stash(pieces.mapInPandas(matrices, "key long, seq int, block int, n int, rows int, cols int, m binary"), "matrices")
+    # the edges of a document's only block are the document's own
+    single, several = found.filter(F.col("n") <= BLOCK), found.filter(F.col("n") > BLOCK)
+    blocks = several.groupBy("key", "block").applyInPandas(combine, "key long, block int, rows int, cols int, m binary")
     edge = blocks.groupBy("key").applyInPandas(edges, "key long, block int, first int, last int")
-    route = found.join(edge, ["key", "block"]).groupBy("key", "block").applyInPandas(routes, "key long, seq int, enter int, leave int")
+    placed = several.join(edge, ["key", "block"]).unionByName(single.withColumns({"first": F.lit(0), "last": F.lit(-1)}))
+    route = placed.groupBy("key", "block").applyInPandas(routes, "key long, seq int, enter int, leave int")
     traced = pieces.join(route, ["key", "seq"]).mapInPandas(trace, "doc_id string, key long, sha string, seq int, n int, n_chars long, ids array<int>")
     far = traced.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.first("sha").alias("sha"), F.first("n_chars").alias("n_chars"), F.first("n").alias("n_chunks"),

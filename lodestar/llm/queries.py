@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, dedup, jaccard, licenses, packing, pii, quality, spm, urls, warc
+from lodestar.llm import ann, dedup, jaccard, licenses, packing, periods, pii, quality, spm, urls, warc
 from lodestar.llm.common import table
 
 
@@ -48,8 +48,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(periods.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing, op13_periodic_run_detection)}
 
 
 OP7 = r"""

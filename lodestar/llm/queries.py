@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, dedup, jaccard, licenses, packing, periods, pii, quality, spm, urls, warc
+from lodestar.llm import ann, dedup, jaccard, licenses, packing, periods, phrases, pii, quality, spm, urls, warc
 from lodestar.llm.common import table
 
 
@@ -48,12 +48,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(periods.with_repeats(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing, op13_periodic_run_detection)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing, op12_phrase_collocations, op13_periodic_run_detection)}
 
 
 OP7 = r"""
@@ -82,5 +86,38 @@ FROM k
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+x AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM i),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY ALL),
+f AS (
+  SELECT lang, w1, NULL AS w2, NULL AS w3, w1 AS phrase, count(*)::HUGEINT AS f FROM x GROUP BY ALL
+  UNION ALL SELECT lang, w1, w2, NULL, concat(w1, ' ', w2), count(*) FROM x WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w1, w2, w3, concat(w1, ' ', w2, ' ', w3), count(*) FROM x WHERE w3 IS NOT NULL GROUP BY ALL),
+c AS (SELECT * FROM f WHERE f >= 10 AND w2 IS NOT NULL),
+cut AS (
+  SELECT lang, phrase, f AS a, 1 AS k, w1 AS head, CASE WHEN w3 IS NULL THEN w2 ELSE concat(w2, ' ', w3) END AS tail FROM c
+  UNION ALL SELECT lang, phrase, f, 2, concat(w1, ' ', w2), w3 FROM c WHERE w3 IS NOT NULL),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, cut.k, h.f AS l, t.f AS r, (1000000 * cut.a * cut.a) // (h.f * t.f) AS score
+  FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = cut.head JOIN f t ON t.lang = cut.lang AND t.phrase = cut.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, concat(w1, ' ', w2) AS part, f FROM c WHERE w3 IS NOT NULL UNION ALL SELECT lang, concat(w2, ' ', w3), f FROM c WHERE w3 IS NOT NULL)
+  GROUP BY ALL),
+z AS (
+  SELECT b.* FROM b LEFT JOIN g ON g.lang = b.lang AND g.part = b.phrase WHERE g.longer IS NULL OR 100 * g.longer < 50 * b.a)
+SELECT z.lang, row_number() OVER o AS rank, z.phrase, z.a::BIGINT AS a, z.l::BIGINT AS l, z.r::BIGINT AS r, n.n::BIGINT AS n, z.score::BIGINT AS score
+FROM z JOIN n ON n.lang = z.lang
+WINDOW o AS (PARTITION BY z.lang ORDER BY z.score DESC, z.a DESC, encode(z.phrase))
+QUALIFY row_number() OVER o <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op8_warc": OP8}
+    return {"op7_exact_dedup": OP7, "op8_warc": OP8, "op12_phrase_collocations": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import ann, dedup, jaccard, licenses, packing, periods, phrases, pii, quality, spm, urls, warc
+from lodestar.llm import ann, dedup, fingerprints, jaccard, licenses, packing, periods, phrases, pii, quality, spm, urls, warc
 from lodestar.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing, op12_phrase_collocations, op13_periodic_run_detection)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_url_filters, op3_approximate_nearest_neighbours, op4_pii, op5_quality_classifier, op6_license_scans, op7_exact_dedup, op8_warc, op9_ngram_jaccard_join, op10_best_fit_packing, op11_document_fingerprints, op12_phrase_collocations, op13_periodic_run_detection)}
 
 
 OP7 = r"""

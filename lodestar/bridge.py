@@ -35,7 +35,7 @@ def files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return d.withColumn("class", file_class("path"))
 
 
-SQL_CLASS = """CASE WHEN path LIKE 'target/%' THEN 'generated_input' WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN 'source' WHEN path LIKE '%.toml' THEN 'configuration' WHEN path LIKE '%.md' THEN 'documentation' ELSE 'unsupported' END"""
+SQL_CLASS = """CASE WHEN path LIKE 'target/%' THEN 'generated_input' WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN 'source' WHEN path LIKE '%.toml' THEN 'configuration' WHEN path LIKE '%.md' THEN 'design_document' ELSE 'unsupported' END"""
 SQL_FILES = f"""fb AS (SELECT *, {SQL_CLASS} AS class FROM (SELECT {SQL_PATH} AS path, CASE WHEN doc_id % 23 <> 0 THEN sha256(text) END AS content, length(text) AS size FROM documents WHERE doc_id % 7 <> 0)),
 fc AS (SELECT *, {SQL_CLASS} AS class FROM (SELECT {SQL_PATH} AS path, CASE WHEN doc_id % 23 <> 0 THEN sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) END AS content, length(text) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS size FROM documents WHERE doc_id % 11 <> 0)),
 sd AS (SELECT coalesce(b.path, c.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'removed' WHEN b.content IS DISTINCT FROM c.content OR b.size <> c.size OR b.class <> c.class THEN 'modified' ELSE 'unchanged' END AS change FROM fb b FULL OUTER JOIN fc c ON b.path = c.path)"""

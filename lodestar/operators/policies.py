@@ -102,8 +102,8 @@ def maintainable(targets: DataFrame) -> DataFrame:
     """id, state, reason for targets (id, kind, language)."""
     k = maintainability_class("kind", "language")
     reason = (
-        F.when(k == "callable", "callable function or method eligible for maintainability and complexity review").when(k == "type", "type declaration eligible for cohesion, coupling, and abstraction review")
-        .when(k == "module", "module declaration eligible for modularity and dependency review").otherwise("target class is unknown")
+        F.when(k == "callable", "code that can be called: size and branching are reviewed").when(k == "type", "a declared type: how its parts hold together is reviewed")
+        .when(k == "module", "a declared module: its seams and imports are reviewed").otherwise("of no class that is reviewed")
     )
     return targets.select("id", F.when(k == "unknown", "not_applicable").otherwise("applicable").alias("state"), reason.alias("reason"))
 

@@ -57,8 +57,8 @@ def order_key():
 #: path: class.
 FILES = {
     "target/x.rs": "generated_input", "src/a.rs": "source", "lib/b.tsx": "source", "m.cpp": "source", "a/Cargo.lock": "lockfile", "package-lock.json": "lockfile", "w/pnpm-lock.yaml": "lockfile",
-    "yarn.lock": "unsupported", "a.yml": "configuration", "Cargo.toml": "configuration", "README.md": "documentation", "docs/x.mdx": "documentation", "i.rst": "documentation", "vendor/a.rs": "source",
-    "vendor/LICENSE": "vendored", "x/vendor/logo.png": "vendored", "a.docx": "binary", "f.woff2": "binary", "notes.txt": "unsupported", "a.ini": "unsupported", "x.rb": "unsupported", "Makefile": "unsupported",
+    "yarn.lock": "unsupported", "a.yml": "configuration", "Cargo.toml": "configuration", "README.md": "design_document", "docs/x.mdx": "design_document", "i.rst": "design_document", "vendor/a.rs": "source",
+    "vendor/LICENSE": "vendor", "x/vendor/logo.png": "vendor", "a.docx": "binary", "f.woff2": "binary", "notes.txt": "unsupported", "a.ini": "unsupported", "x.rb": "unsupported", "Makefile": "unsupported",
     "src/A.RS": "unsupported", ".md": "unsupported", "a/target/x.go": "source",
 }
 
@@ -163,8 +163,8 @@ OWN_KINDS = [
     ("test_fn", "rust", "callable", "test_code"), ("benchGroup", "rust", "unknown", "test_code"), ("macro", "rust", "unknown", "unknown"),
 ]
 KIND_OF = f"{sql_pick([k[0] for k in OWN_KINDS], 'o_orderkey')}"
-REASON = """CASE m WHEN 'callable' THEN 'callable function or method eligible for maintainability and complexity review' WHEN 'type' THEN 'type declaration eligible for cohesion, coupling, and abstraction review'
- WHEN 'module' THEN 'module declaration eligible for modularity and dependency review' ELSE 'target class is unknown' END"""
+REASON = """CASE m WHEN 'callable' THEN 'code that can be called: size and branching are reviewed' WHEN 'type' THEN 'a declared type: how its parts hold together is reviewed'
+ WHEN 'module' THEN 'a declared module: its seams and imports are reviewed' ELSE 'of no class that is reviewed' END"""
 
 
 def _own_kinds(spark, sf):

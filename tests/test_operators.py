@@ -27,7 +27,7 @@ def test_list_hash_depends_on_order(spark):
 
 
 def test_file_classes(spark):
-    cases = {"target/x.rs": "generated_input", "vendor/a.rs": "source", "a/Cargo.lock": "lockfile", "a.toml": "configuration", "README.md": "documentation", "vendor/x": "vendored", "a.png": "binary", "LICENSE": "unsupported"}
+    cases = {"target/x.rs": "generated_input", "vendor/a.rs": "source", "a/Cargo.lock": "lockfile", "a.toml": "configuration", "README.md": "design_document", "vendor/x": "vendor", "a.png": "binary", "LICENSE": "unsupported"}
     got = {r["p"]: r["c"] for r in spark.createDataFrame([(k,) for k in cases], "p string").select("p", text.file_class("p").alias("c")).collect()}
     assert got == cases
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import cut
+from lodestar.operators.spans import resolve_places
 
 
 def applicability(targets: DataFrame, rules: DataFrame, visibility: str = "visibility") -> DataFrame:
@@ -200,9 +201,7 @@ def smallest_span(points: DataFrame, spans: DataFrame) -> DataFrame:
 
     points: point, path, start, end; spans: id, path, s, e, is_file.
     """
-    j = points.join(spans.withColumnRenamed("path", "sp"), (F.col("path") == F.col("sp")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")), "left")
-    best = F.min(F.when(F.col("id").isNotNull(), F.struct("is_file", (F.col("e") - F.col("s")).alias("len"), "id")))
-    return j.groupBy("point").agg(best.alias("b")).select("point", F.col("b.id").alias("id"))
+    return resolve_places(points, spans).select("point", "id")
 
 
 def unique_names(names: DataFrame, uses: DataFrame) -> DataFrame:

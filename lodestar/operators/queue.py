@@ -91,19 +91,9 @@ def append_events(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame
 
     Rows are dealt by ranges of the order; a range begins where the counts of those before it end.
     """
-    from lodestar.operators.graph import cut
-
-    last = log.agg(F.max("sequence")).first()[0] or 0
-    rows = cut(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())  # one row a partition
-    begins, total = [], last
-    for p, n in counts:
-        begins.append((p, total))
-        total += n
-    of = log.sparkSession.createDataFrame(begins, "_p long, _begin long")
-    placed = rows.withColumn("_p", part).join(F.broadcast(of), "_p")
-    return placed.withColumn("sequence", F.col("_begin") + F.col("_at") - F.shiftleft("_p", 33) + 1).drop("_at", "_p", "_begin")
+    from lodestar.operators.ordered import numbered
+
+    return numbered(new, [F.col(c) for c in order], "sequence", log.agg(F.max("sequence")).first()[0] or 0)
 
 
 def compare_and_swap(records: DataFrame, updates: DataFrame) -> DataFrame:

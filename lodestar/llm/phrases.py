@@ -89,8 +89,12 @@ class _Tally:
 
     def passed_on(self) -> Iterator[pa.RecordBatch]:
         rows = list(np.concatenate(self.held, axis=1)) if self.held else [np.zeros(0, dtype=np.int32)] * self.longest
-        columns, n = added_up(rows, len(self.number))
         words = np.array(list(self.number), dtype=object)
+        order = np.argsort(words, kind="stable")  # the mark stays first; keys in order shrink well where they are stored
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        words = words[order]
+        columns, n = added_up([place[c] for c in rows], len(words))
         tails = np.array([b"", *(b"\x00" + w for w in words[1:])], dtype=object)
         self.number, self.held, self.size = _numbering(), [], 0
         for a in range(0, len(n), 50_000):
@@ -145,43 +149,14 @@ def counts(found: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     most = max(1, (heads.agg(F.sum("rows")).first()[0] or 0) // (2 * deal))
     hot = heads.filter(F.col("rows") > most).select("first", F.ceil(F.col("rows") / most).cast("int").alias("salts"))  # at most 2 * deal rows, for their sum is known
     rows = found.join(F.broadcast(hot), "first", "left")
-    rows = rows.select("key", "n", "first", F.col("salts").isNotNull().alias("partial"), F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("key"), F.col("salts"))).otherwise(0).alias("salt"))
-    rows = rows.repartition("first", "salt").sortWithinPartitions(F.col("key").desc()).select("key", "n", "partial")
+    rows = rows.select("key", "n", F.coalesce("salts", F.lit(0)).alias("salts"))  # no more than these is shuffled
+    rows = rows.repartition(F.substring_index("key", SEP, 2), F.when(F.col("salts") > 0, F.pmod(F.xxhash64("key"), F.col("salts")))).sortWithinPartitions(F.col("key").desc())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One stack: the present key's words, and for each the occurrences seen of the prefix that ends there."""
-        words: list[str] = []
-        seen: list[int] = []
-        out: list[tuple[str, int, int, bool]] = []
-        part = False
-
-        def pop_to(depth: int) -> None:
-            while len(words) > depth:
-                n = seen.pop()
-                if len(words) > 1:
-                    seen[-1] += n
-                    if n >= least or part and len(words) <= longest:
-                        out.append((SEP.join(words), len(words) - 1, n, part and len(words) <= longest))
-                words.pop()
-
+        stack = _Stack(least, longest)
         for batch in batches:
-            for key, n, partial in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("partial").to_pylist()):
-                own = key.split(SEP)
-                k = 0
-                for a, b in zip(own, words):
-                    if a != b:
-                        break
-                    k += 1
-                pop_to(k)
-                part = partial
-                words += own[k:]
-                seen += [0] * (len(own) - k)
-                seen[-1] += n
-            if len(out) >= 10_000:
-                yield _table(out)
-                out.clear()
-        pop_to(0)
-        yield _table(out)
+            yield from stack.take(batch.column("key").cast(pa.binary()), batch.column("n").to_numpy(), batch.column("salts").to_numpy() > 0)
+        yield from stack.take(pa.array([b""], pa.binary()), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=bool))
 
     counted = stash(rows.mapInArrow(count, "key string, size int, f long, partial boolean"), "prefixes")
     whole = counted.filter(~F.col("partial")).select("key", "size", "f")
@@ -189,9 +164,61 @@ def counts(found: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     return whole.unionByName(parts)
 
 
-def _table(out: list[tuple[str, int, int, bool]]) -> pa.RecordBatch:
-    keys, size, n, partial = zip(*out) if out else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64()), pa.array(partial, pa.bool_())], names=["key", "size", "f", "partial"])
+class _Stack:
+    """The open prefixes of sorted keys, one of each length, with the occurrences seen; a prefix that the next key doesn't have is counted to the end.
+
+    A portion of keys is handled at once: where a prefix of k words differs from that of the key before, another one begins.
+    """
+
+    def __init__(self, least: int, longest: int):
+        self.least, self.longest = least, longest
+        self.key, self.part, self.open = b"", False, [0] * (longest + 1)
+
+    def take(self, keys: pa.Array, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Prefixes that end before the last of these keys: those of `least` occurrences, and all shorter than `longest` of partial ones."""
+        keys = pa.concat_arrays([pa.array([self.key], pa.binary()), keys])
+        n, part = np.concatenate(([0], n)), np.concatenate(([self.part], part))
+        offset = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+        raw = np.concatenate((np.frombuffer(keys.buffers()[2] or b"", dtype=np.uint8), np.zeros(16, dtype=np.uint8)))
+        size = np.diff(offset)
+        marks = np.flatnonzero(raw[: offset[-1]] == 0)
+        first = np.searchsorted(marks, offset[:-1])
+        words = np.searchsorted(marks, offset[1:]) - first
+        same = _same(raw, offset, size)
+        for k in range(1, self.longest + 1):
+            has = words >= k  # the prefix ends at the next mark, else at the key's end
+            end = np.where(words > k, marks[np.minimum(first + k, max(0, len(marks) - 1))] - offset[:-1] if len(marks) else 0, size)
+            goes_on = has[1:] & has[:-1] & (end[1:] == end[:-1]) & (same >= end[1:])
+            begins = np.concatenate(([0], np.flatnonzero(~goes_on) + 1))
+            total = np.add.reduceat(n, begins)
+            total[0] += self.open[k]
+            self.open[k] = int(total[-1]) if has[-1] else 0
+            begins, total = begins[:-1], total[:-1]
+            wanted = has[begins] & ((total >= self.least) | (part[begins] & (k < self.longest)))
+            begins, total = begins[wanted], total[wanted]
+            if len(begins):
+                texts = [raw[a:b].tobytes() for a, b in zip(offset[begins].tolist(), (offset[begins] + end[begins]).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.full(len(total), k, dtype=np.int32)), pa.array(total), pa.array(part[begins] & (k < self.longest))], names=["key", "size", "f", "partial"]
+                )
+        self.key, self.part = keys[-1].as_py(), bool(part[-1])
+
+
+def _same(raw: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes that each key (but the first) shares with the one before it, from their beginnings; raw ends in eight bytes more at least."""
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    most = np.minimum(size[1:], size[:-1])
+    out, live, k = most.copy(), np.flatnonzero(most > 0), 0
+    while len(live):
+        differ = eight[offset[live] + k] ^ eight[offset[live + 1] + k]
+        apart = differ != 0
+        at = live[apart]
+        low = differ[apart] & (~differ[apart] + np.uint64(1))  # the lowest bit that differs
+        out[at] = np.minimum(most[at], k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3))
+        k += 8
+        live = live[~apart]
+        live = live[most[live] > k]
+    return out
 
 
 def scored(f: DataFrame, taken: int = TAKEN) -> DataFrame:

@@ -102,3 +102,28 @@ def test_wide_vocabularies_are_added_up_too():
     narrow, n = phrases.added_up(columns, 5)
     wide, m = phrases.added_up(columns, 1 << 40)
     assert [c.tolist() for c in narrow] == [c.tolist() for c in wide] and n.tolist() == m.tolist()
+
+
+@pytest.mark.parametrize("portion", [1, 3, 1000])
+def test_the_stack_counts_all_prefixes_of_portions(portion):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(portion)
+    keys = sorted({b"\x00".join([b"en", *(rng.choice([b"a", b"aa", b"ab", b"long-word-of-many-bytes", "é".encode(), b"\x7f"]) for _ in range(rng.randint(1, 3)))]) for _ in range(150)}, reverse=True)
+    n = [rng.randint(1, 5) for _ in keys]
+    want = Counter()
+    for key, m in zip(keys, n):
+        words = key.split(b"\x00")
+        for k in range(1, len(words)):
+            want[b"\x00".join(words[: k + 1]).decode(), k] += m
+    for part in (False, True):
+        stack, got = phrases._Stack(4, 3), {}
+        for a in range(0, len(keys), portion):
+            for out in stack.take(pa.array(keys[a : a + portion], pa.binary()), np.array(n[a : a + portion]), np.full(len(keys[a : a + portion]), part)):
+                for r in out.to_pylist():
+                    assert (r["key"], r["size"]) not in got and r["partial"] == (part and r["size"] < 3)
+                    got[r["key"], r["size"]] = r["f"]
+        for out in stack.take(pa.array([b""], pa.binary()), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=bool)):
+            got |= {(r["key"], r["size"]): r["f"] for r in out.to_pylist()}
+        assert got == {k: v for k, v in want.items() if v >= 4 or part and k[1] < 3}

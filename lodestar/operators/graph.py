@@ -1,71 +1,72 @@
-"""Closures over edge lists by frontier rounds: each round joins the last frontier with the edges and drops what was seen.
+"""Closures over edge lists by rounds, of which each joins what changed last with the edges; components of cycles.
 
-Rounds end when a frontier is empty, so cycles are no matter. Lineage is cut by checkpoints in the shared folder.
+Graphs that are still open after a few rounds are contracted (paths.py), so that rounds follow the branchings on the
+way, not its length. Rounds end when nothing changes, so cycles are no matter. Lineage is cut by tables in the shared folder.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
+from lodestar.operators.paths import ring_labels, shrink
+from lodestar.operators.tables import cut, cut_counted
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _OWN.setdefault("local", "file://" + tempfile.mkdtemp(prefix="lodestar-"))
+#: Rounds over the edges as they are before they are contracted.
+PLAIN = 12
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before the interpreter: the cluster's own retention clears the folder
-        return
+def _nearest(found: DataFrame, roots: int) -> DataFrame:
+    """node, root, depth, new (1: only among new rows): for each node its `roots` nearest roots, of rows (node, root, depth, new); ties to the least root."""
+    if roots == 1:
+        return found.groupBy("node").agg(F.min(F.struct("depth", "root", "new")).alias("m")).select("node", "m.root", "m.depth", "m.new")
+    each = found.groupBy("node", "root").agg(F.min(F.struct("depth", "new")).alias("m")).select("node", "root", "m.depth", "m.new")
+    return each.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("depth", "root"))).filter(F.col("rn") <= roots).drop("rn")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors don't lose it. Removed when the driver exits."""
-    path = f"{_folder(df.sparkSession)}/lodestar-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _relaxed(edges: DataFrame, state: DataFrame, roots: int, max_depth: int | None, rounds: int | None) -> tuple[DataFrame, bool]:
+    """state (node, root, depth, new) after rounds over edges (src, dst, w), and whether nothing changes any more."""
+    done = 0
+    while rounds is None or done < rounds:
+        step = state.filter("new = 1").select(F.col("node").alias("src"), "root", "depth").join(edges, "src")
+        step = step.select(F.col("dst").alias("node"), "root", (F.col("depth") + F.col("w")).alias("depth"), F.lit(1).alias("new"))
+        if max_depth is not None:
+            step = step.filter(F.col("depth") <= max_depth)
+        state, changed = cut_counted(_nearest(state.withColumn("new", F.lit(0)).unionByName(step), roots), "new = 1")
+        if not changed:
+            return state, True
+        done += 1
+    return state, False
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, roots: int = 1) -> DataFrame:
     """node, root, depth (fewest steps), via (the least neighbour on that way; null for seeds): the nearest seeds that reach each node, `roots` at most.
 
-    edges: src, dst; seeds: node. One frontier for all seeds: a node is in it once for each root that it keeps, so the
-    work is that of the edges whatever the number of seeds. Ties go to the least root. Following via gives a shortest path.
+    edges: src, dst; seeds: node. All seeds at once: a node has a row for each root that it keeps, so the work is that of
+    the edges whatever the number of seeds. Ties go to the least root. Following via gives a shortest path.
     """
-    edges = cut(edges.select("src", "dst").distinct())
-    none = F.lit(None).cast(edges.schema["dst"].dataType)
-    seen = cut(seeds.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("via")).distinct())
-    last, depth = seen, 0
-    while (max_depth is None or depth < max_depth) and not last.isEmpty():
-        depth += 1
-        step = last.select(F.col("node").alias("src"), "root").join(edges, "src").groupBy(F.col("dst").alias("node"), "root").agg(F.min("src").alias("via"))
-        if roots == 1:
-            step = step.groupBy("node").agg(F.min(F.struct("root", "via")).alias("m")).select("node", "m.root", "m.via").join(seen.select("node"), "node", "left_anti")
-        else:
-            held = seen.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
-            step = step.join(seen.select("node", "root"), ["node", "root"], "left_anti").join(held, "node", "left").filter(F.coalesce("held", F.lit(0)) < roots)
-            step = step.withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("root"))).filter(F.col("rn") <= roots)
-            step = step.filter(F.col("rn") + F.coalesce("held", F.lit(0)) <= roots)
-        last = cut(step.select("node", "root", F.lit(depth).alias("depth"), "via"))
-        seen = seen.unionByName(last)
-        if depth % 8 == 0:
-            seen = cut(seen)
-    return seen
+    one = cut(edges.select("src", "dst").filter("src != dst").distinct().withColumn("w", F.lit(1)))
+    state = cut(seeds.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(1).alias("new")).distinct())
+    state, closed = _relaxed(one, state, roots, max_depth, PLAIN)
+    if not closed:
+        small, layers = shrink(one, seeds)
+        for layer in layers:  # what is taken off gets its roots from the rest
+            state = state.join(layer.ends.select(F.col("dst").alias("node")), "node", "left_anti")
+            if layer.inside is not None:
+                state = state.join(layer.inside.select("node"), "node", "left_anti")
+        state, _ = _relaxed(small, cut(state.withColumn("new", F.lit(1))), roots, max_depth, None)
+        for layer in reversed(layers):
+            if layer.inside is not None:
+                held = layer.inside.join(state.select(F.col("node").alias("head"), "root", "depth"), "head").select("node", "root", (F.col("depth") + F.col("off")).alias("depth"), F.lit(0).alias("new"))
+                state = cut(state.unionByName(held))
+            ends = layer.ends.join(state.select(F.col("node").alias("src"), "root", "depth"), "src").select(F.col("dst").alias("node"), "root", (F.col("depth") + F.col("w")).alias("depth"), F.lit(0).alias("new"))
+            state = cut(state.unionByName(_nearest(ends, roots)))
+        if max_depth is not None:
+            state = state.filter(F.col("depth") <= max_depth)
+    label = state.select("node", "root", "depth")
+    came = label.select(F.col("node").alias("via"), "root", (F.col("depth") + 1).alias("depth")).join(one.select(F.col("src").alias("via"), F.col("dst").alias("node")), "via")
+    came = came.groupBy("node", "root", "depth").agg(F.min("via").alias("via"))
+    return cut(label.join(came.filter("depth > 0"), ["node", "root", "depth"], "left").select("node", "root", "depth", F.when(F.col("depth") > 0, F.col("via")).alias("via")))
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -85,46 +86,62 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     return seen
 
 
-def _trimmed(e: DataFrame) -> DataFrame:
-    """The edges that remain when nodes without a way in or out are taken away until none is left."""
-    before = None
-    while True:
-        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        n = e.count()
-        if n == before or not n:
-            return e
-        before = n
-
-
 def cycles(edges: DataFrame) -> DataFrame:
     """node, label (least node of its component), size: strongly connected components of more than one node, and self loops.
 
-    Colouring: every node takes the least node that reaches it; the nodes of a colour from which its own node can be
-    reached back are a component. They are taken away, the rest is trimmed, and the next round begins. Each round holds
-    a row a node and an edge, never pairs of nodes.
+    Paths are contracted and loose ends trimmed first. Then every node takes the first node, in an order by hash, that reaches it: many
+    pivots at once, each with the region that it colours. What reaches a region's pivot from within it is a component.
+    Edges between colours and found components are taken away, and the next turn begins. At last the insides of paths are
+    restored: they belong to a component if both ends of their path do. Each round holds a row a node and an edge.
     """
     e = edges.select("src", "dst").distinct()
     loops = e.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    e, parts = _trimmed(e.filter("src != dst")), None
-    while not e.isEmpty():
-        colour = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("label")))
-        news = colour
-        while not news.isEmpty():  # colours spread along edges from the nodes whose colour changed last
-            came = news.select(F.col("node").alias("src"), "label").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
-            both = cut(colour.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("new")))
-            colour, news = both.select("node", "label"), both.filter("new").select("node", "label")
-        inner = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").filter("a = b")
-        back = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = label").select("node")).select("node")
-        found = cut(colour.join(back, "node", "left_semi"))
-        parts = found if parts is None else parts.unionByName(found)
-        gone = found.select(F.col("node").alias("src"))
-        e = _trimmed(e.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
-    one = F.lit(1).cast("long")
-    if parts is None:
-        return loops.select("node", F.col("node").alias("label"), one.alias("size"))
-    size = parts.groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    parts = parts.join(size, "label").select("node", "label", "size")
-    return parts.unionByName(loops.join(parts, "node", "left_anti").select("node", F.col("node").alias("label"), one.alias("size")))
+    e, parts, layers = e.withColumn("w", F.lit(1)), [], []
+    nobody = e.select(F.col("src").alias("node")).limit(0)
+    while True:
+        e, taken = shrink(e, nobody, both_ends=True)
+        layers += taken
+        parts += [ring_labels(layer.rings) for layer in taken if layer.rings is not None]
+        if e.isEmpty():
+            break
+        found, e = _pivoted(e)
+        parts.append(found)
+    if not parts and all(layer.inside is None for layer in layers):
+        return loops.select("node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size"))
+    part = nobody.select("node", F.col("node").alias("label"))
+    for p in parts:
+        part = part.unionByName(p)
+    part = cut(part)
+    for layer in reversed([x for x in layers if x.inside is not None]):
+        path = layer.inside.join(layer.tails, "first").select("node", "head", "tail")
+        path = path.join(part.select(F.col("node").alias("head"), F.col("label").alias("a")), "head", "left").join(part.select(F.col("node").alias("tail"), F.col("label").alias("b")), "tail", "left")
+        within = cut(path.filter(F.coalesce("a", "head") == F.coalesce("b", "tail")).select("node", "head", F.coalesce("a", "head").alias("label"), F.col("a").isNull().alias("fresh")))
+        part = cut(part.unionByName(within.select("node", "label")).unionByName(within.filter("fresh").select(F.col("head").alias("node"), "label").distinct()))
+    size = part.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1")
+    part = part.join(size, "label").select("node", F.col("least").alias("label"), "size")
+    return part.unionByName(loops.join(part, "node", "left_anti").select("node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size")))
+
+
+def _pivoted(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label of components found, edges left to look at) after one turn of colouring edges (src, dst, w)."""
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    colour = cut(nodes.select("node", own.alias("label"), F.lit(True).alias("new")))
+    while True:  # colours spread along edges from the nodes whose colour changed last
+        came = colour.filter("new").select(F.col("node").alias("src"), "label").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
+        colour = colour.select("node", "label").join(came, "node", "left").select("node", F.least("label", "came").alias("label"), F.coalesce(F.col("came") < F.col("label"), F.lit(False)).alias("new"))
+        colour, changed = cut_counted(colour, "new")
+        if not changed:
+            break
+    of = colour.select("node", F.col("label.n").alias("label"))
+    inner = e.join(of.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").filter("a = b")
+    inner = cut(inner.select("src", "dst", "w"))
+    back = reach(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), of.filter("node = label").select("node")).select("node")
+    found = cut(of.join(back, "node", "left_semi"))
+    gone = found.select(F.col("node").alias("src"))
+    rest = inner.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst", "w")
+    alone = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(alone, "label", "left_semi").select("node", "label"), rest
 
 
 def ancestors(parents: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.graph import cut
+from lodestar.operators.tables import cut
 
 _AT, _PART, _GROUP, _LOCAL, _CARRY, _OF = (f"__lodestar_{x}" for x in ("at", "part", "group", "local", "carry", "of"))
 

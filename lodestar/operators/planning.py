@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.graph import cut
+from lodestar.operators.tables import cut
 from lodestar.operators.spans import resolve_places
 
 

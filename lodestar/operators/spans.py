@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.graph import cut
+from lodestar.operators.tables import cut
 from lodestar.operators.ordered import running_min
 
 #: Spans of a file that each of its places is compared with one by one; larger files go through cells.

@@ -163,18 +163,16 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_or_empty(text_col).alias("text"))
     needed = stash(classes.join(left.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "rep", "size"), "needed")
-    texts = Bitmap(needed, "rep").maybe(texts, F.col("rep"))
-    texts = texts.join(needed.withColumnRenamed("rep", "_rep"), F.col("rep").eqNullSafe(F.col("_rep"))).select("set_id", "size", "text")
+    texts = Bitmap(needed, "rep").maybe(texts, F.col("rep")).select("text")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Shingle sets; of rows that share an id the one with this set."""
+        """Digests and shingle sets, each text's once: whatever ids rows share, a set is known by its digest."""
         for pdf in batches(frames):
-            found = shingles(pdf["text"].tolist(), WIDTH)
-            own = [blake2b(s.tobytes(), digest_size=16).digest() == bytes(d) for s, d in zip(found, pdf["set_id"])]
-            out = pdf[["set_id", "size"]].assign(shingles=[s.tobytes() for s in found])
-            yield out[own]
+            found = {blake2b(s.tobytes(), digest_size=16).digest(): s.tobytes() for s in shingles(pdf["text"].tolist(), WIDTH) if len(s)}
+            yield pd.DataFrame({"set_id": list(found), "shingles": list(found.values())})
 
-    known = texts.mapInPandas(sets, "set_id binary, size long, shingles binary").dropDuplicates(["set_id"])
+    known = Bitmap(needed, "set_id").maybe(texts.mapInPandas(sets, "set_id binary, shingles binary"), F.col("set_id"))
+    known = known.join(needed.select("set_id", "size"), "set_id").dropDuplicates(["set_id"])
     ready = left.join(known, "set_id").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "set_id")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -435,3 +435,20 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     plainly = {1, 2, 3} & {r["doc_id"] for r in out}
     assert len(plainly) == 1 and {r["doc_id"] for r in out} - plainly in ({4, 6, 7}, {4, 6, 8})
     assert {r["doc_id"]: r["size"] for r in out}[6] == 90 and {r["doc_id"]: r["size"] for r in out}[4] == 122
+
+
+def test_near_copies_without_ids_are_read_once(spark):
+    """Rows without an id, and rows of one id with different texts, meet by their texts, not by their ids."""
+    rng = random.Random(9)
+    base = words(rng, 60).split()
+    texts = [" ".join([*base[:k], f"own{j}", *base[k + 1 :]]) for j in range(60) for k in [j % 58 + 1]]
+    rows = [(None, t, "a") for t in texts] + [(5, t + " tail", "a") for t in texts[:40]] + [(None, texts[0], "a")]
+    from pyspark.sql import functions as F
+
+    classes = jaccard.profiles(frame(spark, rows), "doc_id", "text", F.lit(None)).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"))
+    found = jaccard.links(frame(spark, rows), jaccard.stash(classes, "classes"))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts + [t + " tail" for t in texts[:40]]]
+    size = [2] + [1] * (len(sets) - 1)
+    near = [sum(size[j] for j, b in enumerate(sets) if j != i and len(a & b) >= 0.8 * len(a | b) - 1e-9) for i, a in enumerate(sets)]
+    assert sorted(r["n"] for r in found.groupBy("set_id").agg(F.sum("n").alias("n")).collect()) == sorted(n for n in near if n)
+    assert jaccard.near_duplicates(frame(spark, rows)).count() == len(rows)

@@ -109,7 +109,7 @@ def backward_invalidation(spark, sf):
 CONTRACT_PARTS = [("preconditions", "pre:"), ("postconditions", "post:"), ("panics", "panic:"), ("errors", "err:"), ("synchronization", "sync:"), ("lifecycle", "life:")]
 CONTRACT_SQL = "'documented_contract:v1' || chr(0)" + "".join(f" || CASE WHEN s_suppkey % {k + 2} = 0 THEN '{m}c' || s_suppkey || chr(0) || '{m}d' || chr(0) ELSE '' END" for k, (_, m) in enumerate(CONTRACT_PARTS))
 DIGESTS = f"""WITH {B.SQL_RELATIONS}, ca AS (SELECT DISTINCT source, target FROM rl WHERE kind = 'rust:calls'), co AS (SELECT 'supplier:' || s_suppkey AS id, sha256(sha256({CONTRACT_SQL})) AS contract FROM supplier WHERE s_suppkey % 7 <> 0),
-ups AS (SELECT target AS id, string_agg(source || ';', '' ORDER BY source) AS items FROM ca GROUP BY target), sup AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier)"""
+ups AS (SELECT target AS id, sha256('chunk:1024:0' || chr(0) || string_agg(source || chr(0), '' ORDER BY source)) AS items FROM ca GROUP BY target), sup AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier)"""
 
 
 def _contracts(spark, sf):
@@ -128,14 +128,14 @@ def contract_digests(spark, sf):
     return _contracts(spark, sf)
 
 
-@query(DIGESTS + " SELECT sup.id, sha256(sha256('upstream_call_structure:v1' || chr(0) || sup.id || chr(0) || coalesce(items, ''))) AS digest FROM sup LEFT JOIN ups ON sup.id = ups.id")
+@query(DIGESTS + " SELECT sup.id, sha256(sha256('upstream_call_structure:v2' || chr(0) || sup.id || chr(0) || coalesce(items, ''))) AS digest FROM sup LEFT JOIN ups ON sup.id = ups.id")
 def upstream_digest(spark, sf):
     return H.upstream_digest(_suppliers(spark, sf), _calls(spark, sf)[0])
 
 
-BEHAVIOR = """, ur AS (SELECT target AS id, string_agg('caller:' || source || ':' || coalesce(contract, sha256('none')) || chr(0), '' ORDER BY source) AS x FROM ca LEFT JOIN co ON co.id = source GROUP BY target),
-dr AS (SELECT source AS id, string_agg('callee:' || target || ':' || coalesce(contract, sha256('none')) || chr(0), '' ORDER BY target) AS y FROM ca LEFT JOIN co ON co.id = target GROUP BY source)
-SELECT sup.id, sha256(sha256('call_tree_behavior:v1' || chr(0) || sup.id || chr(0) || coalesce('self:' || contract || chr(0), '') || coalesce(x, '') || coalesce(y, ''))) AS digest FROM sup LEFT JOIN co ON co.id = sup.id LEFT JOIN ur ON ur.id = sup.id LEFT JOIN dr ON dr.id = sup.id"""
+BEHAVIOR = """, ur AS (SELECT target AS id, sha256('chunk:1024:0' || chr(0) || string_agg('caller:' || source || ':' || coalesce(contract, sha256('none')) || chr(0), '' ORDER BY source)) AS x FROM ca LEFT JOIN co ON co.id = source GROUP BY target),
+dr AS (SELECT source AS id, sha256('chunk:1024:0' || chr(0) || string_agg('callee:' || target || ':' || coalesce(contract, sha256('none')) || chr(0), '' ORDER BY target)) AS y FROM ca LEFT JOIN co ON co.id = target GROUP BY source)
+SELECT sup.id, sha256(sha256('call_tree_behavior:v2' || chr(0) || sup.id || chr(0) || coalesce('self:' || contract || chr(0), '') || coalesce('callers:' || x || chr(0), '') || coalesce('callees:' || y || chr(0), ''))) AS digest FROM sup LEFT JOIN co ON co.id = sup.id LEFT JOIN ur ON ur.id = sup.id LEFT JOIN dr ON dr.id = sup.id"""
 
 
 @query(DIGESTS + BEHAVIOR)
@@ -144,14 +144,24 @@ def call_tree_digest(spark, sf):
 
 
 @query(DIGESTS + """, ed AS (SELECT DISTINCT source, target, CASE WHEN kind LIKE '%calls' THEN 'calls' WHEN kind LIKE '%implements' THEN 'implements' WHEN kind LIKE '%contains' THEN 'contains' ELSE 'references' END AS rel FROM rl),
-dn AS (SELECT source AS id, string_agg(target || ':' || rel || ';', '' ORDER BY target, rel) AS items FROM ed GROUP BY source), ds AS (SELECT 'supplier:' || l_suppkey AS id, string_agg(DISTINCT 'a' || (l_partkey % 9) || ';', '' ORDER BY 'a' || (l_partkey % 9) || ';') AS arts FROM lineitem GROUP BY 1)
-SELECT sup.id, sha256(sha256(coalesce(dn.items, ''))) AS downstream_hash, sha256(sha256(coalesce(arts, ''))) AS design_hash, sha256(sha256('upstream_call_structure:v1' || chr(0) || sup.id || chr(0) || coalesce(ups.items, ''))) AS upstream_hash FROM sup LEFT JOIN dn ON dn.id = sup.id LEFT JOIN ds ON ds.id = sup.id LEFT JOIN ups ON ups.id = sup.id""")
+dn AS (SELECT source AS id, sha256('chunk:1024:0' || chr(0) || string_agg(target || ':' || rel || chr(0), '' ORDER BY target, rel)) AS items FROM ed GROUP BY source), ds AS (SELECT 'supplier:' || l_suppkey AS id, sha256('chunk:1024:0' || chr(0) || string_agg(a || chr(0), '' ORDER BY a)) AS arts FROM (SELECT DISTINCT l_suppkey, 'a' || (l_partkey % 9) AS a FROM lineitem) GROUP BY 1)
+SELECT sup.id, sha256(sha256(coalesce(dn.items, ''))) AS downstream_hash, sha256(sha256(coalesce(arts, ''))) AS design_hash, sha256(sha256('upstream_call_structure:v2' || chr(0) || sup.id || chr(0) || coalesce(ups.items, ''))) AS upstream_hash FROM sup LEFT JOIN dn ON dn.id = sup.id LEFT JOIN ds ON ds.id = sup.id LEFT JOIN ups ON ups.id = sup.id""")
 def build_fingerprint(spark, sf):
     designs = B.t(spark, sf, "lineitem").select(tag("supplier:", c("l_suppkey")).alias("target"), tag("a", c("l_partkey") % 9).alias("artifact"))
     d = H.target_digests(_suppliers(spark, sf), G.dependency_edges(B.relations(spark, sf)).distinct(), _contracts(spark, sf), designs)
     return d.select("id", "downstream_hash", "design_hash", "upstream_hash")
 
 
+# six targets whose callers are orders, thousands each: chunks, and chunks of chunks' hashes
+@query("""WITH i AS (SELECT DISTINCT l_linenumber % 6 AS target, lpad(l_orderkey::VARCHAR, 12, '0') AS source FROM lineitem), n AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY source) - 1) // 1024 AS pos FROM i),
+a AS (SELECT target, pos, sha256('chunk:1024:0' || chr(0) || string_agg(source || chr(0), '' ORDER BY source)) AS x, count(*) OVER (PARTITION BY target) AS k FROM n GROUP BY target, pos),
+b AS (SELECT target, CASE WHEN max(k) = 1 THEN max(x) ELSE sha256('chunk:1024:1' || chr(0) || string_agg(x || chr(0), '' ORDER BY pos)) END AS root FROM a GROUP BY target)
+SELECT target, root FROM b""")
+def hot_callers_digest(spark, sf):
+    calls = B.t(spark, sf, "lineitem").select((c("l_linenumber") % 6).alias("target"), F.lpad(c("l_orderkey").cast("string"), 12, "0").alias("source"))
+    return H.neighbours_digest(calls, "target", "source", c("source"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, sha256(sha256('call_edge:v1' || chr(0) || 'p' || l_partkey || chr(0) || 's' || l_suppkey || chr(0) || CASE WHEN l_linenumber % 2 = 0 THEN 'direct' ELSE 'indirect' END || chr(0) || CASE WHEN l_partkey % 3 = 0 THEN 'src/' || l_suppkey || ':' || l_linenumber || '-' || (l_linenumber + 5) || chr(0) ELSE '' END
  || CASE WHEN l_partkey % 5 = 0 THEN 'c' || l_partkey || chr(0) ELSE '' END || CASE WHEN l_suppkey % 2 = 0 THEN 'd' || l_suppkey || chr(0) ELSE '' END)) AS digest FROM lineitem""")
 def call_edge_digests(spark, sf):

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import normalize_identifier
-from lodestar.operators.graph import closure
+from lodestar.operators.forest import chains
+from lodestar.operators.graph import closure, cycles
 
 IDENTIFIER = re.compile(r"\b(ADR|PRD|RFC)[- ]?(\d+)", re.I)
 MODAL = re.compile(r"\b(MUST NOT|MUST|SHALL NOT|SHALL|SHOULD NOT|SHOULD|MAY)\b")
@@ -120,11 +121,15 @@ def supersession_health(artifacts: DataFrame) -> DataFrame:
     broken = j.filter("oid is null").select(F.lit("broken").alias("problem"), "id")
     active = j.filter("os = 'accepted'").select(F.lit("still_active").alias("problem"), "id")
     e = a.filter("supersedes is not null").select(F.col("id").alias("src"), F.col("supersedes").alias("dst"))
-    # a node is on a cycle if a walk from its successors comes back to it
-    back = closure(e, a.select(F.col("id").alias("root"))).join(e, F.col("node") == F.col("src")).filter("dst = root").select(F.lit("cycle").alias("problem"), F.col("root").alias("id")).distinct()
+    back = cycles(e).select(F.lit("cycle").alias("problem"), F.col("node").alias("id"))
     return broken.unionByName(active).unionByName(back)
 
 
+def supersession_ends(artifacts: DataFrame) -> DataFrame:
+    """id, last, steps, circle: the artifact that each one's chain of `supersedes` comes down to, and whether it runs in a circle instead. artifacts: id, supersedes."""
+    return chains(artifacts.select("id", F.col("supersedes").alias("to")))
+
+
 def lexical_links(artifacts: DataFrame, targets: DataFrame, explicit: DataFrame, threshold: int = 5000) -> DataFrame:
     """artifact, target, score: 8500 for a symbol that names the target, 7000 for two shared keywords, 5500 for one on an ADR; explicit links are left out.
 

@@ -57,3 +57,8 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
 def running_min(df: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
     """df with the least value (nulls aside) of its group's rows up to and with this one in the order."""
     return _running(df, group, order, F.min(value), F.min, F.least).withColumnRenamed(_LOCAL, name)
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of a column over its group's rows up to and with this one in the order."""
+    return _running(df, group, order, F.sum(value), F.sum, lambda a, b: a + b).withColumnRenamed(_LOCAL, name)

@@ -50,6 +50,16 @@ def _insides(edges: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame |
     return done.drop("open"), into.select("node", "head").join(still.select("node"), "node", "left_semi") if left else None
 
 
+def distances(edges: DataFrame, begins: DataFrame) -> DataFrame:
+    """node, head, off: the way from the beginning of its path for every node of edges (src, dst, w) that are paths side by side. begins: node, the paths' first ones.
+
+    Nodes of rings have no row.
+    """
+    inner = edges.select(F.col("dst").alias("node"))
+    inside, _ = _insides(edges, inner)
+    return begins.select("node", F.col("node").alias("head"), F.lit(0).alias("off")).unionByName(inside.select("node", "head", "off"))
+
+
 def shrink(edges: DataFrame, fixed: DataFrame, both_ends: bool = False) -> tuple[DataFrame, list[Layer]]:
     """The edges that are left after turns over edges (src, dst, w), and the layers taken off. fixed: nodes that stay.
 

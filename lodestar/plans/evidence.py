@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar import bridge as B
 from lodestar.functions.ids import derived_id
 from lodestar.operators import design as D
+from lodestar.operators import forest as T
 from lodestar.operators import graph as G
 from lodestar.operators import report as R
 from lodestar.operators import snapshot as S
@@ -55,9 +56,9 @@ def nearest_module(spark, sf):
 @query(f"""WITH RECURSIVE {B.SQL_TARGETS}, dn(root, node) AS (SELECT id, id FROM tg WHERE kind = 'package' UNION SELECT dn.root, tg.id FROM dn JOIN tg ON tg.parent = dn.node) SELECT root AS scope, count(*) AS members, count(*) FILTER (inventory = 'represented') AS succeeded, count(*) FILTER (inventory = 'failed') AS failed, count(*) FILTER (inventory = 'partial' OR inventory = 'unsupported') AS weak FROM dn JOIN tg ON dn.node = tg.id GROUP BY root""")
 def scope_closure_health(spark, sf):
     tg = B.targets(spark, sf)
-    down = G.closure(tg.filter("parent is not null").select(c("parent").alias("src"), c("id").alias("dst")), tg.filter("kind = 'package'").select(c("id").alias("root")))
-    i = c("inventory")
-    return down.join(tg.select(c("id").alias("node"), "inventory"), "node").groupBy(c("root").alias("scope")).agg(F.count(F.lit(1)).alias("members"), F.count_if(i == "represented").alias("succeeded"), F.count_if(i == "failed").alias("failed"), F.count_if(i.isin("partial", "unsupported")).alias("weak"))
+    counted = T.subtree_counts(T.intervals(tg.select("id", "parent")), tg.select("id", c("inventory").alias("mark")), tg.filter("kind = 'package'").select("id"))
+    of = lambda *marks: F.sum(F.when(c("mark").isin(*marks), c("n")).otherwise(0))
+    return counted.groupBy("scope").agg(F.sum("n").alias("members"), of("represented").alias("succeeded"), of("failed").alias("failed"), of("partial", "unsupported").alias("weak"))
 
 
 @query(f"""WITH {B.SQL_RELATIONS}, sc AS (SELECT id FROM tg WHERE id LIKE 'supplier:1%' OR id LIKE 'part:1%') SELECT source, target, kind, source IN (SELECT id FROM sc) AS outgoing FROM rl WHERE (source IN (SELECT id FROM sc)) <> (target IN (SELECT id FROM sc))""")
@@ -106,6 +107,13 @@ def supersession_chain(spark, sf):
     return D.supersession_chain(_artifacts(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {ART}, k AS (SELECT count(*) AS k FROM ar), ch(root, node, depth) AS (SELECT id, id, 0 FROM ar UNION ALL SELECT ch.root, ar.supersedes, depth + 1 FROM ch JOIN ar ON ch.node = ar.id WHERE ar.supersedes IS NOT NULL AND depth <= (SELECT k FROM k)),
+l AS (SELECT root, max(depth) AS steps, arg_max(node, depth) AS last FROM ch GROUP BY root)
+SELECT root AS id, CASE WHEN steps <= k THEN last END AS last, CASE WHEN steps <= k THEN steps::BIGINT END AS steps, steps > k AS circle FROM l, k""")
+def supersession_ends(spark, sf):
+    return D.supersession_ends(_artifacts(spark, sf))
+
+
 @query(f"""WITH RECURSIVE {ART}, ch(root, node, depth) AS (SELECT id, supersedes, 1 FROM ar WHERE supersedes IS NOT NULL UNION SELECT ch.root, ar.supersedes, depth + 1 FROM ch JOIN ar ON ch.node = ar.id WHERE ar.supersedes IS NOT NULL AND depth < 40)
 SELECT 'broken' AS problem, id FROM ar WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM ar) UNION ALL SELECT 'still_active', a.id FROM ar a JOIN ar b ON a.supersedes = b.id WHERE b.status = 'accepted' UNION ALL SELECT DISTINCT 'cycle', root FROM ch WHERE root = node""")
 def supersession_health(spark, sf):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import normalize_identifier
 from lodestar.operators.forest import chains
 from lodestar.operators.graph import closure, cycles
+from lodestar.operators.tables import cut
 
 IDENTIFIER = re.compile(r"\b(ADR|PRD|RFC)[- ]?(\d+)", re.I)
 MODAL = re.compile(r"\b(MUST NOT|MUST|SHALL NOT|SHALL|SHOULD NOT|SHOULD|MAY)\b")
@@ -133,14 +134,54 @@ def supersession_ends(artifacts: DataFrame) -> DataFrame:
 def lexical_links(artifacts: DataFrame, targets: DataFrame, explicit: DataFrame, threshold: int = 5000) -> DataFrame:
     """artifact, target, score: 8500 for a symbol that names the target, 7000 for two shared keywords, 5500 for one on an ADR; explicit links are left out.
 
-    artifacts: artifact, kind, keywords array, symbols array; targets: target, name, keywords array.
+    artifacts: artifact, kind, keywords array, symbols array; targets: target, name, keywords array; ids are there once. Links of
+    score 5500 are as many as pairs that share a keyword; keyword_classes has them as a row a keyword.
     """
-    symbol = artifacts.select("artifact", F.explode("symbols").alias("name")).join(targets.select("target", "name"), "name").select("artifact", "target", F.lit(8500).alias("score"))
-    words = artifacts.select("artifact", "kind", F.explode(F.array_distinct("keywords")).alias("w")).join(targets.select("target", F.explode(F.array_distinct("keywords")).alias("w")), "w")
-    shared = words.groupBy("artifact", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.select("artifact", "target", F.when(F.col("n") >= 2, 7000).when(F.col("kind") == "adr", 5500).otherwise(0).alias("score"))
-    best = symbol.unionByName(shared).groupBy("artifact", "target").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    return best.join(explicit, ["artifact", "target"], "left_anti")
+    found = strong_links(artifacts, targets)
+    if threshold <= 5500:
+        adrs = artifacts.filter("kind = 'adr'").select("artifact", F.explode(F.array_distinct("keywords")).alias("w"))
+        single = adrs.join(targets.select("target", F.explode(F.array_distinct("keywords")).alias("w")), "w").select("artifact", "target").distinct()
+        found = found.unionByName(single.join(found, ["artifact", "target"], "left_anti").select("artifact", "target", F.lit(5500).alias("score")))
+    return found.filter(F.col("score") >= threshold).join(explicit, ["artifact", "target"], "left_anti")
+
+
+def strong_links(artifacts: DataFrame, targets: DataFrame) -> DataFrame:
+    """artifact, target, score: 8500 for a symbol that names the target, 7000 for two shared keywords.
+
+    Keywords are ordered by how often they are there. Who shares two keywords shares one besides each side's most frequent
+    one, so that one is not joined on: a keyword that everything has brings no pair.
+    """
+    symbol = artifacts.select("artifact", F.explode(F.array_distinct("symbols")).alias("name")).join(targets.select("target", "name"), "name").select("artifact", "target", F.lit(8500).alias("score")).distinct()
+    a = artifacts.select("artifact", F.array_distinct("keywords").alias("own")).filter("size(own) > 1")
+    t = targets.select("target", F.array_distinct("keywords").alias("own")).filter("size(own) > 1")
+    words = lambda df, k: df.select(k, F.explode("own").alias("w"))
+    often = cut(words(a, "artifact").select("w").unionByName(words(t, "target").select("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+
+    def rarer(df: DataFrame, k: str) -> DataFrame:
+        """All keywords of each row but its most frequent one, with the row's whole list."""
+        each = words(df, k).join(often, "w").groupBy(k).agg(F.max_by("w", F.struct("n", "w")).alias("most"))
+        return df.join(each, k).select(k, "own", F.explode(F.array_except("own", F.array("most"))).alias("w"))
+
+    met = rarer(a, "artifact").join(rarer(t, "target").select("target", F.col("own").alias("other"), "w"), "w")
+    two = met.filter(F.size(F.array_intersect("own", "other")) >= 2).select("artifact", "target").distinct()  # a pair may meet on several
+    two = two.join(symbol, ["artifact", "target"], "left_anti").select("artifact", "target", F.lit(7000).alias("score"))
+    return symbol.unionByName(two)
+
+
+def keyword_classes(artifacts: DataFrame, targets: DataFrame, explicit: DataFrame) -> DataFrame:
+    """keyword, adrs, targets, links: each keyword of ADRs and targets, how many have it, and the links that rest on it alone (score 5500).
+
+    links counts pairs that share this keyword and no other, are not linked by a symbol and not explicit. No such pair is made: of
+    all pairs of the class those that are linked otherwise are taken off.
+    """
+    adrs = artifacts.filter("kind = 'adr'")
+    split = lambda df, k: df.select(k, F.explode(F.array_distinct("keywords")).alias("keyword"))
+    sizes = split(adrs, "artifact").groupBy("keyword").agg(F.count(F.lit(1)).alias("adrs")).join(split(targets, "target").groupBy("keyword").agg(F.count(F.lit(1)).alias("targets")), "keyword")
+    others = strong_links(artifacts, targets).select("artifact", "target").unionByName(explicit.select("artifact", "target")).distinct()
+    shared = others.join(adrs.select("artifact", F.col("keywords").alias("a")), "artifact").join(targets.select("target", F.col("keywords").alias("t")), "target")
+    taken = shared.select(F.explode(F.array_intersect("a", "t")).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("taken"))
+    links = F.col("adrs") * F.col("targets") - F.coalesce("taken", F.lit(0))
+    return sizes.join(taken, "keyword", "left").select("keyword", "adrs", "targets", links.alias("links"))
 
 
 def drift(deltas: DataFrame, rules: DataFrame, accepted: DataFrame, today: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.ids import basis_points, derived_id, severity_rank
 from lodestar.functions.text import normalize_claim
+from lodestar.operators.ordered import ranked
 
 
 def clusters(findings: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
@@ -48,19 +49,32 @@ def policy_clusters(findings: DataFrame, policy: str) -> DataFrame:
     return keyed.groupBy("cluster").agg(*agg)
 
 
+#: Findings of one claim that one task ranks; with more in any claim, ranks are counted over ranges of all findings.
+PER_CLAIM = 100_000
+
+
+def _claim_ranks(df: DataFrame, claim: list[str], order, name: str, most: int) -> DataFrame:
+    if most <= PER_CLAIM:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*claim).orderBy(order)))
+    return ranked(df, claim, [order], name)
+
+
 def match(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """baseline_id, current_id, category (persistent, new, resolved), matched_by (id, claim).
 
     First by id (the last of equal ids in a run stands for them); then one to one on (policy, target, normalised title):
-    the latest baseline finding with the earliest current one.
+    the latest baseline finding with the earliest current one. A claim's findings are told apart by rank, so that claims
+    of any number of findings are joined on equal ranks, not in one task.
     """
     last = lambda df: df.groupBy("id").agg(F.max(F.struct("policy", "target", "title", "severity")).alias("f")).select("id", "f.*")
     claim = F.lower(F.trim("title"))
     b = last(baseline).select(F.col("id").alias("baseline_id"), F.col("policy").alias("bp"), F.col("target").alias("bt"), claim.alias("bc"), F.col("severity").alias("bs"))
     c = last(current).select(F.col("id").alias("current_id"), F.col("policy").alias("cp"), F.col("target").alias("ct"), claim.alias("cc"), F.col("severity").alias("cs"))
     exact = b.join(c, F.col("baseline_id") == F.col("current_id"))
-    b2 = b.join(exact.select("baseline_id"), "baseline_id", "left_anti").withColumn("rn", F.row_number().over(Window.partitionBy("bp", "bt", "bc").orderBy(F.col("baseline_id").desc())))
-    c2 = c.join(exact.select("current_id"), "current_id", "left_anti").withColumn("cn", F.row_number().over(Window.partitionBy("cp", "ct", "cc").orderBy("current_id")))
+    sizes = [df.groupBy("policy", "target", claim.alias("claim")).count() for df in (baseline, current)]
+    most = sizes[0].unionByName(sizes[1]).agg(F.max("count")).first()[0] or 0
+    b2 = _claim_ranks(b.join(exact.select("baseline_id"), "baseline_id", "left_anti"), ["bp", "bt", "bc"], F.col("baseline_id").desc(), "rn", most)
+    c2 = _claim_ranks(c.join(exact.select("current_id"), "current_id", "left_anti"), ["cp", "ct", "cc"], F.col("current_id"), "cn", most)
     rest = b2.join(c2, (F.col("bp") == F.col("cp")) & (F.col("bt") == F.col("ct")) & (F.col("bc") == F.col("cc")) & (F.col("rn") == F.col("cn")), "full_outer")
     category = F.when(F.col("baseline_id").isNull(), "new").when(F.col("current_id").isNull(), "resolved").otherwise("persistent")
     by = F.when(F.col("baseline_id").isNotNull() & F.col("current_id").isNotNull(), "claim")

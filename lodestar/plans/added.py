@@ -350,12 +350,27 @@ def governs_scope(spark, sf):
 s AS (SELECT artifact, target, 8500 AS score FROM a JOIN t ON a.sym = t.name), w AS (SELECT artifact, kind, target, count(*) AS n FROM (SELECT DISTINCT artifact, kind, unnest(kw) AS w FROM a) JOIN (SELECT DISTINCT target, unnest(kw) AS w FROM t) USING (w) GROUP BY ALL),
 x AS (SELECT * FROM s UNION ALL SELECT artifact, target, CASE WHEN n >= 2 THEN 7000 WHEN kind = 'adr' THEN 5500 ELSE 0 END FROM w) SELECT artifact, target, max(score) AS score FROM x WHERE NOT (artifact % 3 = 0 AND target % 6 = 0) GROUP BY ALL HAVING max(score) >= 5000""")
 def design_links(spark, sf):
+    return D.lexical_links(*_linkable(spark, sf))
+
+
+def _linkable(spark, sf, common: bool = False):
+    """Artifacts, targets and explicit links; common: one more keyword that everything has."""
     s, p = c("s_suppkey"), c("p_partkey")
-    a = B.t(spark, sf, "supplier").select(s.alias("artifact"), F.when(s % 2 == 0, "adr").otherwise("prd").alias("kind"), F.array(tag("w", s % 97), tag("x", s % 89), tag("y", s % 10)).alias("keywords"), F.array(tag("n", s % 50)).alias("symbols"))
-    t = B.t(spark, sf, "part").select(p.alias("target"), tag("n", p % 60).alias("name"), F.array(tag("w", p % 97), tag("x", p % 89)).alias("keywords"))
+    every = [F.lit("z")] if common else []
+    a = B.t(spark, sf, "supplier").select(s.alias("artifact"), F.when(s % 2 == 0, "adr").otherwise("prd").alias("kind"), F.array(tag("w", s % 97), tag("x", s % 89), tag("y", s % 10), *every).alias("keywords"), F.array(tag("n", s % 50)).alias("symbols"))
+    t = B.t(spark, sf, "part").select(p.alias("target"), tag("n", p % 60).alias("name"), F.array(tag("w", p % 97), tag("x", p % 89), *every).alias("keywords"))
     six = lambda k, m: k.withColumn("m", F.lit(m))
     explicit = six(B.t(spark, sf, "supplier").filter(s % 3 == 0).select(s.alias("artifact")), 0).join(six(B.t(spark, sf, "part").filter(p % 6 == 0).select(p.alias("target")), 0), "m").select("artifact", "target")
-    return D.lexical_links(a, t, explicit)
+    return a, t, explicit
+
+
+@query("""WITH a AS (SELECT s_suppkey AS artifact, CASE WHEN s_suppkey % 2 = 0 THEN 'adr' ELSE 'prd' END AS kind, ['w' || (s_suppkey % 97), 'x' || (s_suppkey % 89), 'y' || (s_suppkey % 10), 'z'] AS kw, 'n' || (s_suppkey % 50) AS sym FROM supplier), t AS (SELECT p_partkey AS target, 'n' || (p_partkey % 60) AS name, ['w' || (p_partkey % 97), 'x' || (p_partkey % 89), 'z'] AS kw FROM part),
+w AS (SELECT artifact, target, list(w) AS ws FROM (SELECT artifact, unnest(kw) AS w FROM a WHERE kind = 'adr') JOIN (SELECT target, unnest(kw) AS w FROM t) USING (w) GROUP BY ALL),
+one AS (SELECT ws[1] AS keyword, count(*) AS links FROM w JOIN a USING (artifact) JOIN t USING (target) WHERE len(ws) = 1 AND a.sym <> t.name AND NOT (artifact % 3 = 0 AND target % 6 = 0) GROUP BY 1),
+n AS (SELECT keyword, adrs, targets FROM (SELECT unnest(kw) AS keyword, count(*) AS adrs FROM a WHERE kind = 'adr' GROUP BY 1) JOIN (SELECT unnest(kw) AS keyword, count(*) AS targets FROM t GROUP BY 1) USING (keyword))
+SELECT keyword, adrs, targets, coalesce(links, 0)::BIGINT AS links FROM n LEFT JOIN one USING (keyword)""")
+def design_keyword_classes(spark, sf):
+    return D.keyword_classes(*_linkable(spark, sf, common=True))
 
 
 #: discrepancy, a defect, a new paradigm, a fundamental shift.

@@ -15,16 +15,17 @@ def report_lines(summary: DataFrame, clusters: DataFrame) -> DataFrame:
     return tag(summary, "summary").unionByName(tag(clusters, "finding_cluster"))
 
 
-def _page(frame: DataFrame, limit: int | None) -> tuple[list, int]:
-    """The rows of a page in order (all of them, unless the caller sets a limit), and how many are left out."""
-    rows = frame.orderBy(*frame.columns)
-    if limit is None:
-        return rows.collect(), 0
-    return rows.limit(limit).collect(), max(0, frame.count() - limit)
+#: Rows of a page that the driver holds; documents.py writes reports of any size.
+PAGE = 1000
 
 
-def markdown(title: str, frame: DataFrame, limit: int | None = None) -> str:
-    """A table of all rows by all columns; with a limit, of the first rows and how many more there are. One string on the driver."""
+def _page(frame: DataFrame, limit: int) -> tuple[list, int]:
+    """The first rows of a frame in order, and how many are left out."""
+    return frame.orderBy(*frame.columns).limit(limit).collect(), max(0, frame.count() - limit)
+
+
+def markdown(title: str, frame: DataFrame, limit: int = PAGE) -> str:
+    """A table of the first rows by all columns, and how many more there are: a page for people, one string on the driver."""
     cols = frame.columns
     rows, more = _page(frame, limit)
     cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
@@ -32,7 +33,7 @@ def markdown(title: str, frame: DataFrame, limit: int | None = None) -> str:
     return "\n".join(lines + ([f"\n{more} more"] if more else [])) + "\n"
 
 
-def html_page(title: str, frame: DataFrame, limit: int | None = None) -> str:
+def html_page(title: str, frame: DataFrame, limit: int = PAGE) -> str:
     """As markdown, in HTML."""
     cols = frame.columns
     rows, more = _page(frame, limit)
@@ -42,8 +43,10 @@ def html_page(title: str, frame: DataFrame, limit: int | None = None) -> str:
 
 
 def write_sarif(results: DataFrame, path: str) -> None:
-    """Result lines as text files, one SARIF result a line; the log around them is small and fixed (see sarif_log)."""
-    results.select(F.col("result").alias("value")).write.text(path)
+    """One SARIF log as the files below path (see documents.py)."""
+    from lodestar.operators.documents import sarif_document, write_document
+
+    write_document(results.sparkSession, sarif_document(results), path)
 
 
 def sarif_log(rules: list[str], results: list[str], tool: str = "lodestar") -> str:

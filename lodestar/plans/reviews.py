@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar import bridge as B
+from lodestar.operators import documents as W
 from lodestar.operators import graph as G
 from lodestar.operators import planning as P
 from lodestar.operators import report as R
 from lodestar.operators import snapshot as S
+from lodestar.operators.tables import cut
 from lodestar.plans.snapshots import sql_id
 from lodestar.registry import query
 
@@ -103,6 +105,21 @@ def gate_check(spark, sf):
     return R.gate(_match(spark, sf), 0, 5, None, 1_000_000_000)
 
 
+@query(f"""WITH {B.SQL_FINDINGS}, {MATCH}, n AS (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM mt WHERE category = 'new'),
+v AS (SELECT 'max_new_critical: ' || critical || ' found, 0 allowed' AS line FROM n WHERE critical > 0 UNION ALL SELECT 'max_new_high: ' || high || ' found, 5 allowed' FROM n WHERE high > 5),
+f AS (SELECT category, severity, {RANK} AS rank, baseline_id, current_id, matched_by FROM mt),
+l(s, t, r, b, d, value) AS (SELECT 0, NULL, 0, NULL, NULL, '# Comparison' UNION ALL SELECT 1, NULL, 0, NULL, NULL, '' UNION ALL SELECT 2, line, 0, NULL, NULL, '> ' || line FROM v UNION ALL SELECT 2, 'none', 0, NULL, NULL, '> no threshold is violated' WHERE NOT EXISTS (FROM v)
+ UNION ALL SELECT 3, NULL, 0, NULL, NULL, '' UNION ALL SELECT 4, NULL, 0, NULL, NULL, '## Counts' UNION ALL SELECT 5, NULL, 0, NULL, NULL, '' UNION ALL SELECT 6, NULL, 0, NULL, NULL, '| category | findings | critical | high | medium | low | note |'
+ UNION ALL SELECT 7, NULL, 0, NULL, NULL, '| --- | --- | --- | --- | --- | --- | --- |'
+ UNION ALL SELECT 8, category, 0, NULL, NULL, '| ' || concat_ws(' | ', category, count(*), count(*) FILTER (severity = 'critical'), count(*) FILTER (severity = 'high'), count(*) FILTER (severity = 'medium'), count(*) FILTER (severity = 'low'), count(*) FILTER (severity = 'note')) || ' |' FROM f GROUP BY category
+ UNION ALL SELECT 9, NULL, 0, NULL, NULL, '' UNION ALL SELECT 10, NULL, 0, NULL, NULL, '## Findings' UNION ALL SELECT 11, NULL, 0, NULL, NULL, '' UNION ALL SELECT 12, NULL, 0, NULL, NULL, '| category | severity | baseline_id | current_id | matched_by |' UNION ALL SELECT 13, NULL, 0, NULL, NULL, '| --- | --- | --- | --- | --- |'
+ UNION ALL SELECT 14, category, rank, baseline_id, current_id, '| ' || concat_ws(' | ', category, severity, coalesce(baseline_id, ''), coalesce(current_id, ''), coalesce(replace(matched_by, '_', '\\_'), '')) || ' |' FROM f)
+SELECT row_number() OVER (ORDER BY s, t, r DESC, b NULLS FIRST, d NULLS FIRST) AS n, value FROM l""")
+def differential_report(spark, sf):
+    m = cut(_match(spark, sf))
+    return W.document_lines(spark, W.differential_markdown(m, "Comparison", R.gate(m, 0, 5)))
+
+
 @query(f"WITH {B.SQL_FINDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {RANK} DESC, confidence DESC, id) AS rank FROM cf) SELECT id, target, severity, confidence, rank FROM r WHERE rank <= 20")
 def signals_topk(spark, sf):
     return R.top_signals(B.findings(spark, sf, "current"), 20).select("id", "target", "severity", "confidence", F.col("rank").cast("long").alias("rank"))

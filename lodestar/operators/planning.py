@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.tables import cut
+from lodestar.operators.tables import cut, cut_counted
 from lodestar.operators.spans import resolve_places
 
 
@@ -65,14 +65,17 @@ def admitted_units(units: DataFrame, decided: DataFrame) -> DataFrame:
 
 #: How many tokens a byte is taken for.
 BYTES_A_TOKEN = 4
+#: Candidates of a group that a round of packing walks over.
+HEAD = 256
 
 
 def greedy_pack(candidates: DataFrame, group: str, max_bytes: int, max_items: int, max_tokens: int | None = None, max_depth: int | None = None) -> DataFrame:
     """group, position, id: per group in order of (required first, priority falling, kind, id) each candidate that still fits is taken; one that does not is skipped and the walk goes on.
 
     candidates: group, id, required, priority, bytes and, if limits ask for them, kind, tokens, depth. What does not fit
-    now never will, as room only shrinks: so every round leaves such candidates out, walks over the next max_items of
-    each group, and goes on behind them. No list is longer than max_items, whatever the group's size.
+    now never will, as room only shrinks: so a round walks over the next HEAD candidates of each group (that many leave a
+    task, however many it holds), and the next round goes on behind them with what still fits. No list is longer than
+    HEAD, whatever the group's size, and groups of no more than that need one round.
     """
     has = lambda name, other: F.col(name) if name in candidates.columns else other
     order = F.struct((~F.col("required")).alias("r"), (-F.col("priority")).alias("p"), has("kind", F.lit("")).alias("k"), F.col("id").alias("id"))
@@ -80,8 +83,9 @@ def greedy_pack(candidates: DataFrame, group: str, max_bytes: int, max_items: in
     left = left.filter(F.col("depth") <= max_depth if max_depth is not None else F.lit(True)).drop("depth")
     room = max_tokens if max_tokens is not None else (1 << 62)
     id_type = dict(candidates.dtypes)["id"]
+    left = left.filter((F.col("bytes") <= max_bytes) & (F.col("tokens") <= room) & F.lit(max_items > 0))
     zero = F.lit(0).cast("long")
-    state = left.select("g").distinct().select("g", zero.alias("used"), zero.alias("spent"), zero.alias("n"), F.lit(None).cast(left.schema["o"].dataType).alias("last"))
+    state = None
     empty = F.expr(f"cast(array() as array<struct<position:int,id:{id_type}>>)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -94,19 +98,19 @@ def greedy_pack(candidates: DataFrame, group: str, max_bytes: int, max_items: in
 
     taken = None
     while True:
-        left = left.join(state, "g").filter((F.col("n") < max_items) & (F.col("bytes") <= max_bytes - F.col("used")) & (F.col("tokens") <= room - F.col("spent")) & (F.col("last").isNull() | (F.col("o") > F.col("last"))))
-        left = cut(left.select("g", "o", "bytes", "tokens"))
-        if left.isEmpty():
-            break
-        head = left.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).filter(F.col("rn") <= max_items)
+        head = left.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).filter(F.col("rn") <= HEAD)
         head = head.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("o", "bytes", "tokens"))).alias("next"))
+        head = head.select("g", "next", zero.alias("used"), zero.alias("spent"), zero.alias("n")) if state is None else head.join(state.drop("last"), "g")
         walked = F.aggregate("next", F.struct("used", "spent", "n", empty.alias("taken")), step)
-        moved = cut(state.join(head, "g").select("g", walked.alias("w"), F.element_at("next", -1)["o"].alias("last")))
+        more = (F.size("next") == HEAD) & (F.col("w.n") < max_items)
+        moved, going = cut_counted(head.select("g", "next", walked.alias("w")).select("g", "w", F.element_at("next", -1)["o"].alias("last"), more.alias("more")), "more")
         got = moved.select("g", F.explode("w.taken").alias("t")).select("g", "t.position", "t.id")
         taken = got if taken is None else taken.unionByName(got)
-        state = moved.select("g", "w.used", "w.spent", "w.n", "last")
-    if taken is None:
-        taken = candidates.limit(0).select(F.col(group).alias("g"), F.lit(0).alias("position"), "id")
+        if not going:
+            break
+        state = moved.filter("more").select("g", "w.used", "w.spent", "w.n", "last")
+        left = left.join(state, "g").filter((F.col("bytes") <= max_bytes - F.col("used")) & (F.col("tokens") <= room - F.col("spent")) & (F.col("o") > F.col("last")))
+        left = cut(left.select("g", "o", "bytes", "tokens"))
     return taken.select(F.col("g").alias(group), "position", "id")
 
 

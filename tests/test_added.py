@@ -44,7 +44,9 @@ def test_reach_finds_the_nearest_roots(spark):
     assert {r["node"] for r in graph.reach(edges, seeds, 1).collect()} == {"a", "b", "c", "d"}
 
 
-def test_packing_equals_the_plain_walk(spark):
+@pytest.mark.parametrize("head", [4, 256])
+def test_packing_equals_the_plain_walk(spark, monkeypatch, head):
+    monkeypatch.setattr(planning, "HEAD", head)
     rng = random.Random(2)
     rows = [(f"g{rng.randrange(3)}", k, rng.random() < 0.2, rng.randrange(4), rng.randrange(1, 40), rng.randrange(1, 9), rng.randrange(4)) for k in range(150)]
     df = spark.createDataFrame(rows, "g string, id long, required boolean, priority int, bytes long, tokens long, depth int")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestar.functions import ids, text
 from lodestar.operators import design, graph, planning, queue, report, sinks, snapshot
 from lodestar.sources import repository
-from lodestar.streaming import queue_stream
 
 
 def one(spark, expr):
@@ -143,28 +142,6 @@ def test_exports(spark):
     assert json.loads(sinks.sarif_log(["r"], ['{"ruleId":"r"}']))["version"] == "2.1.0"
 
 
-def test_event_stream_folds_to_the_last_state(spark, tmp_path):
-    rows = [(1, 1, "admitted"), (2, 1, "leased"), (3, 1, "retry_scheduled"), (4, 1, "leased"), (5, 1, "succeeded"), (6, 2, "admitted")]
-    df = spark.createDataFrame(rows, "sequence long, work_id long, kind string")
-    df.write.parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    folded = queue_stream.fold_stream(queue_stream.event_stream(spark, str(tmp_path / "in"), df.schema))
-    q = folded.writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    end = time.time() + 90  # batches go on for the timers, so the query is stopped from here
-    while time.time() < end and not list((tmp_path / "out").glob("*.parquet")):
-        time.sleep(0.5)
-    q.stop()
-    got = {r["work_id"]: (r["state"], r["attempts"], r["retries"]) for r in spark.read.parquet(out).collect()}
-    assert got == {1: ("succeeded", 2, 1), 2: ("pending", 0, 0)}
-
-
-def test_outcomes_are_committed_once(spark, tmp_path):
-    b = spark.createDataFrame([("k", 1)], "key string, v int")
-    for epoch in range(2):
-        queue_stream.commit_outcomes(b, epoch, str(tmp_path / "o"))
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 1
-
-
 def test_json_repair_and_review(spark):
     from lodestar.operators import validation as V
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import fnmatch
 import json
 import re
 from collections.abc import Iterator
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.ids import content_hash
 from lodestar.functions.text import file_class, looks_binary
+from lodestar.sources import ignores as I
+from lodestar.sources.tree import ENCODING, Tree
 
 #: Bytes; larger files become issues.
 LIMIT = 16 << 20
@@ -29,34 +30,17 @@ ADAPTERS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typesc
 
 
 def capture(spark: SparkSession, root: str, limit: int = LIMIT) -> DataFrame:
-    """path, size, class, content (hash; null for issues), issue (oversized or null) of every file below root."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace("path", "^.*?" + re.escape(base.replace("file://", "")) + "/", "")
-    fine = F.col("length") <= limit
-    f = raw.select(path.alias("path"), F.col("length").alias("size"), F.when(fine, F.col("content")).alias("bytes"), F.when(~fine, "oversized").alias("issue"))
-    kind = file_class("path")
-    kind = F.when(kind.isin("source", "unsupported") & F.coalesce(looks_binary("bytes"), F.lit(False)), "binary").otherwise(kind)
-    return f.select("path", "size", kind.alias("class"), content_hash("bytes").alias("content"), "issue")
-
+    """path, size, class, content (hash), issue, detail of every file below root; links, submodules and what can't be read are rows with an issue and no content.
 
-def ignored(path: str, patterns: list[str]) -> bool:
-    """Later patterns win; ! takes back; a leading or inner slash anchors at the root; a trailing one names folders."""
-    out = False
-    parts = path.split("/")
-    for raw in patterns:
-        p = raw.strip()
-        if not p or p.startswith("#"):
-            continue
-        back = p.startswith("!")
-        p = p[1:] if back else p
-        folder, p = p.endswith("/"), p.rstrip("/")
-        anchored, p = "/" in p, p.lstrip("/")
-        ends = range(1, len(parts)) if folder else range(1, len(parts) + 1)
-        names = ["/".join(parts[:k]) if anchored else parts[k - 1] for k in ends]
-        if any(fnmatch.fnmatchcase(n, p) for n in names):
-            out = not back
-    return out
+    Text that is not UTF-8 has both. Files in version control's own folder are left out.
+    """
+    spark.dataSource.register(Tree)
+    f = spark.read.format("tree").option("path", root).option("limit", str(limit)).load()
+    kind = F.when(F.col("issue").isin("symlink", "submodule"), "unsupported").otherwise(file_class("path"))
+    kind = F.when(kind.isin("source", "unsupported") & F.coalesce(looks_binary("bytes"), F.lit(False)), "binary").otherwise(kind)
+    f = f.select("path", "size", kind.alias("class"), content_hash("bytes").alias("content"), "issue", "detail", F.is_valid_utf8("bytes").alias("utf8"))
+    odd = ~F.coalesce("utf8", F.lit(True)) & (F.col("class") != "binary")
+    return f.select("path", "size", "class", "content", F.when(odd, ENCODING).otherwise(F.col("issue")).alias("issue"), F.when(odd, "text that is not UTF-8").otherwise(F.col("detail")).alias("detail"))
 
 
 def ignore_regex(pattern: str, root: str = "") -> tuple[str, bool] | None:
@@ -91,9 +75,15 @@ def is_ignored(path: Column | str, patterns: list[tuple[str, str]]) -> Column:
 
 
 def ignore_filter(files: DataFrame, patterns: list[str], roots: list[tuple[str, str]] | None = None, override: list[str] | None = None) -> DataFrame:
-    """files without those that are ignored: (root, line) defaults of discovered roots come first, then the patterns, then the override file's; later lines win."""
-    every = [*(roots or []), *[("", p) for p in patterns], *[("", p) for p in override or []]]
-    return files.filter(~is_ignored("path", every))
+    """files without those that are ignored: (root, line) defaults of discovered roots are weakest, then the .gitignore files among files that have a text, the patterns, the override file's.
+
+    See ignores.with_ignored. files: path, and text if ignore files are to be read.
+    """
+    own = [*((r, I.DEFAULTS, p) for r, p in roots or []), *(("", I.EXTRA, p) for p in patterns), *(("", I.OVERRIDES, p) for p in override or [])]
+    lines = I.line_rows(files.sparkSession, own)
+    if "text" in files.columns:
+        lines = lines.unionByName(I.ignore_file_lines(files))
+    return I.with_ignored(files, I.rules_of(lines)).filter(~F.col("ignored")).drop("ignored")
 
 
 def ecosystem_roots(files: DataFrame) -> DataFrame:

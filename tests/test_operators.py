@@ -41,12 +41,6 @@ def test_capture_hashes_sniffs_and_reports_issues(spark, tmp_path):
     assert got["big.md"]["issue"] == "oversized" and got["big.md"]["content"] is None
 
 
-def test_ignore_rules_last_match_wins():
-    rules = ["*.log", "!keep.log", "build/", "/top.txt", "a/*.tmp"]
-    hit = {p: repository.ignored(p, rules) for p in ("x.log", "d/keep.log", "build/x", "build", "top.txt", "d/top.txt", "a/x.tmp", "b/a/x.tmp")}
-    assert hit == {"x.log": True, "d/keep.log": False, "build/x": True, "build": False, "top.txt": True, "d/top.txt": False, "a/x.tmp": True, "b/a/x.tmp": False}
-
-
 def test_git_delta(spark):
     lines = spark.createDataFrame([("M\ta.rs",), ("R090\told.rs\tnew.rs",), ("D\tgone.rs",), ("?? fresh.rs",)], "value string")
     assert sorted(map(tuple, repository.git_delta(lines).collect())) == [("a.rs", "modified"), ("fresh.rs", "added"), ("gone.rs", "removed"), ("new.rs", "added"), ("old.rs", "removed")]

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stash
+from lodestar.llm.common import join_uneven, stash
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: One unit of mass; damping in percent; rounds; least distrust of a blocked host, in parts of the mean mass of a host.
-UNIT, DAMPING, ROUNDS, DISTRUST = 1_000_000_000_000, 85, 12, 0.4
+#: Units of all mass of a kind; damping in percent; least distrust of a blocked host, in parts of the mean mass of a host.
+UNIT, DAMPING, DISTRUST = 1_000_000_000_000, 85, 0.4
+#: Rounds between tables.
+TURN = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 
@@ -46,25 +48,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: int = DAMPING) -> DataFrame:
     """kind, node, mass, received (mass without the node's own share as a seed): personalised PageRank for each kind. edges: kind, src, dst, w; seeds: kind, node.
 
-    A hub's edges are dealt by salt, so its row of mass is copied to SALTS tasks, and contributions are summed before
-    they are shuffled. Mass at nodes without edges is dropped.
+    Rounds go on until no mass moves: masses are whole units that rise from nothing to their fixed point, however far
+    from the seeds. A hub's edges are dealt by salt, so its row of mass is copied to SALTS tasks, and contributions are
+    summed before they are shuffled. Mass at nodes without edges is dropped.
     """
     sizes = seeds.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     base = stash(seeds.distinct().join(F.broadcast(sizes), "kind").select("kind", "node", F.expr(f"{UNIT} div n").alias("seed")), "seeds")  # sizes has one row a kind
-    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
-    salted = stash(edges.join(out, ["kind", "src"]).withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")), "edges")
-    mass = base.select("kind", F.col("node"), F.col("seed").alias("mass"))
-    for k in range(rounds):
+    keyed = edges.withColumn("from", F.struct("kind", "src"))
+    out = stash(keyed.groupBy("from").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("links")), "totals")
+    salted = join_uneven(keyed, out, "from", "links", F.col("dst")).select("kind", "src", "dst", "w", "total", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = stash(salted, "edges")
+    own = base.select("kind", "node", F.expr(f"seed * {100 - damping} div 100").alias("mass"), F.lit(0).cast("long").alias("received"))
+    mass, before, k = own, None, 0
+    while True:
         copies = mass.filter("mass > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("node", "src")
         moved = salted.join(copies, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("node"), F.expr(f"cast(cast(mass as decimal(20,0)) * {damping} * w div (total * 100) as bigint)").alias("mass")).withColumn("received", F.col("mass"))
-        moved = moved.unionByName(base.select("kind", "node", F.expr(f"seed * {100 - damping} div 100").alias("mass"), F.lit(0).cast("long").alias("received")))
-        mass = moved.groupBy("kind", "node").agg(F.sum("mass").alias("mass"), F.sum("received").alias("received"))
-        if k % 4 == 3 or k == rounds - 1:
+        mass = moved.unionByName(own).groupBy("kind", "node").agg(F.sum("mass").alias("mass"), F.sum("received").alias("received"))
+        k += 1
+        if k % TURN == 0 or k == 1:
             mass = stash(mass, "mass")
-    return mass
+            now = mass.agg(F.count(F.lit(1)), F.sum("mass")).first()  # masses only rise, so equal sums are equal masses
+            if now == before:
+                return mass
+            before = now
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = DISTRUST) -> DataFrame:
@@ -82,15 +91,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     judged = stash(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")), "judged")
     links = stash(host_edges(rows), "links")
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    hosts = judged.filter("host != ''").groupBy("host").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("good"), F.max((F.col("ruled") == "block").cast("int")).alias("bad"))
+    hosts = judged.filter("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.max((F.col("ruled") == "allow").cast("int")).alias("good"), F.max((F.col("ruled") == "block").cast("int")).alias("bad"))
     hosts = stash(hosts, "hosts")
     seeds = hosts.filter("good = 1 and coalesce(bad, 0) = 0").select(F.lit("trust").alias("kind"), F.col("host").alias("node")).unionByName(hosts.filter("bad = 1").select(F.lit("distrust").alias("kind"), F.col("host").alias("node")))
     mass = spread(edges, seeds)
     mean = UNIT / max(1, hosts.count())
     of = mass.groupBy(F.col("node").alias("host")).agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"), F.sum(F.when(F.col("kind") == "distrust", F.col("received"))).alias("d"))
     of = of.select("host", F.round(F.coalesce("t", F.lit(0)) / mean, 9).alias("trust"), F.round(F.coalesce("d", F.lit(0)) / mean, 9).alias("distrust"))
-    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = judged.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(of, ["host", "salt"], "left")
+    of = stash(hosts.select("host", "pages").join(of, "host"), "of")
+    out = join_uneven(judged, of, "host", "pages", F.struct("page_id", "path"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((distrust > threshold) & (distrust > trust), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -18,14 +18,15 @@ def pages(spark):
 
 
 def test_url_rules(pages):
-    got = {r["page_id"]: r for r in urls.judge_urls(pages).collect()}
+    found = urls.judge_urls(pages).collect()
+    got = {r["page_id"]: r for r in found}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"], got[1]["verdict"]) == ("a.example.com", "/en/1", "example.com/en/", "block")
     assert (got[4]["rule"], got[4]["verdict"]) == ("www.example.com/en/", "allow")
     assert (got[2]["host"], got[2]["path"], got[2]["rule"]) == ("", "", None) == (got[3]["host"], got[3]["path"], got[3]["rule"])
     assert (got[5]["rule"], got[6]["rule"], got[7]["rule"]) == ("net/es/", None, "net/fr/")
     assert got[None]["host"] == "h" and got[None]["path"] == ""
     assert got[101]["verdict"] == "block" and got[101]["distrust"] > 0  # links to a blocked host
-    assert urls.judge_urls(pages.limit(0)).count() == 0 and urls.judge_urls(pages).count() == pages.count()
+    assert urls.judge_urls(pages.limit(0)).count() == 0 and len(found) == pages.count()
 
 
 def test_spread_equals_dense_pagerank(spark):
@@ -42,11 +43,20 @@ def test_spread_equals_dense_pagerank(spark):
     s = np.zeros(12)
     s[[0, 3]] = 0.5
     x = s
-    for _ in range(urls.ROUNDS):
+    for _ in range(300):
         x = 0.85 * (m @ x) + 0.15 * s
     assert all(abs(got.get(f"n{k}", 0) - x[k]) < 1e-6 for k in range(12))
 
 
+def test_spread_goes_to_the_end_of_a_chain_and_over_hubs(spark):
+    n = 40
+    edges = [("trust", f"c{k}", f"c{k + 1}", 1) for k in range(n)] + [("distrust", "hub", f"leaf{k}", 2) for k in range(9000)] + [("distrust", f"leaf{k}", "hub", 1) for k in range(0, 9000, 3)]
+    got = {r["node"]: r["received"] / urls.UNIT for r in urls.spread(spark.createDataFrame(edges, "kind string, src string, dst string, w long"), spark.createDataFrame([("trust", "c0"), ("distrust", "hub")], "kind string, node string")).collect()}
+    assert all(abs(got[f"c{k}"] - 0.15 * 0.85**k) < 1e-9 for k in range(1, n + 1))
+    hub = 0.15 / (1 - 0.85**2 / 3)
+    assert abs(got["hub"] + 0.15 - hub) < 1e-6 and abs(got["leaf5"] - 0.85 * hub / 9000) < 1e-9
+
+
 def test_warc_round_trip(pages):
     got = sorted(warc.archive_pages(pages).collect(), key=str)
     assert len(got) == pages.count()
@@ -179,7 +189,7 @@ def test_url_verdicts_equal_brute_force(spark):
         m = m / np.maximum(m.sum(axis=0), 1)
         s = np.array([1 / len(seeds) if h in seeds else 0 for h in names]) if seeds else np.zeros(len(names))
         x, r = s, np.zeros(len(names))
-        for _ in range(urls.ROUNDS):
+        for _ in range(300):
             r = 0.85 * (m @ x)
             x = r + 0.15 * s
         return x, r

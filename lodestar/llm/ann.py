@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     has no row. Rows repeated with one id and vector count once; rows of one id with different vectors are candidates of
     their own, but none for a query of that id. Fewer than k candidates found give fewer rows. An empty table gives an
     empty result. Other columns are dropped. At most `whole` distinct vectors of a dimension are searched whole, without
-    hashing: 0 always hashes, a larger bound is the exact way.
+    hashing: 0 hashes whatever has more than k + 1, a larger bound is the exact way.
     """
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col).distinct()
@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     out = spark.createDataFrame([], "k1 long, k2 long, best array<struct<neg:double,vec_id:long>>")
     sizes = index.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy("dim").collect()  # one row a dimension
     for dim, n, top in sizes:
-        out = out.unionByName(_search(index.filter(F.col("dim") == dim), wanted.filter(F.col("dim") == dim), dim, n, top, k, target, n <= whole))
+        out = out.unionByName(_search(index.filter(F.col("dim") == dim), wanted.filter(F.col("dim") == dim), dim, n, top, k, target, n <= max(whole, k + 1)))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64(F.lit(1), "v").alias("k1"), F.xxhash64(F.lit(2), "v").alias("k2"))
     told = asked.join(stash(out, "found"), ["k1", "k2"])
     best = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

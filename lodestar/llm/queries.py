@@ -17,7 +17,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(table(spark, sf_dir, "embeddings"), whole=0)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 TOLERANCE = 1e-6
 STEP = 16
-#: Members of a block.
-BLOCK = 1024
+#: Members of a block at most, about, and their shingles. A member of a bucket of b blocks is copied b times.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def _candidates(pdf: pd.DataFrame, threshold: float, tolerance: float) -> Iterat
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
-    """doc_id, key, number of the row (fixed once this is written), digest of the shingle set (null if it is empty), MinHash values, for every row."""
+    """doc_id, key, number of the row (fixed once this is written), digest of the shingle set (null if it is empty), MinHash values, number of shingles, for every row."""
     rows = docs.select(whole_id(id_col).alias("doc_id"), key.cast("string").alias("key"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,19 +132,19 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFr
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full)) if full else iter(())
             digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "row": pdf["row"], "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "row": pdf["row"], "set_id": digest, "sig": [next(sig).tobytes() if len(s) else None for s in sets], "width": [len(s) for s in sets]})
 
-    found = arrow_bounded(rows).mapInPandas(profile, "doc_id string, key string, row long, set_id binary, sig binary")
+    found = arrow_bounded(rows).mapInPandas(profile, "doc_id string, key string, row long, set_id binary, sig binary, width long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """set_id, to_id (a neighbour in the group, for components), n (documents linked to in the group); classes: set_id, rep, size, sig."""
-    banded = classes.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig")
+    """set_id, to_id (a neighbour in the group, for components), n (documents linked to in the group); classes: set_id, rep, size, sig, width."""
+    banded = classes.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig", "width")
     key = F.xxhash64("band", F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})"))
-    banded = banded.select("set_id", "band", key.alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    banded = banded.select("set_id", "band", key.alias("bucket"), "width")
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("width").alias("shingles")).filter("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.least("n", F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     met = banded.join(full, "bucket").select("set_id", "band", "bucket", blocks.alias("blocks"))
     met = met.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, key: Column) -> DataFrame:
     """The rows of near_duplicates with key, row and, unless a row links to nothing, `best`: its component's smallest id (nulls last), key, row."""
     rows = stash(profiles(docs, id_col, text_col, key), "profiles")
-    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("best"))
+    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"), F.max("width").alias("width"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "row")).alias("best"))
     classes = stash(classes, "classes")
     found = stash(links(docs, classes, id_col, text_col, threshold, tolerance), "links")
     root = components(found)

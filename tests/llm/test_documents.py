@@ -445,7 +445,7 @@ def test_near_copies_without_ids_are_read_once(spark):
     rows = [(None, t, "a") for t in texts] + [(5, t + " tail", "a") for t in texts[:40]] + [(None, texts[0], "a")]
     from pyspark.sql import functions as F
 
-    classes = jaccard.profiles(frame(spark, rows), "doc_id", "text", F.lit(None)).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"))
+    classes = jaccard.profiles(frame(spark, rows), "doc_id", "text", F.lit(None)).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.max("sig").alias("sig"), F.max("width").alias("width"))
     found = jaccard.links(frame(spark, rows), jaccard.stash(classes, "classes"))
     sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts + [t + " tail" for t in texts[:40]]]
     size = [2] + [1] * (len(sets) - 1)

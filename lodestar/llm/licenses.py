@@ -1,10 +1,12 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (any number of lines on end) matches a template if it holds at least 0.8 of the template's distinct five-word
-shingles. A longer block never holds fewer, so the block of all lines decides, however the text is wrapped. Shingles are the tokens of the join. They are ordered by their number in the whole corpus, rarest
-first. A block that reaches the threshold shares a shingle with the template's prefix (prefix filter), has enough
-words (length filter), and from any shared shingle on enough of both remain (positional filter); what passes is counted
-exactly. Templates are a fixed table; the order needs one count over all documents of the templates' shingles alone.
+A block is a run of a text's words, however wrapped, of at most 1 / 0.8 times the template's number of words. It matches a
+template if it holds at least 0.8 of the template's distinct five-word shingles; pieces farther apart are no block. Shingles
+are the tokens of the join, ordered by their number in the whole corpus, rarest first. A text with a matching block shares
+a shingle with the template's prefix (prefix filter), has enough words (length filter), and from the first shared shingle on enough of
+both remain (positional filter). In texts that pass, the shared shingles' places are walked over once with two ends:
+the run is extended while it is short enough, and the best one is kept. Templates are a fixed table; the order needs one
+count over all documents of the templates' shingles alone.
 """
 
 from __future__ import annotations
@@ -22,15 +24,37 @@ from lodestar.llm.textnum import FOLD, batches
 WIDTH, THRESHOLD = 5, 0.8
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Sentences of the licenses' own texts and notices.
+#: Sentences and whole texts of the licenses and of their notices.
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+        copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "apache": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
+    "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License.""",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-whole-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+        Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
     "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+        IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+        OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+        OF THIS SOFTWARE.""",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
     "unlicense": "This is free and unencumbered software released into the public domain",
@@ -71,8 +95,13 @@ class Index:
         for name, order in self.ordered.items():
             for k, s in enumerate(order[: len(order) - self.need[name] + 1]):
                 self.prefix.setdefault(s, []).append((name, k))
-        #: some template has too few words for a shingle of full width: its only shingle is that of a short block
-        self.short = any(len(words(t)) < WIDTH for t in templates.values())
+        self.longest = {name: max(len(ws), int(len(ws) / threshold + 1e-9)) for name, ws in ((name, words(t)) for name, t in templates.items())}
+        self.holders: dict[bytes, list[str]] = {}
+        for name, v in self.sets.items():
+            for x in v:
+                self.holders.setdefault(x, []).append(name)
+        #: widths of shingles: that of short templates is their number of words
+        self.widths = sorted({x.count(b" ") + 1 for x in tokens})
 
     def match(self, found: set[bytes]) -> dict[str, float]:
         """Containment of each template that reaches the threshold in a block with these shingles."""
@@ -85,7 +114,7 @@ class Index:
                     continue
                 tried.add(name)  # the first shared shingle in the global order
                 left = 1 + min(len(mine) - at - 1, len(self.ordered[name]) - k - 1)
-                if len(found) < self.need[name] or left < self.need[name]:
+                if len(mine) < self.need[name] or left < self.need[name]:
                     continue
                 share = len(self.sets[name] & found)
                 if share >= self.need[name]:
@@ -93,19 +122,39 @@ class Index:
         return out
 
 
-def blocks(text: str, index: Index) -> dict[str, float]:
-    """Best containment of each template over all blocks of the text."""
-    lines = [ws for ws in (words(line) for line in text.split("\n")) if ws]
-    out = index.match(shingle_set([w for ws in lines for w in ws]))
-    if index.short:
-        for k in range(len(lines)):
-            run: list[bytes] = []
-            for ws in lines[k : k + WIDTH - 1]:
-                run = run + ws
-                if len(run) >= WIDTH:
-                    break
-                for name, share in index.match(shingle_set(run)).items():
-                    out[name] = max(share, out.get(name, 0.0))
+def blocks(text: str, index: Index) -> dict[str, tuple[float, int, int]]:
+    """For each template that a block matches: the best containment, the first word and the end (exclusive) of the block.
+
+    Of several blocks of the best containment the shortest counts, then the first.
+    """
+    ws = words(text)
+    places: dict[str, list[tuple[int, int, bytes]]] = {}
+    found: set[bytes] = set()
+    for width in index.widths:
+        for k in range(len(ws) - width + 1):
+            x = b" ".join(ws[k : k + width])
+            if x in index.holders:
+                found.add(x)
+                for name in index.holders[x]:
+                    places.setdefault(name, []).append((k, k + width, x))
+    out = {}
+    for name in index.match(found):
+        best: tuple[int, int, int] | None = None  # shingles missing, words, first word
+        held: dict[bytes, int] = {}
+        run, left = sorted(places[name]), 0
+        for start, end, x in run:
+            held[x] = held.get(x, 0) + 1
+            while end - run[left][0] > index.longest[name] or held[run[left][2]] > 1:  # too long, or its first shingle comes again
+                gone = run[left][2]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
+                left += 1
+            if len(held) >= index.need[name]:
+                here = (-len(held), end - run[left][0], run[left][0])
+                best = here if best is None else min(best, here)
+        if best is not None:
+            out[name] = (-best[0] / len(index.sets[name]), best[2], best[2] + best[1])
     return out
 
 
@@ -145,10 +194,10 @@ def template_counts(rows: DataFrame, templates: dict[str, str] = TEMPLATES) -> d
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """For every row: doc_id (long), n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
+    """For every row: doc_id (long), n_words, n_base, first_word, last_word, base_labels, labels, score, templates, blocks.
 
     score: 1 with a phrase, else the best containment of a matching template, else 0. Labels of templates join those of
-    phrases; `templates` lists name=containment. Null text counts as empty: no words, no labels (empty strings), null
+    phrases; `templates` lists name=containment, `blocks` name:start-end in words from 0, end exclusive. Null text counts as empty: no words, no labels (empty strings), null
     first and last word. A text without line ends is one line, however long. Repeated rows each get their row, null ids
     stay null, an empty table gives an empty result; rows are independent, without a shuffle of texts. Other columns are
     dropped.
@@ -157,7 +206,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = Index(templates, template_counts(rows, templates), threshold)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a block that matches holds a prefix shingle, unless that spans a line end: so lines are joined here too
+        # a text with a block that matches holds a prefix shingle
         needles = [b" " + s + b" " for s in index.prefix]
         firsts = sorted({n[: n.index(b" ", 1) + 1] for n in needles})
         by_first = {f: [n for n in needles if n.startswith(f)] for f in firsts}
@@ -171,10 +220,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = blocks(text, index) if some else {}
                 base = sorted({label for _, label in places})
                 labels = sorted({*base, *found})
-                score = 1.0 if base else max(found.values(), default=0.0)
+                score = 1.0 if base else max((share for share, _, _ in found.values()), default=0.0)
                 first, last = (places[0][0], places[-1][0]) if places else (None, None)
-                out.append((doc, line.count(b" ") + 1 if line else 0, len(places), first, last, ",".join(base), ",".join(labels), round(score, 9), ",".join(f"{n}={s:.4f}" for n, s in sorted(found.items()))))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"])
+                out.append((doc, line.count(b" ") + 1 if line else 0, len(places), first, last, ",".join(base), ",".join(labels), round(score, 9), ",".join(f"{n}={s:.4f}" for n, (s, _, _) in sorted(found.items())), ",".join(f"{n}:{a}-{b}" for n, (_, a, b) in sorted(found.items()))))
+            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates", "blocks"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return rows.mapInPandas(scan, "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(scan, "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates string, blocks string").withColumn("doc_id", F.col("doc_id").cast("long"))

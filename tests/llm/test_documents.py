@@ -252,12 +252,50 @@ def test_license_blocks_and_phrases(spark):
 
 
 def test_license_is_found_however_it_is_wrapped(spark):
+    assert all(len(licenses.words(t)) > 4 for t in licenses.TEMPLATES.values())
     docs = frame(spark, [(k, "before\n" + "\n\n * ".join(" ".join(w[i : i + n]) for i in range(0, len(w), n)) + "\nafter", "a") for k, (w, n) in enumerate((t.split(), n) for t in licenses.TEMPLATES.values() for n in (1, 3, 5))])
     want = {k: name for k, name in enumerate(name for name in licenses.TEMPLATES for _ in range(3))}
     for r in licenses.scan_licenses(docs).collect():
         assert f"{want[r['doc_id']]}=1.0000" in r["templates"].split(",")
     index = licenses.Index({"short": "two words"})
-    assert licenses.blocks("a line before\ntwo\nwords\nand many more words after it", index) == {"short": 1.0}
+    assert licenses.blocks("a line before\ntwo\nwords\nand many more words after it", index) == {"short": (1.0, 3, 5)}
+
+
+def test_license_blocks_equal_brute_force_over_all_runs():
+    rng = random.Random(41)
+    names = ["t1", "t2", "t3"]
+    for _ in range(120):
+        made = {n: " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 3, 6, 9, 14]))) for n in names}
+        index = licenses.Index(made)
+        text = []
+        while len(text) < 45:
+            t = made[rng.choice(names)].split()
+            a = rng.randrange(len(t))
+            text += t[a : a + rng.randint(1, 14)] + [rng.choice("abcdexyz") for _ in range(rng.randint(0, 3))]
+        ws = licenses.words(" ".join(text))
+        want = {}
+        for n in names:
+            longest = max(len(made[n].split()), int(len(made[n].split()) / 0.8 + 1e-9))
+            width = min(5, len(made[n].split()))
+            best = None
+            for i in range(len(ws)):
+                for j in range(i + 1, min(len(ws), i + longest) + 1):
+                    found = {b" ".join(ws[k : k + width]) for k in range(i, j - width + 1)}
+                    share = len(found & index.sets[n])
+                    if share >= index.need[n]:
+                        here = (-share, j - i, i)
+                        best = here if best is None else min(best, here)
+            if best:
+                want[n] = (-best[0] / len(index.sets[n]), best[2], best[2] + best[1])
+        assert licenses.blocks(" ".join(text), index) == want
+
+
+def test_license_pieces_far_apart_are_no_block(spark):
+    t = licenses.TEMPLATES["gpl-notice"].split()
+    far = " ".join(t[:14]) + "\n" + "some other line of words\n" * 3000 + " ".join(t[14:])
+    near = "x y\n" + " ".join(t[:14]) + "\nand\n" + " ".join(t[14:])
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, [(1, far, "a"), (2, near, "a")])).collect()}
+    assert got[1]["templates"] == "" and got[1]["blocks"] == "" and got[2]["blocks"] == f"gpl-notice:2-{len(licenses.words(near))}"
 
 
 def test_license_join_equals_brute_force():

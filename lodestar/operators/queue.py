@@ -244,3 +244,53 @@ def transitions(events: DataFrame, legal: list[tuple[str, str]]) -> DataFrame:
     e = events.withColumn("before", F.lag("kind").over(w)).filter("before is not null")
     ok = F.concat_ws(">", "before", "kind").isin(*[f"{a}>{b}" for a, b in legal])
     return e.filter(~ok).select("work_id", "sequence", "before", "kind")
+
+
+def lease(work: DataFrame, log: DataFrame, now: int, millis: int, n: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(work as it is after, the new events): the first n available items of each partition are leased and each gets a `leased` event behind the log's last.
+
+    work: work_id, state, attempts, lease_until and more; events: sequence, work_id, kind, at_millis, in the order of work_id.
+    """
+    taken = lease_next(work, now, millis, n, keys).select("work_id", F.col("attempts").alias("_attempts"), F.col("lease_until").alias("_until"))
+    j = work.join(taken, "work_id", "left")
+    got = F.col("_until").isNotNull()
+    state = {"state": F.when(got, "leased").otherwise(F.col("state")), "attempts": F.coalesce("_attempts", "attempts"), "lease_until": F.coalesce("_until", "lease_until")}
+    after = j.select(*[state[c].alias(c) if c in state else F.col(c) for c in work.columns])
+    new = append_events(log, taken.select("work_id", F.lit("leased").alias("kind"), F.lit(now).cast("long").alias("at_millis")), ["work_id"])
+    return after, new.select("sequence", "work_id", "kind", "at_millis")
+
+
+def record_adjudications(history: DataFrame, requests: DataFrame) -> DataFrame:
+    """run, finding, at, result (recorded, conflict), revision of every request: it is recorded as the next revision if the one it expects is the latest then.
+
+    history: run, finding, revision; requests: run, finding, at, expected (null: none so far). A finding's requests of one batch are taken in the order
+    of `at`, then `expected` (nulls first); people make them, so a row holds those of one finding.
+    """
+    latest = history.groupBy("run", "finding").agg(F.max("revision").alias("had"))
+    each = requests.groupBy("run", "finding").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("expected").cast("long"), F.lit(-1)).alias("expected")))).alias("asked"))
+    j = each.join(latest, ["run", "finding"], "left").withColumn("had", F.coalesce(F.col("had").cast("long"), F.lit(-1).cast("long")))
+    kind = dict(requests.dtypes)["at"]
+    none = F.expr(f"cast(array() as array<struct<at:{kind},result:string,revision:bigint>>)")
+
+    def step(acc, x):
+        fits = x["expected"] == acc["now"]
+        after = F.when(fits, F.greatest(acc["now"], F.lit(0)) + 1).otherwise(acc["now"])
+        line = F.struct(x["at"].alias("at"), F.when(fits, "recorded").otherwise("conflict").alias("result"), F.when(fits, after).alias("revision"))
+        return F.struct(after.alias("now"), F.array_append(acc["done"], line).alias("done"))
+
+    done = F.aggregate("asked", F.struct(F.col("had").alias("now"), none.alias("done")), step)["done"]
+    return j.select("run", "finding", F.explode(done).alias("d")).select("run", "finding", "d.*")
+
+
+def cache_touch(cache: DataFrame, uses: DataFrame) -> DataFrame:
+    """The cache after its entries were used: hits raised by the uses, used_at the latest of them. cache: entry, hits, used_at and more; uses: entry, at. Uses of entries that are gone count for nothing."""
+    n = uses.groupBy("entry").agg(F.count(F.lit(1)).alias("_n"), F.max("at").alias("_at"))
+    j = cache.join(n, "entry", "left")
+    new = {"hits": F.col("hits") + F.coalesce("_n", F.lit(0)), "used_at": F.greatest("used_at", "_at")}
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in cache.columns])
+
+
+def cache_insert(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache with new entries (the same columns) in place of those of equal keys; of several new ones the latest cached_at stays, then the greatest entry."""
+    best = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), F.struct("cached_at", "entry")).alias("_b")).select("_b.*")
+    return cache.join(best.select(*keys), keys, "left_anti").unionByName(best.select(*cache.columns))

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from lodestar.plans import added, evidence, reviews, places, rules, runs, snapshots, sources, work  # noqa: F401
+from lodestar.plans import added, changes, evidence, places, reviews, rules, runs, snapshots, sources, work  # noqa: F401
 from lodestar.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

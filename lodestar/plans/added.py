@@ -524,12 +524,12 @@ def prune_terminal_runs(spark, sf):
     return Q.terminal_runs(_runs(spark, sf), _runs(spark, sf).filter(c("run") % 4 == 0), 1000)
 
 
-@query(f"""WITH {RUNS}, {B.SQL_CACHE}, gr AS (SELECT run, run % 4 = 0 AS kept FROM rs WHERE state <> 'active' AND updated <= 1000), w AS (SELECT o_orderkey AS work_id, o_custkey AS run FROM orders), gw AS (SELECT work_id FROM w WHERE run IN (SELECT run FROM gr)), oc AS (SELECT DISTINCT l_orderkey AS work_id, l_partkey AS reference FROM lineitem WHERE l_partkey % 2 = 0),
+@query(f"""WITH {RUNS}, {B.SQL_CACHE}, gr AS (SELECT run, run % 4 = 0 AS kept FROM rs WHERE state <> 'active' AND updated <= 1000), w AS (SELECT o_orderkey AS work_id, o_custkey AS run FROM orders), gw AS (SELECT work_id FROM w WHERE run IN (SELECT run FROM gr)), oc AS (SELECT DISTINCT l_orderkey AS work_id, l_partkey * 2 AS reference FROM lineitem),
 go AS (SELECT * FROM oc WHERE work_id IN (SELECT work_id FROM gw)), gc AS (SELECT entry FROM ca WHERE expires_at <= {B.NOW}), kept AS (SELECT reference FROM oc WHERE work_id NOT IN (SELECT work_id FROM gw) UNION SELECT entry % 300 FROM ca WHERE entry NOT IN (SELECT entry FROM gc))
 SELECT 'runs' AS what, count(*) FILTER (NOT kept) AS n FROM gr UNION ALL SELECT 'work', count(*) FROM gw UNION ALL SELECT 'outcomes', count(*) FROM go UNION ALL SELECT 'cache', count(*) FROM gc UNION ALL SELECT 'artifacts', count(*) FROM part WHERE p_partkey NOT IN (SELECT reference FROM kept)""")
 def clean_dry_run(spark, sf):
     runs, work = _runs(spark, sf), B.t(spark, sf, "orders").select(c("o_orderkey").alias("work_id"), c("o_custkey").alias("run"))
-    outcomes = B.t(spark, sf, "lineitem").filter(c("l_partkey") % 2 == 0).select(c("l_orderkey").alias("work_id"), c("l_partkey").alias("reference")).distinct()
+    outcomes = B.t(spark, sf, "lineitem").select(c("l_orderkey").alias("work_id"), (c("l_partkey") * 2).alias("reference")).distinct()
     cache = B.cache(spark, sf).withColumn("reference", c("entry") % 300)
     gone = Q.clean(work, runs, B.t(spark, sf, "part").select(c("p_partkey").alias("reference")), outcomes, cache, runs.filter(c("run") % 4 == 0), B.NOW, 1000)
     counts = [df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n")) for what, df in gone.items()]

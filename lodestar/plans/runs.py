@@ -124,12 +124,11 @@ def cache_short_circuit(spark, sf):
     return found.groupBy(F.when(F.col("entry").isNull(), "released").otherwise("completed").alias("result")).agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("SELECT count(*) AS artifacts, sum(p_size)::BIGINT AS bytes FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT count(*) AS artifacts, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND doc_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id IS NOT NULL)")
 def unreferenced_artifacts(spark, sf):
-    parts = B.t(spark, sf, "part").select(F.col("p_partkey").alias("reference"), F.col("p_size").cast("long").alias("bytes"))
-    l = B.t(spark, sf, "lineitem")
-    ref = F.col("l_partkey").alias("reference")
-    return Q.unreferenced(parts, l.filter("l_orderkey % 50 = 0").select(ref), l.filter("l_quantity > 49").select(ref)).agg(F.count(F.lit(1)).alias("artifacts"), F.sum("bytes").alias("bytes"))
+    docs = B.t(spark, sf, "documents").select(F.col("doc_id").alias("reference"), F.octet_length("text").cast("long").alias("bytes"))
+    labels, talks = B.t(spark, sf, "labels").select(F.col("doc_id").alias("reference")), B.t(spark, sf, "conversations").select(F.col("conv_id").alias("reference"))
+    return Q.unreferenced(docs, labels, talks).agg(F.count(F.lit(1)).alias("artifacts"), F.sum("bytes").alias("bytes"))
 
 
 @query(f"""WITH {B.SQL_WORK}, terminal AS (SELECT o_custkey AS cust FROM orders GROUP BY o_custkey HAVING max(epoch_ms(o_orderdate)) <= {N}) SELECT work_id FROM wk WHERE target NOT IN (SELECT cust FROM terminal)""")

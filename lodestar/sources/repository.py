@@ -131,8 +131,9 @@ def git_delta(lines: DataFrame) -> DataFrame:
 
 def inventory(lines: DataFrame) -> dict[str, DataFrame]:
     """Frames of tagged JSON lines (value): target, relation, evidence, partition, conflict and rejected."""
-    j = lines.select("value", F.get_json_object("value", "$.record").alias("record"))
-    pick = lambda tag, *cols: j.filter(F.col("record") == tag).select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in cols])
+    fields = ("record", "id", "kind", "name", "parent", "visibility", "inventory", "source", "target", "detail", "state", "diagnostic", "left", "right")
+    j = lines.select("value", F.json_tuple("value", *fields).alias(*fields))  # a line is parsed once for all its fields
+    pick = lambda tag, *cols: j.filter(F.col("record") == tag).select(*cols)
     known = ["header", "partition", "target", "evidence", "relation", "conflict", "finish"]
     return {
         "target": pick("target", "id", "kind", "name", "parent", "visibility", "inventory"), "relation": pick("relation", "id", "source", "target", "kind"), "evidence": pick("evidence", "id", "target", "kind", "detail"),
@@ -170,7 +171,7 @@ def _python_facts(path: str, text: str) -> list[tuple]:
 
 #: Per language: (fact, pattern whose first group is the name).
 SPECS = {
-    "rs": [("callable", r"\bfn\s+(\w+)"), ("record", r"\b(?:struct|enum|union)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("implements", r"\bimpl(?:<[^>]*>)?\s+(\w+)\s+for\b"), ("module", r"\bmod\s+(\w+)"), ("import", r"\buse\s+([\w:]+)"), ("call", r"\b(\w+)\s*\((?!\))")],
+    "rs": [("callable", r"\bfn\s+(\w+)"), ("record", r"\b(?:struct|enum|union)\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("implements", r"\bimpl(?:<[^>]*>)?\s+(\w+)\s+for\b"), ("module", r"\bmod\s+(\w+)"), ("import", r"\buse\s+([\w:]+)"), ("call", r"(?<!\bfn )\b(?!(?:if|while|match|for|in|return|else|let|fn)\b)(\w+)\s*\(")],
     "ts": [("callable", r"\bfunction\s+(\w+)"), ("class", r"\bclass\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("alias", r"\btype\s+(\w+)\s*="), ("enum", r"\benum\s+(\w+)"), ("import", r"\bfrom\s+['\"]([^'\"]+)"), ("extends", r"\bextends\s+(\w+)")],
     "java": [("class", r"\b(?:class|record)\s+(\w+)"), ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("callable", r"\b(?:public|protected|private|static)\s[\w<>\[\], ]*?(\w+)\s*\("), ("import", r"^import\s+([\w.]+)"), ("extends", r"\bextends\s+(\w+)"), ("implements", r"\bimplements\s+(\w+)")],
     "go": [("callable", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("record", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("import", r"^\s*\"([\w./-]+)\"")],
@@ -185,8 +186,9 @@ def _spec_facts(path: str, text: str, spec: list[tuple[str, str]]) -> list[tuple
             comment = m[1]
             continue
         seen = set()
+        code = re.sub(r"//.*", "", re.sub(r'"(?:\\.|[^"\\])*"', '""', line))  # what stands in texts and remarks is no code; imports name texts
         for fact, pattern in spec:
-            for m in re.finditer(pattern, line):
+            for m in re.finditer(pattern, line if fact == "import" else code):
                 if (fact, m[1]) not in seen:
                     seen.add((fact, m[1]))
                     out.append((path, fact, m[1], None, comment if fact not in ("call", "import") else None, n))

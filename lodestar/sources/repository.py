@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import configparser
 import json
 import re
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,13 +119,20 @@ def missing_adapters(files: DataFrame, present: DataFrame, group: str) -> DataFr
 
 
 def git_delta(lines: DataFrame) -> DataFrame:
-    """path, change from `diff --name-status` and `status --porcelain` lines (value): R is removed plus added, ?? is added."""
+    """path, change from `diff --name-status` and `status --porcelain` lines (value): R is removed plus added, C and ?? are added.
+
+    A porcelain line has two letters, a blank and a path, or `old -> new`; one without a tab is taken for such a line.
+    """
     v = F.col("value")
+    porcelain = v.rlike(r"^[ MTADRCU?]{2} [^\t]+$")
+    letter = F.when(F.substring(v, 1, 1).isin("R", "C"), F.substring(v, 1, 1)).otherwise(F.when(F.substring(v, 1, 2).contains("D"), "D").when(F.substring(v, 1, 2).contains("A"), "A").otherwise("M"))
+    rest = F.regexp_replace(F.substr(v, F.lit(4)), " -> ", "\t")
+    v = F.when(porcelain & ~v.startswith("??"), F.concat(letter, F.lit("\t"), rest)).otherwise(v)
     parts = F.split(v, r"\t")
     kind = F.substring(F.trim(parts[0]), 1, 1)
     one = lambda p, c: F.struct(p.alias("path"), F.lit(c).alias("change"))
     found = (
-        F.when(v.startswith("?? "), F.array(one(F.substr(v, F.lit(4)), "added"))).when(kind == "R", F.array(one(parts[1], "removed"), one(parts[2], "added"))).when(kind == "A", F.array(one(parts[1], "added")))
+        F.when(v.startswith("?? "), F.array(one(F.substr(v, F.lit(4)), "added"))).when(kind == "R", F.array(one(parts[1], "removed"), one(parts[2], "added"))).when(kind == "C", F.array(one(parts[2], "added"))).when(kind == "A", F.array(one(parts[1], "added")))
         .when(kind == "D", F.array(one(parts[1], "removed"))).when(kind.isin("M", "T"), F.array(one(parts[1], "modified")))
     )
     return lines.select(F.explode(found).alias("d")).select("d.*").distinct()
@@ -218,8 +227,26 @@ def syntax(files: DataFrame, specs: dict | None = None) -> DataFrame:
     return files.select("path", "text").mapInPandas(parse, FACT)
 
 
+#: Python manifests, the strongest of a folder first; Gradle's dependency lines.
+PYTHON_MANIFESTS = ("pyproject.toml", "setup.cfg", "setup.py", "requirements.txt")
+GRADLE = r"(?:implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor)\s*\(?\s*['\"]([^:'\"\s]+):([^:'\"\s]+)(?::([^'\"\s]+))?['\"]"
+
+
+def _requirement(line: str) -> tuple[str | None, str | None]:
+    """(name, first version) of a requirement such as `name[extra]>=1.2,<2`."""
+    m = re.match(r"\s*([\w.-]+)\s*(?:\[[^\]]*\])?\s*(?:[=<>~!]=?=?\s*([\w.*]+))?", line)
+    return (m[1], m[2]) if m else (None, None)
+
+
 def manifests(files: DataFrame) -> DataFrame:
-    """path, package, dependency, version of Cargo metadata, package.json, requirements and pom files (path, text)."""
+    """path, package, dependency, version of Cargo metadata, package.json, pyproject, setup.cfg, requirements, pom and Gradle files (path, text).
+
+    Of a folder's Python manifests only the one that PYTHON_MANIFESTS names first counts. A file that can't be parsed has one row of nulls.
+    """
+    name, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "/?[^/]*$", "")
+    rank = F.array_position(F.array(*map(F.lit, PYTHON_MANIFESTS)), name)
+    first = files.filter(name.isin(*PYTHON_MANIFESTS)).groupBy(folder.alias("folder")).agg(F.min(rank).alias("first"))
+    files = files.withColumn("folder", folder).join(first, "folder", "left").filter(~name.isin(*PYTHON_MANIFESTS) | (rank == F.col("first")))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -237,11 +264,25 @@ def manifests(files: DataFrame) -> DataFrame:
                         for line in text.split("\n"):
                             if m := re.match(r"\s*([\w.-]+)\s*(?:[=<>~!]=?\s*([\w.]+))?", line.partition("#")[0]):
                                 out.append((path, None, m[1], m[2]))
+                    elif name == "pyproject.toml":
+                        d = tomllib.loads(text)
+                        own = d.get("project", {}) or d.get("tool", {}).get("poetry", {})
+                        for line in own.get("dependencies", []) if isinstance(own.get("dependencies", []), list) else []:
+                            out.append((path, own.get("name"), *_requirement(line)))
+                        if isinstance(own.get("dependencies"), dict):
+                            out += [(path, own.get("name"), k, v if isinstance(v, str) else v.get("version")) for k, v in own["dependencies"].items() if k != "python"]
+                    elif name == "setup.cfg":
+                        d = configparser.ConfigParser()
+                        d.read_string(text)
+                        lines = d.get("options", "install_requires", fallback="").split("\n")
+                        out += [(path, d.get("metadata", "name", fallback=None), *_requirement(line)) for line in lines if line.strip()]
+                    elif name in ("build.gradle", "build.gradle.kts"):
+                        out += [(path, None, f"{m[1]}:{m[2]}", m[3]) for m in re.finditer(GRADLE, text)]
                     elif name == "pom.xml":
                         own = re.search(r"<artifactId>([^<]+)", text)
                         for m in re.finditer(r"<dependency>.*?<artifactId>([^<]+)</artifactId>(?:.*?<version>([^<]+))?.*?</dependency>", text, re.S):
                             out.append((path, own and own[1], m[1], m[2]))
-                except (ValueError, KeyError, TypeError):
+                except (ValueError, KeyError, TypeError, AttributeError, configparser.Error):
                     out.append((path, None, None, None))
             yield pd.DataFrame(out, columns=["path", "package", "dependency", "version"])
 

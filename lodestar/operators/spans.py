@@ -1,9 +1,10 @@
 """Which span of a file holds a place: containment of intervals by equi-joins and sorted order.
 
-A span [s, e) holds a place [start, end) if s <= start and end <= e. Starts are put in dyadic cells: a span lies in one
-cell of each level, and the starts up to a place's own are the union of at most one cell a level (the set bits of
-start + 1). Within a cell, sorted by falling end, the best span so far is the one that a place there takes. So a place
-has one candidate a level, no pair of place and span is made, and a file of any size is spread.
+A span [s, e) holds a place [start, end) if s <= start and end <= e. Starts are put in aligned cells, each four of the
+level below: a span lies in one cell of each level, and the starts up to a place's own are the union of at most three
+cells a level (the digits of start + 1 to the base of four). Within a cell, sorted by falling end, the best span so far
+is the one that a place there takes. So a place has a few candidates a level, no pair of place and span is made, and a
+file of any size is spread.
 """
 
 from __future__ import annotations
@@ -55,12 +56,14 @@ def _compared(places: DataFrame, spans: DataFrame, best) -> DataFrame:
 
 def _celled(places: DataFrame, spans: DataFrame, best) -> DataFrame:
     """point, start, end, b over large files. top: the largest start of the file, whose bits are its levels."""
-    levels = F.expr("sequence(0, length(bin(top)))")
+    levels = F.expr("sequence(0, length(bin(top)) + 1, 2)")
     spans = spans.select("path", "s", "e", best.alias("b"), F.explode(levels).alias("level"))
     cells = spans.select("path", "level", F.expr("shiftright(s, level)").alias("cell"), F.col("e").alias("edge"), F.lit(0).alias("kind"), F.col("b.id").alias("id"), "b")
     upto = places.withColumn("upto", F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.least("start", "top") + 1))
-    upto = upto.withColumn("level", F.explode_outer(F.expr("filter(sequence(0, length(bin(top))), k -> shiftright(upto, k) % 2 = 1)")))
-    at = upto.select("path", "level", F.expr("shiftright(upto, level) - 1").alias("cell"), F.col("end").alias("edge"), F.lit(1).alias("kind"), "point", "start", "end")
+    digits = "transform(sequence(0, length(bin(top)) + 1, 2), k -> struct(k as level, shiftright(upto, k) as upper))"
+    cut_off = f"flatten(transform({digits}, d -> transform(filter(array(0, 1, 2), j -> j < d.upper % 4), j -> struct(d.level as level, d.upper - d.upper % 4 + j as cell))))"
+    upto = upto.withColumn("in", F.explode_outer(F.expr(cut_off)))
+    at = upto.select("path", F.col("in.level").alias("level"), F.col("in.cell").alias("cell"), F.col("end").alias("edge"), F.lit(1).alias("kind"), "point", "start", "end")
     rows = cells.unionByName(at, allowMissingColumns=True)
     order = [F.col("edge").desc(), F.col("kind"), F.col("id"), F.col("point")]  # of equal ends spans come first
     rows = running_min(rows, ["path", "level", "cell"], order, "b", "least").filter("kind = 1")

@@ -12,7 +12,7 @@ words are written as pairs that begin with a one), so that sorted keys keep the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -41,15 +41,23 @@ def plain(key: Column) -> Column:
     return F.replace(F.replace(F.replace(key, F.lit(SEP), F.lit(" ")), F.lit("\x01\x01"), F.lit("\x00")), F.lit("\x01\x02"), F.lit("\x01"))
 
 
-def added_up(columns: list[np.ndarray], words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns of numbers below `words`, and how often each is there."""
+def added_up(columns: Iterable[np.ndarray], longest: int, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of `longest` columns of numbers below `words`, and how often each is there. Columns are taken one after the other, so that not all need be there at once."""
     width = max(1, int(words).bit_length())
-    if width * len(columns) <= 63:
-        key = columns[0].astype(np.int64)
-        for c in columns[1:]:
-            key = (key << width) | c
-        key, n = np.unique(key, return_counts=True)
-        return [(key >> (width * k)) & ((1 << width) - 1) for k in range(len(columns) - 1, -1, -1)], n
+    if width * longest <= 63:
+        key = None
+        for c in columns:
+            if key is None:
+                key = c.astype(np.int64)
+            else:
+                key <<= width
+                key |= c
+        key.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        key = key[first]
+        return [(key >> (width * k)) & ((1 << width) - 1) for k in range(longest - 1, -1, -1)], n
+    columns = list(columns)
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
@@ -88,15 +96,17 @@ class _Tally:
                 yield from self.passed_on()
 
     def passed_on(self) -> Iterator[pa.RecordBatch]:
-        rows = list(np.concatenate(self.held, axis=1)) if self.held else [np.zeros(0, dtype=np.int32)] * self.longest
+        held = self.held or [np.zeros((self.longest, 0), dtype=np.int32)]
         words = np.array(list(self.number), dtype=object)
         order = np.argsort(words, kind="stable")  # the mark stays first; keys in order shrink well where they are stored
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         words = words[order]
-        columns, n = added_up([place[c] for c in rows], len(words))
+        columns, n = added_up((place[np.concatenate([h[k] for h in held])] for k in range(self.longest)), self.longest, len(words))
+        del held
         tails = np.array([b"", *(b"\x00" + w for w in words[1:])], dtype=object)
         self.number, self.held, self.size = _numbering(), [], 0
+        columns = [c.astype(np.int32) for c in columns]
         for a in range(0, len(n), 50_000):
             keys = self.lang + tails[columns[0][a : a + 50_000]]
             for c in columns[1:]:

@@ -99,8 +99,8 @@ def test_wide_vocabularies_are_added_up_too():
 
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 5, 1000) for _ in range(3)]
-    narrow, n = phrases.added_up(columns, 5)
-    wide, m = phrases.added_up(columns, 1 << 40)
+    narrow, n = phrases.added_up(columns, 3, 5)
+    wide, m = phrases.added_up(columns, 3, 1 << 40)
     assert [c.tolist() for c in narrow] == [c.tolist() for c in wide] and n.tolist() == m.tolist()
 
 

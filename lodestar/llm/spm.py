@@ -51,11 +51,14 @@ class Pieces:
         self.longest = max(map(len, scores), default=1)
         inside = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.inside = inside - {SPACE * 2}
-        self.memo: dict[str, list[int]] = {}
+        #: words by number; the ids of number k are known[firsts[k] : firsts[k] + sizes[k]]
+        self.memo: dict[str, int] = {}
+        self.known, self.firsts, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.usable: dict[str, bool] = {}
         self.parts: dict[str, tuple[str, str]] = {}
-        self.byte_of = {b: i for i, b in enumerate(byte_ids)}
+        byte_of = {b: i for i, b in enumerate(byte_ids)}
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else t.encode() for i, t in enumerate(texts)]
         self.table: Table | None = None
         self.words: re.Pattern | None = None
 
@@ -229,23 +232,47 @@ class Pieces:
 
     def stretches(self, texts: list[str]) -> list[np.ndarray]:
         """stretch() of many texts: the words not yet known are encoded together."""
+        if not texts:
+            return []
         words = [self.split(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*words).difference(memo)) if words else []
+            self.known, self.firsts, self.sizes = self.known[:0].copy(), self.firsts[:0].copy(), self.sizes[:0].copy()
+        self.learn(list(set().union(*words).difference(self.memo)))
+        ends = np.cumsum([len(ws) for ws in words])
+        number = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=ends[-1])
+        size = self.sizes[number]
+        behind = np.concatenate(([0], np.cumsum(size)))
+        ids = self.known[np.arange(behind[-1]) + np.repeat(self.firsts[number] - behind[:-1], size)]
+        return np.split(ids, behind[ends[:-1]])
+
+    def learn(self, new: list[str]) -> None:
+        """Put the encodings of words not yet known into the memo."""
+        if not new:
+            return
         if self.table is None:
             self.table = Table(self)
-        for w, ids in self.table.encode(new):
-            memo[w] = ids
-        for w in new:
-            if w not in memo:
-                got: list[int] = []
-                edges = [0, *self.cuts(w), len(w)]
-                for a, b in zip(edges, edges[1:]):
-                    got += self.ids(self.word(w[a:b]))
-                memo[w] = got
-        return [np.fromiter(chain.from_iterable([memo[w] for w in ws]), dtype=np.int32) for ws in words]
+        known, firsts, sizes, end = [self.known], [self.firsts], [self.sizes], len(self.known)
+        for words, ids, size in chain(self.table.encode(new), self._others(new)):
+            self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words))))
+            known.append(ids)
+            firsts.append(end + np.cumsum(size) - size)
+            sizes.append(size)
+            end += len(ids)
+        self.known, self.firsts, self.sizes = np.concatenate(known), np.concatenate(firsts), np.concatenate(sizes)
+
+    def _others(self, new: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The words that the table has left, as Table.encode() returns them."""
+        words = [w for w in new if w not in self.memo]
+        ids: list[int] = []
+        sizes = []
+        for w in words:
+            before = len(ids)
+            edges = [0, *self.cuts(w), len(w)]
+            for a, b in zip(edges, edges[1:]):
+                ids += self.ids(self.word(w[a:b]))
+            sizes.append(len(ids) - before)
+        yield words, np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)
 
     def _words(self) -> re.Pattern:
         """Matches stretches between cuts: at space marks, and between Latin letters and all else where no piece spans them."""
@@ -376,9 +403,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """Text of ids; byte pieces join to UTF-8, and the leading space mark goes."""
-        texts, byte_of = self.texts, self.byte_of
-        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else texts[i].encode() for i in ids) if byte_of else "".join(texts[i] for i in ids).encode()
-        s = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        s = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return s[1:] if s[:1] == " " else s
 
 
@@ -386,10 +411,13 @@ class Table:
     """The lattice's forward pass over many short words at once, in numpy.
 
     Pieces over the most frequent characters of the vocabulary stand in a dense trie. Weights of neighbours are kept
-    in a hash table of fixed size. Words with other characters, and long ones, are left to Pieces.word().
+    in a hash table of fixed size. Words with other characters, and long ones, are left to Pieces.word(). Words of all
+    lengths stand side by side, so that passes follow the longest piece and the longest word alone.
     """
 
     CHARS, LONGEST_WORD, SLOTS = 160, 40, 1 << 21
+    #: Words of a pass.
+    WORDS = 20_000
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -403,7 +431,7 @@ class Table:
             self.codes[ord(c)] = k
         known = set(chars)
         self.tokens = [p for p in pieces.scores if known.issuperset(p) and pieces.can_use(p)]
-        self.token_ids = [pieces.scores[p][0] for p in self.tokens]
+        self.token_ids = np.array([pieces.scores[p][0] for p in self.tokens], dtype=np.int32)
         rows: list[dict[int, int]] = [{}]
         term = [-1]
         for k, p in enumerate(self.tokens):
@@ -439,56 +467,59 @@ class Table:
             self.values[at] = got  # of two keys in one slot the last write wins in both arrays
         return out
 
-    def encode(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            if len(w) <= self.LONGEST_WORD and w[:2] != SPACE * 2:
-                by_length.setdefault(len(w), []).append(w)
-        for length, group in by_length.items():
-            for at in range(0, len(group), 20_000):
-                yield from self._encode(group[at : at + 20_000], length)
-
-    def _encode(self, words: list[str], length: int) -> Iterator[tuple[str, list[int]]]:
-        raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), length)
+    def encode(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Words that the table can encode, in portions: the words, their ids in order, and how many each has."""
+        fit = [w for w in words if len(w) <= self.LONGEST_WORD and w[:2] != SPACE * 2]
+        for at in range(0, len(fit), self.WORDS):
+            yield self._encode(fit[at : at + self.WORDS])
+
+    def _encode(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        raw = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes = self.codes[np.minimum(raw, 0x2FFF)]
         codes[raw >= 0x3000] = 0
-        good = (codes > 0).all(axis=1)
-        words = [w for w, g in zip(words, good.tolist()) if g]
-        codes, n = np.ascontiguousarray(codes[good].T), int(good.sum())
-        if not n:
-            return
-        last = np.full((length + 1, n), -1, dtype=np.int32)
-        size = np.zeros((length + 1, n), dtype=np.int32)
-        ending: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
-        for i in range(length):
-            rows, node = np.arange(n), np.zeros(n, dtype=np.int32)
-            for j in range(i, min(length, i + self.pieces.longest)):
-                node = self.next[node, codes[j][rows]]
-                alive = node >= 0
-                rows, node = rows[alive], node[alive]
-                if not len(rows):
-                    break
-                t = self.term[node]
-                has = t >= 0
-                if has.any():
-                    ending[j + 1].append((i, rows[has], t[has]))
-        for j in range(1, length + 1):
-            for i, rows, t in ending[j]:
-                if i:
-                    before = last[i][rows]
-                    ok = before >= 0
-                    ok[ok] = self.joined(before[ok], t[ok])
-                    rows, t = rows[ok], t[ok]
-                last[j][rows] = t
-                size[j][rows] = j - i
-        last_t, size_t, ids = last.T.tolist(), size.T.tolist(), self.token_ids
-        for w, tok, step in zip(words, last_t, size_t):
-            out, at = [], length
-            while at > 0 and step[at]:
-                out.append(ids[tok[at]])
-                at -= step[at]
-            if at == 0:
-                yield w, out[::-1]
+        stop = np.cumsum(n + 1) - 1  # the mark of code 0 behind each word
+        start = stop - n
+        good = np.add.reduceat((codes == 0).astype(np.int64), start) == 1
+        codes[np.repeat(~good, n + 1)] = 0
+        within = np.arange(len(codes)) - np.repeat(start, n + 1)
+        at = np.flatnonzero(codes)
+        node = np.zeros(len(at), dtype=np.int32)
+        found = []
+        for length in range(1, self.pieces.longest + 1):
+            node = self.next[node, codes[at + length - 1]]  # the mark has no node, so no piece leaves its word
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            if not len(at):
+                break
+            t = self.term[node]
+            has = t >= 0
+            found.append((at[has], at[has] + length, t[has]))
+        last = np.full(len(codes), -1, dtype=np.int32)
+        size = np.zeros(len(codes), dtype=np.int64)
+        if found:
+            begin, end, t = map(np.concatenate, zip(*found))
+            order = np.argsort(within[end], kind="stable")
+            begin, end, t = begin[order], end[order], t[order]
+            bounds = np.searchsorted(within[end], np.arange(1, int(n.max()) + 2))
+            for a, b in zip(bounds, bounds[1:]):
+                i, j, piece = begin[a:b], end[a:b], t[a:b]
+                ok = within[i] == 0
+                before = last[i]
+                ask = np.flatnonzero(before >= 0)
+                ok[ask] = self.joined(before[ask], piece[ask])
+                last[j[ok]] = piece[ok]  # a text has one encoding, so one piece at most ends a path here
+                size[j[ok]] = j[ok] - i[ok]
+        done = good & (last[stop] >= 0)
+        chosen = np.zeros(len(codes), dtype=bool)
+        at, first = stop[done], start[done]
+        while len(at):
+            chosen[at] = True
+            at = at - size[at]
+            more = at > first
+            at, first = at[more], first[more]
+        count = np.add.reduceat(chosen.astype(np.int64), start)
+        return [w for w, d in zip(words, done.tolist()) if d], self.token_ids[last[chosen]], count[done]
 
 
 def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -64,6 +64,20 @@ def test_sentencepiece_chunks_of_any_size():
         assert v.decode(want) == text
 
 
+def test_sentencepiece_words_of_all_lengths_share_their_passes(monkeypatch):
+    import sentencepiece
+
+    sp, v, rng = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL), spm.Pieces.from_file(spm.MODEL), random.Random(12)
+    calls, joined = [], spm.Table.joined
+    monkeypatch.setattr(spm.Table, "joined", lambda *a: calls.append(1) or joined(*a))
+    monkeypatch.setattr(spm, "MEMO", 100)
+    texts = [" ".join("".join(rng.choice("abcdefghinorstu-.0") for _ in range(n)) for n in range(1, 40)) for _ in range(3)] + ["", "a\0b é文 \0", "x" * 50]
+    for part in (texts[:1], texts, [], texts[::-1]):  # the memo is dropped in between
+        assert [x.tolist() for x in v.stretches([v.marked(t) for t in part])] == [sp.encode(t) for t in part]
+        assert len(calls) <= spm.Table.LONGEST_WORD  # not one pass for each pair of a word's length and a place in it
+        calls.clear()
+
+
 def test_products_are_associative():
     rng = random.Random(2)
     v = spm.load()

@@ -6,12 +6,14 @@ are the tokens of the join, ordered by their number in the whole corpus, rarest
 a shingle with the template's prefix (prefix filter), has enough words (length filter), and from the first shared shingle on enough of
 both remain (positional filter). In texts that pass, the shared shingles' places are walked over once with two ends:
 the run is extended while it is short enough, and the best one is kept. Templates are a fixed table; the order needs one
-count over all documents of the templates' shingles alone.
+count over all documents of the templates' shingles alone. Shingles and phrases are found by a trie of their words, walked from
+all words of a batch of texts at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -61,16 +63,17 @@ TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
 }
 _TABLE = bytes(FOLD[k] or 32 for k in range(256))
-_PHRASES = {f" {p} ".encode(): (label, len(p.split())) for p, label in PHRASES.items()}
+#: Stands behind each text; no word holds it.
+_END = b"\x00"
 
 
 def words(text: str) -> list[bytes]:
     """A-Z lower-cased; runs of ASCII letters, digits and all other characters beyond ASCII."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    return folded(text).split()
 
 
-def word_line(text: str) -> bytes:
-    return b" ".join(words(text))
+def folded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
 def shingle_set(ws: list[bytes], width: int = WIDTH) -> set[bytes]:
@@ -80,6 +83,55 @@ def shingle_set(ws: list[bytes], width: int = WIDTH) -> set[bytes]:
     return {b" ".join(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))}
 
 
+class Finder:
+    """Finds runs of words in many texts at once: a trie of the runs, walked from all words side by side."""
+
+    def __init__(self, runs: list[bytes]):
+        split = [r.split(b" ") for r in runs]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}), 1)}
+        self.end = self.vocabulary[_END] = len(self.vocabulary) + 1
+        nodes: dict[tuple[int, int], int] = {}
+        term = {}
+        for number, ws in enumerate(split):
+            node = 0
+            for w in ws:
+                node = nodes.setdefault((node, self.vocabulary[w]), len(nodes) + 1)
+            term[node] = number
+        #: the children of the root by word; all nodes by their parent and word, behind them a key that is never asked for
+        self.root = np.zeros(self.end + 1, dtype=np.int64)
+        for (parent, w), node in nodes.items():
+            if not parent:
+                self.root[w] = node
+        keys = np.array([parent * (self.end + 1) + w for parent, w in nodes] + [np.iinfo(np.int64).max], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], np.array([*nodes.values(), 0], dtype=np.int64)[order]
+        self.term = np.full(len(nodes) + 1, -1, dtype=np.int64)
+        self.term[list(term)] = list(term.values())
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words of each text; of each place where a run stands, by text and word: text, first word, run."""
+        ws = (b" " + _END + b" ").join([*(folded(t) for t in texts), b""]).split()
+        ids = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), dtype=np.int32, count=len(ws))
+        del ws
+        ends = np.flatnonzero(ids == self.end)
+        starts = np.concatenate(([0], ends + 1))[: len(texts)]
+        at = np.flatnonzero(self.root[ids])
+        node, found, depth = self.root[ids[at]], [(at[:0], at[:0])], 0
+        while len(at):
+            run = self.term[node]
+            found.append((at[run >= 0], run[run >= 0]))
+            depth += 1
+            key = node * (self.end + 1) + ids[at + depth]  # the word before is none of the ends, so one more stands there
+            k = np.searchsorted(self.keys, key)
+            go = self.keys[k] == key
+            at, node = at[go], self.nodes[k[go]]
+        place, run = map(np.concatenate, zip(*found))
+        order = np.argsort(place, kind="stable")
+        place, run = place[order], run[order]
+        of = np.searchsorted(ends, place)
+        return ends - starts, of, place - starts[of] if len(of) else of, run
+
+
 class Index:
     """Templates' shingles in the global order, with their prefixes."""
 
@@ -88,6 +140,7 @@ class Index:
         self.threshold = threshold
         self.sets = {name: shingle_set(words(t)) for name, t in templates.items()}
         tokens = sorted({s for v in self.sets.values() for s in v}, key=lambda s: (frequency.get(s, 0), s))
+        self.tokens = tokens
         self.rank = {s: k for k, s in enumerate(tokens)}
         self.need = {name: max(1, int(np.ceil(threshold * len(v) - 1e-9))) for name, v in self.sets.items()}
         self.prefix: dict[bytes, list[tuple[str, int]]] = {}
@@ -100,8 +153,7 @@ class Index:
         for name, v in self.sets.items():
             for x in v:
                 self.holders.setdefault(x, []).append(name)
-        #: widths of shingles: that of short templates is their number of words
-        self.widths = sorted({x.count(b" ") + 1 for x in tokens})
+        self.finder = Finder(tokens)
 
     def match(self, found: set[bytes]) -> dict[str, float]:
         """Containment of each template that reaches the threshold in a block with these shingles."""
@@ -127,16 +179,17 @@ def blocks(text: str, index: Index) -> dict[str, tuple[float, int, int]]:
 
     Of several blocks of the best containment the shortest counts, then the first.
     """
-    ws = words(text)
+    _, _, at, run = index.finder.find([text])
+    return blocks_of([(k, index.tokens[r]) for k, r in zip(at.tolist(), run.tolist())], index)
+
+
+def blocks_of(shingles: list[tuple[int, bytes]], index: Index) -> dict[str, tuple[float, int, int]]:
+    """blocks() of a text, from its templates' shingles with their first words."""
     places: dict[str, list[tuple[int, int, bytes]]] = {}
-    found: set[bytes] = set()
-    for width in index.widths:
-        for k in range(len(ws) - width + 1):
-            x = b" ".join(ws[k : k + width])
-            if x in index.holders:
-                found.add(x)
-                for name in index.holders[x]:
-                    places.setdefault(name, []).append((k, k + width, x))
+    for k, x in shingles:
+        for name in index.holders[x]:
+            places.setdefault(name, []).append((k, k + x.count(b" ") + 1, x))
+    found = {x for _, x in shingles}
     out = {}
     for name in index.match(found):
         best: tuple[int, int, int] | None = None  # shingles missing, words, first word
@@ -158,35 +211,15 @@ def blocks(text: str, index: Index) -> dict[str, tuple[float, int, int]]:
     return out
 
 
-def phrase_places(line: bytes) -> list[tuple[int, str]]:
-    """(first word, label) of every place where a phrase's words stand consecutively; line: words joined by spaces."""
-    padded, out = b" " + line + b" ", []
-    for p, (label, _) in _PHRASES.items():
-        at, seen, number = padded.find(p), 0, 0
-        while at >= 0:
-            number += padded.count(b" ", seen, at)  # from the last place on, so that many places cost no more than one
-            seen = at
-            out.append((number, label))
-            at = padded.find(p, at + 1)
-    return sorted(out)
-
-
 def template_counts(rows: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict[bytes, int]:
     """How often each of the templates' shingles stands in all texts; the templates bound its size."""
     tokens = sorted({s for t in templates.values() for s in shingle_set(words(t))})
-    known = {s: k for k, s in enumerate(tokens)}
-    rare = {b" " + s.split(b" ")[0] + b" ": s for s in tokens}
+    finder = Finder(tokens)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(tokens), dtype=np.int64)
         for pdf in batches(frames):
-            for text in pdf["text"]:
-                line = b" " + word_line(text) + b" "
-                for first in rare:
-                    if first not in line:
-                        continue
-                    for s in (t for t in tokens if t.startswith(first[1:])):
-                        total[known[s]] += line.count(b" " + s + b" ")
+            total += np.bincount(finder.find(pdf["text"].tolist())[3], minlength=len(tokens))
         yield pd.DataFrame({"token": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
 
     got = rows.mapInPandas(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
@@ -204,25 +237,30 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = arrow_bounded(docs.select(whole_id(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")))
     index = Index(templates, template_counts(rows, templates), threshold)
+    phrases = {p.encode(): label for p, label in PHRASES.items()}
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a text with a block that matches holds a prefix shingle
-        needles = [b" " + s + b" " for s in index.prefix]
-        firsts = sorted({n[: n.index(b" ", 1) + 1] for n in needles})
-        by_first = {f: [n for n in needles if n.startswith(f)] for f in firsts}
+        runs = [*index.tokens, *(p for p in phrases if p not in index.rank)]
+        label_of = {k: phrases[x] for k, x in enumerate(runs) if x in phrases}
+        is_phrase, is_prefix = (np.array([x in some for x in runs], dtype=bool) for some in (phrases, index.prefix))
+        finder = Finder(runs)
         for pdf in batches(frames):
+            n_words, of, at, run = finder.find(pdf["text"].tolist())
+            places: dict[int, list[tuple[int, str]]] = {}
+            for k, first, r in zip(*(x[is_phrase[run]].tolist() for x in (of, at, run))):
+                places.setdefault(k, []).append((first, label_of[r]))
+            matched = {}
+            for k in np.unique(of[is_prefix[run]]).tolist():  # a text with a block that matches holds a prefix shingle
+                mine = slice(*np.searchsorted(of, (k, k + 1)))
+                matched[k] = blocks_of([(first, runs[r]) for first, r in zip(at[mine].tolist(), run[mine].tolist()) if r < len(index.tokens)], index)
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                line = word_line(text)
-                places = phrase_places(line)
-                padded = b" " + line + b" "
-                some = any(f in padded and any(n in padded for n in by_first[f]) for f in firsts)
-                found = blocks(text, index) if some else {}
-                base = sorted({label for _, label in places})
+            for k, (doc, n) in enumerate(zip(pdf["doc_id"], n_words.tolist())):
+                here, found = places.get(k, []), matched.get(k, {})
+                base = sorted({label for _, label in here})
                 labels = sorted({*base, *found})
                 score = 1.0 if base else max((share for share, _, _ in found.values()), default=0.0)
-                first, last = (places[0][0], places[-1][0]) if places else (None, None)
-                out.append((doc, line.count(b" ") + 1 if line else 0, len(places), first, last, ",".join(base), ",".join(labels), round(score, 9), ",".join(f"{n}={s:.4f}" for n, (s, _, _) in sorted(found.items())), ",".join(f"{n}:{a}-{b}" for n, (_, a, b) in sorted(found.items()))))
+                first, last = (here[0][0], here[-1][0]) if here else (None, None)
+                out.append((doc, n, len(here), first, last, ",".join(base), ",".join(labels), round(score, 9), ",".join(f"{n}={s:.4f}" for n, (s, _, _) in sorted(found.items())), ",".join(f"{n}:{a}-{b}" for n, (_, a, b) in sorted(found.items()))))
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates", "blocks"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 

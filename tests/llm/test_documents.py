@@ -312,6 +312,19 @@ def test_license_pieces_far_apart_are_no_block(spark):
     assert got[1]["templates"] == "" and got[1]["blocks"] == "" and got[2]["blocks"] == f"gpl-notice:2-{len(licenses.words(near))}"
 
 
+def test_license_runs_are_counted_at_every_place(spark):
+    rng = random.Random(23)
+    made = {"short": "two words", "again": "x x x x x x", "long": "a b c d e a b c"}
+    texts = ["Two words, two words two-words", "x " * 9, "a b c d e a b c d e a b c", "", "two\0words é文 x", *(" ".join(rng.choice("abcdex") for _ in range(60)) for _ in range(20))]
+    got = licenses.template_counts(frame(spark, [(k, t, "a") for k, t in enumerate(texts)]), made)
+    want = {}
+    for t in texts:
+        ws = licenses.words(t)
+        for x in {x for m in made.values() for x in licenses.shingle_set(licenses.words(m))}:
+            want[x] = want.get(x, 0) + sum(ws[k : k + x.count(b" ") + 1] == x.split() for k in range(len(ws)))
+    assert got == {x: n for x, n in want.items() if n} and got[b"two words"] == 4 and got[b"x x x x x"] == 5  # neighbours and overlaps, too
+
+
 def test_license_join_equals_brute_force():
     rng = random.Random(14)
     index = licenses.Index()

@@ -148,3 +148,40 @@ def test_long_rings_and_chains_of_rings_take_few_rounds(spark, written):
     got = G.cycles(ring.unionByName(rings))
     assert got.filter(f"label = 0 and size = {n}").count() == n
     assert got.filter("size = 2 and label = node - node % 2").count() == 200 and got.count() == n + 200
+
+
+def test_what_is_reachable_over_long_ways(spark):
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 130), rng.randrange(100, 130)) for _ in range(40)] + [(7, 7), (60, 100), (200, 201)]
+    e = spark.createDataFrame(edges, "src int, dst int")
+    for seeds in ([0], [55, 300], [200, 201], []):
+        want, last = set(seeds), set(seeds)
+        while last:
+            last = {b for a, b in edges if a in last} - want
+            want |= last
+        got = [r[0] for r in G.reachable(e, spark.createDataFrame([(s,) for s in seeds], "node int")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 24])
+def test_pairs_of_a_hub_are_dealt_over_slices(spark, monkeypatch, pairs):
+    monkeypatch.setattr(tables, "PAIRS", pairs)
+    left = [("hub", k) for k in range(30)] + [("few", 100), (None, 3), ("left", 4)]
+    right = [("hub", f"r{k}") for k in range(9)] + [("few", "r"), (None, "x"), ("right", "y")]
+    got = tables.pairs_by(spark.createDataFrame(left, "k string, a int"), spark.createDataFrame(right, "k string, b string"), "k")
+    assert sorted((r["k"], r["a"], r["b"]) for r in got.collect()) == sorted((k, a, b) for k, a in left for j, b in right if k and k == j)
+    if pairs == 7:
+        assert got.rdd.getNumPartitions() > 30
+
+
+def test_weak_siblings_that_are_all_affected_make_no_pairs(spark):
+    """4,000 children of one parent, all weak and affected, and one spared: 4,000 pairs, not 16 million."""
+    n = 4000
+    rows = [("p", None, "represented"), ("hub", None, "represented"), ("spared", "p", "failed")] + [(f"c{k}", "p", "failed") for k in range(n)]
+    targets = spark.createDataFrame(rows, "id string, parent string, inventory string")
+    relations = spark.createDataFrame([(f"c{k}", "hub", "x:calls") for k in range(n)], "source string, target string, kind string")
+    out = G.invalidation(relations, targets, targets.filter("id = 'hub'").select("id"))
+    got = {r["reason"]: r["count"] for r in out.groupBy("reason").count().collect()}
+    assert got == {"changed": 1, "calls": n, "contains": n, "conservative": n}
+    joins = out.filter("reason = 'conservative'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in joins  # who is affected is left out before the pairs are made

@@ -4,7 +4,7 @@ A span [s, e) holds a place [start, end) if s <= start and end <= e. Starts are
 level below: a span lies in one cell of each level, and the starts up to a place's own are the union of at most three
 cells a level (the digits of start + 1 to the base of four). Within a cell, sorted by falling end, the best span so far
 is the one that a place there takes. So a place has a few candidates a level, no pair of place and span is made, and a
-file of any size is spread.
+file of any size is spread. Equal spans count once, and so do places of many points.
 """
 
 from __future__ import annotations
@@ -28,18 +28,21 @@ def resolve_places(points: DataFrame, spans: DataFrame, few: int = FEW) -> DataF
     counts like any other. Ties go to the least id. Spans without a path or with s > e hold nothing; a null path, start or
     end is unmapped. quality: exact if a span that is no file has the place's bounds, containing_target, file_fallback, unmapped.
     """
-    spans = spans.filter("path is not null and 0 <= s and s <= e").select("path", "s", "e", "is_file", "id")
+    spans = spans.filter("path is not null and 0 <= s and s <= e").groupBy("path", "s", "e", "is_file").agg(F.min("id").alias("id"))
+    spans = cut(spans)  # of equal spans the one of the least id
     files = cut(spans.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("top")))
     large = files.filter(F.col("n") > few)
     best = lambda: F.struct("is_file", (F.col("e") - F.col("s")).alias("len"), "id", "s")
-    places = points.select("point", "path", "start", "end")
+    points = points.select("point", "path", "start", "end")
+    places = cut(points.filter("path is not null and start is not null and end is not null").select("path", "start", "end").distinct())
     if large.isEmpty():
         found = _compared(places, spans, best())
     else:
-        of = places.join(files, "path", "left")
+        of = places.join(files, "path")
         small = spans.join(large, "path", "left_anti")
-        found = _compared(of.filter(F.col("n").isNull() | (F.col("n") <= few)).select(*places.columns), small, best())
+        found = _compared(of.filter(F.col("n") <= few).select(*places.columns), small, best())
         found = found.unionByName(_celled(of.filter(F.col("n") > few), spans.join(large, "path"), best()))
+    found = points.join(found, ["path", "start", "end"], "left").groupBy("point", "start", "end").agg(F.min("b").alias("b"))
     b = F.col("b")
     exact = (b["s"] == F.col("start")) & (b["len"] == F.col("end") - F.col("start"))
     quality = F.when(b.isNull(), UNMAPPED).when(b["is_file"], FALLBACK).when(exact, EXACT).otherwise(CONTAINING)
@@ -47,24 +50,23 @@ def resolve_places(points: DataFrame, spans: DataFrame, few: int = FEW) -> DataF
 
 
 def _compared(places: DataFrame, spans: DataFrame, best) -> DataFrame:
-    """point, start, end, b over files of few spans: each span of the file is looked at."""
-    spans = spans.select(F.col("path").alias("_path"), F.struct("s", "e", best.alias("b")).alias("span"))
-    j = places.join(spans, F.col("path") == F.col("_path"), "left")
-    holds = (F.col("span.s") <= F.col("start")) & (F.col("span.e") >= F.col("end"))
-    return j.groupBy("point", "start", "end").agg(F.min(F.when(holds, F.col("span.b"))).alias("b"))
+    """path, start, end, b over files of few spans: each span of the file is looked at."""
+    spans = spans.select("path", "s", "e", best.alias("b"))
+    j = places.join(spans, "path").filter((F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")))
+    return j.groupBy("path", "start", "end").agg(F.min("b").alias("b"))
 
 
 def _celled(places: DataFrame, spans: DataFrame, best) -> DataFrame:
-    """point, start, end, b over large files. top: the largest start of the file, whose bits are its levels."""
+    """path, start, end, b over large files. top: the largest start of the file, whose bits are its levels. Of a cell's spans with one end only the best is kept."""
     levels = F.expr("sequence(0, length(bin(top)) + 1, 2)")
     spans = spans.select("path", "s", "e", best.alias("b"), F.explode(levels).alias("level"))
-    cells = spans.select("path", "level", F.expr("shiftright(s, level)").alias("cell"), F.col("e").alias("edge"), F.lit(0).alias("kind"), F.col("b.id").alias("id"), "b")
-    upto = places.withColumn("upto", F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.least("start", "top") + 1))
+    cells = spans.groupBy("path", "level", F.expr("shiftright(s, level)").alias("cell"), F.col("e").alias("edge")).agg(F.min("b").alias("b"), F.lit(0).alias("kind"))
+    upto = places.withColumn("upto", F.least("start", "top") + 1)
     digits = "transform(sequence(0, length(bin(top)) + 1, 2), k -> struct(k as level, shiftright(upto, k) as upper))"
     cut_off = f"flatten(transform({digits}, d -> transform(filter(array(0, 1, 2), j -> j < d.upper % 4), j -> struct(d.level as level, d.upper - d.upper % 4 + j as cell))))"
-    upto = upto.withColumn("in", F.explode_outer(F.expr(cut_off)))
-    at = upto.select("path", F.col("in.level").alias("level"), F.col("in.cell").alias("cell"), F.col("end").alias("edge"), F.lit(1).alias("kind"), "point", "start", "end")
-    rows = cells.unionByName(at, allowMissingColumns=True)
-    order = [F.col("edge").desc(), F.col("kind"), F.col("id"), F.col("point")]  # of equal ends spans come first
-    rows = running_min(rows, ["path", "level", "cell"], order, "b", "least").filter("kind = 1")
-    return rows.groupBy("point", "start", "end").agg(F.min("least").alias("b"))
+    upto = upto.withColumn("in", F.explode(F.expr(cut_off)))
+    at = upto.select("path", F.col("in.level").alias("level"), F.col("in.cell").alias("cell"), F.col("end").alias("edge"), F.lit(1).alias("kind"), "start")
+    rows = cut(cells).unionByName(at, allowMissingColumns=True)
+    order = [F.col("edge").desc(), F.col("kind"), F.col("start")]  # of equal ends spans come first
+    rows = running_min(rows, ["path", "level", "cell"], order, "b", "least").filter("kind = 1 and least is not null")
+    return rows.groupBy("path", "start", F.col("edge").alias("end")).agg(F.min("least").alias("b"))

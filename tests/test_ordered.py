@@ -70,3 +70,14 @@ def test_a_large_file_makes_few_candidates(spark):
     assert found.filter("id = point and quality = 'containing_target'").count() == n
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_equal_spans_and_places_are_dealt_once(spark, monkeypatch):
+    dealt, plain = [], S.running_min
+    monkeypatch.setattr(S, "running_min", lambda rows, *rest: dealt.append(rows.count()) or plain(rows, *rest))
+    n = 5000
+    spans = spark.range(n).selectExpr("id", "'f' as path", "id % 40 as s", "id % 40 + 100 as e", "false as is_file")
+    points = spark.range(n).selectExpr("id as point", "'f' as path", "id % 3 as start", "id % 3 + 100 as end")
+    found = S.resolve_places(points.unionByName(points.filter("point < 10")), spans)
+    assert found.filter("id = point % 3 and quality = 'exact'").count() == found.count() == n
+    assert sum(dealt) < 200
